@@ -53,6 +53,22 @@ DEGRADE = """CASE kind
             WHEN 'jitter' THEN list_transform(x, lambda e: e * (1 + param * (2 * ((h8 % 1009) / 1009.0::DOUBLE) - 1)))
             ELSE list_transform(x, lambda e, k: x[7 + floor((k - 1) * param)::INT]) END"""
 
+def _list(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def kind_sql(value: str) -> str:
+    """Marker kind of a value: the first list with a hit decides."""
+    hit = lambda words: f"len(list_filter({_list(words)}, lambda m: contains(lower({value}), m))) > 0"
+    return (f"CASE WHEN {hit(fixed.AI_MARKERS)} THEN 'ai' WHEN {hit(fixed.CAMERA_MARKERS)} THEN 'camera' "
+            f"WHEN {hit(fixed.EDITOR_MARKERS)} THEN 'editor' END")
+
+
+def hit_sql(value: str) -> str:
+    words = fixed.AI_MARKERS + fixed.CAMERA_MARKERS + fixed.EDITOR_MARKERS
+    return f"list_filter({_list(words)}, lambda m: contains(lower({value}), m))[1]"
+
+
 TABLES: dict[str, str] = {
     "settings": f"SELECT * FROM (VALUES {_settings_rows()}) AS s(idx, kind, param, variant)",
     "items0": """
@@ -182,11 +198,21 @@ TABLES: dict[str, str] = {
     "kept_faces": """
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY fw * fh DESC, face_no) AS rk FROM faces WHERE least(fw, fh) >= 64)
         WHERE rk <= 8""",
+    "quads": """
+        SELECT doc_id, [{'x': x0 + w, 'y': y0 + h + tilt}, {'x': x0, 'y': y0}, {'x': x0 + w, 'y': y0 + tilt}, {'x': x0, 'y': y0 + h}] AS q, x0, y0, w, h, tilt
+        FROM (SELECT doc_id, (doc_id * 37 % 400) / 4.0::DOUBLE AS x0, (doc_id * 53 % 300) / 4.0::DOUBLE AS y0, (5 + n_chars % 700)::DOUBLE AS w,
+                     (6 + doc_id * 7 % 40)::DOUBLE AS h, (doc_id % 4)::DOUBLE AS tilt FROM documents)""",
+    "clips": """
+        SELECT user_id AS video_id, count(*) * (user_id % 9 + 1) AS frame_count, (24 + user_id % 7)::DOUBLE AS fps FROM events GROUP BY user_id""",
+    "prov_fields": f"""
+        SELECT page_id, key, value, ord, {kind_sql('value')} AS kind FROM (
+          SELECT page_id, unnest(['html', 'url', 'title']) AS key, unnest([html, url, regexp_extract(html, '<title>([^<]*)</title>', 1)]) AS value,
+                 unnest([0, 1, 2]) AS ord FROM pages) WHERE length(value) > 0""",
     "preds4": "SELECT *, round_even(pred, 4) AS pred4 FROM shipped",
 }
 
 _HEAVY = {"items", "probes", "protos", "grid", "scored", "branches", "shipped", "raw_rows", "ranked_rows",
-          "resolved", "deduped", "manifest", "tokens", "sampled", "contents", "preds4", "chains", "chain2", "faces"}
+          "resolved", "deduped", "manifest", "tokens", "sampled", "contents", "preds4", "chains", "chain2", "faces", "prov_fields"}
 
 
 def with_tables(body: str) -> str:

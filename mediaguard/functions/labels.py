@@ -10,11 +10,12 @@ def to_label(code, tampered_only: bool = False) -> Column:
     """0 real, 1 AI, null skip.  Codes may be digits or class names."""
     code = code if isinstance(code, Column) else F.col(code)
     text = F.lower(F.trim(code.cast("string")))
+    number = text.try_cast("int")
     if tampered_only:
-        numeric = F.when(text == "2", 1)
+        numeric = F.when(number == 2, 1)
         named = F.when(text.contains("tamper"), 1)
     else:
-        numeric = F.when(text == "0", 0).when(text == "1", 1)
+        numeric = F.when(number == 0, 0).when(number == 1, 1)
         named = (F.when(text.contains("tamper"), F.lit(None).cast("int"))
                  .when(text.contains("real"), 0).otherwise(1))
     return F.when(text.rlike(r"^\d+$"), numeric).otherwise(named).cast("int")

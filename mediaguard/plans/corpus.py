@@ -167,3 +167,23 @@ class Corpus:
                 .selectExpr("doc_id", r"posexplode(filter(split(text, '\\s+'), t -> length(t) > 0)) AS (pos, token)")
                 .selectExpr("*", "length(regexp_replace(token, '[^A-Za-z]', '')) / length(token) AS conf",
                             "cast(length(token) * 8 + pos % 5 AS double) AS w", "cast(20 + pos % 7 AS double) AS h"))
+
+    def quads(self) -> DataFrame:
+        """One text region per document as four corners in no particular order."""
+        return self.table("documents").selectExpr(
+            "doc_id", "(doc_id * 37 % 400) / 4D AS x0", "(doc_id * 53 % 300) / 4D AS y0", "cast(5 + n_chars % 700 AS double) AS w",
+            "cast(6 + doc_id * 7 % 40 AS double) AS h", "cast(doc_id % 4 AS double) AS tilt").selectExpr(
+            "doc_id", "array(named_struct('x', x0 + w, 'y', y0 + h + tilt), named_struct('x', x0, 'y', y0), "
+                      "named_struct('x', x0 + w, 'y', y0 + tilt), named_struct('x', x0, 'y', y0 + h)) AS q")
+
+    def clips(self) -> DataFrame:
+        """Length and frame rate of each video."""
+        return self.table("events").groupBy(F.col("user_id").alias("video_id")).agg(F.count(F.lit(1)).alias("n")).selectExpr(
+            "video_id", "n * (video_id % 9 + 1) AS frame_count", "cast(24 + video_id % 7 AS double) AS fps")
+
+    def prov_fields(self) -> DataFrame:
+        """Metadata fields of each page: its markup, address and title."""
+        return (self.table("pages").selectExpr(
+            "page_id", r"posexplode(array(named_struct('key', 'html', 'value', html), named_struct('key', 'url', 'value', url), "
+                       r"named_struct('key', 'title', 'value', regexp_extract(html, '<title>([^<]*)</title>', 1)))) AS (ord, f)")
+            .selectExpr("page_id", "ord", "f.key AS key", "f.value AS value").where("length(value) > 0"))
