@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["aggregations", "scalars", "relational"]
+MODULES = ["aggregations", "scalars", "relational", "io"]
 
 
 def load():

@@ -247,3 +247,13 @@ def auc_sql(table: str, by: list[str], score: str, label: str = "label") -> str:
                          + (count(*) OVER (PARTITION BY {ties}) - 1) / 2.0 AS rk
                   FROM {table} WHERE {score} IS NOT NULL)
             {'GROUP BY ' + g if by else ''})"""
+
+
+def confusion_key(which: str) -> str:
+    """AUROC or accuracy per (population, detector, setting) of the reported detectors."""
+    t = ("(SELECT source AS population, variant AS setting, label, unnest(['general', 'shipped']) AS detector, unnest([p_general, pred]) AS score "
+         "FROM shipped WHERE starts_with(split, 'test'))")
+    by = ["population", "detector", "setting"]
+    if which == "auc":
+        return auc_sql(t, by, "score")
+    return f"SELECT population, detector, setting, avg(((score >= 0.5) = (label = 1))::INT) AS acc FROM {t} GROUP BY ALL"

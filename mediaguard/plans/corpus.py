@@ -6,8 +6,6 @@ deterministic draws, and its id the source.  ``events`` stands for scored video
 """
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mediaguard import fixed
@@ -131,17 +129,15 @@ class Corpus:
             F.transform(joins.sampled_settings(F.col("image_id")), lambda s: F.struct(s["idx"].alias("idx"), s["variant"].alias("variant"))))
         base = it.select("*", F.explode(F.when(F.col("split") == "train", some).otherwise(full)).alias("_s")).select(
             "*", F.col("_s.idx").alias("idx"), F.col("_s.variant").alias("variant"))
-        order = F.col("vec_id") * 100 + F.col("idx")
-
-        def rows(df, offset, source=None, split=None):
-            return df.select("image_id", "variant", "label", (F.lit(source) if source else F.col("source")).alias("source"),
-                             "subclass", "generator", (F.lit(split) if split else F.col("split")).alias("split"),
-                             (order + offset).alias("file_ord"))
-        h8 = F.col("h8")
-        return reduce(DataFrame.unionByName, [
-            rows(base, 0), rows(base.where(h8 % 7 == 0), 1000000000),
-            rows(base.where((h8 % 11 == 0) & (F.col("source") != "web_holdout")), 2000000000, "core_train", "train"),
-            rows(base.where(h8 % 13 == 0), 3000000000, "core_smoke", "train")])
+        # every written copy of a row as one array: the union of the row files in a single pass
+        copies = """filter(array(
+            named_struct('off', 0L, 'source', source, 'split', split),
+            IF(h8 % 7 = 0, named_struct('off', 1000000000L, 'source', source, 'split', split), NULL),
+            IF(h8 % 11 = 0 AND source <> 'web_holdout', named_struct('off', 2000000000L, 'source', 'core_train', 'split', 'train'), NULL),
+            IF(h8 % 13 = 0, named_struct('off', 3000000000L, 'source', 'core_smoke', 'split', 'train'), NULL)), c -> c IS NOT NULL)"""
+        return base.selectExpr("image_id", "variant", "label", "subclass", "generator", "vec_id", "idx", f"explode({copies}) AS c").selectExpr(
+            "image_id", "variant", "label", "c.source AS source", "subclass", "generator", "c.split AS split",
+            "vec_id * 100 + idx + c.off AS file_ord")
 
     def manifest_input(self) -> DataFrame:
         return self.raw_rows().where(~F.col("source").contains("smoke"))
