@@ -39,3 +39,9 @@ def image_report(rows: DataFrame, cal_face=(0.9, 0.1), cal_tampered=(1.1, -0.2),
             F.when(F.col("has_face"), F.array(region)).otherwise(F.array().cast(
                 "array<struct<type:string,bbox:struct<x:int,y:int,width:int,height:int>,score:double,verdict:string>>")).alias("regions")
         ).alias("report"))
+
+
+def subset_score(names: list[str]):
+    """Raw (unshifted) score of chosen branches, the edit branch at its shipped loudness."""
+    parts = [scores.sigmoid((fixed.TAMPERED_SCALE if n == "tampered" else 1.0) * F.col(n)) for n in names]
+    return F.greatest(*parts) if len(parts) > 1 else parts[0]
