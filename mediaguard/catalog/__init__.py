@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["aggregations", "scalars", "relational", "io", "transforms", "fitting"]
+MODULES = ["aggregations", "scalars", "relational", "io", "transforms", "fitting", "streams"]
 
 
 def load():
