@@ -164,12 +164,12 @@ CLIPPED = r"(SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FRO
 
 @query("fn_clip_text", f"SELECT doc_id, CASE WHEN length(t) <= 400 THEN t ELSE substr(t, 1, 399) || '…' END AS clipped FROM {CLIPPED}")
 def fn_clip_text(c):
-    return c.table("documents").select("doc_id", tx.clip_text("text").alias("clipped"))
+    return c.texts("documents").select("doc_id", tx.clip_text("text").alias("clipped"))
 
 
 @query("fn_marker_kind", f"SELECT doc_id, {kind_sql('text')} AS kind, {hit_sql('text')} AS marker FROM documents")
 def fn_marker_kind(c):
-    return c.table("documents").select("doc_id", pv.marker_kind("text").alias("kind"), pv.marker_hit("text").alias("marker"))
+    return c.texts("documents").select("doc_id", pv.marker("text").alias("m")).select("doc_id", "m.kind", "m.marker")
 
 
 PNG_KEYS = "['parameters', 'Software', 'Prompt', 'Comment', 'workflow', 'Title', 'dream']"
@@ -203,7 +203,7 @@ def fn_token_plausible(c):
 
 @query("fn_frac_nonascii", r"SELECT doc_id, round(CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) / length(text)::DOUBLE ELSE 0 END, 6) AS frac FROM documents")
 def fn_frac_nonascii(c):
-    return c.table("documents").select("doc_id", r6(tx.frac_nonascii("text")).alias("frac"))
+    return c.texts("documents").select("doc_id", r6(tx.frac_nonascii("text")).alias("frac"))
 
 
 @query("fn_glyph_consistency", """SELECT doc_id, round(CASE WHEN count(*) < 2 OR avg(ar) <= 1e-6 THEN 1 ELSE 1 / (1 + stddev_pop(ar) / avg(ar)) END, 6) AS consistency

@@ -9,6 +9,7 @@ from mediaguard.catalog.aggregations import EVAL, evalset
 from mediaguard.catalog.base import auc_sql, kind_sql, query, sig
 from mediaguard.catalog.io import rasters
 from mediaguard.functions import scores, vectors as vx
+from mediaguard.sources.spread import spread
 from mediaguard.operators import embed as em, file_metadata as fm, joins, metrics as mt, raster as ra, vector_jobs as vj
 
 r6 = lambda c: F.round(c, 6)
@@ -16,7 +17,7 @@ r6 = lambda c: F.round(c, 6)
 
 def grey(c, where=None):
     df = rasters(c, ("label", "split"))
-    df = df.where(where) if where else df
+    df = spread(df.where(where) if where else df)
     return df.select("image_id", "label", "split", F.struct(
         F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), "data").alias("raster"))
 
@@ -81,7 +82,7 @@ def png_files(c):
         return f"unhex(lpad(hex(length({body})), 8, '0')), {packed}, unhex(lpad(hex(crc32({packed})), 8, '0'))"
     head, end = chunk("IHDR", "unhex('00000001000000010800000000')"), chunk("IEND", "unhex('')")
     text = chunk("iTXt", "body")
-    return (c.table("pages")
+    return (c.texts("pages")
             .selectExpr("page_id", "regexp_extract(html, '<title>([^<]*)</title>', 1) AS title", f"element_at(array({KEYS[1:-1]}), cast(page_id % 7 + 1 AS int)) AS key")
             .selectExpr("page_id", "concat(cast(key AS binary), unhex('0000000000'), cast(title AS binary)) AS body")
             .selectExpr("page_id AS path", f"IF(page_id % 5 = 0, concat(unhex('89504E470D0A1A0A'), {head}, {end}), concat(unhex('89504E470D0A1A0A'), {head}, {text}, {end})) AS content"))

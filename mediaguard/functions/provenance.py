@@ -13,22 +13,22 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
 
-def _first_hit(column: str, pick) -> Column:
-    """Substring tests in list order, stopped at the first hit.
+def marker(column: str) -> Column:
+    """STRUCT<kind, marker> of the first marker in list order that the value holds, else null.
 
     The value is lowered once and bound to a lambda variable for all the tests; parsing one
     SQL string also spares building some two hundred column objects.
     """
-    tests = " ".join(f"WHEN contains(t, '{marker}') THEN '{pick(kind, marker)}'" for kind, marker in MARKERS)
+    tests = " ".join(f"WHEN contains(t, '{m}') THEN named_struct('kind', '{kind}', 'marker', '{m}')" for kind, m in MARKERS)
     return F.expr(f"transform(array(lower(`{column}`)), t -> CASE {tests} END)[0]")
 
 
 def marker_kind(value: str) -> Column:
-    return _first_hit(value, lambda kind, marker: kind)
+    return marker(value)["kind"]
 
 
 def marker_hit(value: str) -> Column:
-    return _first_hit(value, lambda kind, marker: marker)
+    return marker(value)["marker"]
 
 
 def png_generator(key) -> Column:

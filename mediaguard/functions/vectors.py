@@ -18,8 +18,9 @@ def norm(a) -> Column:
 
 
 def l2norm(a) -> Column:
-    n = norm(a)
-    return F.transform(_c(a), lambda e: e / n)
+    # the norm is bound to a lambda variable: inside the element lambda it would be
+    # recomputed for every element
+    return F.transform(F.array(norm(a)), lambda n: F.transform(_c(a), lambda e: e / n))[0]
 
 
 def cosine(a, b) -> Column:

@@ -1,23 +1,16 @@
 """Where a lineage must be cut, it is cut in a reliable store."""
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
+from mediaguard.sources import scratch
+
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the session names.
+    """Write the rows to a new table in the session's shared folder and read them back.
 
-    Only a local session without that setting may fall back to a temporary folder.
+    One pass, and every later use reads the same rows, whichever executors are lost.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="spark-ckpt-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = scratch.folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,7 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T, functions as F
 
+from mediaguard.operators.lineage import cut_lineage
 from mediaguard.operators.vector_jobs import to_matrix
+from mediaguard.sources.spread import spread
 
 
 def n_tables(threshold: float, bits: int, miss: float = 1e-6) -> int:
@@ -60,17 +62,18 @@ def near_duplicates(left: DataFrame, right: DataFrame, threshold: float = 0.95,
     settles nearly all of them, and only the rest meets the whole bucket.
     """
     def key():
-        return F.sha2(F.concat_ws(",", F.transform("x", lambda e: e.cast("string"))), 256)
+        return F.sha2(F.to_json(F.struct("x")), 256)
     lk = left.select("id", "x", key().alias("key"))
     lx = lk.groupBy("key").agg(F.any_value("x").alias("x"))
     rx = right.select("x", key().alias("rkey")).groupBy("rkey").agg(F.any_value("x").alias("x"))
     exact = lx.join(rx.select(F.col("rkey").alias("key")), "key", "left_semi").select("key")
     tables = n_tables(threshold, bits, miss)
-    ls = signatures(lx.join(exact, "key", "left_anti"), tables, bits, dim)
-    rs = signatures(rx, tables, bits, dim).withColumnRenamed("x", "y")
+    # sides are used by both rounds, so they are cut here: later rounds read them back
+    lx, rx = cut_lineage(lx.join(exact, "key", "left_anti")), cut_lineage(rx)
+    rs = signatures(spread(rx), tables, bits, dim).withColumnRenamed("x", "y")
     rep = rs.groupBy("tab", "bucket").agg(F.min_by("y", "rkey").alias("y"))
-    first = close_pairs(ls.join(rep, ["tab", "bucket"]), threshold)
-    rest = ls.join(first, "key", "left_anti")
+    first = cut_lineage(close_pairs(signatures(spread(lx), tables, bits, dim).join(rep, ["tab", "bucket"]), threshold))
+    rest = signatures(spread(lx.join(first, "key", "left_anti")), tables, bits, dim)
     second = close_pairs(rest.join(rs, ["tab", "bucket"]), threshold)
     found = exact.unionByName(first).unionByName(second)
     return lk.select("id", "key").join(found, "key", "left_semi").select("id")

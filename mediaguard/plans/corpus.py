@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from mediaguard import fixed
 from mediaguard.functions import scores
 from mediaguard.operators import governance, joins, vector_jobs as vj
+from mediaguard.sources.spread import spread
 
 CALIB_GENERATORS = ["g6", "g7"]
 FACE_MU, FACE_SD = 8.2, 0.75
@@ -48,6 +49,10 @@ class Corpus:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def texts(self, name: str) -> DataFrame:
+        """A table of long texts, spread for work that is heavy per row."""
+        return spread(self.table(name))
+
     # -- images -----------------------------------------------------------------------
     def items(self, where: str | None = None) -> DataFrame:
         """One row per image: id, draws, class, source, resolved split and vector ``x``."""
@@ -105,7 +110,7 @@ class Corpus:
     def chains(self, where: str = "split = 'test_ood'") -> DataFrame:
         """Score of every ordered pair of settings for the images in ``where``."""
         shift, scale = scores.SHIFT, fixed.TAMPERED_SCALE
-        return vj.score_chains(self.items(where).select("image_id", "label", "h8", "x"), self.models(),
+        return vj.score_chains(spread(self.items(where).select("image_id", "label", "h8", "x")), self.models(),
                                lambda z: vj.shipped_numpy(z, shift, scale))
 
     def faces(self) -> DataFrame:
@@ -159,7 +164,7 @@ class Corpus:
 
     def tokens(self) -> DataFrame:
         """One recognised region per token of a document, with confidence and size."""
-        return (self.table("documents")
+        return (self.texts("documents")
                 .selectExpr("doc_id", r"posexplode(filter(split(text, '\\s+'), t -> length(t) > 0)) AS (pos, token)")
                 .selectExpr("*", "length(regexp_replace(token, '[^A-Za-z]', '')) / length(token) AS conf",
                             "cast(length(token) * 8 + pos % 5 AS double) AS w", "cast(20 + pos % 7 AS double) AS h"))
@@ -179,7 +184,7 @@ class Corpus:
 
     def prov_fields(self) -> DataFrame:
         """Metadata fields of each page: its markup, address and title."""
-        return (self.table("pages").selectExpr(
+        return (self.texts("pages").selectExpr(
             "page_id", r"posexplode(array(named_struct('key', 'html', 'value', html), named_struct('key', 'url', 'value', url), "
                        r"named_struct('key', 'title', 'value', regexp_extract(html, '<title>([^<]*)</title>', 1)))) AS (ord, f)")
             .selectExpr("page_id", "ord", "f.key AS key", "f.value AS value").where("length(value) > 0"))
