@@ -261,7 +261,7 @@ TILES = "(SELECT image_id, x0, xv FROM scored WHERE variant IN ('jpeg90', 'resiz
 def agg_tile_mean(c):
     from mediaguard.operators import vector_jobs as vj
     tiles = c.scored(keep_x=True).where("variant IN ('jpeg90', 'resize05', 'crop08')")
-    pooled = vj.group_means(tiles, ["image_id"]).select("image_id", vx.l2norm("mean").alias("v"), F.col("n").alias("n_tiles"))
+    pooled = vj.mean_pool(tiles, ["image_id"]).withColumnRenamed("n", "n_tiles")
     return pooled.join(c.items().select("image_id", "x"), "image_id").select(
         "image_id", "n_tiles", r6(vx.dot("v", "x")).alias("cos_to_clean"))
 

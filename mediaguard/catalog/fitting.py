@@ -1,6 +1,8 @@
 """Fits, calibration, combination and scoring."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from mediaguard import fixed
@@ -10,6 +12,7 @@ from mediaguard.catalog.relational import CURVE
 from mediaguard.catalog.transforms import grey
 from mediaguard.functions import ids, scores, vectors as vx
 from mediaguard.operators import metrics as mt, raster as ra, vector_jobs as vj
+from mediaguard.operators.lineage import cut_lineage
 from mediaguard.plans import fit as ft, text_branch as tb
 from mediaguard.sources.models import models_table
 
@@ -23,10 +26,31 @@ def design(c, where, *cols):
     return vj.score_grid(base, vj.Models(), KEPT, keep_x=True).drop("abs_lo", "abs_hi")
 
 
-def report(c, probes: dict):
-    """Fitted probes as model rows: dimension, bias and weight norm."""
-    t = models_table(c.spark, vj.Models(probes))
-    return t.select("branch", F.size("w").alias("dim"), F.round("b", 4).alias("b"), F.round(vx.norm("w"), 4).alias("w_norm"))
+def report(c, fits: dict):
+    """Fitted probes with what their intercept equation demands.
+
+    The intercept is not penalised, so at the optimum the mean fitted value over the fitting
+    rows equals the base rate; ``fits`` maps a branch to (rows, probe, link).
+    """
+    parts = []
+    for name, (rows, probe, link) in fits.items():
+        z = ft.decision(rows.select("label", "x"), probe)
+        fitted = scores.sigmoid("z") if link == "logit" else (F.col("z") + 1) / 2
+        parts.append(z.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("label"), 4).alias("base_rate"), F.round(F.avg(fitted), 4).alias("mean_fitted"))
+                     .select(F.lit(name).alias("branch"), F.lit(len(probe.w)).alias("dim"), "n", "base_rate", "mean_fitted"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def balance_sql(branch: str, dim: int, rows: str, label: str = "label") -> str:
+    return (f"SELECT '{branch}' AS branch, {dim} AS dim, count(*) AS n, round(avg({label}), 4) AS base_rate, "
+            f"round(avg({label}), 4) AS mean_fitted FROM {rows}")
+
+
+KEPT_SQL = "variant IN ('clean', 'jpeg50', 'blur10', 'noise005')"
+SPINE = f"(SELECT i.*, s.variant FROM items i CROSS JOIN settings s WHERE split = 'train' AND code < 2 AND {KEPT_SQL})"
+EDITED = f"(SELECT i.*, s.variant FROM items i CROSS JOIN settings s WHERE split = 'train' AND code <> 1 AND {KEPT_SQL})"
+FACED = f"(SELECT * FROM branches WHERE split = 'train' AND code < 2 AND has_face AND {KEPT_SQL})"
+PIXELS = f"(SELECT i.*, s.variant FROM items i CROSS JOIN settings s WHERE split = 'train' AND {KEPT_SQL})"
 
 
 def newton(table: str, c: float, steps: int = 14) -> str:
@@ -82,30 +106,34 @@ def fit_moment_match(c):
     return c.spark.createDataFrame([(round(a, 6), round(b, 6))], "a DOUBLE, b DOUBLE")
 
 
-@query("fit_logreg")
+@query("fit_logreg", balance_sql("general", 64, SPINE))
 def fit_logreg(c):
-    return report(c, {"general": ft.logistic(design(c, "split = 'train' AND code < 2"))})
+    rows = design(c, "split = 'train' AND code < 2")
+    return report(c, {"general": (rows, ft.logistic(rows), "logit")})
 
 
-@query("fit_ridge")
+@query("fit_ridge", balance_sql("general", 64, SPINE))
 def fit_ridge(c):
-    return report(c, {"general": ft.ridge(design(c, "split = 'train' AND code < 2"))})
+    rows = design(c, "split = 'train' AND code < 2")
+    return report(c, {"general": (rows, ft.ridge(rows), "identity")})
 
 
 def tampered_rows(c):
     return design(c, "split = 'train' AND code <> 1")
 
 
-@query("fit_tampered")
+@query("fit_tampered", balance_sql("tampered", 64, EDITED))
 def fit_tampered(c):
-    return report(c, {"tampered": ft.logistic(tampered_rows(c))})
+    rows = tampered_rows(c)
+    return report(c, {"tampered": (rows, ft.logistic(rows), "logit")})
 
 
 @query("fit_general_rotated")
 def fit_general_rotated(c):
     calib = vj.score_grid(c.items("split = 'calib_ood'").select("image_id", "label", "generator", "h8", "x"), vj.Models(), keep_x=True)
     mean, each = ft.rotated(design(c, "split = 'train' AND code < 2"), calib)
-    return report(c, {"mean": mean, **{f"fold{i}": p for i, p in enumerate(each)}})
+    t = models_table(c.spark, vj.Models({"mean": mean, **{f"fold{i}": p for i, p in enumerate(each)}}))
+    return t.select("branch", F.size("w").alias("dim"), F.round("b", 4).alias("b"), F.round(vx.norm("w"), 4).alias("w_norm"))
 
 
 def face_design(c, where="split = 'train' AND code < 2"):
@@ -114,9 +142,10 @@ def face_design(c, where="split = 'train' AND code < 2"):
     return rows.select("image_id", "label", F.concat("x", F.array(scores.px_feature("face_px", st.px_mu, st.px_sd))).alias("x"))
 
 
-@query("fit_face")
+@query("fit_face", balance_sql("face", 65, FACED))
 def fit_face(c):
-    return report(c, {"face": ft.logistic(face_design(c))})
+    rows = face_design(c)
+    return report(c, {"face": (rows, ft.logistic(rows), "logit")})
 
 
 def spectral_rows(c, settings=KEPT):
@@ -124,14 +153,16 @@ def spectral_rows(c, settings=KEPT):
     return ra.spectral_table(imgs, n=8).select("label", "variant", F.col("spectral").alias("x"))
 
 
-@query("fit_spectral")
+@query("fit_spectral", balance_sql("spectral", 8, PIXELS))
 def fit_spectral(c):
-    return report(c, {"spectral": ft.logistic(spectral_rows(c))})
+    rows = cut_lineage(spectral_rows(c))
+    return report(c, {"spectral": (rows, ft.logistic(rows), "logit")})
 
 
-@query("fit_degradation")
+@query("fit_degradation", balance_sql("degradation", 8, PIXELS, "(variant <> 'clean')::INT"))
 def fit_degradation(c):
-    return report(c, {"degradation": ft.logistic(spectral_rows(c).withColumn("label", (F.col("variant") != "clean").cast("int")))})
+    rows = cut_lineage(spectral_rows(c).withColumn("label", (F.col("variant") != "clean").cast("int")))
+    return report(c, {"degradation": (rows, ft.logistic(rows), "logit")})
 
 
 def text_rows(c):
@@ -139,45 +170,51 @@ def text_rows(c):
     return feats.select(*fixed.TEXT_FEATURES, "label")
 
 
-@query("fit_text")
+@query("fit_text", balance_sql("text", 6, "(SELECT quality AS label FROM labels WHERE doc_id IN (SELECT doc_id FROM tokens))"))
 def fit_text(c):
-    rows = text_rows(c).persist()
-    st = tb.feature_stats(rows)
-    out = report(c, {"text": ft.logistic(rows.select(tb.standardised(rows, st).alias("x"), "label"))})
-    rows.unpersist()
-    return out
+    feats = cut_lineage(text_rows(c))
+    rows = feats.select(tb.standardised(feats, tb.feature_stats(feats)).alias("x"), "label")
+    return report(c, {"text": (rows, ft.logistic(rows), "logit")})
 
 
-@query("fit_text_crops")
+@query("fit_text_crops", balance_sql("text_crop", 65, "(SELECT * FROM items WHERE split = 'train' AND code < 2)"))
 def fit_text_crops(c):
     """Pooled tile vectors plus the standardised strip height."""
     tiles = c.scored("split = 'train' AND code < 2", keep_x=True).where("variant IN ('jpeg90', 'resize05', 'crop08')")
-    pooled = vj.group_means(tiles, ["image_id", "label"]).select("image_id", "label", vx.l2norm("mean").alias("v"))
-    sized = pooled.withColumn("px", 8 + ids.hex_int("image_id", 9, 8) % 200)
+    sized = cut_lineage(vj.mean_pool(tiles, ["image_id", "label"]).withColumn("px", 8 + ids.hex_int("image_id", 9, 8) % 200))
     st = mt.log2_stats(sized, [], "px").first()
-    return report(c, {"text_crop": ft.logistic(sized.select("label", F.concat("v", F.array(scores.px_feature("px", st.px_mu, st.px_sd))).alias("x")))})
+    rows = sized.select("label", F.concat("v", F.array(scores.px_feature("px", st.px_mu, st.px_sd))).alias("x"))
+    return report(c, {"text_crop": (rows, ft.logistic(rows), "logit")})
+
 
+HALF_A = f"(SELECT * FROM {EDITED} WHERE label = 0 OR h8 % 2 = 0)"
 
-@query("fit_branches")
+
+@query("fit_branches", " UNION ALL ".join([balance_sql("general", 64, SPINE), balance_sql("tampered", 64, HALF_A),
+                                           balance_sql("face", 65, FACED), balance_sql("spectral", 8, PIXELS)]))
 def fit_branches(c):
     """Every branch under one discipline: training rows, and half of the edited images."""
+    spine, face, spec = design(c, "split = 'train' AND code < 2"), face_design(c), cut_lineage(spectral_rows(c))
     half_a = tampered_rows(c).where((F.col("label") == 0) | (ids.half("image_id", 0) == "a"))
-    return report(c, {"general": ft.ridge(design(c, "split = 'train' AND code < 2")), "tampered": ft.logistic(half_a),
-                      "face": ft.logistic(face_design(c)), "spectral": ft.logistic(spectral_rows(c))})
+    return report(c, {"general": (spine, ft.ridge(spine), "identity"), "tampered": (half_a, ft.logistic(half_a), "logit"),
+                      "face": (face, ft.logistic(face), "logit"), "spectral": (spec, ft.logistic(spec), "logit")})
 
 
 def fusion_setup(c):
+    """Calibrators from half a, the combiner from half b and the other half of the edited rows."""
     cal, held_a, held_b = cal_parts(c)
     cals = ft.calibrators(cal, held_a)
-    rows = cal.where(ids.half("image_id", 0) == "b").unionByName(held_b)
-    return cals, ft.fusion(ft.assemble(rows, cals))
+    rows = cut_lineage(ft.assemble(cal.where(ids.half("image_id", 0) == "b").unionByName(held_b), cals).select("label", *fixed.FUSION_COLUMNS))
+    return cals, ft.fusion(rows), rows
+
+
+FUSION_SQL = "(SELECT * FROM shipped WHERE (split = 'calib_ood' AND h8 % 2 = 1) OR (code = 2 AND h8 % 2 = 1 AND h8b % 2 = 1))"
 
 
-@query("fit_fusion")
+@query("fit_fusion", balance_sql("fusion", 14, FUSION_SQL))
 def fit_fusion(c):
-    _, model = fusion_setup(c)
-    rows = [(n, float(round(w, 3))) for n, w in zip(fixed.FUSION_COLUMNS, model.w)] + [("intercept", round(model.b, 3))]
-    return c.spark.createDataFrame(rows, "feature STRING, weight DOUBLE")
+    _, model, rows = fusion_setup(c)
+    return report(c, {"fusion": (rows.select("label", F.array(*fixed.FUSION_COLUMNS).alias("x")), model, "logit")})
 
 
 @query("fit_cv_auc")
@@ -310,7 +347,7 @@ def score_noisy_or(c):
 @query("score_max_vs_fusion")
 def score_max_vs_fusion(c):
     """General alone, max and the fitted combiner on identical rows, per variant."""
-    cals, model = fusion_setup(c)
+    cals, model, _ = fusion_setup(c)
     rows = c.shipped("split IN ('test_ood', 'test_edited')").select("variant", "label", "general", "tampered", "face", "spectral", "content", "degradation_estimate")
     fused = ft.fuse(ft.assemble(rows, cals), model)
     long = fused.selectExpr("variant", "label", "stack(3, 'general', cal_general, 'max', greatest(cal_general, cal_tampered), 'fusion', fused) AS (combiner, p)")

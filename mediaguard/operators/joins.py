@@ -73,14 +73,15 @@ def face_zero_fill(rows: DataFrame, faces: DataFrame, group: str) -> DataFrame:
             .drop("_face", "_ok"))
 
 
-def nearest_in_time(probes: DataFrame, frames: DataFrame, by: str, t: str, ts: str, payload: str) -> DataFrame:
+def nearest_in_time(probes: DataFrame, frames: DataFrame, by: str, t: str, ts: str, payload: str,
+                    chunk_seconds: int = 6 * 3600) -> DataFrame:
     """Frame nearest to each probe time within its video; the earlier frame wins a tie.
 
     Probes and frames are stacked and each probe looks at the last frame before it and the
     first after it.  Time is cut into chunks so that one long video spreads over tasks; a
     summary row per chunk carries the edge frames across, so no chunk needs another's rows.
+    Looking ahead is looking back in descending order: a running frame costs one step a row.
     """
-    width = 6 * 3600
     a = probes.select(by, F.col(t).cast("double").alias("_t"), F.struct(*probes.columns).alias("_p"),
                       F.lit(None).cast(frames.schema[payload].dataType).alias("_v"))
     b = frames.select(by, F.col(ts).cast("double").alias("_t"),
@@ -88,20 +89,22 @@ def nearest_in_time(probes: DataFrame, frames: DataFrame, by: str, t: str, ts: s
                       F.col(payload).alias("_v"))
     # equal instants: keep the least payload so the answer does not depend on arrival order
     b = b.groupBy(by, "_t").agg(F.min("_v").alias("_v"), F.first("_p").alias("_p")).select(by, "_t", "_p", "_v")
-    chunk = F.floor(F.col("_t") / width).cast("long")
+    chunk = F.floor(F.col("_t") / chunk_seconds).cast("long")
     both = a.unionByName(b).withColumn("_c", chunk)
     frame = F.when(F.col("_v").isNotNull(), F.struct("_t", "_v"))
     edges = (both.where(F.col("_v").isNotNull()).groupBy(by, "_c")
              .agg(F.min(F.struct("_t", "_v")).alias("_lo"), F.max(F.struct("_t", "_v")).alias("_hi")))
     chunks = both.select(by, "_c").distinct().join(edges, [by, "_c"], "left")
-    wc = W.partitionBy(by).orderBy("_c")
+    up, down = W.partitionBy(by).orderBy("_c"), W.partitionBy(by).orderBy(F.desc("_c"))
+    past = (W.unboundedPreceding, -1)
     carry = chunks.select(
         by, "_c",
-        F.last("_hi", ignorenulls=True).over(wc.rowsBetween(W.unboundedPreceding, -1)).alias("_prev"),
-        F.first("_lo", ignorenulls=True).over(wc.rowsBetween(1, W.unboundedFollowing)).alias("_next"))
-    w = W.partitionBy(by, "_c").orderBy("_t")
-    seen = both.withColumn("_b", F.last(frame, ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, 0))) \
-               .withColumn("_a", F.first(frame, ignorenulls=True).over(w.rangeBetween(0, W.unboundedFollowing)))
+        F.last("_hi", ignorenulls=True).over(up.rowsBetween(*past)).alias("_prev"),
+        F.last("_lo", ignorenulls=True).over(down.rowsBetween(*past)).alias("_next"))
+    upto = (W.unboundedPreceding, W.currentRow)
+    rise, fall = (W.partitionBy(by, "_c").orderBy(o).rangeBetween(*upto) for o in (F.asc("_t"), F.desc("_t")))
+    seen = (both.withColumn("_b", F.last(frame, ignorenulls=True).over(rise))
+            .withColumn("_a", F.last(frame, ignorenulls=True).over(fall)))
     hit = seen.where(F.col("_p").isNotNull()).join(carry, [by, "_c"])
     before, after = F.coalesce("_b", "_prev"), F.coalesce("_a", "_next")
     best = F.when(after.isNull(), before).when(before.isNull(), after).when(

@@ -202,3 +202,26 @@ def group_means(df: DataFrame, by: list[str], x: str = "x") -> DataFrame:
     return cells.groupBy(*by).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", (F.col("v") / F.col("n")).alias("m")))),
                     lambda e: e["m"]).alias("mean"), F.max("n").alias("n"))
+
+
+def mean_pool(df: DataFrame, by: list[str], x: str = "x") -> DataFrame:
+    """Renormalised mean of the few vectors of each key (the tiles of one strip).
+
+    For keys with a bounded number of vectors: they meet as one list and are averaged in
+    Arrow.  For groups of any size use ``group_means``.
+    """
+    from pyspark.sql import functions as F
+    lists = df.groupBy(*by).agg(F.collect_list(x).alias("xs"), F.count(F.lit(1)).alias("n"))
+    keys = [lists.schema[b] for b in by]
+    out = T.StructType(keys + [T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())])
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                xs = batch.column("xs")
+                inner = to_matrix(xs.flatten())
+                starts = np.asarray(xs.offsets)[:-1] - np.asarray(xs.offsets)[0]
+                v = np.add.reduceat(inner, starts, axis=0)
+                v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-9
+                yield pa.RecordBatch.from_arrays([*[batch.column(b) for b in by], to_lists(v), batch.column("n")], names=[*by, "v", "n"])
+    return lists.mapInArrow(run, out)

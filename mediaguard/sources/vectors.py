@@ -31,5 +31,7 @@ def read_row_files(spark: SparkSession, root: str, schema: str) -> DataFrame:
 def write_manifest(rows: DataFrame, path: str) -> None:
     """Write the resolved manifest; a failing gate raises before anything is written."""
     from mediaguard.operators.governance import require_green
+    from mediaguard.operators.lineage import cut_lineage
+    rows = cut_lineage(rows)                    # the gates and the write read the same resolved rows
     require_green(rows)
     rows.repartition("split", "source", F.pmod(F.xxhash64("image_id"), F.lit(16))).write.mode("overwrite").partitionBy("split", "source").parquet(path)
