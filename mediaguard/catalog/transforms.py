@@ -29,7 +29,20 @@ def ras_degrade(c):
                                      F.countDistinct("image_id").alias("n_ids"))
 
 
-@query("ras_spectral")
+SPECTRUM = """(SELECT image_id, u, v, ln(1 + sqrt(re * re + im * im)) AS f, sqrt((u - 4) * (u - 4) + (v - 4) * (v - 4)) / 4.0::DOUBLE AS r FROM (
+    SELECT image_id, u, v, sum(d * cos(2 * pi() * ((u - 4) * y + (v - 4) * x) / 8)) AS re, sum(d * sin(2 * pi() * ((u - 4) * y + (v - 4) * x) / 8)) AS im FROM resid,
+      (SELECT unnest(range(0, 8)) AS u), (SELECT unnest(range(0, 8)) AS v) GROUP BY 1, 2, 3))"""
+
+
+@query("ras_spectral", f"""WITH px AS MATERIALIZED (SELECT image_id, (k - 1) // 8 AS y, (k - 1) % 8 AS x, greatest(least(round_even((e + 0.5) * 255, 0), 255), 0) AS g
+      FROM (SELECT image_id, unnest(x) AS e, unnest(range(1, 65)) AS k FROM items)),
+    resid AS MATERIALIZED (SELECT p.image_id, p.y, p.x, any_value(p.g) - median(q.g) AS d FROM px p CROSS JOIN (SELECT unnest(range(-1, 2)) AS dy) CROSS JOIN (SELECT unnest(range(-1, 2)) AS dx)
+      JOIN px q ON q.image_id = p.image_id AND q.y = greatest(least(p.y + dy, 7), 0) AND q.x = greatest(least(p.x + dx, 7), 0) GROUP BY 1, 2, 3),
+    fr AS MATERIALIZED {SPECTRUM}, m AS (SELECT image_id, CASE WHEN median(f) = 0 THEN 1e-6 ELSE median(f) END AS mid FROM fr GROUP BY image_id),
+    b AS (SELECT image_id, {', '.join(f"avg(f) FILTER (least(floor(r * 5), 4) = {k}) AS b{k}" for k in range(5))}, max(f) FILTER (r > 0.25) AS top,
+          avg(f) FILTER (u IN (4, 6) AND v IN (4, 6)) AS lat FROM fr GROUP BY image_id)
+    SELECT image_id, {', '.join(f"round(b{k}, 6) AS band_{k}" for k in range(5))}, round(top / mid, 6) AS peak, round(lat / mid, 6) AS lattice,
+           round((-2 * b0 - b1 + b3 + 2 * b4) / 10, 6) AS slope FROM b JOIN m USING (image_id)""")
 def ras_spectral(c):
     df = ra.spectral_table(grey(c), n=8)
     return df.select("image_id", *[r6(F.col("spectral")[i]).alias(n) for i, n in enumerate(
