@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from mediaguard.catalog.base import auc_sql, query, sig
 from mediaguard.functions import scores, vectors as vx
 from mediaguard.operators import metrics as mt
+from mediaguard.operators.lineage import cut_lineage
 
 r6 = lambda c: F.round(c, 6)
 
@@ -68,7 +69,7 @@ def scoped(df):
 def agg_scorecard(c):
     rows = scoped(evalset(c).select("source", "variant", "label", "pred"))
     by = ["source", "scope"]
-    return mt.auroc(rows, by, "pred").join(mt.confusion(rows, by, "pred"), by).selectExpr(
+    return mt.auroc(rows, by, "pred", cut=0.5).selectExpr(
         *by, "round(auroc, 6) AS auroc", "n_pos", "n_neg", *_rates())
 
 
@@ -329,7 +330,7 @@ CONTENT_ROWS = "(SELECT * FROM shipped JOIN contents USING (image_id) WHERE star
     FROM ({auc_sql(CONTENT_ROWS, ['content'], 'pred')}) JOIN ({confusion_sql(CONTENT_ROWS, ['content'])}) USING (content)""")
 def agg_by_content(c):
     rows = evalset(c)
-    return mt.auroc(rows, "content", "pred").join(mt.confusion(rows, "content", "pred"), "content").selectExpr(
+    return mt.auroc(rows, "content", "pred", cut=0.5).selectExpr(
         "content", "round(auroc, 6) AS auroc", "n_pos", "n_neg", "round(fpr, 6) AS fpr", "round(fnr, 6) AS fnr")
 
 
@@ -482,8 +483,8 @@ def populations(c):
     SELECT pop, n, round(auroc, 6) AS auroc, round(acc, 6) AS acc, round(prec, 6) AS prec, round(rec, 6) AS rec, worst_name, round(worst_auroc, 6) AS worst_auroc,
            round(auroc - (SELECT auroc FROM pooled WHERE pop = 'clean'), 6) AS auroc_vs_clean FROM pooled JOIN worst USING (pop)""")
 def agg_chain_report(c):
-    rows = populations(c)
-    pooled = mt.auroc(rows, "pop", "score").join(mt.confusion(rows, "pop", "score"), "pop")
+    rows = cut_lineage(populations(c))          # the score dump, written once and read for both reports
+    pooled = mt.auroc(rows, "pop", "score", cut=0.5)
     each = mt.auroc(rows, ["pop", "name"], "score").groupBy("pop").agg(
         F.min_by("name", F.struct(F.round("auroc", 9), "name")).alias("worst_name"), F.min("auroc").alias("worst_auroc"))
     clean = F.max(F.when(F.col("pop") == "clean", F.col("auroc"))).over(W.partitionBy(F.lit(0)))

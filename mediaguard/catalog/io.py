@@ -159,7 +159,7 @@ def src_results_json(c):
     rows = c.shipped("split LIKE 'test%'").selectExpr("source AS population", "variant AS setting", "label",
                                                        "stack(2, 'general', p_general, 'shipped', pred) AS (detector, score)")
     by = ["population", "detector", "setting"]
-    table = mt.auroc(rows, by, "score").join(mt.confusion(rows, by, "score"), by).select(
+    table = mt.auroc(rows, by, "score", cut=0.5).select(
         *by, F.round("auroc", 4).alias("auroc"), F.round("acc", 4).alias("acc"))
     out = scratch.folder(c.spark, "results")
     sinks.write_results(table, out)

@@ -23,12 +23,13 @@ def score_counts(df: DataFrame, by, score: str, label: str, weight: str | None =
 
 
 def auroc(df: DataFrame, by, score: str, label: str = "label", weight: str | None = None,
-          out: str = "auroc") -> DataFrame:
+          out: str = "auroc", cut: float | None = None) -> DataFrame:
     """Exact AUROC per group, ties counted half, null where a group has one class.
 
     The distinct scores are range-partitioned by (group, score).  Each range reports its own
     pair count and class totals; a running sum over the ranges, of which there are as many as
     partitions, adds the pairs that straddle ranges.  No group is ever sorted in one task.
+    With ``cut`` the counts and rates at that threshold come from the same pass.
     """
     by = _keys(by)
     counts = score_counts(df.where(F.col(score).isNotNull()), by, score, label, weight)
@@ -38,15 +39,21 @@ def auroc(df: DataFrame, by, score: str, label: str = "label", weight: str | Non
     parts = (ranged.withColumn("_pairs", F.col("_pos") * (below + F.col("_neg") / 2))
              .groupBy(*by, "_part")
              .agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"),
-                  F.sum("_pairs").alias("_pairs"), F.min("_s").alias("_lo")))
+                  F.sum("_pairs").alias("_pairs"), F.min("_s").alias("_lo"),
+                  *([] if cut is None else [F.sum(F.when(F.col("_s") >= cut, F.col(c)).otherwise(0.0)).alias(c + "_hit")
+                                            for c in ("_pos", "_neg")])))
     key = by or [F.lit(0)]
     before = F.coalesce(F.sum("_neg").over(
         W.partitionBy(*key).orderBy("_lo").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     pairs = parts.withColumn("_pairs", F.col("_pairs") + F.col("_pos") * before)
     p, n = F.sum("_pos"), F.sum("_neg")
-    return pairs.groupBy(*by).agg(
-        F.when((p > 0) & (n > 0), F.sum("_pairs") / (p * n)).alias(out),
-        p.cast("long").alias("n_pos"), n.cast("long").alias("n_neg"))
+    base = [F.when((p > 0) & (n > 0), F.sum("_pairs") / (p * n)).alias(out),
+            p.cast("long").alias("n_pos"), n.cast("long").alias("n_neg")]
+    if cut is None:
+        return pairs.groupBy(*by).agg(*base)
+    counted = pairs.groupBy(*by).agg(*base, F.sum("_pos_hit").cast("long").alias("tp"), F.sum("_neg_hit").cast("long").alias("fp"))
+    full = counted.withColumn("tn", F.col("n_neg") - F.col("fp")).withColumn("fn", F.col("n_pos") - F.col("tp"))
+    return full.select("*", *rates(*[F.col(c) for c in ("tp", "fp", "tn", "fn")]))
 
 
 def auroc_shared(df: DataFrame, by, group: str, score: str, label: str = "label", out: str = "auroc") -> DataFrame:
@@ -86,16 +93,19 @@ def safe_div(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
+def rates(tp: Column, fp: Column, tn: Column, fn: Column) -> list[Column]:
+    return [safe_div(tp + tn, tp + fp + tn + fn).alias("acc"), safe_div(tp, tp + fp).alias("prec"),
+            safe_div(tp, tp + fn).alias("rec"), safe_div(2 * tp, 2 * tp + fp + fn).alias("f1"),
+            safe_div(fp, fp + tn).alias("fpr"), safe_div(fn, fn + tp).alias("fnr")]
+
+
 def confusion(df: DataFrame, by, score: str, label: str = "label", cut: Column | float = 0.5) -> DataFrame:
     """Counts and rates at a threshold; a rate without denominator is null."""
     hat, y = F.col(score) >= cut, F.col(label)
     tp, fp = F.count_if(hat & (y == 1)), F.count_if(hat & (y == 0))
     fn, tn = F.count_if(~hat & (y == 1)), F.count_if(~hat & (y == 0))
     return df.where(F.col(score).isNotNull()).groupBy(*_keys(by)).agg(
-        tp.alias("tp"), fp.alias("fp"), tn.alias("tn"), fn.alias("fn"),
-        ((tp + tn) / F.count(F.lit(1))).alias("acc"), safe_div(tp, tp + fp).alias("prec"),
-        safe_div(tp, tp + fn).alias("rec"), safe_div(2 * tp, 2 * tp + fp + fn).alias("f1"),
-        safe_div(fp, fp + tn).alias("fpr"), safe_div(fn, fn + tp).alias("fnr"))
+        tp.alias("tp"), fp.alias("fp"), tn.alias("tn"), fn.alias("fn"), *rates(tp, fp, tn, fn))
 
 
 def reliability(df: DataFrame, by, prob: str, label: str = "label", bins: int = 10) -> DataFrame:
