@@ -301,6 +301,13 @@ def agg_video(c):
                                         r6("s_face").alias("s_face"), "n_frames", "n_ai", "n_returned")
 
 
+@query("agg_video_frames", """SELECT video_id, frame_id, confidence, verdict FROM frame_scores
+    WHERE video_id IN (SELECT video_id FROM frames GROUP BY video_id HAVING median(confidence) >= 0.6)""")
+def agg_video_frames(c):
+    from mediaguard.plans.video import returned_frames
+    return returned_frames(c.frames()).select("video_id", "frame_id", "confidence", scores.verdict3("confidence").alias("verdict"))
+
+
 SHARED = """SELECT {by} g.generator, CASE WHEN count(*) FILTER (s.label = 0) > 0 THEN
       sum(CASE WHEN s.label = 0 THEN CASE WHEN g.{score} > s.{score} THEN 1.0 WHEN g.{score} = s.{score} THEN 0.5 ELSE 0 END END) / count(*) FILTER (s.label = 0) END AS auroc
     FROM {t} g JOIN {t} s ON s.label = 0 AND g.label = 1 {on} GROUP BY {by} g.generator"""
