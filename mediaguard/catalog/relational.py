@@ -128,7 +128,7 @@ def near_sides(c):
 @query("join_near_dup", f"SELECT DISTINCT e.image_id AS id FROM {NEAR} e JOIN {NEAR} t ON e.side = 'eval' AND t.side = 'train' WHERE list_dot_product(e.v, t.v) >= 0.95")
 def join_near_dup(c):
     left, right = near_sides(c)
-    return near_dup.near_duplicates(left, right, 0.95, bits=10)
+    return near_dup.near_duplicates(left, right, 0.95)
 
 
 PROBES = "(SELECT event_id AS probe_id, user_id AS video_id, epoch(ts) AS t FROM events WHERE event_type = 'purchase')"

@@ -136,3 +136,27 @@ SUMMARY_NONE = (
     "not evidence"
 )
 C2PA_PRESENT = "C2PA manifest present (signature not validated)"
+
+# Sentences of the image report; the slots are branch, share and content.
+EXPLAIN_AI = "The %s carried the strongest signal (%s) on this %s image."
+EXPLAIN_REAL = "No branch found strong artifacts; the %s was most confident this is authentic (%s)."
+EXPLAIN_UNSURE = (
+    "Branches landed close to the decision boundary on this %s image -- treat this as low-confidence."
+)
+BRANCH_TITLES = ["general synthesis probe", "localized-edit probe", "face probe"]
+
+# Weights and cuts of the reliability word.
+RELIABILITY_DECISIVENESS = 0.6
+RELIABILITY_AGREEMENT = 0.4
+RELIABILITY_HIGH = 0.66
+RELIABILITY_MEDIUM = 0.40
+
+# Frames per second by clip length in seconds.
+SAMPLING_RATES = [(60, 1), (120, 2), (300, 3)]
+SAMPLING_RATE_LONG = 4
+
+# Patterns of readable runs in a manifest box and of an XMP field, tag first.
+PRINTABLE_RUN = r"[ -~]{6,120}"
+XMP_ELEMENT = r"[^>]*>([^<]{1,400})<"
+XMP_ATTRIBUTE = r'\s*=\s*"([^"]{1,400})"'
+MAX_CLAIMS = 6

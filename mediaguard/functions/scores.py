@@ -57,13 +57,15 @@ def verdict3(p) -> Column:
 
 
 def reliability_score(confidence, general, face) -> Column:
+    """Distance from one half, blended with how far general and face agree (fully, without a face)."""
     agreement = F.when(_c(face).isNotNull(), 1.0 - F.abs(_c(general) - _c(face))).otherwise(1.0)
-    return 0.6 * 2.0 * F.abs(_c(confidence) - 0.5) + 0.4 * agreement
+    decisive = 2.0 * F.abs(_c(confidence) - 0.5)
+    return fixed.RELIABILITY_DECISIVENESS * decisive + fixed.RELIABILITY_AGREEMENT * agreement
 
 
 def reliability(confidence, general, face) -> Column:
     s = reliability_score(confidence, general, face)
-    return F.when(s > 0.66, "high").when(s > 0.40, "medium").otherwise("low")
+    return F.when(s > fixed.RELIABILITY_HIGH, "high").when(s > fixed.RELIABILITY_MEDIUM, "medium").otherwise("low")
 
 
 def percent(p) -> Column:
@@ -72,24 +74,17 @@ def percent(p) -> Column:
 
 def explanation(verdict, general, tampered, face, content) -> Column:
     """Sentence naming the branch that drove the verdict; the first branch wins a tie."""
-    names = [("general synthesis probe", _c(general), 0),
-             ("localized-edit probe", _c(tampered), 1), ("face probe", _c(face), 2)]
+    names = list(zip(fixed.BRANCH_TITLES, (_c(general), _c(tampered), _c(face)), range(3)))
     present = F.filter(
         F.array(*[F.struct(s.alias("s"), F.lit(-i).alias("o"), F.lit(n).alias("n"))
                   for n, s, i in names]), lambda e: e["s"].isNotNull())
     top = F.array_max(present)
     low = F.array_min(F.transform(
         present, lambda e: F.struct(e["s"].alias("s"), (-e["o"]).alias("o"), e["n"].alias("n"))))
-    return (F.when(_c(verdict) == "likely_ai", F.concat(
-                F.lit("The "), top["n"], F.lit(" carried the strongest signal ("),
-                percent(top["s"]), F.lit(") on this "), _c(content), F.lit(" image.")))
-            .when(_c(verdict) == "likely_real", F.concat(
-                F.lit("No branch found strong artifacts; the "), low["n"],
-                F.lit(" was most confident this is authentic ("), percent(1 - low["s"]),
-                F.lit(").")))
-            .otherwise(F.concat(
-                F.lit("Branches landed close to the decision boundary on this "), _c(content),
-                F.lit(" image -- treat this as low-confidence."))))
+    return (F.when(_c(verdict) == "likely_ai",
+                   F.format_string(fixed.EXPLAIN_AI, top["n"], percent(top["s"]), _c(content)))
+            .when(_c(verdict) == "likely_real", F.format_string(fixed.EXPLAIN_REAL, low["n"], percent(1 - low["s"])))
+            .otherwise(F.format_string(fixed.EXPLAIN_UNSURE, _c(content))))
 
 
 def noisy_or(*ps) -> Column:

@@ -3,10 +3,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from mediaguard import fixed
+
 
 def sampling_rate(duration) -> Column:
     d = duration if isinstance(duration, Column) else F.col(duration)
-    return F.when(d <= 60, 1).when(d <= 120, 2).when(d <= 300, 3).otherwise(4)
+    (first, rate), *more = fixed.SAMPLING_RATES
+    out = F.when(d <= first, rate)
+    for limit, rate in more:
+        out = out.when(d <= limit, rate)
+    return out.otherwise(fixed.SAMPLING_RATE_LONG)
 
 
 def frame_indices(frame_count: Column, fps: Column, sample_fps: Column) -> Column:

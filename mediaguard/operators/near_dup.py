@@ -53,7 +53,7 @@ def close_pairs(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("key", "x", "y").mapInArrow(run, T.StructType([pairs.schema["key"]])).distinct()
 
 
-def near_duplicates(left: DataFrame, right: DataFrame, threshold: float = 0.95, bits: int = 10, dim: int = 64,
+def near_duplicates(left: DataFrame, right: DataFrame, threshold: float = 0.95, bits: int | None = None, dim: int = 64,
                     miss: float = 1e-6) -> DataFrame:
     """Ids of ``left`` (columns id, x) that have a near copy in ``right`` (column x).
 
@@ -67,9 +67,11 @@ def near_duplicates(left: DataFrame, right: DataFrame, threshold: float = 0.95,
     lx = lk.groupBy("key").agg(F.any_value("x").alias("x"))
     rx = right.select("x", key().alias("rkey")).groupBy("rkey").agg(F.any_value("x").alias("x"))
     exact = lx.join(rx.select(F.col("rkey").alias("key")), "key", "left_semi").select("key")
-    tables = n_tables(threshold, bits, miss)
     # sides are used by both rounds, so they are cut here: later rounds read them back
     lx, rx = cut_lineage(lx.join(exact, "key", "left_anti")), cut_lineage(rx)
+    # about one unrelated vector per bucket, whatever the size of the right side
+    bits = bits or min(62, max(8, math.ceil(math.log2(max(rx.count(), 2)))))
+    tables = n_tables(threshold, bits, miss)
     rs = signatures(spread(rx), tables, bits, dim).withColumnRenamed("x", "y")
     rep = rs.groupBy("tab", "bucket").agg(F.min_by("y", "rkey").alias("y"))
     first = cut_lineage(close_pairs(signatures(spread(lx), tables, bits, dim).join(rep, ["tab", "bucket"]), threshold))
