@@ -255,7 +255,7 @@ def agg_face_max(c):
 TILES = "(SELECT image_id, x0, xv FROM scored WHERE variant IN ('jpeg90', 'resize05', 'crop08'))"
 
 
-@query("agg_tile_mean", f"""SELECT image_id, n_tiles, round(list_dot_product(v, x0) / sqrt(list_dot_product(v, v)), 6) AS cos_to_clean FROM (
+@query("agg_tile_mean", f"""SELECT image_id, n_tiles, round(list_dot_product(v, x0) / (sqrt(list_dot_product(v, v)) + 1e-9), 6) AS cos_to_clean FROM (
     SELECT image_id, list(a ORDER BY i) AS v, max(n) AS n_tiles FROM (
       SELECT image_id, i, avg(xv[i]) AS a, count(*) AS n FROM (SELECT image_id, xv, unnest(range(1, 65)) AS i FROM {TILES}) GROUP BY 1, 2) GROUP BY image_id)
     JOIN (SELECT image_id, x AS x0 FROM items) USING (image_id)""")
