@@ -6,10 +6,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaguard.llm import mixing, quality
+from mediaguard.llm import mixing, ngram_join, quality
 from mediaguard.llm.common import table
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), 4, 85)[0]
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.copies(table(spark, sf_dir, "documents"))
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -21,10 +25,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_mixing": op2_mixing,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.oracle_sql(), "op10_quality_rules": quality.oracle_sql()}
+    return {"op1_ngram_jaccard": ngram_join.oracle_sql(4, 85), "op2_mixing": mixing.oracle_sql(), "op10_quality_rules": quality.oracle_sql()}
