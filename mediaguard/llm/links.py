@@ -14,7 +14,11 @@ STARS = 3
 
 def slots(df: DataFrame, column: str) -> bytearray:
     """A bitmap of ``SLOTS`` bits (1 MiB, whatever the input) of the hashes of a column."""
-    slot = F.pmod(F.xxhash64(column), F.lit(SLOTS))
+    return bitmap(df, F.pmod(F.xxhash64(column), F.lit(SLOTS)))
+
+
+def bitmap(df: DataFrame, slot: Column) -> bytearray:
+    """``SLOTS`` bits, set where a row has that slot; summed up by Spark to at most SLOTS / 64 words."""
     rows = (df.select(F.shiftright(slot, 6).alias("w"), (slot % 64).cast("int").alias("b"))
             .groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits")).collect())
     held = bytearray(SLOTS // 8)

@@ -9,6 +9,8 @@ import pyarrow as pa
 BLOCK = 1 << 20
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_PLAIN = _BLANK.copy()  # ASCII punctuation parts words too
+_PLAIN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(7).integers(1, 2 ** 63, 256, dtype=np.uint64)
@@ -42,12 +44,14 @@ def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), at
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(texts: pa.Array, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte, row) of each word, ASCII capitals lowered; bytes count from the row's start.
+    ``plain`` parts words at ASCII punctuation as well.
 
     Works on blocks of rows; a text above a block is cut between words.
     """
     data, at = _buffers(texts)
+    blank = _PLAIN if plain else _BLANK
     found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     row = 0
     while row < len(at) - 1:
@@ -56,13 +60,13 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         while start < end:
             stop = min(end, start + BLOCK)
             if stop < end:
-                gaps = np.flatnonzero(_BLANK[data[start:stop]])
+                gaps = np.flatnonzero(blank[data[start:stop]])
                 if len(gaps):
                     stop = start + int(gaps[-1]) + 1
                 else:  # one word longer than a block
-                    more = np.flatnonzero(_BLANK[data[stop:end]])
+                    more = np.flatnonzero(blank[data[stop:end]])
                     stop = stop + int(more[0]) + 1 if len(more) else end
-            h, first = _block(data[start:stop], at[row:last + 1] - start)
+            h, first = _block(data[start:stop], at[row:last + 1] - start, blank)
             rows = np.searchsorted(at[row:last + 1], first + start, "right") - 1 + row
             found.append((h, first + start - at[rows], rows))
             start = stop
@@ -70,8 +74,8 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
 
 
-def _block(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    full = ~_BLANK[data]
+def _block(data: np.ndarray, edges: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    full = ~blank[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[edges[(edges >= 0) & (edges <= len(data))]] = True
     first = full.copy()
