@@ -50,9 +50,15 @@ def words(texts: pa.Array, plain: bool = False) -> tuple[np.ndarray, np.ndarray,
 
     Works on blocks of rows; a text above a block is cut between words.
     """
+    h, first, _, rows = spans(texts, plain)
+    return h, first - _buffers(texts)[1][rows], rows
+
+
+def spans(texts: pa.Array, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, end byte, row) of each word; bytes count in the array's buffer."""
     data, at = _buffers(texts)
     blank = _PLAIN if plain else _BLANK
-    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    found = [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
     row = 0
     while row < len(at) - 1:
         last = max(row + 1, int(np.searchsorted(at, at[row] + BLOCK, "right")) - 1)
@@ -66,15 +72,15 @@ def words(texts: pa.Array, plain: bool = False) -> tuple[np.ndarray, np.ndarray,
                 else:  # one word longer than a block
                     more = np.flatnonzero(blank[data[stop:end]])
                     stop = stop + int(more[0]) + 1 if len(more) else end
-            h, first = _block(data[start:stop], at[row:last + 1] - start, blank)
+            h, first, last_at = _block(data[start:stop], at[row:last + 1] - start, blank)
             rows = np.searchsorted(at[row:last + 1], first + start, "right") - 1 + row
-            found.append((h, first + start - at[rows], rows))
+            found.append((h, first + start, last_at + start, rows))
             start = stop
         row = last
-    return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+    return tuple(np.concatenate([f[i] for f in found]) for i in range(4))
 
 
-def _block(data: np.ndarray, edges: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _block(data: np.ndarray, edges: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     full = ~blank[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[edges[(edges >= 0) & (edges <= len(data))]] = True
@@ -85,7 +91,7 @@ def _block(data: np.ndarray, edges: np.ndarray, blank: np.ndarray) -> tuple[np.n
     a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[_LOWER[data]] * _power("up", _STEP, len(data)), out=sums[1:])
-    return mix((sums[b] - sums[a]) * _power("down", _BACK, len(data) + 1)[a]), a
+    return mix((sums[b] - sums[a]) * _power("down", _BACK, len(data) + 1)[a]), a, b
 
 
 def row_starts(rows: np.ndarray, n: int) -> np.ndarray:
@@ -112,7 +118,12 @@ def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 2 * BLOCK) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows with about ``size`` bytes in a string column, or one row."""
     for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+        at = _buffers(b[column])[1]
+        row = 0
+        while row < b.num_rows:
+            last = max(row + 1, int(np.searchsorted(at, at[row] + size, "right")) - 1)
+            yield b.slice(row, last - row)
+            row = last
