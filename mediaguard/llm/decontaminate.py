@@ -23,13 +23,12 @@ from pyspark.sql import functions as F
 
 from mediaguard.llm import tokens
 from mediaguard.llm.common import cut
-from mediaguard.llm.links import SLOTS, bitmap
+from mediaguard.llm.links import hits, slots
 
 SEED, GAP, MARGIN = 3, 16, 32
 RARE, HITS = 2 / 3, 2
 SCORE = 0.5
 CELLS = 1 << 21
-_SHIFT = 64 - (SLOTS.bit_length() - 1)
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,14 +43,12 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _passages(held: bytes):
-    known = np.unpackbits(np.frombuffer(held, np.uint8), bitorder="little").astype(bool)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for b in tokens.pieces(batches):
                 h, _, rows = tokens.words(b["text"], plain=True)
                 grams, at = tokens.windows(h, rows, SEED)
-                hit = np.flatnonzero(known[(grams >> np.uint64(_SHIFT)).astype(np.int64)])
+                hit = np.flatnonzero(hits(grams.view(np.int64), held))
                 if not len(hit):
                     continue
                 where, grams = at[hit], grams[hit]
@@ -110,16 +107,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     own = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = cut(own.mapInArrow(_items, "item_id long, item array<long>, grams array<long>"), "items")
     flat = items.select("item_id", F.explode("grams").alias("gram")).distinct()
-    held = bitmap(flat, F.shiftrightunsigned("gram", _SHIFT))
+    held = slots(flat, "gram")
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = cut(texts.mapInArrow(_passages(bytes(held)), "doc_id long, start long, grams array<long>, passage array<long>"), "passages")
+    seen = cut(texts.mapInArrow(_passages(held), "doc_id long, start long, grams array<long>, passage array<long>"), "passages")
 
-    hits = seen.select("doc_id", "start", (F.size("passage") > 0).alias("wide"), F.explode("grams").alias("gram"))
-    often = hits.groupBy("gram").agg(F.count("*").alias("df"))
+    found = seen.select("doc_id", "start", (F.size("passage") > 0).alias("wide"), F.explode("grams").alias("gram"))
+    often = found.groupBy("gram").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy("df", "gram"))
     ranked = flat.join(often, "gram").withColumns({"rank": rank, "all": F.count("*").over(Window.partitionBy("item_id"))})
     seeds = ranked.where(f"rank <= ceil(all * {RARE})").select("gram", "item_id", F.least(F.lit(HITS), F.expr(f"cast(ceil(all * {RARE}) as int)")).alias("need"))
-    near = (hits.where("wide").join(seeds, "gram").groupBy("doc_id", "start", "item_id", "need")
+    near = (found.where("wide").join(seeds, "gram").groupBy("doc_id", "start", "item_id", "need")
             .agg(F.count("*").alias("k")).where("k >= need").select("doc_id", "start", "item_id"))
     whole = items.dropDuplicates(["item_id"]).select("item_id", "item")
     pairs = near.join(seen.select("doc_id", "start", "passage").where("size(passage) > 0"), ["doc_id", "start"]).join(whole, "item_id")

@@ -25,7 +25,7 @@ from pyspark.sql.types import BooleanType
 
 from mediaguard.llm import tokens
 from mediaguard.llm.common import BLANKS, cut
-from mediaguard.llm.links import link, maybe, slots
+from mediaguard.llm.links import keep, link, slots
 
 SIZE = 8
 SIMILAR = 0.8
@@ -76,27 +76,16 @@ def signatures(texts: pa.Array) -> np.ndarray:
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
-        for big in batches:
-            for b in _small(big):
-                sig = signatures(b["norm"])
-                wide = sig.reshape(len(sig), BANDS, -1)
-                h = np.full((len(sig), BANDS), 1, np.uint64) + np.arange(BANDS, dtype=np.uint64)
-                for k in range(wide.shape[2]):
-                    h = tokens.mix(h + wide[:, :, k] * np.uint64(0x9E3779B97F4A7C15))
-                keep = (sig != _NONE).any(axis=1)
-                ends = np.concatenate([[0], np.cumsum(keep * BANDS)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b["doc_id"], b["line"], b["key"], pa.ListArray.from_arrays(
-                    pa.array(ends), pa.array(h[keep].reshape(-1).view(np.int64)))], ["doc_id", "line", "key", "bands"])
-
-
-def _small(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of about a megabyte of text."""
-    at = tokens._buffers(batch["norm"])[1]
-    row = 0
-    while row < batch.num_rows:
-        last = max(row + 1, int(np.searchsorted(at, at[row] + size, "right")) - 1)
-        yield batch.slice(row, last - row)
-        row = last
+        for b in tokens.pieces(batches, "norm", tokens.BLOCK):
+            sig = signatures(b["norm"])
+            wide = sig.reshape(len(sig), BANDS, -1)
+            h = np.full((len(sig), BANDS), 1, np.uint64) + np.arange(BANDS, dtype=np.uint64)
+            for k in range(wide.shape[2]):
+                h = tokens.mix(h + wide[:, :, k] * np.uint64(0x9E3779B97F4A7C15))
+            keep = (sig != _NONE).any(axis=1)
+            ends = np.concatenate([[0], np.cumsum(keep * BANDS)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["line"], b["key"], pa.ListArray.from_arrays(
+                pa.array(ends), pa.array(h[keep].reshape(-1).view(np.int64)))], ["doc_id", "line", "key", "bands"])
 
 
 def jaccard(a: str, b: str) -> float:
@@ -120,7 +109,7 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def verify(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("key"))
-        norms = cut(flat.where(maybe("key", slots(ends, "key"))).select("key", "norm").dropDuplicates(["key"]), "norms")
+        norms = cut(keep(flat.select("key", "norm"), "key", slots(ends, "key")).dropDuplicates(["key"]), "norms")
         side = lambda k: norms.select(F.col("key").alias(k), F.col("norm").alias(f"norm_{k}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").where(_similar("norm_a", "norm_b")).select("a", "b")
 

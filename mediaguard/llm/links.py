@@ -1,37 +1,49 @@
 """From shared buckets to verified links and their components, without all pairs of a bucket."""
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediaguard.llm.common import cut
+from mediaguard.llm.tokens import mix
 
 SLOTS = 1 << 23
 STARS = 3
 
 
-def slots(df: DataFrame, column: str) -> bytearray:
-    """A bitmap of ``SLOTS`` bits (1 MiB, whatever the input) of the hashes of a column."""
-    return bitmap(df, F.pmod(F.xxhash64(column), F.lit(SLOTS)))
+def _slot(values: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mix(values.astype(np.int64).view(np.uint64), 9) >> np.uint64(64 - (SLOTS.bit_length() - 1))).astype(np.int64)
 
 
-def bitmap(df: DataFrame, slot: Column) -> bytearray:
-    """``SLOTS`` bits, set where a row has that slot; summed up by Spark to at most SLOTS / 64 words."""
-    rows = (df.select(F.shiftright(slot, 6).alias("w"), (slot % 64).cast("int").alias("b"))
-            .groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits")).collect())
-    held = bytearray(SLOTS // 8)
-    for r in rows:
-        held[r.w * 8:r.w * 8 + 8] = (r.bits & (2 ** 64 - 1)).to_bytes(8, "little")
-    return held
+def slots(df: DataFrame, column: str) -> bytes:
+    """A bitmap of ``SLOTS`` bits (1 MiB, whatever the input) of the hashes of a whole-number column."""
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = np.unique(_slot(b[column].to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([pa.array(s >> 6), pa.array(np.left_shift(np.int64(1), s & 63))], ["w", "bit"])
+    words = df.select(column).mapInArrow(mark, "w long, bit long").groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
+    held = np.zeros(SLOTS // 64, np.int64)
+    held[words["w"].to_numpy()] = words["bits"].to_numpy()
+    return held.tobytes()
 
 
-def maybe(column: str, held: bytearray) -> Column:
-    """False for values whose bit is not set: they are surely not in the column ``slots`` has seen."""
-    slot = F.pmod(F.xxhash64(column), F.lit(SLOTS))
-    byte = F.conv(F.hex(F.substring(F.lit(held), F.shiftright(slot, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.call_function("shiftright", byte, (slot % 8).cast("int")).bitwiseAND(1) == 1
+def hits(values: np.ndarray, held: bytes) -> np.ndarray:
+    """False for values that are surely not in the column ``slots`` has seen."""
+    s = _slot(values)
+    return (np.frombuffer(held, np.int64)[s >> 6] >> (s & 63)) & 1 > 0
+
+
+def keep(df: DataFrame, column: str, held: bytes) -> DataFrame:
+    """The rows whose value passes ``hits``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(hits(b[column].to_numpy(zero_copy_only=False), held)))
+    return df.mapInArrow(run, df.schema)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -68,7 +80,7 @@ def link(entries: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[
     """
     pivots = cut(entries.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("top"))
                  .where("pivot < top").select("bucket", "pivot"), "pivots")
-    live = cut(entries.where(maybe("bucket", slots(pivots, "bucket"))).join(pivots, "bucket")
+    live = cut(keep(entries, "bucket", slots(pivots, "bucket")).join(pivots, "bucket")
                .select("bucket", "node", "pivot").distinct(), "live")
     found = cut(verify(live.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()), "links")
     parts = components(found)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from mediaguard.llm import tokens
 from mediaguard.llm.common import cut
-from mediaguard.llm.links import link, maybe, slots
+from mediaguard.llm.links import hits, link, slots
 
 LOW = 0.2
 _LOW = np.uint64(int(LOW * 2 ** 64))
@@ -75,11 +75,12 @@ def _summaries(size: int, percent: int):
     return run
 
 
-def _full(size: int, percent: int):
-    """Per candidate: its whole set and its prefixes under orders B and C (folded to 32 bits)."""
+def _full(size: int, percent: int, held: bytes):
+    """Per candidate (its id passes the bitmap): its whole set and its prefixes under orders B and C (folded to 32 bits)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for b in tokens.pieces(batches):
+                b = b.filter(pa.array(hits(b["doc_id"].to_numpy(zero_copy_only=False), held)))
                 sets = _sets(b["text"], size)
                 cols = [b["doc_id"], tokens.lists([s.view(np.int64) for s in sets], pa.int64())]
                 for order in (1, 2):
@@ -110,8 +111,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
     again = entries.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("bucket")
     nodes = entries.join(again, "bucket").select("node").distinct()
     held = slots(nodes, "node")
-    whole = cut(texts.where(F.col("doc_id").isNotNull()).where(maybe("doc_id", held))
-                .mapInArrow(_full(size, percent), "node long, whole array<long>, b array<int>, c array<int>"), "whole")
+    whole = cut(texts.where("doc_id is not null").mapInArrow(_full(size, percent, held), "node long, whole array<long>, b array<int>, c array<int>"), "whole")
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda k: whole.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("whole", "b", "c")])
