@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaguard.llm import decontaminate, line_dedup, mixing, ngram_join, quality, toxicity
+from mediaguard.llm import brown_lm, decontaminate, line_dedup, mixing, ngram_join, quality, toxicity
 from mediaguard.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_mixing": op2_mixing,
         "op3_toxicity": op3_toxicity,
+        "op4_lm_scoring": op4_lm_scoring,
         "op5_decontamination": op5_decontamination,
         "op8_line_dedup": op8_line_dedup,
         "op10_quality_rules": op10_quality_rules,
