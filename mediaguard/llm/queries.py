@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaguard.llm import brown_lm, decontaminate, line_dedup, mixing, ngram_join, quality, toxicity
+from mediaguard.llm import brown_lm, decontaminate, line_dedup, mixing, ngram_join, quality, substring_dedup, toxicity
 from mediaguard.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.spans(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document with lines: how many it has and the numbers of those that go."""
     found = line_dedup.removed(table(spark, sf_dir, "documents"))
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_lm_scoring": op4_lm_scoring,
         "op5_decontamination": op5_decontamination,
+        "op6_substring_dedup": op6_substring_dedup,
         "op8_line_dedup": op8_line_dedup,
         "op10_quality_rules": op10_quality_rules,
     }
