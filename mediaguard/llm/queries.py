@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaguard.llm import brown_lm, decontaminate, line_dedup, mixing, ngram_join, quality, substring_dedup, toxicity
+from mediaguard.llm import brown_lm, decontaminate, line_dedup, mixing, ngram_join, quality, substring_dedup, toxicity, warc
 from mediaguard.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontamination": op5_decontamination,
         "op6_substring_dedup": op6_substring_dedup,
         "op8_line_dedup": op8_line_dedup,
+        "op9_warc": op9_warc,
         "op10_quality_rules": op10_quality_rules,
     }
 
