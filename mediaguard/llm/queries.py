@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaguard.llm import brown_lm, decontaminate, line_dedup, mixing, ngram_join, quality, substring_dedup, toxicity, warc
+from mediaguard.llm import brown_lm, decontaminate, line_dedup, mixing, ngram_join, pii, quality, substring_dedup, toxicity, warc
 from mediaguard.llm.common import table
 
 
@@ -36,6 +36,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.spans(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.scan(docs, pii.fit(docs))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document with lines: how many it has and the numbers of those that go."""
     found = line_dedup.removed(table(spark, sf_dir, "documents"))
@@ -58,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_lm_scoring": op4_lm_scoring,
         "op5_decontamination": op5_decontamination,
         "op6_substring_dedup": op6_substring_dedup,
+        "op7_pii": op7_pii,
         "op8_line_dedup": op8_line_dedup,
         "op9_warc": op9_warc,
         "op10_quality_rules": op10_quality_rules,
