@@ -12,7 +12,7 @@ from mediaguard.llm.common import cut
 from mediaguard.llm.tokens import mix
 
 SLOTS = 1 << 23
-STARS = 3
+STARS, DENSE = 3, 32
 
 
 def _slot(values: np.ndarray) -> np.ndarray:
@@ -53,16 +53,15 @@ def components(links: DataFrame) -> DataFrame:
     smaller ones; both steps are groupings and joins over links, and rounds grow with the logarithm of a chain.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    mark = None
     while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark or not now[0]:
+        # done when every node has one edge and leads to a node without any
+        many = edges.groupBy("u").agg(F.count("*").alias("n"))
+        inner = edges.select(F.col("v").alias("u")).distinct().withColumn("root", F.lit(1)).join(many, "u", "full")
+        if inner.where("n > 1 or (n >= 1 and root = 1)").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        mark = now
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).union(edges.select("v", "u"))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", "m"))
         edges = cut(small.distinct(), "edges")
@@ -72,10 +71,10 @@ def link(entries: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[
     """Links and components among nodes that share a bucket.
 
     ``entries`` has (bucket, node), ``verify`` keeps the pairs (a, b) that really link.  In each
-    bucket all nodes are compared with the least one; then, ``STARS`` - 1 times, with
-    another one, only where they are not yet in one component; what then still lies in different
-    components of a bucket is compared pair by pair.  So groups of copies cost rows in
-    proportion to their size, and no pair that could join two components is left out.
+    bucket all nodes are compared with the least one.  Where a bucket still holds several components, its
+    nodes are compared across them: pair by pair if that is at most ``DENSE`` pairs for each row left, else with one more node first,
+    ``STARS`` times at most.  So groups of copies cost rows in proportion to their size, and no pair that could
+    join two components is left out.
     Returns the verified links (a, b) and (node, component) of all nodes but the roots.
     """
     pivots = cut(entries.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("top"))
@@ -84,23 +83,28 @@ def link(entries: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[
                .select("bucket", "node", "pivot").distinct(), "live")
     found = cut(verify(live.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()), "links")
     parts = components(found)
-    live = live.select("bucket", "node")
     for k in range(1, STARS + 1):
         named = live.join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
         split = named.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).where("p < q and n > 2")
-        live = cut(named.join(split.select("bucket"), "bucket"), "live")
-        if live.isEmpty():
+        live = cut(named.join(split.select("bucket", "n"), "bucket"), "live")
+        rows, pairs = live.agg(F.count("*"), F.sum("n")).first()  # a bucket of n nodes counts n times n
+        if not rows:
             break
-        if k < STARS:
+        last = k == STARS or pairs <= 2 * DENSE * rows
+        if last:
+            other = live.select("bucket", F.col("node").alias("a"), F.col("part").alias("pa"))
+            near = live.join(other, "bucket").where("node > a and part <> pa").select("a", F.col("node").alias("b"))
+        else:
             turn = F.xxhash64("node", F.lit(k))
             at = live.groupBy("bucket").agg(F.min(turn).alias("turn"))
             pivot = live.join(at, "bucket").where(turn == F.col("turn")).select("bucket", F.col("node").alias("a"), F.col("part").alias("pa"))
-            pairs = live.join(pivot, "bucket").where("part <> pa").select("a", F.col("node").alias("b"))
-        else:
-            other = live.select("bucket", F.col("node").alias("a"), F.col("part").alias("pa"))
-            pairs = live.join(other, "bucket").where("node > a and part <> pa").select("a", F.col("node").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = cut(found.union(verify(pairs)).distinct(), "links")
-        parts = components(found)
+            near = live.join(pivot, "bucket").where("part <> pa").select("a", F.col("node").alias("b"))
+        near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = cut(verify(near), "links")
+        found = found.union(more).distinct()
+        if not more.isEmpty():
+            parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        if last:
+            break
         live = live.select("bucket", "node")
     return found, parts

@@ -1,0 +1,177 @@
+"""Parts that need no Spark: tokens, signatures, alignment, network, field, chunks, clustering."""
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from mediaguard.llm import brown_lm, decontaminate, line_dedup, pii, substring_dedup, tokens, toxicity
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(autouse=True)
+def quiet():
+    with np.errstate(over="ignore"):
+        yield
+
+
+def lower(t):
+    return "".join(c.lower() if c.isascii() else c for c in t)
+
+
+def test_words_agree_with_a_plain_split(monkeypatch):
+    monkeypatch.setattr(tokens, "BLOCK", 64)
+    r = random.Random(1)
+    texts = ["".join(r.choice("aB ü\n  x.") for _ in range(r.randint(0, 300))) for _ in range(40)] + [None, "", "y" * 500 + " Z" * 200]
+    for arr in (pa.array(texts), pa.array(["pad", *texts]).slice(1), pa.array(texts, pa.large_string())):
+        h, at, rows = tokens.words(arr)
+        want = [(i, m.start(), lower(m[0])) for i, t in enumerate(texts) for m in WORD.finditer(t or "")]
+        assert [i for i, _, _ in want] == rows.tolist()
+        assert [len((texts[i])[:s].encode()) for i, s, _ in want] == at.tolist()
+        by = {}
+        for (_, _, w), x in zip(want, h.tolist()):
+            assert by.setdefault(w, x) == x
+        assert len(set(by.values())) == len(by)
+
+
+def test_windows_stay_in_rows():
+    h, _, rows = tokens.words(pa.array(["a b c d", "a b", "x a b c"]))
+    grams, at = tokens.windows(h, rows, 3)
+    assert at.tolist() == [0, 1, 6, 7] and grams[0] == grams[3] and len(set(grams.tolist())) == 3
+
+
+def test_signatures_estimate_jaccard():
+    r = random.Random(2)
+    base = "".join(r.choice("abcdefgh ü") for _ in range(400))
+    near = base[:200] + "XYZ" + base[203:]
+    sig = line_dedup.signatures(pa.array([base, near, base, "short", "other" * 40]))
+    assert (sig[0] == sig[2]).all() and (sig[3] == line_dedup._NONE).all()
+    assert abs((sig[0] == sig[1]).mean() - line_dedup.jaccard(base, near)) < 0.2
+    assert (sig[0] == sig[4]).mean() < 0.1
+
+
+def align_plain(a, b):
+    h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            h[i + 1][j + 1] = max(0, h[i][j] + (2 if x == y else -1), h[i][j + 1] - 1, h[i + 1][j] - 1)
+    return max(map(max, h)) / (2 * len(a))
+
+
+def test_alignment_is_smith_waterman():
+    r = np.random.default_rng(3)
+    items = [r.integers(2, 6, r.integers(1, 12)) for _ in range(60)]
+    passages = [r.integers(2, 6, r.integers(1, 20)) for _ in range(60)]
+    assert np.allclose(decontaminate.align(items, passages), [align_plain(a, b) for a, b in zip(items, passages)])
+
+
+def test_network_gradient():
+    net = toxicity.Network()
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    r = np.random.default_rng(4)
+    x = r.standard_normal((3, 5, 2 * toxicity.WIDTH + 3))
+    mask = np.array([[1, 1, 1, 1, 1], [1, 1, 0, 0, 0], [0, 0, 0, 0, 0]], float)
+    label, weight = np.array([1, 0, 1]), np.array([1.0, 2.0, 0.5])
+
+    def loss():
+        y = net.logits({w: x @ net.p[f"x{w}"] + net.p[f"c{w}"] for w in "fb"}, mask)
+        return (weight * (np.logaddexp(0, y) - label * y)).sum()
+    g, dx, _ = net.gradient(x, mask, label, weight)
+    for name, d in [*g.items(), ("x", dx)]:
+        v = x if name == "x" else net.p[name]
+        for i in r.integers(0, v.size, 4):
+            i = np.unravel_index(i, v.shape)
+            old = v[i]
+            v[i] = old + 1e-4
+            up = loss()
+            v[i] = old - 1e-4
+            down = loss()
+            v[i] = old
+            assert abs((up - down) / 2e-4 - d[i]) < 2e-3, name
+
+
+def test_toxicity_learns_and_windows_cover_the_text():
+    r = random.Random(5)
+    vocab = ["".join(r.choice("aeioulnrst") for _ in range(6)) for _ in range(400)]
+    bad = ["grumpf", "grumpfen", "zorkel"]
+
+    def doc(toxic):
+        w = [r.choice(vocab) for _ in range(r.randint(5, 300))]
+        if toxic:
+            w[r.randrange(len(w))] = r.choice(bad)
+        return " ".join(w)
+    label = np.array([i % 3 == 0 for i in range(240)]).astype(int)
+    model = toxicity.Model().fit(pa.array([doc(x) for x in label]), label)
+    test = np.array([i % 2 for i in range(100)])
+    score = model.score(pa.array([doc(x) for x in test] + ["", None]))
+    assert ((score[:100] >= toxicity.CUTOFF) == test).mean() > 0.95
+    assert score[100] == score[101] and 0 <= score[100] < toxicity.CUTOFF
+    at, row = toxicity.windows(np.repeat([0, 2], [65, 200]), 3)
+    assert row.tolist() == [0, 0, 1] + [2] * 6 and at.tolist()[:3] == [0, 32, 65]
+    one = toxicity.Model().fit(pa.array(["a", "b"]), np.array([0, 0]))
+    assert one.score(pa.array(["a"])).tolist() == [0.5 / 3]
+
+
+def test_base_patterns_agree_with_the_contract():
+    rules = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+             "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def plain(t):
+        out = []
+        for k, rule in rules.items():
+            for m in re.finditer(rule, t):
+                d = re.sub("[^0-9]", "", m[0])
+                if k == "email" or (k == "ip" and all(int(p) <= 255 for p in m[0].split("."))) or (k == "card" and 12 <= len(d) <= 19 and pii.luhn(d)) or (k == "phone" and 9 <= len(d) <= 15):
+                    out.append((m.start(), m.end(), k))
+        return sorted(out, key=lambda s: (s[0], pii.KINDS.index(s[2])))
+    r = random.Random(6)
+    for _ in range(4000):
+        t = "".join(r.choice(r.choice(["0123456789", "12.", ".@a", "+ -()", "a@b.c ü", "4111111111111111 "])) for _ in range(r.randint(0, 60)))
+        assert pii.base_spans(t) == plain(t)
+    assert pii.base_spans("9" * 100000 + "." * 1000 + "a" * 100000 + "@") == []
+
+
+def test_field_marginals_and_finds():
+    field = pii.Field()
+    field.w = np.random.default_rng(7).standard_normal(field.w.shape)
+    z = next(pii.Zone("a1 b2 c3", own, around) for own, around in pii.zones("a1 b2 c3"))
+    use, moves = field.marginals(z)
+    cover = np.zeros(3)
+    for c, (i, j) in enumerate(z.bounds):
+        cover[i:j] += use[c].sum()
+    assert np.allclose(cover, 1) and np.isclose(moves.sum(), use.sum())
+    field = pii.Field().fit(pii.generated())
+    base, every = pii.find("call (988) 555-2485 or 12 34, on 2024-01-15; key ABCD1234EFGH5678JKLM or a.b@c.example.org", field)
+    assert [k for *_, k in base] == ["email"] and [k for *_, k in every] == ["phone", "secret", "email"]
+
+
+def test_chunks_resist_shifts():
+    r = random.Random(8)
+    passage = "".join(r.choice("abcde ü") for _ in range(400))
+    sets = []
+    for head in ("", "x", "some other words before it"):
+        raw = (head + passage).encode()
+        ends = substring_dedup.cuts(np.frombuffer(raw, np.uint8)).tolist()
+        assert ends[-1] == len(raw)
+        parts = [raw[a:b] for a, b in zip([0, *ends], ends)]
+        assert b"".join(parts) == raw and all(p.decode() for p in parts) and max(map(len, parts)) <= substring_dedup.MOST
+        sets.append(set(parts))
+    assert sum(map(len, sets[0] & sets[1] & sets[2])) > 300
+    flat = substring_dedup.cuts(np.zeros(5000, np.uint8) + 97)
+    assert flat[-1] == 5000 and np.diff(flat).max() <= substring_dedup.MOST
+    assert len(substring_dedup.cuts(np.zeros(0, np.uint8))) == 0
+
+
+def test_exchange_finds_word_classes():
+    n, r = 21, np.random.default_rng(9)
+    counts = np.zeros((n, n))
+    for _ in range(4000):  # two alternating halves
+        a = r.integers(0, 10)
+        counts[a, 10 + r.integers(0, 10)] += 1
+        counts[10 + r.integers(0, 10), r.integers(0, 10)] += 1
+    of = brown_lm.exchange(counts, 3)
+    assert len(set(of[:10])) == 1 and len(set(of[10:20])) == 1 and of[0] != of[10] and of[20] == 0
+
+
