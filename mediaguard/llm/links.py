@@ -67,44 +67,50 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut(small.distinct(), "edges")
 
 
-def link(entries: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def link(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], may: str = "true") -> tuple[DataFrame, DataFrame]:
     """Links and components among nodes that share a bucket.
 
-    ``entries`` has (bucket, node), ``verify`` keeps the pairs (a, b) that really link.  In each
-    bucket all nodes are compared with the least one.  Where a bucket still holds several components, its
+    ``entries`` has (bucket, node) and columns that belong to the node; ``may`` is a condition on two nodes' columns, as x_a and x_b,
+    without which they can't link; ``verify`` keeps the pairs (a, b) that really do.  In each
+    bucket all nodes are compared with one, the first by the node's columns.  Where a bucket still holds several components, its
     nodes are compared across them: pair by pair if that is at most ``DENSE`` pairs for each row left, else with one more node first,
     ``STARS`` times at most.  So groups of copies cost rows in proportion to their size, and no pair that could
     join two components is left out.
     Returns the verified links (a, b) and (node, component) of all nodes but the roots.
     """
-    pivots = cut(entries.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("top"))
-                 .where("pivot < top").select("bucket", "pivot"), "pivots")
-    live = cut(keep(entries, "bucket", slots(pivots, "bucket")).join(pivots, "bucket")
-               .select("bucket", "node", "pivot").distinct(), "live")
-    found = cut(verify(live.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()), "links")
+    extra = [c for c in entries.columns if c not in ("bucket", "node")]
+    first = F.struct(*extra, "node") if extra else F.col("node")
+    side = lambda df, k: df.select("bucket", *[F.col(c).alias(f"{c}_{k}") for c in df.columns if c != "bucket"])
+
+    def near(left: DataFrame, right: DataFrame, more: str = "true") -> DataFrame:
+        both = side(left, "a").join(side(right, "b"), "bucket").where(f"node_a <> node_b and ({may}) and ({more})")
+        return both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+    pivots = cut(entries.groupBy("bucket").agg(F.min(first).alias("pivot"), F.min("node").alias("low"), F.max("node").alias("top"))
+                 .where("low < top").select("bucket", "pivot"), "pivots")
+    pivots = pivots.select("bucket", *([f"pivot.{c}" for c in [*extra, "node"]] if extra else [F.col("pivot").alias("node")]))
+    live = cut(keep(entries, "bucket", slots(pivots, "bucket")).join(pivots.select("bucket"), "bucket").distinct(), "live")
+    found = cut(verify(near(pivots, live)), "links")
     parts = components(found)
     for k in range(1, STARS + 1):
-        named = live.join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
+        named = live.join(parts, "node", "left").select(*live.columns, F.coalesce("component", "node").alias("part"))
         split = named.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).where("p < q and n > 2")
-        live = cut(named.join(split.select("bucket", "n"), "bucket"), "live")
-        rows, pairs = live.agg(F.count("*"), F.sum("n")).first()  # a bucket of n nodes counts n times n
+        named = cut(named.join(split.select("bucket", F.col("n").alias("_n")), "bucket"), "live")
+        rows, pairs = named.agg(F.count("*"), F.sum("_n")).first()  # a bucket of n nodes counts n times n
         if not rows:
             break
-        last = k == STARS or pairs <= 2 * DENSE * rows
+        named, last = named.drop("_n"), k == STARS or pairs <= 2 * DENSE * rows
         if last:
-            other = live.select("bucket", F.col("node").alias("a"), F.col("part").alias("pa"))
-            near = live.join(other, "bucket").where("node > a and part <> pa").select("a", F.col("node").alias("b"))
+            tried = near(named, named, "node_a < node_b and part_a <> part_b")
         else:
             turn = F.xxhash64("node", F.lit(k))
-            at = live.groupBy("bucket").agg(F.min(turn).alias("turn"))
-            pivot = live.join(at, "bucket").where(turn == F.col("turn")).select("bucket", F.col("node").alias("a"), F.col("part").alias("pa"))
-            near = live.join(pivot, "bucket").where("part <> pa").select("a", F.col("node").alias("b"))
-        near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = cut(verify(near), "links")
+            at = named.groupBy("bucket").agg(F.min(turn).alias("turn"))
+            tried = near(named.join(at, "bucket").where(turn == F.col("turn")).drop("turn"), named, "part_a <> part_b")
+        more = cut(verify(tried), "links")
         found = found.union(more).distinct()
         if not more.isEmpty():
             parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
         if last:
             break
-        live = live.select("bucket", "node")
+        live = named.drop("part")
     return found, parts

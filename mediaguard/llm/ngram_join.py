@@ -2,13 +2,15 @@
 
 A document's set is its distinct shingles of ``size`` words (with fewer words the whole sequence is
 one).  Two sets with Jaccard of at least ``percent`` / 100 share a token among the first
-n - ceil(percent * n / 100) + 1 of each, whatever global order the tokens stand in.  Three orders are used:
-
-* A, rare first: tokens whose hash lies in the lowest ``LOW`` of the hash range by document frequency,
-  then the others by hash.  Frequencies are exact and cover all documents.  A document whose
-  order-A prefix is made of tokens of its own has no partner and goes no further, so passages that many documents share fill
-  no bucket; this order yields the candidates (``links.link``).
-* B and C, two other hash orders: a candidate pair must share a prefix token under each of
+n - ceil(percent * n / 100) + 1 of each (the prefix), whatever global order the tokens stand in.  Four orders are used:
+
+* First, tokens that one document alone holds come first, as far as their hash lies in the lowest ``LOW`` of the
+  hash range; their counts cover all documents.  A document whose prefix is filled with tokens of its own has no
+  partner and goes no further.
+* A, rare first: among the documents left, all tokens by document frequency.  Passages that many documents share come
+  last and fill no bucket; what still shares a prefix token is a candidate pair (``links.link``) if the tokens that either
+  document has alone leave room for enough common ones.
+* B and C, two hash orders: a candidate pair must share a prefix token under each of
   them as well before the sets are intersected.
 
 Equal sets collapse to their least doc_id first.  Sets of candidates only are rebuilt from
@@ -31,7 +33,7 @@ from mediaguard.llm import tokens
 from mediaguard.llm.common import cut
 from mediaguard.llm.links import hits, link, slots
 
-LOW = 0.2
+LOW = 0.3
 _LOW = np.uint64(int(LOW * 2 ** 64))
 
 
@@ -59,19 +61,28 @@ def _sets(texts: pa.Array, size: int) -> list[np.ndarray]:
 
 
 def _summaries(size: int, percent: int):
-    """Per document: set size, digest, number of low tokens, low tokens or as many as the prefix needs."""
+    """Per document: set size and digest."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for b in tokens.pieces(batches):
                 sets = _sets(b["text"], size)
-                low = [int(np.searchsorted(s, _LOW)) for s in sets]
-                held = [s[:max(k, _prefix(len(s), percent))].view(np.int64) for s, k in zip(sets, low)]
                 yield pa.RecordBatch.from_arrays([
                     b["doc_id"], pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    pa.array(low, pa.int32()), tokens.lists(held, pa.int64())], ["doc_id", "n", "digest", "low", "tokens"])
+                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())], ["doc_id", "n", "digest"])
+    return run
+
+
+def _low(size: int):
+    """(token, doc_id) of the low tokens."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for b in tokens.pieces(batches):
+                low = [s[:np.searchsorted(s, _LOW)].view(np.int64) for s in _sets(b["text"], size)]
+                ids = np.repeat(b["doc_id"].to_numpy(zero_copy_only=False), [len(x) for x in low])
+                if len(ids):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(low)), pa.array(ids, pa.int64())], ["token", "doc_id"])
     return run
 
 
@@ -94,34 +105,37 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
     """Documents (doc_id, n_shingles, component_id), one row per row of ``docs``, and the
     verified links (a, b) that hold the components together, between the documents that stand for equal sets."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = cut(texts.mapInArrow(_summaries(size, percent), "doc_id long, n long, digest binary, low int, tokens array<long>"), "sets")
+    seen = cut(texts.mapInArrow(_summaries(size, percent), "doc_id long, n long, digest binary"), "sets")
     reps = cut(seen.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps")
-    stands = seen.where("n > 0").select("doc_id", "n", "low", "digest", F.expr("slice(tokens, low + 1, greatest(size(tokens) - low, 0))").alias("rest"))
-    stands = stands.join(reps, "digest").where("doc_id = rep").select("doc_id", "n", "low", "rest")
-
-    flat = seen.where("doc_id is not null").select("doc_id", F.explode(F.expr("slice(tokens, 1, low)")).alias("token"))
+    named = texts.where("doc_id is not null")
+    prefix = f"n - (({percent} * n + 99) div 100) + 1"
+
+    alone = (named.mapInArrow(_low(size), "token long, doc_id long").groupBy("token")
+             .agg(F.count("*").alias("df"), F.min("doc_id").alias("doc_id")).where("df = 1"))
+    own = alone.groupBy("doc_id").agg(F.count("*").alias("own"))
+    stands = seen.where("n > 0").join(reps, "digest").where("doc_id = rep").select("doc_id", "n")
+    open_ = cut(stands.join(own, "doc_id", "left").where(f"coalesce(own, 0) < {prefix}").select(F.col("doc_id").alias("node")), "open")
+    whole = cut(named.mapInArrow(_full(size, percent, slots(open_, "node")), "node long, whole array<long>, b array<int>, c array<int>")
+                .join(open_, "node", "left_semi"), "whole")
+
+    flat = whole.select("node", F.explode("whole").alias("token"))
     often = flat.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = flat.join(often, "token").groupBy("doc_id").agg(F.collect_set(F.struct("df", "token")).alias("shared"))
-    short = f"n - (({percent} * n + 99) div 100) + 1 - (low - coalesce(size(shared), 0))"  # prefix places left by own tokens
-    first = F.expr("transform(slice(sort_array(coalesce(shared, array())), 1, cast(short as int)), x -> x.token)")
-    entries = (stands.join(shared, "doc_id", "left").withColumn("short", F.expr(short)).where("short > 0")
-               .select(F.explode(F.concat(first, "rest")).alias("bucket"), F.col("doc_id").alias("node")))
-    entries = cut(entries, "entries")
-
-    again = entries.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("bucket")
-    nodes = entries.join(again, "bucket").select("node").distinct()
-    held = slots(nodes, "node")
-    whole = cut(texts.where("doc_id is not null").mapInArrow(_full(size, percent, held), "node long, whole array<long>, b array<int>, c array<int>"), "whole")
+    shared = flat.join(often, "token").groupBy("node").agg(F.collect_set(F.struct("df", "token")).alias("shared"))
+    entries = (whole.select("node", F.size("whole").cast("long").alias("n")).join(shared, "node")
+               .withColumn("own", F.greatest(F.col("n") - F.size("shared"), F.lit(0)))
+               .withColumn("short", F.expr(f"cast({prefix} - own as int)")).where("short > 0"))
+    entries = cut(entries.select("node", "own", "n", F.explode(F.expr("transform(slice(sort_array(shared), 1, short), x -> x.token)")).alias("bucket"))
+                  .select("bucket", "node", "own", "n"), "entries")
+    may = f"{100 + percent} * least(n_a - own_a, n_b - own_b) >= {percent} * (n_a + n_b)"
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda k: whole.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("whole", "b", "c")])
-        near = (f"{percent} * greatest(size(whole_a), size(whole_b)) <= 100 * least(size(whole_a), size(whole_b))"
-                " and arrays_overlap(b_a, b_b) and arrays_overlap(c_a, c_b)")
+        near = "arrays_overlap(b_a, b_b) and arrays_overlap(c_a, c_b)"
         both = pairs.join(side("b"), "b").join(side("a"), "a").where(near)
         inter = "size(array_intersect(whole_a, whole_b))"
         return both.where(f"{100 + percent} * {inter} >= {percent} * (size(whole_a) + size(whole_b))").select("a", "b").distinct()
 
-    links, parts = link(entries, verify)
+    links, parts = link(entries, verify, may)
     found = (seen.select("doc_id", "n", "digest").join(reps, "digest", "left")
              .join(parts.withColumnRenamed("node", "rep"), "rep", "left"))
     own = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
