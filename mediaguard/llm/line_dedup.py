@@ -5,7 +5,8 @@ Equal lines share a key.  The ``SIZE``-character shingles of a whole line fall i
 hash and each bin keeps its least one (one-permutation MinHash; empty bins borrow along
 fixed probes).  ``BANDS`` bands of ``BINS`` / ``BANDS`` values make the buckets: lines of
 Jaccard 0.8 share one with probability 0.998, of 0.9 with 0.99999.  Candidates are verified by the exact Jaccard of
-their shingle sets, ``links.link`` finds components with distributed union-find, and the first line
+their shingle sets, ``links.link`` finds components with distributed union-find (lines whose shingles are
+mostly their own among the lines still undecided are ruled out by counting), and the first line
 of each component in order of (doc_id, line number) stays.
 
 Nulls: a null text has no lines; rows without a doc_id are left as they are and removed from nothing; rows
@@ -41,28 +42,33 @@ def lines(docs: DataFrame) -> DataFrame:
     return flat.select("doc_id", "line", F.xxhash64("norm").alias("key"), "norm")
 
 
-def signatures(texts: pa.Array) -> np.ndarray:
-    """BINS least shingle hashes per text; all ``_NONE`` where a text is shorter than a shingle."""
+def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of every run of SIZE characters."""
     data, at = tokens._buffers(texts)
     data = data[at[0]:at[-1]]
     heads = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=heads[1:])
     edges = heads[at - at[0]]
     cp = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    out = np.full((len(texts), BINS), _NONE, np.uint64)
     n = len(cp) - SIZE + 1
-    if n > 0:
-        h = tokens.mix(cp.astype(np.uint64))
-        step = 1
-        while step < SIZE:  # hashes of runs of 2, 4, 8 characters
-            h = h[:-step] * np.uint64(pow(0x9E3779B97F4A7C15, step, 2 ** 64)) + h[step:]
-            step *= 2
-        h = tokens.mix(h)
-        row = np.repeat(np.arange(len(texts)), np.diff(edges))
-        inside = row[:n] == row[SIZE - 1:]
-        h, row = h[inside], row[:n][inside]
-        cell = row * BINS + (((h >> np.uint64(40)) * np.uint64(BINS)) >> np.uint64(24)).astype(np.int64)
-        np.minimum.at(out.reshape(-1), cell, h & np.uint64(2 ** 40 - 1))
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h = tokens.mix(cp.astype(np.uint64))
+    step = 1
+    while step < SIZE:  # hashes of runs of 2, 4, 8 characters
+        h = h[:-step] * np.uint64(pow(0x9E3779B97F4A7C15, step, 2 ** 64)) + h[step:]
+        step *= 2
+    row = np.repeat(np.arange(len(texts)), np.diff(edges))
+    inside = row[:n] == row[SIZE - 1:]
+    return tokens.mix(h)[inside], row[:n][inside]
+
+
+def signatures(texts: pa.Array) -> np.ndarray:
+    """BINS least shingle hashes per text; all ``_NONE`` where a text is shorter than a shingle."""
+    out = np.full((len(texts), BINS), _NONE, np.uint64)
+    h, row = shingles(texts)
+    cell = row * BINS + (((h >> np.uint64(40)) * np.uint64(BINS)) >> np.uint64(24)).astype(np.int64)
+    np.minimum.at(out.reshape(-1), cell, h & np.uint64(2 ** 40 - 1))
     own = out != _NONE
     some = own.any(axis=1)
     for probe in _PROBE:
@@ -88,6 +94,18 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(ends), pa.array(h[keep].reshape(-1).view(np.int64)))], ["doc_id", "line", "key", "bands"])
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, token) of the distinct shingles of lines (key, norm)."""
+    with np.errstate(over="ignore"):
+        for b in tokens.pieces(batches, "norm", tokens.BLOCK):
+            h, row = shingles(b["norm"])
+            cuts = tokens.row_starts(row, b.num_rows)
+            own = [np.unique(h[i:j]) for i, j in zip(cuts, cuts[1:])]
+            keys = np.repeat(b["key"].to_numpy(zero_copy_only=False), [len(x) for x in own])
+            if len(keys):
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate(own).view(np.int64))], ["node", "token"])
+
+
 def jaccard(a: str, b: str) -> float:
     if min(len(a), len(b)) < SIZE:
         return float(a == b)
@@ -113,7 +131,17 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         side = lambda k: norms.select(F.col("key").alias(k), F.col("norm").alias(f"norm_{k}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").where(_similar("norm_a", "norm_b")).select("a", "b")
 
-    links, parts = link(entries, verify)
+    def refine(nodes: DataFrame) -> DataFrame:
+        """Set size and own shingles (no other of the nodes has them) of nodes that leave room for a partner."""
+        norms = cut(keep(flat.select("key", "norm"), "key", slots(nodes, "node")).dropDuplicates(["key"])
+                    .join(nodes.withColumnRenamed("node", "key"), "key", "left_semi"), "undecided")
+        flatter = norms.mapInArrow(_sets, "node long, token long")
+        own = (flatter.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("node")).where("df = 1")
+               .groupBy("node").agg(F.count("*").alias("own")))
+        return (flatter.groupBy("node").agg(F.count("*").alias("n")).join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+                .where(f"100 * (n - own) >= {round(100 * SIMILAR)} * n"))
+
+    links, parts = link(entries, verify, f"{round(100 + 100 * SIMILAR)} * least(n_a - own_a, n_b - own_b) >= {round(100 * SIMILAR)} * (n_a + n_b)", refine)
     named = seen.select("doc_id", "line", "key").join(parts.withColumnRenamed("node", "key"), "key", "left")
     return named.select("doc_id", "line", "key", F.coalesce("component", "key").alias("group")), links
 

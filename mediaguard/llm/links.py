@@ -5,7 +5,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaguard.llm.common import cut
@@ -67,45 +67,52 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut(small.distinct(), "edges")
 
 
-def link(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], may: str = "true") -> tuple[DataFrame, DataFrame]:
+def link(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], may: str = "true",
+         refine: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Links and components among nodes that share a bucket.
 
     ``entries`` has (bucket, node) and columns that belong to the node; ``may`` is a condition on two nodes' columns, as x_a and x_b,
     without which they can't link; ``verify`` keeps the pairs (a, b) that really do.  In each
-    bucket all nodes are compared with one, the first by the node's columns.  Where a bucket still holds several components, its
-    nodes are compared across them: pair by pair if that is at most ``DENSE`` pairs for each row left, else with one more node first,
-    ``STARS`` times at most.  So groups of copies cost rows in proportion to their size, and no pair that could
-    join two components is left out.
+    bucket all nodes are compared with one: the first by the node's columns or, without any, the one with most
+    buckets.  Where a bucket still holds several components, its nodes are compared across them: pair by pair if that is at
+    most ``DENSE`` pairs for each row left, else with one more node first,
+    ``STARS`` times at most.  ``refine`` may add columns for ``may`` to the nodes that get so far, and leave out nodes that can link with none of them.
+    So groups of copies cost rows in proportion to their size, and no pair that could join two components is left out.
     Returns the verified links (a, b) and (node, component) of all nodes but the roots.
     """
     extra = [c for c in entries.columns if c not in ("bucket", "node")]
-    first = F.struct(*extra, "node") if extra else F.col("node")
     side = lambda df, k: df.select("bucket", *[F.col(c).alias(f"{c}_{k}") for c in df.columns if c != "bucket"])
 
-    def near(left: DataFrame, right: DataFrame, more: str = "true") -> DataFrame:
-        both = side(left, "a").join(side(right, "b"), "bucket").where(f"node_a <> node_b and ({may}) and ({more})")
+    def near(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
+        both = side(left, "a").join(side(right, "b"), "bucket").where(" and ".join(f"({x})" for x in ("node_a <> node_b", *more)))
         return both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
-    pivots = cut(entries.groupBy("bucket").agg(F.min(first).alias("pivot"), F.min("node").alias("low"), F.max("node").alias("top"))
-                 .where("low < top").select("bucket", "pivot"), "pivots")
-    pivots = pivots.select("bucket", *([f"pivot.{c}" for c in [*extra, "node"]] if extra else [F.col("pivot").alias("node")]))
-    live = cut(keep(entries, "bucket", slots(pivots, "bucket")).join(pivots.select("bucket"), "bucket").distinct(), "live")
-    found = cut(verify(near(pivots, live)), "links")
+    many = cut(entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low < top").select("bucket"), "buckets")
+    live = cut(keep(entries, "bucket", slots(many, "bucket")).join(many, "bucket").distinct(), "live")
+    ranked = live if extra else live.join(live.groupBy("node").agg((-F.count("*")).alias("order")), "node")
+    pivots = ranked.groupBy("bucket").agg(F.min(F.struct(*(extra or ["order"]), "node")).alias("p"))
+    pivots = pivots.select("bucket", *[f"p.{c}" for c in [*extra, "node"]])
+    first = may if extra else "true"
+    found = cut(verify(near(pivots, live, first)), "links")
     parts = components(found)
     for k in range(1, STARS + 1):
         named = live.join(parts, "node", "left").select(*live.columns, F.coalesce("component", "node").alias("part"))
         split = named.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).where("p < q and n > 2")
-        named = cut(named.join(split.select("bucket", F.col("n").alias("_n")), "bucket"), "live")
+        named = named.join(split.select("bucket"), "bucket")
+        if refine is not None and k == 1:
+            named = cut(named, "split")
+            named = named.join(refine(named.select("node").distinct()), "node")
+        named = cut(named.withColumn("_n", F.count("*").over(Window.partitionBy("bucket"))).where("_n > 1"), "live")
         rows, pairs = named.agg(F.count("*"), F.sum("_n")).first()  # a bucket of n nodes counts n times n
         if not rows:
             break
         named, last = named.drop("_n"), k == STARS or pairs <= 2 * DENSE * rows
         if last:
-            tried = near(named, named, "node_a < node_b and part_a <> part_b")
+            tried = near(named, named, may, "node_a < node_b and part_a <> part_b")
         else:
             turn = F.xxhash64("node", F.lit(k))
             at = named.groupBy("bucket").agg(F.min(turn).alias("turn"))
-            tried = near(named.join(at, "bucket").where(turn == F.col("turn")).drop("turn"), named, "part_a <> part_b")
+            tried = near(named.join(at, "bucket").where(turn == F.col("turn")).drop("turn"), named, may, "part_a <> part_b")
         more = cut(verify(tried), "links")
         found = found.union(more).distinct()
         if not more.isEmpty():

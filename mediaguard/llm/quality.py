@@ -110,11 +110,10 @@ def judge(docs: DataFrame) -> DataFrame:
     names = [f"{x}_{k}" for k in SHARES for x in ("lo", "hi")]
     own = bounds.where("level = 0").select(F.col("g1").alias("lk"), F.col("g2").alias("sk"), "docs", *names)
     lang = bounds.where("level = 1").select(F.col("g1").alias("lk"), F.col("docs").alias("docs_1"), *[F.col(n).alias(f"{n}_1") for n in names])
-    every = bounds.where("level = 2").select(F.lit(1).alias("one"), *[F.col(n).alias(f"{n}_2") for n in names])
+    every = bounds.where("level = 2").first()  # one row, none for an empty table
     pick = lambda n: (F.when(F.col("docs") >= MIN_DOCS, F.col(n)).when(F.col("docs_1") >= MIN_DOCS, F.col(f"{n}_1"))
-                      .otherwise(F.col(f"{n}_2")).alias(n))
-    groups = (own.join(lang, "lk").withColumn("one", F.lit(1)).join(every, "one")
-              .select("lk", "sk", *[pick(n) for n in names]))
+                      .otherwise(F.lit(every[n] if every else None)).alias(n))
+    groups = own.join(lang, "lk").select("lk", "sk", *[pick(n) for n in names])
     failed = F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT} * n_words")
     inside = F.lit(True)
     for k, (e, low, _) in SHARES.items():
