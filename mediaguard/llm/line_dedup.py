@@ -133,15 +133,20 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def refine(nodes: DataFrame) -> DataFrame:
         """Set size and own shingles (no other of the nodes has them) of nodes that leave room for a partner."""
-        norms = cut(keep(flat.select("key", "norm"), "key", slots(nodes, "node")).dropDuplicates(["key"])
+        held = slots(nodes, "node")
+        bands = keep(seen.select(F.col("key").alias("node"), "bands"), "node", held).dropDuplicates(["node"])
+        norms = cut(keep(flat.select("key", "norm"), "key", held).dropDuplicates(["key"])
                     .join(nodes.withColumnRenamed("node", "key"), "key", "left_semi"), "undecided")
         flatter = norms.mapInArrow(_sets, "node long, token long")
         own = (flatter.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("node")).where("df = 1")
                .groupBy("node").agg(F.count("*").alias("own")))
         return (flatter.groupBy("node").agg(F.count("*").alias("n")).join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-                .where(f"100 * (n - own) >= {round(100 * SIMILAR)} * n"))
+                .where(f"100 * (n - own) >= {round(100 * SIMILAR)} * n").join(bands, "node"))
 
-    links, parts = link(entries, verify, f"{round(100 + 100 * SIMILAR)} * least(n_a - own_a, n_b - own_b) >= {round(100 * SIMILAR)} * (n_a + n_b)", refine)
+    # each pair once, in the least of its common buckets
+    later = (f"{round(100 + 100 * SIMILAR)} * least(n_a - own_a, n_b - own_b) >= {round(100 * SIMILAR)} * (n_a + n_b)"
+             " and bucket = array_min(array_intersect(bands_a, bands_b))")
+    links, parts = link(entries, verify, refine=refine, later=later)
     named = seen.select("doc_id", "line", "key").join(parts.withColumnRenamed("node", "key"), "key", "left")
     return named.select("doc_id", "line", "key", F.coalesce("component", "key").alias("group")), links
 

@@ -68,7 +68,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def link(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], may: str = "true",
-         refine: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+         refine: Callable[[DataFrame], DataFrame] | None = None, later: str = "true") -> tuple[DataFrame, DataFrame]:
     """Links and components among nodes that share a bucket.
 
     ``entries`` has (bucket, node) and columns that belong to the node; ``may`` is a condition on two nodes' columns, as x_a and x_b,
@@ -76,7 +76,8 @@ def link(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], may: str
     bucket all nodes are compared with one: the first by the node's columns or, without any, the one with most
     buckets.  Where a bucket still holds several components, its nodes are compared across them: pair by pair if that is at
     most ``DENSE`` pairs for each row left, else with one more node first,
-    ``STARS`` times at most.  ``refine`` may add columns for ``may`` to the nodes that get so far, and leave out nodes that can link with none of them.
+    ``STARS`` times at most.  ``refine`` may add columns to the nodes that get so far, on which ``later`` is a condition like ``may``, and
+    leave out nodes that can link with none of them.
     So groups of copies cost rows in proportion to their size, and no pair that could join two components is left out.
     Returns the verified links (a, b) and (node, component) of all nodes but the roots.
     """
@@ -92,8 +93,7 @@ def link(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], may: str
     ranked = live if extra else live.join(live.groupBy("node").agg((-F.count("*")).alias("order")), "node")
     pivots = ranked.groupBy("bucket").agg(F.min(F.struct(*(extra or ["order"]), "node")).alias("p"))
     pivots = pivots.select("bucket", *[f"p.{c}" for c in [*extra, "node"]])
-    first = may if extra else "true"
-    found = cut(verify(near(pivots, live, first)), "links")
+    found = cut(verify(near(pivots, live, may)), "links")
     parts = components(found)
     for k in range(1, STARS + 1):
         named = live.join(parts, "node", "left").select(*live.columns, F.coalesce("component", "node").alias("part"))
@@ -108,11 +108,11 @@ def link(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], may: str
             break
         named, last = named.drop("_n"), k == STARS or pairs <= 2 * DENSE * rows
         if last:
-            tried = near(named, named, may, "node_a < node_b and part_a <> part_b")
+            tried = near(named, named, may, "node_a < node_b and part_a <> part_b", later)
         else:
             turn = F.xxhash64("node", F.lit(k))
             at = named.groupBy("bucket").agg(F.min(turn).alias("turn"))
-            tried = near(named.join(at, "bucket").where(turn == F.col("turn")).drop("turn"), named, may, "part_a <> part_b")
+            tried = near(named.join(at, "bucket").where(turn == F.col("turn")).drop("turn"), named, may, "part_a <> part_b", later)
         more = cut(verify(tried), "links")
         found = found.union(more).distinct()
         if not more.isEmpty():

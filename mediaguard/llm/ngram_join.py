@@ -124,8 +124,8 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
     entries = (whole.select("node", F.size("whole").cast("long").alias("n")).join(shared, "node")
                .withColumn("own", F.greatest(F.col("n") - F.size("shared"), F.lit(0)))
                .withColumn("short", F.expr(f"cast({prefix} - own as int)")).where("short > 0"))
-    entries = cut(entries.select("node", "own", "n", F.explode(F.expr("transform(slice(sort_array(shared), 1, short), x -> x.token)")).alias("bucket"))
-                  .select("bucket", "node", "own", "n"), "entries")
+    starts = cut(entries.select("node", "own", "n", F.expr("transform(slice(sort_array(shared), 1, short), x -> x.token)").alias("first")), "starts")
+    entries = starts.select(F.explode("first").alias("bucket"), "node", "own", "n")
     may = f"{100 + percent} * least(n_a - own_a, n_b - own_b) >= {percent} * (n_a + n_b)"
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -135,7 +135,12 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
         inter = "size(array_intersect(whole_a, whole_b))"
         return both.where(f"{100 + percent} * {inter} >= {percent} * (size(whole_a) + size(whole_b))").select("a", "b").distinct()
 
-    links, parts = link(entries, verify, may)
+    def refine(nodes: DataFrame) -> DataFrame:
+        return nodes.join(starts.select("node", "first"), "node").join(whole.select("node", "b", "c"), "node")
+
+    # each pair once, in the least of its common buckets, and only if it passes all orders
+    later = "bucket = array_min(array_intersect(first_a, first_b)) and arrays_overlap(b_a, b_b) and arrays_overlap(c_a, c_b)"
+    links, parts = link(entries, verify, may, refine, later)
     found = (seen.select("doc_id", "n", "digest").join(reps, "digest", "left")
              .join(parts.withColumnRenamed("node", "rep"), "rep", "left"))
     own = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
