@@ -13,9 +13,9 @@ from mediaguard.operators.lineage import cut_lineage
 r6 = lambda c: F.round(c, 6)
 
 
-def evalset(c, keep_x=False):
+def evalset(c, variants=None, keep_x=False):
     """Scored rows of the reporting splits; the calibration carve and training are left out."""
-    return c.shipped("split LIKE 'test%'", keep_x)
+    return c.shipped("split LIKE 'test%'", keep_x, variants)
 
 
 EVAL = "(SELECT * FROM shipped WHERE starts_with(split, 'test'))"
@@ -261,7 +261,7 @@ TILES = "(SELECT image_id, x0, xv FROM scored WHERE variant IN ('jpeg90', 'resiz
     JOIN (SELECT image_id, x AS x0 FROM items) USING (image_id)""")
 def agg_tile_mean(c):
     from mediaguard.operators import vector_jobs as vj
-    tiles = c.scored(keep_x=True).where("variant IN ('jpeg90', 'resize05', 'crop08')")
+    tiles = c.scored(keep_x=True, variants=["jpeg90", "resize05", "crop08"])
     pooled = vj.mean_pool(tiles, ["image_id"]).withColumnRenamed("n", "n_tiles")
     return pooled.join(c.items().select("image_id", "x"), "image_id").select(
         "image_id", "n_tiles", r6(vx.dot("v", "x")).alias("cos_to_clean"))
@@ -323,7 +323,7 @@ CLEAN_OOD = "(SELECT * FROM shipped WHERE split IN ('test_ood', 'calib_ood') AND
 @query("agg_by_generator", f"""SELECT generator, round(auroc, 6) AS auroc, n, round(recall, 6) AS recall FROM ({shared_sql(CLEAN_OOD, [], 'pred')})
     JOIN (SELECT generator, count(*) AS n, avg((pred >= 0.5)::INT) AS recall FROM {CLEAN_OOD} WHERE label = 1 GROUP BY generator) USING (generator)""")
 def agg_by_generator(c):
-    rows = c.shipped("split IN ('test_ood', 'calib_ood')").where("variant = 'clean'")
+    rows = c.shipped("split IN ('test_ood', 'calib_ood')", variants=["clean"])
     rec = rows.where("label = 1").groupBy("generator").agg(
         F.count(F.lit(1)).alias("n"), r6(F.avg((F.col("pred") >= 0.5).cast("int"))).alias("recall"))
     return mt.auroc_shared(rows, [], "generator", "pred").join(rec, "generator").select(
@@ -344,7 +344,7 @@ def agg_by_content(c):
 @query("agg_trained_vs_unseen", f"""SELECT CASE WHEN generator IN ('g6', 'g7') THEN 'trained' ELSE 'unseen' END AS exposure, count(*) AS n_generators,
     round(avg(auroc), 6) AS mean_auroc, round(min(auroc), 6) AS worst_auroc FROM ({shared_sql(CLEAN_OOD, [], 'pred')}) GROUP BY 1""")
 def agg_trained_vs_unseen(c):
-    per = mt.auroc_shared(c.shipped("split IN ('test_ood', 'calib_ood')").where("variant = 'clean'"), [], "generator", "pred")
+    per = mt.auroc_shared(c.shipped("split IN ('test_ood', 'calib_ood')", variants=["clean"]), [], "generator", "pred")
     return per.groupBy(F.when(F.col("generator").isin("g6", "g7"), "trained").otherwise("unseen").alias("exposure")).agg(
         F.count(F.lit(1)).alias("n_generators"), r6(F.avg("auroc")).alias("mean_auroc"), r6(F.min("auroc")).alias("worst_auroc"))
 
@@ -361,12 +361,12 @@ def agg_rescue_break(c):
                                      F.count_if(newly & (F.col("label") == 0)).alias("broken"))
 
 
-@query("agg_matched_fpr", f"""WITH t AS (SELECT quantile_cont(round_even(pred, 4), 0.95) AS t FROM shipped WHERE split = 'test_ood' AND label = 0)
-    SELECT source, round(max(t.t), 6) AS t, round(avg((round_even(pred, 4) >= t.t)::INT), 6) AS recall, count(*) AS n
+@query("agg_matched_fpr", f"""WITH t AS (SELECT quantile_cont(pred, 0.95) AS t FROM shipped WHERE split = 'test_ood' AND label = 0)
+    SELECT source, round(max(t.t), 6) AS t, round(avg((pred >= t.t)::INT), 6) AS recall, count(*) AS n
     FROM shipped, t WHERE label = 1 AND starts_with(split, 'test') GROUP BY source""")
 def agg_matched_fpr(c):
     from mediaguard.plans.reports import matched_cut
-    rows = evalset(c).withColumn("pred", F.bround("pred", 4))
+    rows = evalset(c)
     cut = matched_cut(rows.where("split = 'test_ood' AND label = 0"), "pred", 0.05)
     return rows.where("label = 1").groupBy("source").agg(
         r6(F.lit(cut)).alias("t"), r6(F.avg((F.col("pred") >= cut).cast("int"))).alias("recall"), F.count(F.lit(1)).alias("n"))
@@ -374,8 +374,8 @@ def agg_matched_fpr(c):
 
 @query("agg_tpr_at_fpr", f"""SELECT source, round(coalesce(max(tpr) FILTER (fpr <= 0.01), 0), 6) AS tpr FROM (
     SELECT source, sum(p) OVER w / sum(p) OVER (PARTITION BY source)::DOUBLE AS tpr, sum(n) OVER w / sum(n) OVER (PARTITION BY source)::DOUBLE AS fpr FROM (
-      SELECT source, pred4, sum(label) AS p, sum(1 - label) AS n FROM preds4 WHERE starts_with(split, 'test') GROUP BY 1, 2)
-    WINDOW w AS (PARTITION BY source ORDER BY pred4 DESC)) GROUP BY source""")
+      SELECT source, pred, sum(label) AS p, sum(1 - label) AS n FROM shipped WHERE starts_with(split, 'test') GROUP BY 1, 2)
+    WINDOW w AS (PARTITION BY source ORDER BY pred DESC)) GROUP BY source""")
 def agg_tpr_at_fpr(c):
     return mt.tpr_at_fpr(evalset(c), "source", "pred").select("source", r6("tpr").alias("tpr"))
 
@@ -422,7 +422,7 @@ OOD2 = "(SELECT * FROM shipped WHERE split IN ('test_ood', 'calib_ood') AND vari
 @query("agg_correlation", f"""SELECT round(corr(c, b - c), 6) AS r, count(*) AS n_generators FROM (
     SELECT generator, max(auroc) FILTER (variant = 'clean') AS c, max(auroc) FILTER (variant = 'blur20') AS b FROM ({shared_sql(OOD2, ['variant'], 'pred')}) GROUP BY generator)""")
 def agg_correlation(c):
-    rows = c.shipped("split IN ('test_ood', 'calib_ood')").where("variant IN ('clean', 'blur20')")
+    rows = c.shipped("split IN ('test_ood', 'calib_ood')", variants=["clean", "blur20"])
     per = mt.auroc_shared(rows, ["variant"], "generator", "pred").groupBy("generator").pivot("variant", ["clean", "blur20"]).agg(F.max("auroc"))
     return per.agg(r6(F.corr("clean", F.col("blur20") - F.col("clean"))).alias("r"), F.count(F.lit(1)).alias("n_generators"))
 
@@ -460,15 +460,14 @@ def agg_baseline_table(c):
 
 
 @query("agg_shortcut_risk", """WITH tr AS (SELECT *, CASE WHEN ('0x' || substr(image_id, 1, 8))::BIGINT % 5 = 0 THEN 'png' ELSE 'jpg' END AS fmt FROM manifest WHERE split = 'train'),
-    per AS (SELECT source, fmt, count(*) AS n, min(label) AS lo, max(label) AS hi FROM tr GROUP BY 1, 2),
-    src AS (SELECT source, sum(n)::BIGINT AS n, max(n) AS top, min(lo) AS lo, max(hi) AS hi FROM per GROUP BY source)
-    SELECT source, n, round(n / (SELECT sum(n) FROM src)::DOUBLE, 6) AS train_share, round(top / n::DOUBLE, 6) AS format_share,
-           lo = hi AND n / (SELECT sum(n) FROM src)::DOUBLE > 0.3 AS label_risk, top / n::DOUBLE >= 0.75 AS format_risk FROM src""")
+    src AS (SELECT source, count(*) AS n, min(label) AS lo, max(label) AS hi FROM tr GROUP BY source),
+    f AS (SELECT fmt, count(*) AS n, greatest(sum(label), sum(1 - label)) / count(*)::DOUBLE AS top FROM tr GROUP BY fmt)
+    SELECT 'source' AS scope, source AS name, n, round(n / (SELECT sum(n) FROM src)::DOUBLE, 6) AS share, lo = hi AND n / (SELECT sum(n) FROM src)::DOUBLE > 0.3 AS risk FROM src
+    UNION ALL SELECT 'format', fmt, n, round(top, 6), top >= 0.75 FROM f""")
 def agg_shortcut_risk(c):
     from mediaguard.operators.governance import shortcut_risk
     rows = c.manifest().withColumn("fmt", F.expr("IF(cast(conv(substring(image_id, 1, 8), 16, 10) AS bigint) % 5 = 0, 'png', 'jpg')"))
-    return shortcut_risk(rows, "fmt").select("source", "n", r6("train_share").alias("train_share"),
-                                             r6("format_share").alias("format_share"), "label_risk", "format_risk")
+    return shortcut_risk(rows, "fmt").withColumn("share", r6("share"))
 
 
 POPS = f"""(SELECT CASE WHEN variant = 'clean' THEN 'clean' ELSE 'singles' END AS pop, variant AS name, label, {TWO} AS score FROM shipped WHERE split = 'test_ood'
@@ -520,15 +519,14 @@ def agg_image_robustness(c):
 
 @query("agg_score_medians", """SELECT branch, round(real_med, 6) AS real_median, round(edit_med, 6) AS edited_median, round(edit_med - real_med, 6) AS shift FROM (
     SELECT branch, median(v) FILTER (label = 0) AS real_med, median(v) FILTER (subclass = 'tampered') AS edit_med FROM (
-      SELECT unnest(['general', 'tampered']) AS branch, unnest([round_even(p_general, 4), round_even(p_tampered, 4)]) AS v, label, subclass
+      SELECT unnest(['general', 'tampered']) AS branch, unnest([p_general, p_tampered]) AS v, label, subclass
       FROM shipped WHERE variant = 'clean') GROUP BY branch)""")
 def agg_score_medians(c):
-    from mediaguard.plans.reports import median4
-    rows = c.shipped().where("variant = 'clean'").selectExpr(
-        "label", "subclass", "stack(2, 'general', p_general, 'tampered', p_tampered) AS (branch, v)")
-    real = median4(F.when(F.col("label") == 0, F.col("v")))
-    edit = median4(F.when(F.col("subclass") == "tampered", F.col("v")))
-    return rows.groupBy("branch").agg(r6(real).alias("real_median"), r6(edit).alias("edited_median"), r6(edit - real).alias("shift"))
+    rows = c.shipped(variants=["clean"]).selectExpr(
+        "CASE WHEN label = 0 THEN 'real' WHEN subclass = 'tampered' THEN 'edit' END AS kind", "stack(2, 'general', p_general, 'tampered', p_tampered) AS (branch, v)")
+    mid = mt.quantiles(rows.where("kind IS NOT NULL"), ["branch", "kind"], "v", {"m": 0.5})
+    wide = mid.groupBy("branch").pivot("kind", ["real", "edit"]).agg(F.max("m"))
+    return wide.select("branch", r6("real").alias("real_median"), r6("edit").alias("edited_median"), r6(F.col("edit") - F.col("real")).alias("shift"))
 
 
 @query("agg_content_mix", """SELECT source, content, n, round(n / sum(n) OVER (PARTITION BY source)::DOUBLE, 6) AS share FROM (
@@ -558,7 +556,7 @@ POISSON = "(" + " + ".join(f"(u >= {t})::INT" for t in (0.36787944, 0.73575888,
 
 @query("agg_bootstrap_ci", f"""WITH reps AS (SELECT label, branch, s, rep, {POISSON} AS w FROM (
       SELECT label, branch, s, rep, ('0x' || substr(md5(image_id || ':' || rep::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM (
-        SELECT image_id, label, unnest(['pred', 'general']) AS branch, unnest([round_even(pred, 4), round_even(p_general, 4)]) AS s FROM {EVAL} WHERE variant = 'clean')
+        SELECT image_id, label, unnest(['pred', 'general']) AS branch, unnest([pred, p_general]) AS s FROM {EVAL} WHERE variant = 'clean')
       CROSS JOIN (SELECT unnest(range(0, 40)) AS rep))),
     cnt AS (SELECT rep, branch, s, sum(w * label)::DOUBLE AS p, sum(w * (1 - label))::DOUBLE AS n FROM reps GROUP BY 1, 2, 3),
     aucs AS (SELECT rep, branch, sum(p * (below + n / 2)) / (sum(p) * sum(n)) AS auroc FROM (
@@ -567,7 +565,7 @@ POISSON = "(" + " + ".join(f"(u >= {t})::INT" for t in (0.36787944, 0.73575888,
       SELECT a.rep, a.auroc - b.auroc AS d FROM aucs a JOIN aucs b ON a.rep = b.rep AND a.branch = 'pred' AND b.branch = 'general')""")
 def agg_bootstrap_ci(c):
     from mediaguard.plans.reports import bootstrap_difference
-    rows = evalset(c).where("variant = 'clean'").select("image_id", "label", F.col("pred").alias("a"), F.col("p_general").alias("b"))
+    rows = evalset(c, ["clean"]).select("image_id", "label", F.col("pred").alias("a"), F.col("p_general").alias("b"))
     return bootstrap_difference(rows, replicates=40)
 
 

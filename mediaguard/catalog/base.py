@@ -208,11 +208,10 @@ TABLES: dict[str, str] = {
         SELECT page_id, key, value, ord, {kind_sql('value')} AS kind FROM (
           SELECT page_id, unnest(['html', 'url', 'title']) AS key, unnest([html, url, regexp_extract(html, '<title>([^<]*)</title>', 1)]) AS value,
                  unnest([0, 1, 2]) AS ord FROM pages) WHERE length(value) > 0""",
-    "preds4": "SELECT *, round_even(pred, 4) AS pred4 FROM shipped",
 }
 
 _HEAVY = {"items", "probes", "protos", "grid", "scored", "branches", "shipped", "raw_rows", "ranked_rows",
-          "resolved", "deduped", "manifest", "tokens", "sampled", "contents", "preds4", "chains", "chain2", "faces", "prov_fields"}
+          "resolved", "deduped", "manifest", "tokens", "sampled", "contents", "chains", "chain2", "faces", "prov_fields"}
 
 
 def with_tables(body: str) -> str:

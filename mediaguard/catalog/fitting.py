@@ -180,7 +180,7 @@ def fit_text(c):
 @query("fit_text_crops", balance_sql("text_crop", 65, "(SELECT * FROM items WHERE split = 'train' AND code < 2)"))
 def fit_text_crops(c):
     """Pooled tile vectors plus the standardised strip height."""
-    tiles = c.scored("split = 'train' AND code < 2", keep_x=True).where("variant IN ('jpeg90', 'resize05', 'crop08')")
+    tiles = c.scored("split = 'train' AND code < 2", keep_x=True, variants=["jpeg90", "resize05", "crop08"])
     sized = cut_lineage(vj.mean_pool(tiles, ["image_id", "label"]).withColumn("px", 8 + ids.hex_int("image_id", 9, 8) % 200))
     st = mt.log2_stats(sized, [], "px").first()
     rows = sized.select("label", F.concat("v", F.array(scores.px_feature("px", st.px_mu, st.px_sd))).alias("x"))
@@ -255,8 +255,11 @@ def fit_repeated_splits(c):
     for r in range(3):
         side = F.conv(F.substring(F.md5(F.concat_ws(":", F.when(F.col("label") == 1, F.col("generator")).otherwise(F.col("image_id")), F.lit(str(r)))), 1, 4), 16, 10).cast("long") % 2
         part = rows.withColumn("side", side)
-        fitted = ft.logistic(part.where("side = 0")) if part.where("side = 0 AND label = 1").limit(1).count() else ft.logistic(part)
-        outs.append(ft.decision(part.where("side = 1").select("label", "x"), fitted).withColumn("rep", F.lit(r)))
+        rest = part.where("side = 1").select("label", "x")
+        if part.where("side = 0 AND label = 1").isEmpty():  # nothing to fit on: no score, so no AUROC
+            outs.append(rest.withColumns({"z": F.lit(None).cast("double"), "rep": F.lit(r)}))
+        else:
+            outs.append(ft.decision(rest, ft.logistic(part.where("side = 0"))).withColumn("rep", F.lit(r)))
     per = mt.auroc(outs[0].unionByName(outs[1]).unionByName(outs[2]), "rep", "z")
     return per.agg(F.count("auroc").alias("repeats"), r6(F.avg("auroc")).alias("mean_auroc"), r6(F.stddev_pop("auroc")).alias("sd_auroc"))
 
@@ -295,7 +298,7 @@ def score_ship(c):
     abs(greatest(p_general, {sig('1.25 * tampered - ln(0.8092 / 0.1908)')}, coalesce(p_face, 0)) - pred) < 1e-9 AS agrees FROM shipped WHERE variant = 'clean'""")
 def score_branches(c):
     t = scores.shifted(1.25 * F.col("tampered"))
-    df = c.shipped().where("variant = 'clean'")
+    df = c.shipped(variants=["clean"])
     return df.select("image_id", F.bround("p_general", 4).alias("general"), F.bround(t, 4).alias("tampered"), F.bround("p_face", 4).alias("face"),
                      (F.abs(F.greatest("p_general", t, F.coalesce("p_face", F.lit(0.0))) - F.col("pred")) < 1e-9).alias("agrees"))
 
@@ -321,7 +324,7 @@ def score_threshold_pick(c):
         "source", "round(cut, 6) AS cut", "round(acc, 6) AS acc", "round(rec, 6) AS rec", "round(fpr, 6) AS fpr")
 
 
-BUCKETS = "(SELECT s.*, k.content, round_even(s.pred, 4) AS p4 FROM shipped s JOIN contents k USING (image_id) WHERE starts_with(split, 'test'))"
+BUCKETS = "(SELECT s.*, k.content, s.pred AS p4 FROM shipped s JOIN contents k USING (image_id) WHERE starts_with(split, 'test'))"
 
 
 @query("score_bucket_threshold", f"""WITH b AS {BUCKETS}, g AS (SELECT quantile_cont(p4, 0.95) AS t FROM b WHERE label = 0),
@@ -329,10 +332,10 @@ BUCKETS = "(SELECT s.*, k.content, round_even(s.pred, 4) AS p4 FROM shipped s JO
     SELECT b.content, round(max(l.t), 6) AS own_cut, round(max(g.t), 6) AS global_cut, round(avg((p4 >= l.t)::INT) FILTER (label = 1), 6) AS recall_own,
       round(avg((p4 >= g.t)::INT) FILTER (label = 1), 6) AS recall_global, round(avg((p4 >= g.t)::INT) FILTER (label = 0), 6) AS fpr_global FROM b JOIN l USING (content), g GROUP BY b.content""")
 def score_bucket_threshold(c):
-    rows = evalset(c).select("content", "label", F.bround("pred", 4).alias("p"))
+    rows = evalset(c).select("content", "label", F.col("pred").alias("p"))
     real = rows.where("label = 0")
-    own = real.groupBy("content").agg(F.percentile("p", 0.95).alias("own"))
-    j = rows.join(own, "content").select("*", real.agg(F.percentile("p", 0.95).alias("g")).scalar().alias("g"))
+    own = mt.quantiles(real, "content", "p", {"own": 0.95})
+    j = rows.join(own, "content").withColumn("g", F.lit(mt.quantiles(real, [], "p", {"g": 0.95}).first()["g"]))
     y, hit = F.col("label"), lambda cut: (F.col("p") >= F.col(cut)).cast("int")
     return j.groupBy("content").agg(
         r6(F.max("own")).alias("own_cut"), r6(F.max("g")).alias("global_cut"), r6(F.avg(F.when(y == 1, hit("own")))).alias("recall_own"),

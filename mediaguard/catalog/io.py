@@ -93,7 +93,7 @@ def sink_stats(c):
 
 @query("sink_preds", "SELECT 'in/' || source || '/' || image_id || '.png' AS image_path, round_even(pred, 4) AS pred FROM shipped WHERE variant = 'clean'")
 def sink_preds(c):
-    rows = c.shipped().where("variant = 'clean'").select("pred", F.concat(F.lit("in\\"), "source", F.lit("\\"), "image_id", F.lit(".png")).alias("path"))
+    rows = c.shipped(variants=["clean"]).select("pred", F.concat(F.lit("in\\"), "source", F.lit("\\"), "image_id", F.lit(".png")).alias("path"))
     out = scratch.folder(c.spark, "preds")
     sinks.predictions(rows).write.json(out)
     return c.spark.read.schema("image_path STRING, pred DOUBLE").json(out)

@@ -38,7 +38,7 @@ def join_manifest_owner(c):
     FROM (SELECT doc_id, avg(conf) AS p FROM tokens GROUP BY doc_id) t JOIN shipped s ON s.vec_id = t.doc_id AND s.variant = 'clean' JOIN contents k USING (image_id)""")
 def join_inner_eval(c):
     text = c.tokens().groupBy("doc_id").agg(F.avg("conf").alias("p"))
-    img = c.shipped().where("variant = 'clean'").select(F.col("vec_id").alias("doc_id"), "pred", "content", "label")
+    img = c.shipped(variants=["clean"]).select(F.col("vec_id").alias("doc_id"), "pred", "content", "label")
     return text.join(img, "doc_id").select("doc_id", r6("pred").alias("shipped"), "content", r6("p").alias("text_score"), "label")
 
 
@@ -212,11 +212,11 @@ def win_top_text(c):
         "doc_id", "pos", r6("conf").alias("conf"))
 
 
-@query("win_cum_threshold", """SELECT source, t, round(sum(p) OVER w / nullif(sum(p) OVER (PARTITION BY source), 0)::DOUBLE, 6) AS tpr,
+@query("win_cum_threshold", """SELECT source, round(t, 6) AS t, round(sum(p) OVER w / nullif(sum(p) OVER (PARTITION BY source), 0)::DOUBLE, 6) AS tpr,
       round(sum(n) OVER w / nullif(sum(n) OVER (PARTITION BY source), 0)::DOUBLE, 6) AS fpr FROM (
-      SELECT source, round_even(pred, 4) AS t, sum(label) AS p, sum(1 - label) AS n FROM shipped WHERE starts_with(split, 'test') GROUP BY 1, 2) WINDOW w AS (PARTITION BY source ORDER BY t DESC)""")
+      SELECT source, pred AS t, sum(label) AS p, sum(1 - label) AS n FROM shipped WHERE starts_with(split, 'test') GROUP BY 1, 2) WINDOW w AS (PARTITION BY source ORDER BY t DESC)""")
 def win_cum_threshold(c):
-    return mt.roc_points(evalset(c), "source", "pred").select("source", "t", r6("tpr").alias("tpr"), r6("fpr").alias("fpr"))
+    return mt.roc_points(evalset(c), "source", "pred").select("source", r6("t").alias("t"), r6("tpr").alias("tpr"), r6("fpr").alias("fpr"))
 
 
 SRC_CURVE = CURVE.replace("(SELECT t,", "(SELECT source, t,").replace("GROUP BY t)", "GROUP BY source, t)")
@@ -264,7 +264,7 @@ def srt_worst_chains(c):
       ELSE 'correct (near miss)' END AS kind FROM (SELECT *, CASE WHEN label = 0 THEN pred ELSE 1 - pred END AS wrong FROM shipped WHERE variant = 'clean' AND starts_with(split, 'test'))
     ORDER BY round(wrong, 9) DESC, image_id LIMIT 5""")
 def srt_confident_errors(c):
-    df = evalset(c).where("variant = 'clean'").withColumn("wrong", F.expr("IF(label = 0, pred, 1 - pred)"))
+    df = evalset(c, ["clean"]).withColumn("wrong", F.expr("IF(label = 0, pred, 1 - pred)"))
     kind = F.expr("IF((pred >= 0.5D) = (label = 0), IF(label = 0, 'false positive', 'false negative'), 'correct (near miss)')")
     return df.orderBy(F.desc(F.round("wrong", 9)), "image_id").limit(5).select("image_id", "label", r6("wrong").alias("wrong"), kind.alias("kind"))
 
@@ -307,12 +307,12 @@ def srt_drop_rows(c):
             .orderBy(F.desc("mean_change"), "variant"))
 
 
-@query("win_hard_negatives", """WITH n AS (SELECT image_id, variant, round_even(pred, 4) AS p FROM shipped WHERE label = 0 AND split = 'train')
-    SELECT image_id, variant, p, unnest(range(0, CASE WHEN p >= (SELECT quantile_cont(p, 0.9) FROM n) THEN 3 ELSE 1 END))::INT AS copy FROM n""")
+@query("win_hard_negatives", """WITH n AS (SELECT image_id, variant, pred AS p FROM shipped WHERE label = 0 AND split = 'train')
+    SELECT image_id, variant, round(p, 6) AS p, unnest(range(0, CASE WHEN p >= (SELECT quantile_cont(p, 0.9) FROM n) THEN 3 ELSE 1 END))::INT AS copy FROM n""")
 def win_hard_negatives(c):
     from mediaguard.plans.fit import hard_negatives
-    neg = c.shipped("split = 'train' AND label = 0").select("image_id", "variant", F.bround("pred", 4).alias("p"))
-    return hard_negatives(neg, "p", 0.9, 3)
+    neg = c.shipped("split = 'train' AND label = 0").select("image_id", "variant", F.col("pred").alias("p"))
+    return hard_negatives(neg, "p", 0.9, 3).withColumn("p", r6("p"))
 
 
 # ---------------------------------------------------------------- set operations
@@ -393,10 +393,10 @@ def gov_label_sanity(c):
         ((F.count(F.lit(1)) >= 300) & (F.min("label") == F.max("label"))).alias("suspicious"))
 
 
-@query("gov_shortcut", """WITH tr AS (SELECT source, label, lang FROM (SELECT d.source, l.quality AS label, d.lang FROM documents d JOIN labels l USING (doc_id))),
-    per AS (SELECT source, lang, count(*) AS n, min(label) AS lo, max(label) AS hi FROM tr GROUP BY 1, 2),
-    src AS (SELECT source, sum(n)::BIGINT AS n, max(n) AS top, min(lo) AS lo, max(hi) AS hi FROM per GROUP BY source)
-    SELECT source, lo = hi AND n / (SELECT sum(n) FROM src)::DOUBLE > 0.3 OR top / n::DOUBLE >= 0.75 AS fails FROM src""")
+@query("gov_shortcut", """WITH tr AS (SELECT d.source, l.quality AS label, d.lang FROM documents d JOIN labels l USING (doc_id)),
+    src AS (SELECT source, count(*) AS n, min(label) AS lo, max(label) AS hi FROM tr GROUP BY source)
+    SELECT 'source' AS scope, source AS name, lo = hi AND n / (SELECT sum(n) FROM src)::DOUBLE > 0.3 AS fails FROM src
+    UNION ALL SELECT 'format', lang, greatest(sum(label), sum(1 - label)) / count(*)::DOUBLE >= 0.75 FROM tr GROUP BY lang""")
 def gov_shortcut(c):
     rows = c.table("documents").join(c.table("labels"), "doc_id").select("source", F.col("quality").alias("label"), "lang", F.lit("train").alias("split"))
-    return gov.shortcut_risk(rows, "lang").selectExpr("source", "label_risk OR format_risk AS fails")
+    return gov.shortcut_risk(rows, "lang").selectExpr("scope", "name", "risk AS fails")

@@ -13,7 +13,7 @@ CLEAN = "(SELECT * FROM shipped WHERE variant = 'clean')"
 
 
 def clean(c, where=None):
-    return c.shipped(where).where("variant = 'clean'")
+    return c.shipped(where, variants=["clean"])
 
 
 @query("fn_content_id", "SELECT doc_id, substr(sha256(text), 1, 16) AS content_id FROM documents")

@@ -51,6 +51,7 @@ IMAGE_EXTENSIONS = ["jpg", "jpeg", "png", "webp", "bmp"]
 
 # Path prefixes that may never feed training.
 FORBIDDEN_ANYWHERE = "val2017"
+FORBIDDEN_PREFIXES = ["DALLE/Advanced/DALLE3"]
 
 # Geometry limits.
 MIN_FACE_PX = 64

@@ -159,15 +159,19 @@ def require_green(rows: DataFrame) -> None:
         raise ValueError("gates failed: " + ", ".join(f"{r.gate}={r.violations}" for r in bad))
 
 
-def shortcut_risk(rows: DataFrame, fmt: str, share: float = 0.30, fmt_share: float = 0.75) -> DataFrame:
-    """Per source: one label and a large share of training, or one format nearly everywhere."""
+def shortcut_risk(rows: DataFrame, fmt: str, share: float = 0.30, one_label: float = 0.75) -> DataFrame:
+    """What could stand in for the label in training: (scope, name, n, share, risk).
+
+    A source is a risk if it has one label and more than ``share`` of the training rows; a file
+    format is one if one label has ``one_label`` or more of its rows.
+    """
     tr = rows.where(F.col("split") == "train")
-    per = tr.groupBy("source", fmt).agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"),
-                                        F.max("label").alias("hi"))
-    src = per.groupBy("source").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.min("lo").alias("lo"),
-                                    F.max("hi").alias("hi"))
+    per = tr.groupBy("source", F.col(fmt).alias("fmt"), "label").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(W.partitionBy(F.lit(0)))
-    return src.select("source", "n", (F.col("n") / total).alias("train_share"),
-                      (F.col("top") / F.col("n")).alias("format_share"),
-                      ((F.col("lo") == F.col("hi")) & (F.col("n") / total > share)).alias("label_risk"),
-                      (F.col("top") / F.col("n") >= fmt_share).alias("format_risk"))
+    src = per.groupBy("source").agg(F.sum("n").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    src = src.withColumn("share", F.col("n") / total).select(
+        F.lit("source").alias("scope"), F.col("source").alias("name"), "n", "share", ((F.col("lo") == F.col("hi")) & (F.col("share") > share)).alias("risk"))
+    form = per.groupBy("fmt", "label").agg(F.sum("n").alias("n")).groupBy("fmt").agg(F.sum("n").alias("n"), F.max("n").alias("top"))
+    form = form.withColumn("share", F.col("top") / F.col("n")).select(
+        F.lit("format").alias("scope"), F.col("fmt").alias("name"), "n", "share", (F.col("share") >= one_label).alias("risk"))
+    return src.unionByName(form)

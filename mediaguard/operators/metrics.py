@@ -1,14 +1,14 @@
 """Ranking, threshold and calibration metrics as grouped jobs.
 
-Every ordered step works on scores that were first summed per (group, score).  Where the
-number of distinct scores is unbounded the ordered step is range-partitioned, so one large
-group spreads over many tasks; where scores are the emitted 4-decimal values there are at
-most 10,001 of them per group.
+Every ordered step works on scores that were first summed per (group, score) and is
+range-partitioned, so one large group spreads over many tasks.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from mediaguard.operators.lineage import cut_lineage
+
 
 def _keys(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
@@ -189,20 +189,46 @@ def histogram(df: DataFrame, by, score: str, bins: int = 45) -> DataFrame:
     return df.groupBy(*_keys(by), b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def roc_points(df: DataFrame, by, score: str, label: str = "label", decimals: int = 4) -> DataFrame:
-    """TPR and FPR at every emitted score, highest first.
+def running_counts(df: DataFrame, by, score: str, label: str | None = "label") -> DataFrame:
+    """Per (group, distinct score): ``_pos`` and ``_neg``, their sums at or below it (``_pos_upto``, ``_neg_upto``)
+    and in the group (``_pos_all``, ``_neg_all``).
 
-    Scores are taken at the emitted precision, which bounds the points of a group.
+    The distinct scores are range-partitioned by (group, score) and written once; sums run inside
+    a range and start from those of the ranges before, of which there are as many as
+    partitions.  No group is sorted in one task.  Without a label every row counts as positive.
     """
     by = _keys(by)
-    counts = score_counts(df.withColumn("_e", F.bround(score, decimals)), by, "_e", label)
-    key = by or [F.lit(0)]
-    w = W.partitionBy(*key).orderBy(F.desc("_s"))
-    tot = W.partitionBy(*key)
-    return counts.select(
-        *by, F.col("_s").alias("t"),
-        safe_div(F.sum("_pos").over(w), F.sum("_pos").over(tot)).alias("tpr"),
-        safe_div(F.sum("_neg").over(w), F.sum("_neg").over(tot)).alias("fpr"))
+    rows = df.where(F.col(score).isNotNull())
+    counts = score_counts(rows if label else rows.withColumn("_one", F.lit(1)), by, score, label or "_one")
+    ranged = cut_lineage(counts.repartitionByRange(*by, "_s").withColumn("_part", F.spark_partition_id()))
+    key = W.partitionBy(*(by or [F.lit(0)]))
+    before = key.orderBy("_lo").rowsBetween(W.unboundedPreceding, -1)
+    sums = ranged.groupBy(*by, "_part").agg(F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"), F.min("_s").alias("_lo"))
+    starts = sums.select(*by, "_part", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"{c}_from") for c in ("_p", "_n")],
+                         F.sum("_p").over(key).alias("_pos_all"), F.sum("_n").over(key).alias("_neg_all"))
+    inside = W.partitionBy(*by, "_part").orderBy("_s").rowsBetween(W.unboundedPreceding, 0)
+    run = ranged.withColumns({"_pos_upto": F.sum("_pos").over(inside), "_neg_upto": F.sum("_neg").over(inside)})
+    joined = run.join(starts.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("_part").alias("_k_part"), "_p_from", "_n_from", "_pos_all", "_neg_all"),
+                      [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by] + [F.col("_part") == F.col("_k_part")])
+    return joined.select(*by, "_s", "_pos", "_neg", (F.col("_pos_upto") + F.col("_p_from")).alias("_pos_upto"),
+                         (F.col("_neg_upto") + F.col("_n_from")).alias("_neg_upto"), "_pos_all", "_neg_all")
+
+
+def quantiles(df: DataFrame, by, score: str, points: dict[str, float]) -> DataFrame:
+    """Exact quantiles per group, linear between neighbours; one column for each point."""
+    run = running_counts(df, by, score, None)
+    first, place = F.col("_pos_upto") - F.col("_pos"), lambda q: (F.col("_pos_all") - 1) * F.lit(q)
+    at = lambda rank: F.max(F.when((first <= rank) & (rank < F.col("_pos_upto")), F.col("_s")))
+    part = lambda q: F.max(place(q) - F.floor(place(q)))
+    return run.groupBy(*_keys(by)).agg(*[
+        (at(F.floor(place(q))) + (at(F.ceil(place(q))) - at(F.floor(place(q)))) * part(q)).alias(n) for n, q in points.items()])
+
+
+def roc_points(df: DataFrame, by, score: str, label: str = "label") -> DataFrame:
+    """TPR and FPR at every distinct score: the shares at or above it."""
+    run = running_counts(df, by, score, label)
+    above = lambda c: safe_div(F.col(f"{c}_all") - F.col(f"{c}_upto") + F.col(c), F.col(f"{c}_all"))
+    return run.select(*_keys(by), F.col("_s").alias("t"), above("_pos").alias("tpr"), above("_neg").alias("fpr"))
 
 
 def tpr_at_fpr(df: DataFrame, by, score: str, target: float = 0.01, label: str = "label") -> DataFrame:

@@ -87,22 +87,24 @@ class Corpus:
         """Content class of each image."""
         return vj.classify(self.items(where).select("image_id", "x"), self.models())
 
-    def scored(self, where: str | None = None, keep_x: bool = False) -> DataFrame:
-        """Branch logits of every image under every setting.  ``where`` filters the images."""
-        return vj.score_grid(self.items(where).select(*META, "code", "x"), self.models(), keep_x=keep_x)
+    def scored(self, where: str | None = None, keep_x: bool = False, variants: list[str] | None = None) -> DataFrame:
+        """Branch logits of every image under every setting, or under ``variants`` only: a filter behind
+        the scoring stage would come too late.  ``where`` filters the images."""
+        some = [s for s in vj.SETTINGS if variants is None or s[3] in variants]
+        return vj.score_grid(self.items(where).select(*META, "code", "x"), self.models(), some, keep_x=keep_x)
 
-    def branches(self, where: str | None = None, keep_x: bool = False) -> DataFrame:
+    def branches(self, where: str | None = None, keep_x: bool = False, variants: list[str] | None = None) -> DataFrame:
         """Adds face and spectral results, null where that branch measured nothing."""
-        df = self.scored(where, keep_x).selectExpr(
+        df = self.scored(where, keep_x, variants).selectExpr(
             "*", "h8 % 3 = 0 AND (h8 + idx * 7) % 11 <> 0 AS has_face", "cast(64 + h8b % 549 AS double) AS face_px")
         return df.selectExpr(
             "*", f"CASE WHEN has_face THEN 0.8D * general + 0.3D * (log2(face_px) - {FACE_MU}D) / {FACE_SD}D - 0.4D END AS face",
             "CASE WHEN h8b % 4 <> 0 THEN round(20 * (abs_lo - abs_hi), 9) END AS spectral",
             "CASE WHEN h8b % 4 <> 0 THEN 1 / (1 + exp(-40 * (0.1D - (abs_lo + abs_hi) / 2))) END AS degradation_estimate")
 
-    def shipped(self, where: str | None = None, keep_x: bool = False) -> DataFrame:
+    def shipped(self, where: str | None = None, keep_x: bool = False, variants: list[str] | None = None) -> DataFrame:
         """Adds the emitted score and each branch on the emitted scale."""
-        return self.branches(where, keep_x).select(
+        return self.branches(where, keep_x, variants).select(
             "*", scores.shifted("general").alias("p_general"), scores.shifted("tampered").alias("p_tampered"),
             scores.shifted("face").alias("p_face"),
             scores.shipped("general", "tampered", scores.shifted("face")).alias("pred"))

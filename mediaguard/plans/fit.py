@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from mediaguard import fixed
 from mediaguard.functions import ids, scores
+from mediaguard.operators import metrics as mt
 from mediaguard.operators.vector_jobs import Linear
 
 
@@ -27,8 +28,8 @@ def family_folds(rows: DataFrame) -> DataFrame:
 
 
 def hard_negatives(neg: DataFrame, score: str, quantile: float = 0.9, copies: int = 3) -> DataFrame:
-    """Negatives with the top slice repeated; ``score`` carries four decimals."""
-    cut = neg.agg(F.percentile(score, quantile).alias("q")).first()["q"]
+    """Negatives with the top slice repeated."""
+    cut = mt.quantiles(neg, [], score, {"q": quantile}).first()["q"]
     n = F.when(F.col(score) >= cut, copies).otherwise(1)
     return neg.withColumn("copy", F.explode(F.sequence(F.lit(0), n - 1)))
 

@@ -1,18 +1,45 @@
 """Decoding of image files with Spark's own readers."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mediaguard.sources.listing import is_image
+from mediaguard.sources.listing import extension, images, is_image
 
 RASTER = "struct<height:int,width:int,nChannels:int,data:binary>"
 
 
+def _rgb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The image source keeps blue, green, red (and alpha); turn them to red, green, blue."""
+    for b in batches:
+        for i in range(b.num_rows):
+            r = b["raster"][i].as_py()
+            n = r["nChannels"]
+            if n >= 3:
+                px = np.frombuffer(r["data"], np.uint8).reshape(-1, n)
+                r.update(nChannels=3, data=np.ascontiguousarray(px[:, 2::-1]).tobytes())
+            yield pa.RecordBatch.from_pylist([{"path": b["path"][i].as_py(), "raster": r}], b.schema)
+
+
+def undecoded(spark: SparkSession, root: str) -> DataFrame:
+    """Per extension: image files listed and how many of them no reader of this session decodes
+    (corrupt files, and whole formats such as WebP that the JDK has no reader for)."""
+    bare = F.regexp_replace("path", "^[a-z]+:/+", "/").alias("path")  # readers write the scheme in their own ways
+    ok = decode_files(spark, root).select(bare).withColumn("ok", F.lit(True))
+    every = images(spark, root).select(bare)
+    return every.join(ok, "path", "left").groupBy(extension(F.col("path")).alias("extension")).agg(
+        F.count(F.lit(1)).alias("files"), F.count_if(F.col("ok").isNull()).alias("undecoded"))
+
+
 def decode_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, raster) of every decodable image below ``root``; a corrupt file is left out."""
+    """(path, raster) of every decodable image below ``root``, channels in red, green, blue; ``undecoded`` counts the others."""
     df = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True).load(root)
-    return df.select(F.col("image.origin").alias("path"), F.struct(
+    found = df.select(F.col("image.origin").alias("path"), F.struct(
         "image.height", "image.width", "image.nChannels", "image.data").cast(RASTER).alias("raster")).where(is_image(F.col("path")))
+    return found.mapInArrow(_rgb, found.schema)
 
 
 def checked(df: DataFrame, raster: str = "raster") -> DataFrame:

@@ -24,14 +24,15 @@ def is_image(path: Column) -> Column:
     return extension(path).isin(fixed.IMAGE_EXTENSIONS)
 
 
-def refused(path: Column, anywhere: str = fixed.FORBIDDEN_ANYWHERE, prefixes: list[str] = ()) -> Column:
+def refused(path: Column, anywhere: str = fixed.FORBIDDEN_ANYWHERE, prefixes: list[str] = fixed.FORBIDDEN_PREFIXES) -> Column:
     """True for a path that may not feed training: a forbidden word anywhere or at its start."""
     return reduce(lambda a, p: a | path.startswith(p), prefixes, path.contains(anywhere))
 
 
-def check_fetch(plan: DataFrame, path: str, prefixes: list[str] = ()) -> None:
-    """Raise when a training fetch plan holds a refused path; one row is read."""
-    hit = plan.where(refused(F.col(path), prefixes=prefixes)).limit(1).collect()
+def check_fetch(plan: DataFrame, path: str, prefixes: list[str] = fixed.FORBIDDEN_PREFIXES, url: str | None = None) -> None:
+    """Raise when a training fetch plan holds a refused path, or a URL with the forbidden word; one row is read."""
+    bad = refused(F.col(path), prefixes=prefixes)
+    hit = plan.where(bad | F.col(url).contains(fixed.FORBIDDEN_ANYWHERE) if url else bad).limit(1).collect()
     if hit:
         raise ValueError(f"refused for training: {hit[0][path]}")
 

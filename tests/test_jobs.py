@@ -157,8 +157,17 @@ def test_spectral_features_see_noise(spark):
     flat, noise = np.full((64, 64, 3), 127, np.uint8), image(64, 64)
     got = [np.array(r.spectral) for r in ra.spectral_table(table(spark, [flat, noise]), n=32).orderBy("image_id").collect()]
     assert got[0].shape == (8,) and np.isfinite(got).all() and got[1][:5].mean() > got[0][:5].mean()
-    small = ra.spectral_features(np.random.default_rng(0).random((20, 9)), 32)
-    assert np.isfinite(small).all()
+    grey = np.random.default_rng(0).random((40, 300))
+    kernel = ra.Spectrum(128)
+    own = kernel.window(grey)
+    assert own.shape == (128, 128) and (own[40:80] == own[:40][::-1]).all() and (own[:40] == grey[:, 86:214]).all()
+    c, yx = 64, np.indices((128, 128)) - 64
+    near = np.pad(own, 1, mode="edge")
+    rest = own - np.array([[np.median(near[i:i + 3, j:j + 3]) for j in range(128)] for i in range(128)])
+    power, r = np.fft.fftshift(np.log1p(np.abs(np.fft.fft2(rest)))), np.hypot(*yx) / c
+    bands = [power[(r * 5).astype(int).clip(0, 4) == k].mean() for k in range(5)]
+    want = [*bands, power[r > 0.25].max() / np.median(power), power[np.ix_([64, 96], [64, 96])].mean() / np.median(power), np.polyfit(range(5), bands, 1)[0]]
+    assert np.allclose(kernel(own[None])[0], want)
 
 
 def test_image_files_are_listed_and_decoded(spark, tmp_path):
@@ -176,6 +185,9 @@ def test_image_files_are_listed_and_decoded(spark, tmp_path):
     ok = images.decode_files(spark, str(tmp_path)).collect()
     assert sorted(r.path.split("/")[-1] for r in ok) == ["a.png", "b.PNG"]
     assert (ok[0].raster.height, ok[0].raster.width, ok[0].raster.nChannels, len(ok[0].raster.data)) == (3, 2, 3, 18)
+    assert bytes(ok[0].raster.data) == bytes(range(6)) * 3  # red, green, blue as in the file
+    lost = {r.extension: (r.files, r.undecoded) for r in images.undecoded(spark, str(tmp_path)).collect()}
+    assert lost == {"png": (2, 0), "jpeg": (1, 1), "webp": (1, 1), "bmp": (1, 1)}
     df = table(spark, [image(4, 4)]).unionByName(spark.createDataFrame([("x", (4, 4, 3, bytearray(b"12")))], table(spark, [image(1, 1)]).schema))
     kept, seen = images.decoded(df)
     assert kept.count() == 1 and seen.get["skipped"] == 1

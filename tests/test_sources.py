@@ -60,6 +60,9 @@ def test_quarantined_fetch_is_refused(spark):
     with pytest.raises(ValueError, match="refused"):
         listing.check_fetch(bad, "path")
     listing.check_fetch(spark.createDataFrame([("coco/train2017/1.jpg",)], "path STRING"), "path")
+    for row in (("DALLE/Advanced/DALLE3/1.png", "u"), ("x/1.png", "http://h/val2017.zip")):
+        with pytest.raises(ValueError):
+            listing.check_fetch(spark.createDataFrame([row], "path STRING, url STRING"), "path", url="url")
 
 
 def test_models_by_version(spark, tmp_path):
