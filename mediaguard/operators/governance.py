@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from mediaguard import fixed
 from mediaguard.functions import ids
+from mediaguard.operators.sampling import top_n
 
 N_VARIANTS = len(fixed.GRID) + 1
 
@@ -28,20 +29,16 @@ def split_rank(split, parity: bool = True) -> Column:
 def resolve_splits(rows: DataFrame, parity: bool = True) -> DataFrame:
     """One split per image, the highest priority wins; rows of other splits are dropped.
 
-    Only the winner per image is aggregated, which combines map-side, so an image with very
-    many rows costs nothing extra; the rows then meet their winner in one equi-join.
+    The distinct splits per image, which combine map-side, are ranked; the rows then meet their
+    image's winner in one equi-join.
     """
-    keep = rows.groupBy("image_id").agg(
-        F.min(F.struct(split_rank("split", parity).alias("r"), F.col("split").alias("s"))).alias("w"))
-    return rows.join(keep.select("image_id", F.col("w.s").alias("split")), ["image_id", "split"], "left_semi")
+    keep = top_n(rows.select("image_id", "split").distinct(), ["image_id"], [split_rank("split", parity).asc(), F.asc("split")], 1)
+    return rows.join(keep, ["image_id", "split"], "left_semi")
 
 
 def dedupe_key(rows: DataFrame, order: str = "file_ord") -> DataFrame:
-    """First row per (image, variant) in file order, by an aggregate rather than a sort."""
-    cols = [c for c in rows.columns if c not in ("image_id", "variant")]
-    packed = F.struct(*[F.col(c) for c in cols])
-    return (rows.groupBy("image_id", "variant").agg(F.min_by(packed, F.col(order)).alias("r"))
-            .select("image_id", "variant", "r.*").select(*rows.columns))
+    """First row per (image, variant) in file order; each task sends one row per key at most."""
+    return top_n(rows, ["image_id", "variant"], [F.asc(order)], 1)
 
 
 def carve(rows: DataFrame, source: str, generators: list[str], real_one_in: int = 3) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from mediaguard import fixed
 from mediaguard.functions import ids
+from mediaguard.operators.sampling import top_n
 
 KEY = ["image_id", "variant"]
 
@@ -53,9 +54,8 @@ def base_source(col) -> Column:
 
 def manifest_owner(rows: DataFrame, manifest: DataFrame) -> DataFrame:
     """Keep rows whose image is unseen or owned by their own source; adopt its split."""
-    owner = manifest.groupBy("image_id").agg(
-        F.min_by(F.struct(F.col("source").alias("own_source"), F.col("split").alias("own_split")),
-                 F.struct("source", "split")).alias("o")).select("image_id", "o.*")
+    owner = top_n(manifest.select("image_id", F.col("source").alias("own_source"), F.col("split").alias("own_split")).distinct(),
+                  ["image_id"], [F.asc("own_source"), F.asc("own_split")], 1)
     j = rows.join(owner, "image_id", "left")
     keep = F.col("own_source").isNull() | (F.col("own_source") == base_source(F.col("source")))
     return (j.where(keep).withColumn("split", F.coalesce("own_split", "split"))

@@ -14,10 +14,8 @@ def top_n(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFram
 
 
 def largest(df: DataFrame, by: list[str], size: Column, tie: Column) -> DataFrame:
-    """Row with the greatest size per group; the least ``tie`` wins.  Combines map-side."""
-    packed = F.struct(*[F.col(c) for c in df.columns if c not in by])
-    return (df.groupBy(*by).agg(F.max_by(packed, F.struct(size.alias("s"), (-tie).alias("t"))).alias("r"))
-            .select(*by, "r.*"))
+    """Row with the greatest size per group; the least ``tie`` wins."""
+    return top_n(df, by, [size.desc_nulls_last(), tie.asc()], 1)
 
 
 def global_rank(df: DataFrame, order: str, out: str) -> DataFrame:
