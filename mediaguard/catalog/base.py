@@ -168,6 +168,10 @@ TABLES: dict[str, str] = {
         SELECT * EXCLUDE (split), CASE WHEN source = 'ood_eval' AND ((label = 1 AND generator IN ('g6', 'g7'))
                OR (label = 0 AND ('0x' || substr(image_id, 1, 8))::BIGINT % 3 = 0)) THEN 'calib_ood' ELSE split END AS split
         FROM deduped""",
+    # the manifest with violations: images of training in evaluation and the reverse, both sides of the carve, a missing variant
+    "planted": """
+        SELECT * EXCLUDE (split), CASE h % 11 WHEN 1 THEN 'train' WHEN 2 THEN 'calib_ood' WHEN 3 THEN CASE WHEN variant = 'clean' THEN 'test_ood' ELSE split END ELSE split END AS split
+        FROM (SELECT *, ('0x' || substr(image_id, 9, 8))::BIGINT AS h FROM manifest) WHERE NOT (h % 11 = 4 AND variant = 'noise01') AND NOT (h % 11 > 4 AND label = 0 AND split = 'train')""",
     "frames": """
         SELECT user_id AS video_id, event_id AS frame_id, ts, epoch(ts) AS t, value / (value + 20) AS raw,
                round_even(value / (value + 20), 4) AS confidence,
@@ -211,7 +215,7 @@ TABLES: dict[str, str] = {
 }
 
 _HEAVY = {"items", "probes", "protos", "grid", "scored", "branches", "shipped", "raw_rows", "ranked_rows",
-          "resolved", "deduped", "manifest", "tokens", "sampled", "contents", "chains", "chain2", "faces", "prov_fields"}
+          "resolved", "deduped", "manifest", "planted", "tokens", "sampled", "contents", "chains", "chain2", "faces", "prov_fields"}
 
 
 def with_tables(body: str) -> str:

@@ -354,8 +354,28 @@ def set_partition_check(c):
 
 # ---------------------------------------------------------------- governance
 
-def _gate(key, fn, sql, rows=lambda c: c.manifest()):
-    query(key, sql)(lambda c: fn(rows(c)))
+GATES: list[str] = []
+
+
+def planted(manifest: DataFrame) -> DataFrame:
+    """The manifest with violations of every gate."""
+    h, variant = F.conv(F.substring("image_id", 9, 8), 16, 10).cast("long") % 11, F.col("variant")
+    split = (F.when(h == 1, "train").when(h == 2, "calib_ood").when((h == 3) & (variant == "clean"), "test_ood").otherwise(F.col("split")))
+    kept = manifest.where(~((h == 4) & (variant == "noise01")) & ~((h > 4) & (F.col("label") == 0) & (F.col("split") == "train")))
+    return kept.withColumn("split", split)
+
+
+def _gate(key, fn, sql, rows=None):
+    """A gate on the manifest as built and on one with planted violations, or on ``rows``."""
+    if rows is not None:
+        query(key, sql)(lambda c: fn(rows(c)))
+        return
+    GATES.append(sql)
+    query(key, both(sql))(lambda c: fn(c.manifest()).withColumn("scope", F.lit("manifest")).unionByName(fn(planted(c.manifest())).withColumn("scope", F.lit("planted"))))
+
+
+def both(sql: str) -> str:
+    return f"SELECT *, 'manifest' AS scope FROM ({sql}) UNION ALL SELECT *, 'planted' AS scope FROM ({sql.replace('FROM manifest', 'FROM planted')})"
 
 
 _gate("gov_quarantine", gov.gate_quarantine, "SELECT 'quarantine' AS gate, CASE WHEN count(*) = 0 THEN 1 ELSE count(*) FILTER (split <> 'test_organizer') END AS violations FROM manifest WHERE source = 'organizer_val'")
@@ -378,12 +398,13 @@ def gov_carve(c):
     return c.manifest().groupBy("source", "generator", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("gov_all", """SELECT 'all' AS scope, count(*) FILTER (split NOT IN ('test_ood', 'calib_ood') AND source = 'ood_eval') + count(*) FILTER (split <> 'calib' AND source = 'core_calib')
-    + count(*) FILTER (split <> 'test_organizer' AND source = 'organizer_val') AS row_violations FROM manifest""")
+ONE_SPLIT = "SELECT 'one_split' AS gate, count(*) AS violations FROM (SELECT image_id FROM manifest GROUP BY image_id HAVING min(split) <> max(split))"
+
+
+@query("gov_all", both(" UNION ALL ".join(f"({x})" for x in [*GATES, ONE_SPLIT])))
 def gov_all(c):
-    g = gov.all_gates(c.manifest())
-    return g.where("gate IN ('ood_only', 'calib_only', 'quarantine')").agg(F.sum("violations").alias("row_violations")).select(
-        F.lit("all").alias("scope"), "row_violations")
+    m = c.manifest()
+    return gov.all_gates(m).withColumn("scope", F.lit("manifest")).unionByName(gov.all_gates(planted(m)).withColumn("scope", F.lit("planted")))
 
 
 @query("gov_label_sanity", """SELECT source, count(*) AS usable, count(*) FILTER (label = 0) AS reals, count(*) FILTER (label = 1) AS ai, count(*) >= 300 AND min(label) = max(label) AS suspicious FROM raw_rows GROUP BY source""")
