@@ -585,8 +585,7 @@ def agg_source_facts(c):
 
 @query("agg_model_size", """SELECT CASE code WHEN 1 THEN 'general' ELSE 'tampered' END AS branch, len(w) + 1 AS stored_numbers, (SELECT sum(len(w) + 1)::BIGINT FROM probes) AS total FROM probes""")
 def agg_model_size(c):
-    from mediaguard.sources.models import models_table
-    t = models_table(c.spark, c.models())
+    t = c.model_rows()
     size = F.size("w") + 1 + F.size("stats")
     return t.select("branch", size.cast("long").alias("stored_numbers"), F.sum(size).over(W.partitionBy(F.lit(0))).alias("total"))
 

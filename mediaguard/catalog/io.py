@@ -142,7 +142,7 @@ def _model_rows(df):
 @query("sink_models", MODEL_SQL)
 def sink_models(c):
     out = scratch.folder(c.spark, "models")
-    md.write(md.models_table(c.spark, c.models()), out)
+    md.write(c.model_rows(), out)
     return _model_rows(c.spark.read.schema(md.SCHEMA).parquet(out))
 
 
@@ -150,7 +150,7 @@ def sink_models(c):
 def src_models(c):
     out = scratch.folder(c.spark, "models")
     for v in ("v1", "v2"):
-        md.write(md.models_table(c.spark, c.models(), v), out)
+        md.write(c.model_rows(v), out)
     return _model_rows(md.read(c.spark, out, "v2"))
 
 

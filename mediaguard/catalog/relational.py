@@ -294,8 +294,7 @@ def srt_stable_errors(c):
 @query("srt_weights", """SELECT branch, i, round(12 * v, 6) AS coefficient, row_number() OVER (PARTITION BY branch ORDER BY round(abs(v), 12) DESC, i) AS rank FROM (
     SELECT CASE code WHEN 1 THEN 'general' ELSE 'tampered' END AS branch, unnest(range(0, 64)) AS i, unnest(w) AS v FROM probes)""")
 def srt_weights(c):
-    from mediaguard.sources.models import models_table
-    w = models_table(c.spark, c.models()).select("branch", F.posexplode("w").alias("i", "v"))
+    w = c.model_rows().select("branch", F.posexplode("w").alias("i", "v"))
     return w.select("branch", "i", r6("v").alias("coefficient"), F.row_number().over(
         W.partitionBy("branch").orderBy(F.desc(F.round(F.abs("v") / 12, 12)), "i")).alias("rank"))
 

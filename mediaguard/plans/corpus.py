@@ -83,6 +83,17 @@ class Corpus:
             _MODELS[key] = vj.Models(probes, protos, tuple(fixed.CONTENT_CLASSES))
         return _MODELS[key]
 
+    def model_rows(self, version: str = "v1") -> DataFrame:
+        """The probes as rows of the models table, worked out from the training vectors in the plan itself."""
+        means = vj.group_means(self.items("split = 'train'"), ["code"])
+        wide = means.agg(*[F.any_value(F.when(F.col("code") == k, F.col("mean")), True).alias(f"m{k}") for k in range(3)])
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("branch"), F.col(f"m{k}").alias("g")) for n, k in (("general", 1), ("tampered", 2))]))
+        rows = wide.select("m0", each.alias("p")).selectExpr("p.branch", "p.g", "m0", "zip_with(p.g, m0, (a, r) -> a - r) AS d")
+        rows = rows.selectExpr("branch", "d", "zip_with(g, m0, (a, r) -> (a + r) / 2) AS mid", "sqrt(aggregate(d, 0D, (s, v) -> s + v * v)) AS size")
+        return rows.selectExpr(
+            "branch", f"'{version}' AS version", "transform(d, v -> 12 * v / size) AS w",
+            "-12 * aggregate(zip_with(d, mid, (a, m) -> a * m / size), 0D, (s, v) -> s + v) AS b", "cast(map() AS map<string, double>) AS stats")
+
     def contents(self, where: str | None = None) -> DataFrame:
         """Content class of each image."""
         return vj.classify(self.items(where).select("image_id", "x"), self.models())
