@@ -26,7 +26,7 @@ from pyspark.sql.types import BooleanType
 
 from mediaguard.llm import tokens
 from mediaguard.llm.common import BLANKS, cut
-from mediaguard.llm.links import keep, link, slots
+from mediaguard.llm.links import hits, keep, link, slots
 
 SIZE = 8
 SIMILAR = 0.8
@@ -106,6 +106,27 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate(own).view(np.int64))], ["node", "token"])
 
 
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, n): how many distinct shingles each line (key, norm) has."""
+    with np.errstate(over="ignore"):
+        for b in tokens.pieces(batches, "norm", tokens.BLOCK):
+            h, row = shingles(b["norm"])
+            cuts = tokens.row_starts(row, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b["key"], pa.array([len(np.unique(h[i:j])) for i, j in zip(cuts, cuts[1:])], pa.int64())], ["node", "n"])
+
+
+def _members(held: bytes):
+    """(bucket, node) of the bands that pass a bitmap."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b["bands"].offsets.to_numpy()
+            flat = b["bands"].values.to_numpy(zero_copy_only=False)[at[0]:at[-1]]
+            ok = hits(flat, held)
+            nodes = np.repeat(b["key"].to_numpy(zero_copy_only=False), np.diff(at))
+            yield pa.RecordBatch.from_arrays([pa.array(flat[ok]), pa.array(nodes[ok])], ["bucket", "node"])
+    return run
+
+
 def jaccard(a: str, b: str) -> float:
     if min(len(a), len(b)) < SIZE:
         return float(a == b)
@@ -137,16 +158,16 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         bands = keep(seen.select(F.col("key").alias("node"), "bands"), "node", held).dropDuplicates(["node"])
         norms = cut(keep(flat.select("key", "norm"), "key", held).dropDuplicates(["key"])
                     .join(nodes.withColumnRenamed("node", "key"), "key", "left_semi"), "undecided")
-        flatter = norms.mapInArrow(_sets, "node long, token long")
-        own = (flatter.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("node")).where("df = 1")
+        own = (norms.mapInArrow(_sets, "node long, token long").groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("node")).where("df = 1")
                .groupBy("node").agg(F.count("*").alias("own")))
-        return (flatter.groupBy("node").agg(F.count("*").alias("n")).join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        return (norms.mapInArrow(_sizes, "node long, n long").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
                 .where(f"100 * (n - own) >= {round(100 * SIMILAR)} * n").join(bands, "node"))
 
     # each pair once, in the least of its common buckets
     later = (f"{round(100 + 100 * SIMILAR)} * least(n_a - own_a, n_b - own_b) >= {round(100 * SIMILAR)} * (n_a + n_b)"
              " and bucket = array_min(array_intersect(bands_a, bands_b))")
-    links, parts = link(entries, verify, refine=refine, later=later)
+    links, parts = link(entries, verify, refine=refine, later=later,
+                        members=lambda held: seen.select("key", "bands").mapInArrow(_members(held), "bucket long, node long"))
     named = seen.select("doc_id", "line", "key").join(parts.withColumnRenamed("node", "key"), "key", "left")
     return named.select("doc_id", "line", "key", F.coalesce("component", "key").alias("group")), links
 

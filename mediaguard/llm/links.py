@@ -68,7 +68,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def link(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], may: str = "true",
-         refine: Callable[[DataFrame], DataFrame] | None = None, later: str = "true") -> tuple[DataFrame, DataFrame]:
+         refine: Callable[[DataFrame], DataFrame] | None = None, later: str = "true",
+         members: Callable[[bytes], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Links and components among nodes that share a bucket.
 
     ``entries`` has (bucket, node) and columns that belong to the node; ``may`` is a condition on two nodes' columns, as x_a and x_b,
@@ -77,7 +78,7 @@ def link(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], may: str
     buckets.  Where a bucket still holds several components, its nodes are compared across them: pair by pair if that is at
     most ``DENSE`` pairs for each row left, else with one more node first,
     ``STARS`` times at most.  ``refine`` may add columns to the nodes that get so far, on which ``later`` is a condition like ``may``, and
-    leave out nodes that can link with none of them.
+    leave out nodes that can link with none of them.  ``members`` gives the entries that pass a bitmap of buckets, where that has a shorter way.
     So groups of copies cost rows in proportion to their size, and no pair that could join two components is left out.
     Returns the verified links (a, b) and (node, component) of all nodes but the roots.
     """
@@ -89,7 +90,8 @@ def link(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], may: str
         return both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
     many = cut(entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low < top").select("bucket"), "buckets")
-    live = cut(keep(entries, "bucket", slots(many, "bucket")).join(many, "bucket").distinct(), "live")
+    held = slots(many, "bucket")
+    live = cut((keep(entries, "bucket", held) if members is None else members(held)).join(many, "bucket").distinct(), "live")
     ranked = live if extra else live.join(live.groupBy("node").agg((-F.count("*")).alias("order")), "node")
     pivots = ranked.groupBy("bucket").agg(F.min(F.struct(*(extra or ["order"]), "node")).alias("p"))
     pivots = pivots.select("bucket", *[f"p.{c}" for c in [*extra, "node"]])
