@@ -183,13 +183,16 @@ class Model:
     def __init__(self):
         self.net, self.scale, self.base = Network(), (1.0, 0.0), None
 
-    def inputs(self, w: Words, word_odds: np.ndarray, gram_odds: np.ndarray) -> np.ndarray:
-        """Input vector per distinct word (or per token of a training document, from its own odds)."""
-        grams = self.net.p["gram"][_bin(w.gram, VECTORS)]
-        mean = w.per_word(grams, np.add) / w.counts[:, None]
-        top = w.per_word(gram_odds, np.maximum)
-        return np.concatenate([self.net.p["word"][_bin(w.hash, VECTORS)], mean, word_odds[:, None], top[:, None],
-                               (w.per_word(gram_odds, np.add) / w.counts)[:, None]], axis=1).astype(np.float32)
+    @staticmethod
+    def evidence(w: Words, word_odds: np.ndarray, gram_odds: np.ndarray) -> np.ndarray:
+        """The three evidence values per distinct word."""
+        grams = w.per_word(gram_odds, np.maximum), w.per_word(gram_odds, np.add) / w.counts
+        return np.stack([word_odds, *grams], axis=1).astype(np.float32)
+
+    def inputs(self, w: Words, evidence: np.ndarray) -> np.ndarray:
+        """Input vector per distinct word."""
+        mean = w.per_word(self.net.p["gram"][_bin(w.gram, VECTORS)], np.add) / w.counts[:, None]
+        return np.concatenate([self.net.p["word"][_bin(w.hash, VECTORS)], mean, evidence], axis=1).astype(np.float32)
 
     def fit(self, texts: pa.Array, label: np.ndarray) -> "Model":
         n1, n0 = int(label.sum()), int(len(label) - label.sum())
@@ -221,42 +224,48 @@ class Model:
         mask = inside.astype(np.float32)
         kind = label[row].astype(int)
         strong = np.where(inside, np.where(kind[:, None] > 0, own[1][0][at] + w.per_word(own[1][1], np.maximum)[at], 0), -9).max(axis=1)
+        word_bin, gram_bin = _bin(w.hash, VECTORS), _bin(w.gram, VECTORS)
+        odds = {c: self.evidence(w, *own[c]) for c in (0, 1)}
         r, moment, square, turn = np.random.default_rng(3), {}, {}, 0
         clean = np.flatnonzero(kind == 0)
-        logits = strong
+        logits = strong.astype(np.float32)
         for epoch in range(EPOCHS):
             order = np.lexsort((logits, row))  # the last of each row is its worst window
             worst = order[np.searchsorted(row[order], np.flatnonzero(label > 0), "right") - 1]
-            hard = clean[np.argsort(-logits[clean])[:len(worst)]] if epoch > 2 else clean[:0]
+            hard = clean[np.argsort(-logits[clean])[:len(worst)]] if epoch > 3 else clean[:0]
             use = np.concatenate([worst, r.permutation(clean)[:4 * len(worst)], hard])
             r.shuffle(use)
             for i in range(0, len(use), 128):
                 b = use[i:i + 128]
                 turn += 1
-                table = {c: self.inputs(w, *own[c]) for c in (0, 1)} if i % 512 == 0 else table
-                x = np.where(kind[b][:, None, None] > 0, table[1][at[b]], table[0][at[b]])
+                touched, back = np.unique(at[b].reshape(-1), return_inverse=True)
+                reps = np.diff(w.starts)[touched]
+                ends = np.cumsum(reps)
+                gram = gram_bin[np.repeat(w.starts[touched] - ends + reps, reps) + np.arange(reps.sum())]
+                mean, some = np.zeros((len(touched), WIDTH), np.float32), np.flatnonzero(reps)
+                if len(some):
+                    mean[some] = np.add.reduceat(self.net.p["gram"][gram], (ends - reps)[some], axis=0) / reps[some, None]
+                vectors = np.concatenate([self.net.p["word"][word_bin[touched]], mean], axis=1)[back].reshape(len(b), WINDOW, -1)
+                x = np.concatenate([vectors, np.where(kind[b][:, None, None] > 0, odds[1][at[b]], odds[0][at[b]])], axis=2)
                 weight = np.where(kind[b] > 0, 2.0, 1.0) / len(b)
                 g, dx, _ = self.net.gradient(x, mask[b], kind[b], weight)
                 dx = (dx * mask[b][:, :, None]).reshape(-1, dx.shape[2])
-                to = at[b].reshape(-1)
                 g["word"], g["gram"] = np.zeros_like(self.net.p["word"]), np.zeros_like(self.net.p["gram"])
-                np.add.at(g["word"], _bin(w.hash, VECTORS)[to], dx[:, :WIDTH])
-                touched, back = np.unique(to, return_inverse=True)
-                share = np.zeros((len(touched), WIDTH), np.float32)
-                np.add.at(share, back, dx[:, WIDTH:2 * WIDTH])
-                reps = np.diff(w.starts)[touched]
-                gi = np.repeat(w.starts[touched] - np.cumsum(reps) + reps, reps) + np.arange(reps.sum())
-                np.add.at(g["gram"], _bin(w.gram[gi], VECTORS), np.repeat(share / np.maximum(reps, 1)[:, None], reps, axis=0))
+                share = np.zeros((len(touched), 2 * WIDTH), np.float32)
+                np.add.at(share, back, dx[:, :2 * WIDTH])
+                np.add.at(g["word"], word_bin[touched], share[:, :WIDTH])
+                np.add.at(g["gram"], gram, np.repeat(share[:, WIDTH:] / np.maximum(reps, 1)[:, None], reps, axis=0))
                 for k, v in g.items():
                     moment[k] = 0.9 * moment.get(k, 0) + 0.1 * v
                     square[k] = 0.99 * square.get(k, 0) + 0.01 * v * v
                     self.net.p[k] -= RATE * (moment[k] / (1 - 0.9 ** turn)) / (np.sqrt(square[k] / (1 - 0.99 ** turn)) + 1e-6)
-            logits = np.zeros(len(row), np.float32)
-            table = {c: self.inputs(w, *own[c]) for c in (0, 1)}
-            for i in range(0, len(row), BATCH):
-                s = slice(i, i + BATCH)
-                x = np.where(kind[s][:, None, None] > 0, table[1][at[s]], table[0][at[s]])
-                logits[s] = self.net.logits({k: x @ self.net.p[f"x{k}"] + self.net.p[f"c{k}"] for k in "fb"}, mask[s])
+            # toxic documents' windows each time, all of them every few epochs and at the end
+            again = np.arange(len(row)) if epoch % 5 == 3 or epoch == EPOCHS - 1 else np.flatnonzero(kind)
+            table = {c: self.inputs(w, odds[c]) for c in (0, 1)}
+            for i in range(0, len(again), BATCH):
+                q = again[i:i + BATCH]
+                x = np.where(kind[q][:, None, None] > 0, table[1][at[q]], table[0][at[q]])
+                logits[q] = self.net.logits({k: x @ self.net.p[f"x{k}"] + self.net.p[f"c{k}"] for k in "fb"}, mask[q])
         peak = np.full(len(label), -np.inf)
         np.maximum.at(peak, row, logits)
         self.scale = _calibrate(peak, label)
@@ -268,7 +277,7 @@ class Model:
         if self.base is not None:
             return np.full(len(texts), self.base)
         w = Words(texts)
-        table = self.inputs(w, self.odds[0][_bin(w.hash, EVIDENCE)], self.odds[1][_bin(w.gram, EVIDENCE)])
+        table = self.inputs(w, self.evidence(w, self.odds[0][_bin(w.hash, EVIDENCE)], self.odds[1][_bin(w.gram, EVIDENCE)]))
         table = np.concatenate([table, np.zeros((1, table.shape[1]), np.float32)])
         ready = {k: (table @ self.net.p[f"x{k}"] + self.net.p[f"c{k}"]).astype(np.float32) for k in "fb"}
         first, row = windows(w.rows, len(texts))
