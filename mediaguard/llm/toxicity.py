@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from mediaguard.llm import tokens
 
 WINDOW, STRIDE = 64, 32
-SAMPLE, LONGEST = 1500, 20_000
+SAMPLE, LONGEST = 1000, 20_000
 EVIDENCE, VECTORS, WIDTH, HIDDEN = 1 << 17, 1 << 12, 4, 8
 EPOCHS, RATE = 14, 0.01
 CUTOFF = 0.7
@@ -50,8 +50,8 @@ class Words:
         a, size = a[first], (b - a)[first]
         at = np.concatenate([[0], np.cumsum(size + 2)])
         text = np.full(at[-1], 94, np.uint8)
-        owner = np.repeat(np.arange(len(size)), size + 2)
-        step = np.arange(at[-1]) - at[owner]
+        owner = np.repeat(np.arange(len(size), dtype=np.int32), size + 2)
+        step = (np.arange(at[-1]) - at[owner]).astype(np.int32)
         inner = (step > 0) & (step <= size[owner])
         text[inner] = tokens._LOWER[data[a[owner[inner]] + step[inner] - 1]]
         text[at[1:] - 1] = 36
@@ -65,6 +65,7 @@ class Words:
             grams.append(tokens.mix(g, n))
             owners.append(owner[ok])
         self.gram, self.owner = np.concatenate(grams), np.concatenate(owners)
+        del text, owner, step, inner, codes, grams, owners, ok, g
         order = np.argsort(self.owner, kind="stable")
         self.gram, self.owner = self.gram[order], self.owner[order]
         self.starts = np.searchsorted(self.owner, np.arange(len(self.hash) + 1))
@@ -204,12 +205,16 @@ class Model:
         doc, word = pair // len(w.hash), pair % len(w.hash)
         toxic = label[doc] > 0
         self.words = [np.bincount(_bin(w.hash, EVIDENCE)[word[s]], minlength=EVIDENCE) for s in (toxic, ~toxic)]
-        reps = np.diff(w.starts)[word]
-        g_at = np.repeat(w.starts[word] - np.cumsum(reps) + reps, reps) + np.arange(reps.sum())
-        g_doc = np.repeat(doc, reps)
-        g_bin = _bin(w.gram, EVIDENCE)
-        once = np.unique(g_doc * EVIDENCE + g_bin[g_at])
-        self.grams = [np.bincount((once % EVIDENCE)[s], minlength=EVIDENCE) for s in (label[once // EVIDENCE] > 0, label[once // EVIDENCE] == 0)]
+        g_bin = _bin(w.gram, EVIDENCE).astype(np.int32)
+        self.grams = [np.zeros(EVIDENCE, np.int64), np.zeros(EVIDENCE, np.int64)]
+        for d in range(0, len(label), 32):  # a few documents at a time keep the pairs (document, gram) small
+            lo, hi = np.searchsorted(doc, [d, d + 32])
+            reps = np.diff(w.starts)[word[lo:hi]]
+            at = np.repeat(w.starts[word[lo:hi]] - np.cumsum(reps) + reps, reps) + np.arange(reps.sum())
+            once = np.unique(np.repeat(doc[lo:hi], reps) * EVIDENCE + g_bin[at])
+            bad = label[once // EVIDENCE] > 0
+            for k, some in enumerate((bad, ~bad)):
+                self.grams[k] += np.bincount((once % EVIDENCE)[some], minlength=EVIDENCE)
         # evidence without the document's own share: the same for all documents of a class
         own = {}
         for c in (0, 1):
