@@ -104,6 +104,40 @@ def test_edited_benchmark_copies(spark):
     assert {(x.doc_id, x.item_id) for x in got.collect()} == want
 
 
+def best_share(a, b):
+    """Best local alignment of words: its share of a full match."""
+    row, best = [0] * (len(b) + 1), 0
+    for x in a:
+        old, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(max(0, old[j] + (2 if x == y else -1), old[j + 1] - 1, row[j] - 1))
+        best = max(best, *row)
+    return best / (2 * len(a))
+
+
+def test_heavily_edited_copies_beside_exact_ones(spark):
+    r = random.Random(5)
+    vocab = ["v%d" % i for i in range(800)]
+    items = [[r.choice(vocab) for _ in range(n)] for n in (15, 15, 22, 38, 60)]
+    docs = [" ".join(w) for w in items for _ in range(3)]
+    for i in range(200):
+        w = []
+        for x in items[i % 5]:
+            turn = r.random() / r.choice([0.2, 0.25, 0.3])
+            w += [x] if turn >= 1 else [[r.choice(vocab)], [r.choice(vocab)], [], [x, r.choice(vocab)]][r.randrange(4)]
+        head, tail = ([r.choice(vocab) for _ in range(r.randint(0, 60))] for _ in range(2))
+        docs.append(" ".join(head + w + tail))
+    third = list(items[0])
+    third[2::3] = ["other"] * 5  # no run of three words stays
+    docs.append(" ".join(third))
+    docs.append(" ".join(x for w in items[3] for x in (w, "between")))  # no two words stay together
+    want = {(d, i): s for d, text in enumerate(docs) for i, w in enumerate(items) if (s := best_share(w, text.split())) >= 0.5}
+    got = decontaminate.leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"),
+                              spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string"))
+    assert {(x.doc_id, x.item_id): x.score for x in got.collect()} == want
+    assert {(len(docs) - 2, 0), (len(docs) - 1, 3)} <= set(want)
+
+
 def test_substrings(messy, none):
     rows = substring_dedup.spans(messy).collect()
     assert {(r.doc_id, r.first_doc_id) for r in rows if r.doc_id == 2} == {(2, 1)} and not any(r.doc_id == 1 for r in rows)
