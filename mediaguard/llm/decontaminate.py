@@ -2,7 +2,7 @@
 
 Words are lower-cased and stripped of ASCII punctuation.  Words and the item's are aligned locally (match 2,
 mismatch and gap -1), and a pair is reported if the best score is at least ``SCORE`` of a full match and
-matches ``LEAST`` words.
+matches ``LEAST`` words; an item under ``LEAST`` words must stand there whole.
 
 The seeds lose no such pair.  An alignment of k matched words that scores m (half of an item of m words)
 has at most 2k - m errors, so at least m / 2 - 1 of its k - 1 steps from match to match have at most one.
@@ -12,7 +12,7 @@ Of an item's pairs those most frequent in the corpus are passed over, up to half
 the number asked for.  Pairs of documents are tested against a bitmap of the items' pairs first (1 MiB,
 whatever its size); only the words around candidates are aligned.
 
-Nulls: null texts have no words; rows without an id are left out on either side; items under ``LEAST`` words
+Nulls: null texts have no words; rows without an id are left out on either side; items without words
 are never found; repeated rows and items give one row per pair, an item_id with several
 texts is found by any; empty tables give an empty result; other columns are ignored.
 """
@@ -159,7 +159,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, start) of every document that holds a benchmark item; ``start`` is the
     word (punctuation parts words) from which the best-scoring passage was read."""
     own = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    items = cut(own.mapInArrow(_items, "item_id long, item array<long>, grams array<long>").where(f"size(item) >= {LEAST}")
+    items = cut(own.mapInArrow(_items, "item_id long, item array<long>, grams array<long>").where("size(item) > 0")
                 .withColumn("num", F.monotonically_increasing_id()), "items")
     flat = items.select("num", F.size("item").cast("long").alias("size"), F.explode("grams").alias("gram")).groupBy("num", "size", "gram").agg(F.count("*").alias("n"))
     held, single = slots(flat, "gram"), not items.where("size(item) = 1").isEmpty()

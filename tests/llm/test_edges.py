@@ -138,6 +138,15 @@ def test_heavily_edited_copies_beside_exact_ones(spark):
     assert {(len(docs) - 2, 0), (len(docs) - 1, 3)} <= set(want)
 
 
+def test_short_benchmark_items(spark):
+    items = ["Paris", "forty two", "the red fox", "one small step forward", "a bird in the hand sings"]
+    docs = ["they went to paris in may", "answer: forty two.", "forty times two", "see the red fox run", "the red wolf", "one small step back", "small step", "x in the hand y",
+            "nothing of the kind"]
+    got = decontaminate.leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"),
+                              spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert {(x.doc_id, x.item_id) for x in got.collect()} == {(0, 0), (1, 1), (3, 2), (5, 3), (7, 4)}
+
+
 def test_substrings(messy, none):
     rows = substring_dedup.spans(messy).collect()
     assert {(r.doc_id, r.first_doc_id) for r in rows if r.doc_id == 2} == {(2, 1)} and not any(r.doc_id == 1 for r in rows)
