@@ -1,15 +1,15 @@
 """Personal data by fixed patterns and a semi-Markov conditional random field.
 
 The base are four patterns (email, ip, card, phone) as the contract states them.  The field adds spans they
-miss.  A text's blank-separated tokens that hold a digit or ``@`` form zones; inside a zone every run of
-at most ``LONGEST`` tokens, stripped of punctuation at its ends, is a candidate span of each kind, and a single token may stay
-outside.  Whole-span features (shape, length, digits, checksum, address form, words around) score candidates,
+miss.  A text's blank-separated tokens that hold a digit, ``@`` or a cue of ``SECRET`` are marked; they and the ``LONGEST`` - 1 tokens on
+either side form zones (merged where they overlap).  Inside a zone every run of at most ``LONGEST`` tokens with a marked one and
+every single token, stripped of punctuation at its ends, is a candidate span of each kind, and a single token may stay outside.  Whole-span features (shape, length, digits, checksum, address form, words around) score candidates,
 transition weights score neighbours, and dynamic programming over the bounded spans picks boundaries and kinds together.
-A run without digit or ``@`` can be no candidate, so leaving it out of the zones changes no result.
+A zone has every candidate run around its marked tokens; what lies outside of all zones is further than a run from any of them.
 
 Training maximises the likelihood of segmentations labelled by the base patterns and by ``SECRET`` on at most ``SAMPLE``
 zones of the corpus (the first by a hash, ``SHOWN`` tokens of each), together with generated variants: phones without country
-code, keys of other prefixes, and dates, prices and numbers that are no entity.  Everything else covers whole texts.
+code, keys of other prefixes, spaced phones and addresses, secrets without digits, and dates, prices, numbers and cues that are no entity.  Everything else covers whole texts.
 
 Nulls: a null text is empty; rows without a doc_id are scored; repeated rows are scored each; an empty table gives
 an empty result (and a model of generated zones only); other columns are ignored.
@@ -44,7 +44,8 @@ SECRET = re.compile(r"AKIA[0-9A-Z]{16}|(?:password|passwd|secret|token|api_?key)
 
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = "\"'`,.;:!?()[]{}<>"
-_MARK = re.compile(r"[0-9@]")
+MARK = r"[0-9@]|(?i:akia|password|passwd|secret|token|api_?key)"
+_MARK = re.compile(MARK)
 
 
 def luhn(digits: str) -> bool:
@@ -95,17 +96,18 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def zones(text: str) -> Iterator[tuple[list[tuple[int, int]], list[str]]]:
     """Each zone's tokens (start, end) and the two words before and one after it."""
-    own, last = [], ["", ""]
-    for m in _TOKEN.finditer(text):
-        if _MARK.search(m[0]):
-            own.append((m.start(), m.end()))
+    own = [m.span() for m in _TOKEN.finditer(text)]
+    word = lambda i: text[slice(*own[i])].lower() if 0 <= i < len(own) else ""
+    begin, end = 0, 0
+    for i, (a, b) in enumerate(own):
+        if not _MARK.search(text, a, b):
             continue
-        if own:
-            yield own, [*last, m[0].lower()]
-            last, own = ["", text[own[-1][0]:own[-1][1]].lower()], []
-        last = [last[1], m[0].lower()]
-    if own:
-        yield own, [*last, ""]
+        if end and i - LONGEST + 1 >= end:
+            yield own[begin:end], [word(begin - 2), word(begin - 1), word(end)]
+            end = 0
+        begin, end = begin if end else max(0, i - LONGEST + 1), min(len(own), i + LONGEST)
+    if end:
+        yield own[begin:end], [word(begin - 2), word(begin - 1), word(end)]
 
 
 def _strip(text: str, a: int, b: int) -> tuple[int, int]:
@@ -141,10 +143,13 @@ class Zone:
     def __init__(self, text: str, own: list[tuple[int, int]], around: list[str]):
         self.n, self.bounds, self.chars, feats = len(own), [], [], []
         words = [text[a:b].lower() for a, b in own]
+        marked = np.concatenate([[0], np.cumsum([_MARK.search(w) is not None for w in words])])
         for i in range(self.n):
             for j in range(i + 1, min(self.n, i + LONGEST) + 1):
                 if own[j - 1][1] - own[i][0] > 400 and j > i + 1:
                     break
+                if j > i + 1 and marked[i] == marked[j]:
+                    continue
                 a, b = _strip(text, own[i][0], own[j - 1][1])
                 before = (words[i - 2] if i > 1 else around[1] if i == 1 else around[0], words[i - 1] if i else around[1], words[j] if j < self.n else around[2])
                 self.bounds.append((i, j))
@@ -209,6 +214,36 @@ class Field:
             use[c], moves = pair.sum(axis=0), moves + pair
         return use, moves
 
+    @staticmethod
+    def grid(zones_of: list[Zone]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Zone, start and length - 1 of each candidate of all zones, and the tokens of each zone."""
+        bounds = np.concatenate([np.array(z.bounds) for z in zones_of])
+        return np.repeat(np.arange(len(zones_of)), [len(z.bounds) for z in zones_of]), bounds[:, 0], bounds[:, 1] - bounds[:, 0] - 1, np.array([z.n for z in zones_of])
+
+    def expected(self, s: np.ndarray, zone: np.ndarray, start: np.ndarray, size: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``marginals`` of the candidates of many zones at once, the transitions summed; ``s`` are their scores."""
+        k, most = len(KINDS) + 1, int(n.max())
+        cells = np.full((len(n), most, LONGEST, k), -np.inf)
+        cells[zone, start, size] = s
+        fwd, bwd = (np.full((len(n), most + 1, k), -np.inf) for _ in range(2))
+        into = np.full((len(n), most + 1, k), -np.inf)
+        fwd[:, 0, 0] = 0
+        bwd[np.arange(len(n)), n] = 0
+        moved = lambda x: np.logaddexp.reduce(x[:, :, None] + self.move, axis=1)
+        for i in range(most):
+            into[:, i] = moved(fwd[:, i])
+            for j in range(i + 1, min(most, i + LONGEST) + 1):
+                fwd[:, j] = np.logaddexp(fwd[:, j], into[:, i] + cells[:, i, j - i - 1])
+        ahead = np.full_like(fwd, -np.inf)  # what follows from a start on, by the kind that begins there
+        for i in range(most - 1, -1, -1):
+            for j in range(i + 1, min(most, i + LONGEST) + 1):
+                ahead[:, i] = np.logaddexp(ahead[:, i], cells[:, i, j - i - 1] + bwd[:, j])
+            bwd[:, i] = np.logaddexp(bwd[:, i], np.logaddexp.reduce(self.move + ahead[:, i][:, None, :], axis=2))
+        total = np.logaddexp.reduce(fwd[np.arange(len(n)), n], axis=1)
+        use = np.exp(into[zone, start] + s + bwd[zone, start + size + 1] - total[zone, None])
+        moves = np.exp(fwd[:, :-1, :, None] + self.move + ahead[:, :-1, None, :] - total[:, None, None, None]).sum(axis=(0, 1))
+        return use, moves
+
     def fit(self, data: list[tuple[Zone, dict[int, int]]]) -> "Field":
         """``data``: zones with the kind of each candidate that is an entity."""
         truth, truth_moves = [], np.zeros_like(self.move)
@@ -222,15 +257,14 @@ class Field:
                 truth_moves[prev, y] += 1
                 at, prev = z.bounds[c][1], y
             truth.append(use)
-        feats = np.concatenate([z.feats for z, _ in data])
+        zones_of = [z for z, _ in data]
+        feats, grid = np.concatenate([z.feats for z in zones_of]), self.grid(zones_of)
         sums = [np.zeros_like(self.w), np.zeros_like(self.move)]
         for _ in range(ROUNDS):  # full batches, steps scaled by past gradients
-            uses, moves = zip(*(self.marginals(z) for z, _ in data))
-            off = np.concatenate(uses) - np.concatenate(truth)
-            g = np.zeros_like(self.w)
-            for f in feats.T:
-                np.add.at(g, f, off)
-            for i, (v, d) in enumerate(((self.w, g / len(data) + RIDGE * self.w), (self.move, (sum(moves) - truth_moves) / len(data) + RIDGE * self.move))):
+            uses, moves = self.expected(np.concatenate([self.scores(z) for z in zones_of]), *grid)
+            off = uses - np.concatenate(truth)
+            g = np.stack([np.bincount(feats.reshape(-1), np.repeat(c, feats.shape[1]), FEATURES) for c in off.T], axis=1)
+            for i, (v, d) in enumerate(((self.w, g / len(data) + RIDGE * self.w), (self.move, (moves - truth_moves) / len(data) + RIDGE * self.move))):
                 sums[i] += d * d
                 v -= RATE * 5 * d / (np.sqrt(sums[i]) + 1e-6)
         return self
@@ -254,7 +288,7 @@ def labelled(text: str) -> list[tuple[Zone, dict[int, int]]]:
     return out
 
 
-def generated(n: int = 240, seed: int = 23) -> list[tuple[Zone, dict[int, int]]]:
+def generated(n: int = 696, seed: int = 23) -> list[tuple[Zone, dict[int, int]]]:
     """Zones made from templates: entities in forms the base patterns miss, and numbers that are none."""
     r = np.random.default_rng(seed)
     num = lambda k: "".join(map(str, r.integers(0, 10, k)))
@@ -267,23 +301,33 @@ def generated(n: int = 240, seed: int = 23) -> list[tuple[Zone, dict[int, int]]]
         (lambda: f"{r.choice(['password', 'pwd', 'secret', 'api_key'])}={num(3)}{low(3)}{num(8)}f0", "secret"), (lambda: f"{num(5)}{low(3)}{num(14)}af", "secret"),
         (lambda: num(int(r.integers(1, 7))), None), (lambda: f"20{num(2)}-0{1 + r.integers(9)}-1{num(1)}", None), (lambda: f"{num(2)}.{num(2)}", None),
         (lambda: f"{num(1)}:{num(2)}", None), (lambda: f"${num(2)},{num(3)}.{num(2)}", None), (lambda: f"{low(3)}{num(2)}", None), (lambda: f"{num(4)} {num(2)}", None),
-        (lambda: f"{num(2)}.{num(1)}.{num(2)}", None), (lambda: f"@{low(6)}", None), (lambda: f"{num(3)} {num(5)} {num(2)}", None), (lambda: "4" + num(11) + "x", None)]
+        (lambda: f"{num(2)}.{num(1)}.{num(2)}", None), (lambda: f"@{low(6)}", None), (lambda: f"{num(3)} {num(5)} {num(2)}", None), (lambda: "4" + num(11) + "x", None),
+        (lambda: f"{num(3)} - {num(3)} - {num(4)}", "phone"), (lambda: f"{low(5)} @ {low(6)}.{r.choice(['com', 'org', 'net'])}", "email"),
+        (lambda: f"{r.choice(cues)}{r.choice(['=', ':'])}{low(int(r.integers(12, 24)))}", "secret"), (lambda: f"{r.choice(cues)} {r.choice(['=', ':'])} {low(int(r.integers(12, 24)))}", "secret"),
+        (lambda: f"{r.choice(cues)}{r.choice(['=', ':'])} {low(int(r.integers(12, 24)))}", "secret"), (lambda: f"{r.choice(cues)} {low(int(r.integers(2, 12)))}", None),
+        (lambda: f"{r.choice(cues)}{r.choice([',', '.', 's'])} {low(int(r.integers(12, 18)))}", None), (lambda: f"{num(1)} - {num(2)}", None), (lambda: f"{low(4)} @ {num(2)}", None)]
+    cues = ["password", "passwd", "secret", "token", "api_key"]
     out = []
     for i in range(n):
         make, kind = makers[i % len(makers)]
         text = make()
-        d = _digits(text)
+        d, size = _digits(text), len(_TOKEN.findall(text))
+        words = [[low(int(r.integers(1, 10))) + r.choice(["", "", "", ",", "."]) for _ in range(r.integers(LONGEST))] for _ in range(2)]
+        text = " ".join([*words[0], text, *words[1]])
         z = Zone(text, [(m.start(), m.end()) for m in _TOKEN.finditer(text)], [low(4), r.choice([low(3), "the", "="]), low(4)])
         if kind is None and 12 <= len(d) <= 19 and luhn(d):
             continue
-        whole = [c for c, b in enumerate(z.bounds) if b == (0, z.n)]
+        at = len(words[0]), len(words[0]) + size
+        if kind == "secret":  # the token with the value, as in ``labelled``
+            at = at[1] - 1, at[1]
+        whole = [c for c, b in enumerate(z.bounds) if b == at]
         out.append((z, {whole[0]: KINDS.index(kind) + 1} if kind else {}))
     return out
 
 
 def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in tokens.pieces(batches):
-        texts = b["text"].filter(pc.match_substring_regex(b["text"], "[0-9@]"))
+        texts = b["text"].filter(pc.match_substring_regex(b["text"], MARK))
         out = []
         for t in texts.to_pylist():
             for own, around in zones(t):
@@ -327,7 +371,7 @@ def scan(docs: DataFrame, field: Field) -> DataFrame:
             texts = b["text"].fill_null("")
             counts = {k: np.zeros(b.num_rows, np.int64) for k in BASE}
             sha, spans = [none] * b.num_rows, [""] * b.num_rows
-            for i in np.flatnonzero(pc.match_substring_regex(texts, "[0-9@]").to_numpy(zero_copy_only=False)):
+            for i in np.flatnonzero(pc.match_substring_regex(texts, MARK).to_numpy(zero_copy_only=False)):
                 base, every = find(texts[int(i)].as_py(), field)
                 for _, _, k in base:
                     counts[k][i] += 1
