@@ -45,28 +45,34 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int
 
 def copies(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, copies."""
+    return _drawn(docs, [], seed, **how)
+
+
+def _drawn(docs: DataFrame, number: list[str], seed: str = SEED, **how) -> DataFrame:
+    """``copies``, with the columns ``number`` of ``docs`` before them."""
     own = docs.select(
-        "doc_id", "source", F.coalesce(F.concat(F.lit("0"), "source"), F.lit("1")).alias("sk"),
+        *number, "doc_id", "source", F.coalesce(F.concat(F.lit("0"), "source"), F.lit("1")).alias("sk"),
         F.size(words(F.col("text"))).cast("long").alias("size"),
         F.expr(_HASH.format("coalesce(cast(doc_id as string), '')")).alias("h"))
-    placed = cut(ordered(own, "sk", "size", "h", "doc_id"), "placed")
+    placed = cut(ordered(own, "sk", "size", "h", "doc_id", *number), "placed")
     sources = placed.groupBy("sk").agg(F.sum("size").alias("source_size"), F.min("rank").alias("first"))
     aims = targets(sources, **how)
     offset = F.expr(_HASH.format(f"concat('{seed}:', sk)")) / F.lit(float(2 ** 52))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     mixed = placed.join(aims.withColumn("rate", rate).withColumn("offset", offset), "sk").withColumn("k", F.col("rank") - F.col("first"))
     crossed = F.floor((F.col("k") + 1) * F.col("rate") + F.col("offset")) - F.floor(F.col("k") * F.col("rate") + F.col("offset"))
-    return mixed.select("doc_id", "source", "size", "source_size", "target", F.least(crossed, F.lit(how.get("cap", CAP))).cast("long").alias("copies"))
+    return mixed.select(*number, "doc_id", "source", "size", "source_size", "target", F.least(crossed, F.lit(how.get("cap", CAP))).cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mixed corpus: every document as often as it is drawn, with ``copy`` from 1 on.
+    """The mixed corpus: every row as often as it is drawn, with ``copy`` from 1 on.
 
-    Rows without a doc_id are drawn too but can't be handed out, as nothing ties them to a text.
+    Rows are numbered in a written table and meet their own draws by number, so those without a
+    doc_id come too, and rows that repeat one come each as often as drawn.
     """
-    drawn = copies(docs, **how).where("copies > 0").select("doc_id", "copies").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    joined = docs.join(drawn, "doc_id")
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copies")
+    held = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    drawn = _drawn(held, ["_row"], **how).where("copies > 0").select("_row", F.col("copies").alias("_copies"))
+    return held.join(drawn, "_row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_row", "_copies")
 
 
 def oracle_sql(docs: str = "documents", seed: str = SEED) -> str:

@@ -104,6 +104,22 @@ def test_edited_benchmark_copies(spark):
     assert {(x.doc_id, x.item_id) for x in got.collect()} == want
 
 
+def test_mix_hands_out_what_was_drawn(spark):
+    docs = [(None if i % 2 else i // 6, "w " * (i % 5 + 1), "a" if i % 3 else "b") for i in range(240)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    want = {}
+    for r in mixing.copies(docs).collect():
+        want[r.source, r.doc_id is None] = want.get((r.source, r.doc_id is None), 0) + r.copies
+    got = {}
+    for r in mixing.mix(docs).collect():
+        got[r.source, r.doc_id is None] = got.get((r.source, r.doc_id is None), 0) + 1
+    assert {k[0]: v for k, v in got.items() if k[1]} and sum(got.values()) == sum(want.values())
+    target = {r.source: r.target for r in mixing.copies(docs).collect()}
+    for s, aim in target.items():
+        taken = sum(len(r.text.split()) for r in mixing.mix(docs).where(f"source = '{s}'").collect())
+        assert abs(taken - aim) <= 10
+
+
 def best_share(a, b):
     """Best local alignment of words: its share of a full match."""
     row, best = [0] * (len(b) + 1), 0
