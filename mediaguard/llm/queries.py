@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaguard.llm import brown_lm, decontaminate, line_dedup, mixing, ngram_join, pii, quality, substring_dedup, toxicity, warc
+from mediaguard.llm import (
+    brown_lm, decontaminate, language_id, lexical_search, line_dedup, mixing, ngram_join, pii, quality, spelling, substring_dedup, toxicity, warc)
 from mediaguard.llm.common import table
 
 
@@ -55,6 +56,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.label(docs, language_id.fit(docs)).select(
+        "doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -67,8 +82,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_warc": op9_warc,
         "op10_quality_rules": op10_quality_rules,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_language_id": op12_language_id,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": ngram_join.oracle_sql(4, 85), "op2_mixing": mixing.oracle_sql(), "op10_quality_rules": quality.oracle_sql()}
+    return {"op1_ngram_jaccard": ngram_join.oracle_sql(4, 85), "op2_mixing": mixing.oracle_sql(), "op10_quality_rules": quality.oracle_sql(),
+            "op11_spelling_variants": spelling.oracle_sql(), "op13_lexical_search": lexical_search.oracle_sql()}

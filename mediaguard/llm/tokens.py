@@ -11,6 +11,9 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _PLAIN = _BLANK.copy()  # ASCII punctuation parts words too
 _PLAIN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+_TERM = np.zeros(256, bool)  # all of ASCII but letters and digits parts terms
+_TERM[[*range(48), *range(58, 65), *range(91, 97), *range(123, 128)]] = True
+GAPS = {"space": _BLANK, "plain": _PLAIN, "term": _TERM}
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(7).integers(1, 2 ** 63, 256, dtype=np.uint64)
@@ -44,20 +47,20 @@ def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), at
 
 
-def words(texts: pa.Array, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(texts: pa.Array, plain: bool = False, gaps: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte, row) of each word, ASCII capitals lowered; bytes count from the row's start.
-    ``plain`` parts words at ASCII punctuation as well.
+    ``plain`` parts words at ASCII punctuation as well, ``gaps`` names what parts them.
 
     Works on blocks of rows; a text above a block is cut between words.
     """
-    h, first, _, rows = spans(texts, plain)
+    h, first, _, rows = spans(texts, plain, gaps)
     return h, first - _buffers(texts)[1][rows], rows
 
 
-def spans(texts: pa.Array, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def spans(texts: pa.Array, plain: bool = False, gaps: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte, end byte, row) of each word; bytes count in the array's buffer."""
     data, at = _buffers(texts)
-    blank = _PLAIN if plain else _BLANK
+    blank = GAPS[gaps or ("plain" if plain else "space")]
     found = [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
     row = 0
     while row < len(at) - 1:
