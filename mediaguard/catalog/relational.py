@@ -406,13 +406,6 @@ def gov_all(c):
     return gov.all_gates(m).withColumn("scope", F.lit("manifest")).unionByName(gov.all_gates(planted(m)).withColumn("scope", F.lit("planted")))
 
 
-@query("gov_label_sanity", """SELECT source, count(*) AS usable, count(*) FILTER (label = 0) AS reals, count(*) FILTER (label = 1) AS ai, count(*) >= 300 AND min(label) = max(label) AS suspicious FROM raw_rows GROUP BY source""")
-def gov_label_sanity(c):
-    return c.raw_rows().groupBy("source").agg(
-        F.count(F.lit(1)).alias("usable"), F.count_if(F.col("label") == 0).alias("reals"), F.count_if(F.col("label") == 1).alias("ai"),
-        ((F.count(F.lit(1)) >= 300) & (F.min("label") == F.max("label"))).alias("suspicious"))
-
-
 @query("gov_shortcut", """WITH tr AS (SELECT d.source, l.quality AS label, d.lang FROM documents d JOIN labels l USING (doc_id)),
     src AS (SELECT source, count(*) AS n, min(label) AS lo, max(label) AS hi FROM tr GROUP BY source)
     SELECT 'source' AS scope, source AS name, lo = hi AND n / (SELECT sum(n) FROM src)::DOUBLE > 0.3 AS fails FROM src

@@ -1,6 +1,10 @@
 """Streams run to the end of the available data, then read back."""
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from mediaguard.catalog.base import query, sig
@@ -11,14 +15,26 @@ from mediaguard.streaming import ingest, video
 r6 = lambda c: F.round(c, 6)
 
 
-def events(c):
-    """The events table as a stream of scored frames."""
-    s = ingest.read(c.spark, c.sf_dir, c.table("events").schema, "events.parquet")
+def events(c, folder: str | None = None):
+    """The events table as a stream of scored frames: all at hand in one batch, or the files of a staged folder one by one."""
+    kind = c.table("events").schema
+    s = ingest.read(c.spark, c.sf_dir, kind, "events.parquet", 1 << 30) if folder is None else ingest.read(c.spark, f"{folder}/*", kind, files_per_trigger=1)
     v = F.col("value")
     return s.select("event_id", F.col("user_id").alias("video_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "value",
                     F.bround(v / (v + 20), 4).alias("confidence"))
 
 
+def staged(c, slices: int = 6, late: bool = False) -> str:
+    """The events in ``slices`` files or more, written in order of time as they would arrive; ``late`` sends those of the first
+    slice once more at the end."""
+    out = scratch.folder(c.spark, "arrivals")
+    span = c.table("events").select(F.min("ts").alias("a"), F.max("ts").alias("b")).selectExpr("unix_micros(cast(a AS timestamp)) AS a", "unix_micros(cast(b AS timestamp)) - unix_micros(cast(a AS timestamp)) + 1 AS w").first()
+    part = F.expr(f"(unix_micros(cast(ts AS timestamp)) - {span.a}L) * {slices}L div {span.w}L") if span.a is not None else F.lit(0)
+    for turn, k in enumerate([*range(slices), *([0] if late else [])]):
+        c.table("events").where(part == k).write.parquet(f"{out}/turn{turn}")
+    return out
+
+
 def finish(q) -> None:
     q.awaitTermination()
     if q.exception() is not None:
@@ -43,12 +59,24 @@ def str_ingest(c):
 @query("str_quota", "SELECT event_type AS label, least(count(*), 300) AS taken FROM events GROUP BY event_type")
 def str_quota(c):
     out, ck = scratch.folder(c.spark, "quota"), scratch.folder(c.spark, "ck")
-    finish(ingest.take_quota(events(c).select(F.col("event_id").alias("image_id"), F.col("event_type").alias("label")), out, ck, 300))
+    rows = events(c, staged(c)).select(F.col("event_id").alias("image_id"), F.col("event_type").alias("label"))
+    names = [r.event_type for r in c.table("events").select("event_type").distinct().collect()]
+    finish(ingest.take_quota(rows, out, ck, 300, classes=names))
     return c.spark.read.parquet(out).groupBy("label").agg(F.count(F.lit(1)).alias("taken"))
 
 
-@query("str_dedupe", "SELECT DISTINCT user_id AS video_id, event_type FROM events")
+@query("str_dedupe", "SELECT DISTINCT user_id AS video_id, event_type, strftime(ts, '%Y-%m-%d') AS day FROM events")
 def str_dedupe(c):
+    """The first event of a kind per video and day.  Events of the first days arrive a second time, long after their state has
+    gone: the watermark, six days behind, drops them."""
+    out, ck = scratch.folder(c.spark, "dedupe"), scratch.folder(c.spark, "ck")
+    rows = events(c, staged(c, late=True)).select("video_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), "ts")
+    finish(ingest.emit(ingest.dedupe(rows, ["video_id", "event_type", "day"], "ts", "6 days"), out, ck))
+    return c.spark.read.parquet(out).select("video_id", "event_type", "day")
+
+
+@query("str_dedupe_all", "SELECT DISTINCT user_id AS video_id, event_type FROM events")
+def str_dedupe_all(c):
     out, ck = scratch.folder(c.spark, "dedupe"), scratch.folder(c.spark, "ck")
     finish(ingest.dedupe_against_table(events(c).select("video_id", "event_type"), out, ck, ["video_id", "event_type"]))
     return c.spark.read.parquet(out).select("video_id", "event_type")
@@ -61,24 +89,48 @@ def str_flush(c):
     return c.spark.read.parquet(out).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("n_ids"), F.round(F.sum("value"), 2).alias("total"))
 
 
-@query("str_video_median", """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, video_id, round(median(confidence), 6) AS confidence, count(*) AS n_frames, count(*) FILTER (confidence >= 0.6) AS n_ai
-    FROM frames GROUP BY 1, 2""")
+CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM frames)"
+
+
+@query("str_video_median", f"""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, video_id, round(median(confidence), 6) AS confidence, count(*) AS n_frames, count(*) FILTER (confidence >= 0.6) AS n_ai
+    FROM frames GROUP BY date_trunc('day', ts), video_id HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= {CLOSED}""")
 def str_video_median(c):
+    """Days that the watermark has passed, each emitted once."""
     out, ck = scratch.folder(c.spark, "median"), scratch.folder(c.spark, "ck")
-    finish(video.keep_latest(video.windowed(events(c)).withColumn("day", F.date_format("w.start", "yyyy-MM-dd")).drop("w"), out, ck))
-    last = c.spark.read.parquet(out)
-    newest = last.select(F.max("batch").alias("b")).scalar()
-    return last.select("*", newest.alias("newest")).where("batch = newest").select(
-        "day", "video_id", r6("confidence").alias("confidence"), "n_frames", "n_ai")
+    finish(ingest.emit(video.windowed(events(c)).withColumn("day", F.date_format("w.start", "yyyy-MM-dd")).drop("w"), out, ck))
+    return c.spark.read.parquet(out).select("day", "video_id", r6("confidence").alias("confidence"), "n_frames", "n_ai")
 
 
-@query("str_video_session", """SELECT video_id, count(*) AS n_frames, round(median(confidence), 6) AS confidence, count(*) FILTER (confidence >= 0.6) AS n_ai FROM (
+@query("str_video_session", f"""SELECT video_id, count(*) AS n_frames, round(median(confidence), 6) AS confidence, count(*) FILTER (confidence >= 0.6) AS n_ai FROM (
     SELECT *, sum(fresh) OVER (PARTITION BY video_id ORDER BY ts, frame_id) AS s FROM (
-      SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY video_id ORDER BY ts, frame_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM frames)) GROUP BY video_id, s""")
+      SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY video_id ORDER BY ts, frame_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM frames))
+    GROUP BY video_id, s HAVING max(ts) + INTERVAL 6 HOUR <= {CLOSED}""")
 def str_video_session(c):
+    """Sessions that the watermark has passed, each emitted once."""
     out, ck = scratch.folder(c.spark, "session"), scratch.folder(c.spark, "ck")
-    finish(video.keep_latest(video.sessions(events(c)).drop("w"), out, ck))
-    last = c.spark.read.parquet(out)
-    newest = last.select(F.max("batch").alias("b")).scalar()
-    return last.select("*", newest.alias("newest")).where("batch = newest").select(
-        "video_id", "n_frames", r6("confidence").alias("confidence"), "n_ai")
+    finish(ingest.emit(video.sessions(events(c)).drop("w"), out, ck))
+    return c.spark.read.parquet(out).select("video_id", "n_frames", r6("confidence").alias("confidence"), "n_ai")
+
+
+@query("gov_label_sanity", """SELECT source, count(*) AS usable, count(*) FILTER (label = 0) AS reals, count(*) FILTER (label = 1) AS ai, count(*) >= 300 AND min(label) = max(label) AS suspicious FROM raw_rows GROUP BY source""")
+def gov_label_sanity(c):
+    """Each source as an ingest of its own; those with one class only fail in their first batch."""
+    rows = scratch.folder(c.spark, "sources")
+    c.raw_rows().select("source", "image_id", "label").write.partitionBy("source").parquet(rows)
+    names = sorted(r.source for r in c.spark.read.parquet(rows).select("source").distinct().collect())
+
+    def one(name):
+        out, ck = scratch.folder(c.spark, "labelled"), scratch.folder(c.spark, "ck")
+        q = ingest.checked_labels(ingest.read(c.spark, f"{rows}/source={name}", "image_id STRING, label INT", files_per_trigger=1 << 30), out, ck)
+        try:
+            q.awaitTermination()
+            stopped = False
+        except StreamingQueryException as e:
+            if "LabelMappingError" not in str(e):
+                raise
+            stopped = True
+        return c.spark.read.parquet(out).select(F.lit(name).alias("source"), "label", F.lit(stopped).alias("suspicious"))
+    with ThreadPoolExecutor(4) as pool:
+        parts = list(pool.map(one, names))
+    return reduce(lambda a, b: a.unionByName(b), parts).groupBy("source", "suspicious").agg(
+        F.count(F.lit(1)).alias("usable"), F.count_if(F.col("label") == 0).alias("reals"), F.count_if(F.col("label") == 1).alias("ai"))

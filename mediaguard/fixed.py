@@ -161,3 +161,6 @@ PRINTABLE_RUN = r"[ -~]{6,120}"
 XMP_ELEMENT = r"[^>]*>([^<]{1,400})<"
 XMP_ATTRIBUTE = r'\s*=\s*"([^"]{1,400})"'
 MAX_CLAIMS = 6
+
+# fixed value: usable rows after which an ingest must have seen every class
+FIRST_LABELS = 300

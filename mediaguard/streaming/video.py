@@ -1,8 +1,7 @@
-"""Event-time verdicts of videos."""
+"""Event-time verdicts of videos, for append mode: a window or session is emitted once, when the watermark has passed it, and its state goes."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from mediaguard import fixed
 
@@ -23,11 +22,3 @@ def windowed(frames: DataFrame, ts: str = "ts", delay: str = "1 hour", width: st
 def sessions(frames: DataFrame, ts: str = "ts", delay: str = "1 hour", gap: str = "6 hours") -> DataFrame:
     """The same per session: a run of frames without a gap is one video."""
     return _verdict(frames.withWatermark(ts, delay).groupBy(F.session_window(ts, gap).alias("w"), "video_id"))
-
-
-def keep_latest(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Complete result of every trigger in its own folder; the last folder is the answer."""
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-    return (stream.writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
