@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 
 from mediaguard import fixed
 from mediaguard.catalog.base import confusion_key, query, sig
+from mediaguard.functions.ids import content_id
 from mediaguard.operators import metrics as mt
+from mediaguard.operators.lineage import cut_lineage
+from mediaguard.sources.spread import spread
 from mediaguard.sources import images, listing, models as md, scratch, sinks, vectors as vec
 
 r6 = lambda c: F.round(c, 6)
@@ -19,11 +22,6 @@ def paths(c):
     return c.table("pages").selectExpr("page_id", f"concat(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/$', ''), '.', {ext}) AS path")
 
 
-@query("src_images", f"SELECT page_id, path FROM {PATHS} WHERE lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) IN ('jpg', 'jpeg', 'png', 'webp', 'bmp')")
-def src_images(c):
-    return paths(c).where(listing.is_image(F.col("path"))).orderBy("path", "page_id")
-
-
 U8 = "greatest(least(round_even((e + 0.5) * 255, 0), 255), 0)::INT"
 RASTERS = f"(SELECT image_id, h8, unhex(array_to_string(list_transform(x, lambda e: printf('%02x', {U8})), '')) AS data FROM items)"
 
@@ -34,29 +32,65 @@ def rasters(c, extra=()):
     return c.items().selectExpr("image_id", "h8", *extra, f"unhex(array_join({u8}, '')) AS data")
 
 
-@query("src_decode", f"SELECT h8 % 17 <> 0 AS ok, count(*) AS n, sum(CASE WHEN h8 % 17 <> 0 THEN octet_length(data) ELSE 60 END)::BIGINT AS bytes FROM {RASTERS} GROUP BY 1")
+FILE_EXT = "['png', 'PNG', 'txt', 'Png', 'gif'][vec_id % 5 + 1]"
+NAMED = f"(SELECT r.image_id || '.' || {FILE_EXT} AS name, r.data, r.h8 FROM {RASTERS} r JOIN items i USING (image_id))"
+
+
+def image_files(c) -> str:
+    """Every vector as a PNG file in a folder; one in 17 cut short, two in five not named as an image."""
+    raster = F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), "data").alias("raster")
+    ext = "element_at(array('png', 'PNG', 'txt', 'Png', 'gif'), cast(vec_id % 5 + 1 AS int))"
+    files = images.encoded(spread(rasters(c, ("vec_id",))).select("h8", F.expr(f"concat(image_id, '.', {ext}) AS name"), raster))
+    out = scratch.folder(c.spark, "images")
+    images.write_files(files.selectExpr("name", "IF(h8 % 17 = 0, substring(content, 1, 40), content) AS content"), out)
+    return out
+
+
+@query("src_images", f"SELECT name FROM {NAMED} WHERE lower(regexp_extract(name, '\\.([A-Za-z0-9]+)$', 1)) IN ('jpg', 'jpeg', 'png', 'webp', 'bmp')")
+def src_images(c):
+    return listing.named(c.spark, image_files(c)).select("name").orderBy("name")
+
+
+@query("src_decode", f"""SELECT name, substr(sha256(data), 1, 16) AS content_id, (SELECT count(*) FROM {NAMED} WHERE lower(name) LIKE '%.png' AND h8 % 17 = 0) AS corrupt
+    FROM {NAMED} WHERE lower(name) LIKE '%.png' AND h8 % 17 <> 0""")
 def src_decode(c):
-    df = rasters(c).withColumn("data", F.expr("IF(h8 % 17 = 0, substring(data, 1, 60), data)")).select(
-        "image_id", F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), "data").alias("raster"))
-    return images.checked(df).groupBy("ok").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("raster.data")).cast("long").alias("bytes"))
+    """The files are read and decoded; the corrupt ones are counted by the job that does so."""
+    found, seen = images.decode_named(c.spark, image_files(c))
+    kept = cut_lineage(found.select("name", content_id(F.col("raster.data")).alias("content_id")))
+    return kept.withColumn("corrupt", F.lit(seen.get["corrupt"]))
 
 
 @query("ras_normalise", f"SELECT image_id, substr(sha256(data), 1, 16) AS content_id FROM {RASTERS}")
 def ras_normalise(c):
-    from mediaguard.functions.ids import content_id
     return rasters(c).select("image_id", content_id(F.col("data")).alias("content_id"))
 
 
-@query("src_shards", """SELECT f AS path FROM (SELECT DISTINCT 'data/' || lang || '-' || source || '.parquet' AS f FROM documents) WHERE contains(f, 'en-')
-    ORDER BY md5('42:' || f), f LIMIT 7""")
+@query("src_shards", """SELECT f AS path, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM (SELECT lang || '-' || source AS f, n_chars FROM documents)
+    WHERE f IN (SELECT f FROM (SELECT DISTINCT lang || '-' || source AS f FROM documents) WHERE contains(f, 'en-') ORDER BY md5('42:' || f || '.parquet'), f LIMIT 7) GROUP BY f""")
 def src_shards(c):
-    files = c.table("documents").select(F.concat(F.lit("data/"), "lang", F.lit("-"), "source", F.lit(".parquet")).alias("path")).distinct()
-    return listing.pick_shards(files, "path", "en-", 42, 7)
+    """Seven shards of one split in seeded order; only the picked ones are opened."""
+    out = scratch.folder(c.spark, "shards")
+    docs = c.table("documents").select(F.concat("lang", F.lit("-"), "source").alias("shard"), "n_chars")
+    docs.repartition("shard").write.partitionBy("shard").parquet(out)
+    names = c.spark.read.parquet(out).select(F.concat("shard", F.lit(".parquet")).alias("path")).distinct()
+    picked = [r.path[:-8] for r in listing.pick_shards(names, "path", "en-", 42, 7).collect()]
+    return c.spark.read.parquet(out).where(F.col("shard").isin(picked)).groupBy(F.col("shard").alias("path")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_chars").cast("long").alias("chars"))
+
+
+def vector_cache(c) -> str:
+    """All vectors in a cache, and those of one source once more under a name that only continues it."""
+    out = scratch.folder(c.spark, "vectors")
+    vec.append(c.items().select("image_id", "label", "split", "source", "x"), out)
+    vec.append(c.items("source = 'edited_eval'").select("image_id", "label", "split", F.lit("edited_eval_ext").alias("source"), "x"), out)
+    return out
 
 
-@query("src_vectors", "SELECT image_id, label, split FROM items WHERE source = 'edited_eval'")
+@query("src_vectors", "SELECT image_id, label, split, round(list_sum(x), 6) AS total FROM items WHERE source = 'edited_eval'")
 def src_vectors(c):
-    return c.items("source = 'edited_eval'").select("image_id", "label", "split")
+    """One source of the cache: only its files are read."""
+    rows = vec.load(c.spark, vector_cache(c), "edited_eval")
+    return rows.select("image_id", "label", "split", r6(F.aggregate("x", F.lit(0.0), lambda a, v: a + v)).alias("total"))
 
 
 @query("sink_vectors", "SELECT source, count(*) AS n, count(DISTINCT image_id) AS images, round(sum(list_dot_product(x, x)), 4) AS energy FROM items GROUP BY source")

@@ -7,6 +7,7 @@ from mediaguard import fixed
 from mediaguard.catalog.aggregations import EVAL, TWO, branch_rows, evalset, grid_long, populations, GRID_LONG, POPS
 from mediaguard.catalog.base import auc_sql, dot_sql, query
 from mediaguard.functions import ids, scores
+from mediaguard.sources.buckets import bucketed
 from mediaguard.operators import governance as gov, joins, metrics as mt, near_dup, sampling as sm, vector_jobs as vj
 
 r6 = lambda c: F.round(c, 6)
@@ -16,9 +17,10 @@ r6 = lambda c: F.round(c, 6)
 
 @query("join_branch_left", """SELECT image_id, variant, round(general, 6) AS general, round(spectral, 6) AS spectral, round(face, 6) AS face FROM branches""")
 def join_branch_left(c):
-    rows = c.branches()
-    spec = rows.where("spectral IS NOT NULL").select("image_id", "variant", "spectral")
-    face = rows.where("has_face").select("image_id", "variant", "face")
+    """The images are scored once; the sides are read from one bucketed table, and nothing is shuffled between scan and join."""
+    rows = bucketed(c.branches().select("image_id", "variant", "general", "spectral", "has_face", "face"), "branches", ["image_id", "variant"])
+    spec = rows.where("spectral IS NOT NULL").select("image_id", "variant", "spectral").hint("merge")
+    face = rows.where("has_face").select("image_id", "variant", "face").hint("merge")
     return joins.branches_left(rows.select("image_id", "variant", "general"), spec, face).select(
         "image_id", "variant", r6("general").alias("general"), r6("spectral").alias("spectral"), r6("face").alias("face"))
 

@@ -1,11 +1,14 @@
 """Decoding of image files with Spark's own readers."""
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from mediaguard.sources.listing import extension, images, is_image
 
@@ -42,6 +45,48 @@ def decode_files(spark: SparkSession, root: str) -> DataFrame:
     return found.mapInArrow(_rgb, found.schema)
 
 
+def encode_png(raster: dict) -> bytes:
+    """An 8-bit grey or RGB raster as a PNG file."""
+    h, w, n = raster["height"], raster["width"], raster["nChannels"]
+    rows = np.frombuffer(raster["data"], np.uint8).reshape(h, w * n)
+    body = np.concatenate([np.zeros((h, 1), np.uint8), rows], axis=1).tobytes()  # every row unfiltered
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", w, h, 8, 0 if n == 1 else 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+
+
+def encoded(df: DataFrame, raster: str = "raster", out: str = "content") -> DataFrame:
+    """Replace rasters by PNG bytes."""
+    keep = [f for f in df.schema.fields if f.name != raster]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*[b[f.name] for f in keep], pa.array([encode_png(r) for r in b[raster].to_pylist()], pa.binary())], [*[f.name for f in keep], out])
+    return df.mapInArrow(run, StructType([*keep, StructField(out, BinaryType())]))
+
+
+def write_files(df: DataFrame, root: str) -> None:
+    """One file per row of (name, content), names being distinct: ``root/name=<name>/part-*``.
+
+    Spark has no writer of single binary files; the text writer puts the bytes out as they are, with a line feed after them
+    that image formats don't mind.  The name is a partition column when read back.
+    """
+    df.select(F.col("content").cast("string").alias("value"), "name").write.partitionBy("name").text(root)
+
+
+def decode_named(spark: SparkSession, root: str) -> tuple[DataFrame, Observation]:
+    """(name, raster) of the image files of ``write_files`` that decode, channels in red, green, blue, and an observation that counts
+    ``seen`` and ``corrupt`` ones while they are read."""
+    seen = Observation()
+    df = spark.read.format("image").load(root).where(is_image(F.col("name")))
+    df = df.observe(seen, F.count(F.lit(1)).alias("seen"), F.count_if(F.coalesce(F.col("image.height") < 0, F.lit(True))).alias("corrupt"))
+    found = df.where("image.height >= 0").select(F.col("name").cast("string").alias("path"), F.struct(
+        "image.height", "image.width", "image.nChannels", "image.data").cast(RASTER).alias("raster"))
+    return found.mapInArrow(_rgb, found.schema).withColumnRenamed("path", "name"), seen
+
+
 def checked(df: DataFrame, raster: str = "raster") -> DataFrame:
     """Adds ``ok``: the data length agrees with the declared size."""
     r = F.col(raster)
@@ -50,7 +95,6 @@ def checked(df: DataFrame, raster: str = "raster") -> DataFrame:
 
 def decoded(df: DataFrame, raster: str = "raster"):
     """Rows that decode, and an observation that counts the skipped ones as the job runs."""
-    from pyspark.sql import Observation
     seen = Observation()
     out = checked(df, raster).observe(seen, F.count_if(~F.col("ok")).alias("skipped"), F.count(F.lit(1)).alias("seen"))
     return out.where("ok"), seen

@@ -16,6 +16,12 @@ def images(spark: SparkSession, root: str, limit: int | None = None) -> DataFram
     return files.orderBy("path").limit(limit) if limit else files
 
 
+def named(spark: SparkSession, root: str) -> DataFrame:
+    """(name, length) of the image files below ``root/name=<name>``; no content is read."""
+    files = spark.read.format("binaryFile").load(root).withColumn("name", F.col("name").cast("string"))
+    return files.where(is_image(F.col("name"))).select("name", "length")
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
 

@@ -84,3 +84,42 @@ def test_no_nested_loop_plans(spark, sf, key):
     import __spark_entry__ as entry
     text = plan(entry.queries()[key](spark, sf))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_bucketed_sides_join_without_a_shuffle(spark):
+    from mediaguard.operators.joins import branches_left
+    from mediaguard.sources.buckets import bucketed
+    df = spark.range(300).selectExpr("cast(id % 100 AS string) AS image_id", "concat('v', id div 100) AS variant", "id * 1.0D AS general", "IF(id % 3 = 0, id * 2.0D, NULL) AS spectral",
+                                     "id % 2 = 0 AS has_face", "id * 3.0D AS face")
+    rows = bucketed(df, "t", ["image_id", "variant"], 4)
+    got = branches_left(rows.select("image_id", "variant", "general"), rows.where("spectral is not null").select("image_id", "variant", "spectral").hint("merge"),
+                        rows.where("has_face").select("image_id", "variant", "face").hint("merge"))
+    assert "Exchange" not in plan(got) and plan(got).count("SortMergeJoin") == 2
+    assert got.count() == 300 and got.where("spectral is not null").count() == 100 and got.where("face = 3 * general").count() == 150
+
+
+def test_a_source_is_read_without_those_that_continue_its_name(spark, tmp_path):
+    out = str(tmp_path / "v")
+    df = spark.range(60).selectExpr("cast(id AS string) AS image_id", "element_at(array('a', 'a_ext', 'b'), cast(id % 3 + 1 AS int)) AS source", "array(cast(id AS double)) AS x")
+    vectors.append(df, out)
+    got = vectors.load(spark, out, "a")
+    read = {r[0].split("source=")[1].split("/")[0] for r in got.select(F.input_file_name()).distinct().collect()}
+    assert read == {"a"} and got.count() == 20
+    assert "PartitionFilters: [isnotnull(source" in plan(got) and "DataFilters: []" in plan(got)
+
+
+@pytest.mark.parametrize("channels", [1, 3])
+def test_rasters_survive_files_and_corrupt_ones_are_counted(spark, tmp_path, channels):
+    from mediaguard.sources import images
+    import numpy as np
+    rng = np.random.default_rng(3)
+    rows = [(f"f{i}.{'png' if i % 4 else 'txt'}", (5, 7 + i, channels, bytearray(rng.integers(0, 256, 5 * (7 + i) * channels, dtype=np.uint8).tobytes()))) for i in range(12)]
+    df = spark.createDataFrame(rows, f"name string, raster {images.RASTER}")
+    files = images.encoded(df)
+    root = str(tmp_path / "i")
+    images.write_files(files.selectExpr("name", "IF(name IN ('f1.png', 'f2.png'), substring(content, 1, 30), IF(name = 'f3.png', cast('' AS binary), content)) AS content"), root)
+    found, seen = images.decode_named(spark, root)
+    got = {r.name: (r.raster.height, r.raster.width, r.raster.nChannels, bytes(r.raster.data)) for r in found.collect()}
+    want = {n: (*v[:3], bytes(v[3])) for n, v in rows if n.endswith("png") and n not in ("f1.png", "f2.png", "f3.png")}
+    assert got == want and seen.get == {"seen": 9, "corrupt": 3}
+    assert {r.name for r in listing.named(spark, root).collect()} == {n for n, _ in rows if n.endswith("png")}
