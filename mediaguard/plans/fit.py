@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from mediaguard import fixed
 from mediaguard.functions import ids, scores
-from mediaguard.operators import metrics as mt
+from mediaguard.operators import metrics as mt, newton
+from mediaguard.operators.lineage import cut_lineage
 from mediaguard.operators.vector_jobs import Linear
 
 
@@ -97,22 +98,21 @@ def decision(df: DataFrame, p: Linear, x: str = "x", out: str = "z") -> DataFram
     return df.mapInArrow(run, T.StructType(keep + [T.StructField(out, T.DoubleType())]))
 
 
-def rotated(train: DataFrame, calib: DataFrame, fit=ridge, threads: int = 4) -> tuple[Linear, list[Linear]]:
+def rotated(train: DataFrame, calib: DataFrame) -> tuple[Linear, list[Linear]]:
     """Train with all calibration families but one, calibrate on that one, rotate, average.
 
-    ``train`` has x, label; ``calib`` has image_id, generator, label, variant, x.
+    ``train`` has x, label; ``calib`` has image_id, generator, label, variant, x.  All ridge fits share one
+    scan, and all calibrations are one grouped fit.
     """
-    folds = family_folds(calib)
+    folds = cut_lineage(family_folds(calib).select("fold", "variant", "label", "x"))
     n = folds.agg(F.max("fold").alias("m")).first()["m"] + 1
-    kept = F.col("variant").isin(fixed.KEPT_VARIANTS)
-
-    def one(k):
-        extra = folds.where((F.col("fold") != k) & kept).select("x", "label")
-        p = fit(train.select("x", "label").unionByName(extra))
-        held = decision(folds.where(F.col("fold") == k).select("label", "x"), p)
-        return fold_calibration(p, platt(held, "z", c=1.0))
-    with ThreadPoolExecutor(threads) as pool:
-        probes = list(pool.map(one, range(n)))
+    spine = train.select("x", "label", F.array_repeat(F.lit(1.0), n).alias("in_models"))
+    extra = folds.where(F.col("variant").isin(fixed.KEPT_VARIANTS)).select(
+        "x", "label", F.array(*[(F.col("fold") != k).cast("double") for k in range(n)]).alias("in_models"))
+    probes = newton.ridge_many(spine.unionByName(extra), n)
+    held = newton.decide_many(folds.select("fold", "label", "x"), probes).withColumn("z", F.get("zs", "fold"))
+    ab = {r.fold: (r.a, r.b) for r in newton.sigmoids_by(held, ["fold"], "z", c=1.0).collect()}
+    probes = [fold_calibration(p, ab[k]) for k, p in enumerate(probes)]
     return mean_probe(probes), probes
 
 
