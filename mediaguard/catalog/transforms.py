@@ -10,7 +10,7 @@ from mediaguard.catalog.base import auc_sql, kind_sql, query, sig
 from mediaguard.catalog.io import rasters
 from mediaguard.functions import scores, vectors as vx
 from mediaguard.sources.spread import spread
-from mediaguard.operators import embed as em, file_metadata as fm, joins, metrics as mt, raster as ra, vector_jobs as vj
+from mediaguard.operators import embed as em, file_metadata as fm, metrics as mt, raster as ra, table_functions as tf, vector_jobs as vj
 
 r6 = lambda c: F.round(c, 6)
 
@@ -161,4 +161,18 @@ def udf_udaf_metric(c):
 
 @query("udf_udtf", "SELECT image_id, s.kind, s.param, s.variant FROM items CROSS JOIN settings s WHERE s.idx > 0 AND label = 1")
 def udf_udtf(c):
-    return joins.expand_settings(c.items("label = 1").select("image_id"), with_clean=False).select("image_id", "kind", "param", "variant")
+    """A table function called laterally."""
+    tf.register(c.spark)
+    return c.spark.sql("SELECT i.image_id, s.kind, s.param, s.variant FROM {items} i, LATERAL grid_settings(i.label, 1) s", items=c.items().select("image_id", "label"))
+
+
+@query("udf_udtf_table", """SELECT video_id::INT AS video_id, verdict, round(min(t), 3) AS first, round(max(t), 3) AS last, count(*)::INT AS n FROM (
+    SELECT *, sum(fresh) OVER (PARTITION BY video_id ORDER BY t, frame_id) AS run FROM (
+      SELECT *, CASE WHEN verdict = lag(verdict) OVER w AND t - lag(t) OVER w < 21600 THEN 0 ELSE 1 END AS fresh FROM frame_scores WINDOW w AS (PARTITION BY video_id ORDER BY t, frame_id)))
+    GROUP BY video_id, verdict, run""")
+def udf_udtf_table(c):
+    """A table function over a table argument, one instance per video."""
+    tf.register(c.spark)
+    frames = c.frames().select(F.col("video_id").cast("int").alias("video_id"), "frame_id", "t", "confidence")
+    runs = c.spark.sql("SELECT * FROM verdict_runs(TABLE(SELECT * FROM {frames}) PARTITION BY video_id ORDER BY (t, frame_id), 21600.0D)", frames=frames)
+    return runs.select("video_id", "verdict", F.round("first", 3).alias("first"), F.round("last", 3).alias("last"), "n")

@@ -113,7 +113,12 @@ EXIF_TAGS = {
 }
 
 # XMP fields that are reported.
-XMP_FIELDS = ["xmp:CreatorTool", "photoshop:Credit", "dc:creator", "Iptc4xmpExt:digitalSourceType"]
+XMP_FIELDS = ["xmp:CreatorTool", "photoshop:Credit", "dc:creator", "Iptc4xmpExt:digitalSourceType", "Iptc4xmpExt:DigitalSourceType", "tiff:Software", "xmpMM:History"]
+XMP_LONGEST = 400
+# Name spaces of XMP and their customary prefixes.
+XMP_SPACES = {
+    "http://ns.adobe.com/xap/1.0/": "xmp", "http://ns.adobe.com/photoshop/1.0/": "photoshop", "http://purl.org/dc/elements/1.1/": "dc",
+    "http://iptc.org/std/Iptc4xmpExt/2008-02-29/": "Iptc4xmpExt", "http://ns.adobe.com/tiff/1.0/": "tiff", "http://ns.adobe.com/xap/1.0/mm/": "xmpMM"}
 
 # Sentences of the provenance summary.
 SUMMARY_IPTC = (
@@ -156,10 +161,8 @@ RELIABILITY_MEDIUM = 0.40
 SAMPLING_RATES = [(60, 1), (120, 2), (300, 3)]
 SAMPLING_RATE_LONG = 4
 
-# Patterns of readable runs in a manifest box and of an XMP field, tag first.
+# Fixed value: pattern of readable runs in a manifest box.
 PRINTABLE_RUN = r"[ -~]{6,120}"
-XMP_ELEMENT = r"[^>]*>([^<]{1,400})<"
-XMP_ATTRIBUTE = r'\s*=\s*"([^"]{1,400})"'
 MAX_CLAIMS = 6
 
 # fixed value: usable rows after which an ingest must have seen every class

@@ -247,3 +247,33 @@ def test_assembled_columns_stay_in_range(spark):
     out = fit.assemble(df, {b: (1.0, 0.0) for b in ("general", "tampered", "face", "spectral")}).select(*fixed.FUSION_COLUMNS).collect()
     assert len(out[0]) == 14 and all(0 <= v <= 1 for r in out for v in r)
     assert out[0].cal_face == 0.5 and out[0].face_present == 0 and out[1].content_text == 1
+
+
+def test_near_dup_candidates_carry_keys_only_and_miss_nothing(spark):
+    base = unit(300, 32, 8)
+    rng = np.random.default_rng(9)
+    noisy = base + rng.normal(0, 0.02, base.shape)
+    noisy /= np.linalg.norm(noisy, axis=1, keepdims=True)
+    a = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(noisy)], "k LONG, x ARRAY<DOUBLE>")
+    b = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "k LONG, x ARRAY<DOUBLE>")
+    tables = near_dup.n_tables(0.95, 9)
+    assert tables < near_dup.n_tables(0.95, 20) < 35
+    sides = [near_dup.probes(near_dup.signatures(df, tables, 9, 32), 9, near) for df, near in ((a, True), (b, False))]
+    assert all("x" not in s.columns for s in sides) and sides[0].count() == 300 * tables * 10
+    pairs = {(r.k, r.r) for r in near_dup.candidates(*sides, near_dup.sketch_cut(0.95, 1e-7)).collect()}
+    want = {(i, j) for i, j in zip(*np.nonzero(noisy @ base.T >= 0.95))}
+    assert want <= pairs and len(pairs) < 3 * len(want)
+
+
+def test_table_functions(spark):
+    from mediaguard.operators import table_functions as tf
+    tf.register(spark)
+    spark.createDataFrame([(1, 0), (2, 1)], "image_id INT, label INT").createOrReplaceTempView("tf_items")
+    got = spark.sql("SELECT i.image_id, s.variant FROM tf_items i, LATERAL grid_settings(i.label, 1) s").collect()
+    assert len(got) == 14 and {r.image_id for r in got} == {2} and len({r.variant for r in got}) == 14
+    rows = [(v, float(t), p) for v in range(3) for t, p in [(0, 0.9), (10, 0.9), (20, 0.1), (9000, 0.1), (9010, 0.5)]]
+    spark.createDataFrame(rows, "video_id INT, t DOUBLE, confidence DOUBLE").createOrReplaceTempView("tf_frames")
+    got = spark.sql("SELECT * FROM verdict_runs(TABLE(tf_frames) PARTITION BY video_id ORDER BY t, 100.0D)").collect()
+    assert sorted(tuple(r) for r in got if r.video_id == 2) == [
+        (2, "likely_ai", 0.0, 10.0, 2), (2, "likely_real", 20.0, 20.0, 1), (2, "likely_real", 9000.0, 9000.0, 1), (2, "uncertain", 9010.0, 9010.0, 1)] and len(got) == 12
+    assert spark.sql("SELECT * FROM verdict_runs(TABLE(SELECT * FROM tf_frames WHERE false) PARTITION BY video_id ORDER BY t, 100.0D)").count() == 0
