@@ -114,17 +114,36 @@ def agg_summary(c):
         r6(clean - F.min("auroc")).alias("drop_from_clean"))
 
 
-COMBINED = f"""(SELECT k.combiner, variant, label, CASE k.combiner WHEN 'general' THEN p_general WHEN 'max' THEN greatest(p_general, p_tampered)
-      ELSE (p_general + p_tampered) / 2 END AS score
-    FROM shipped CROSS JOIN (VALUES ('general'), ('max'), ('mean')) AS k(combiner) WHERE split IN ('test_ood', 'test_edited'))"""
-
-
-@query("agg_combiners", f"""SELECT combiner, round(avg(auroc), 6) AS mean_auroc, round(min(auroc), 6) AS worst_auroc,
+def newton3(table: str, c: float, steps: int = 12) -> str:
+    """Logistic regression of two scores by unrolled Newton steps over ``table`` (u, v, y), solved by Cramer's rule."""
+    prev = "(SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS k)"
+    det = "({0} * ({4} * {8} - {5} * {7}) - {1} * ({3} * {8} - {5} * {6}) + {2} * ({3} * {7} - {4} * {6}))"
+    h = ["haa", "hab", "hak", "hab", "hbb", "hbk", "hak", "hbk", "hkk"]
+    put = lambda col: det.format(*[("ga", "gb", "gk")[i // 3] if i % 3 == col else x for i, x in enumerate(h)])
+    for _ in range(steps):
+        prev = f"""(SELECT a - {put(0)} / {det.format(*h)} AS a, b - {put(1)} / {det.format(*h)} AS b, k - {put(2)} / {det.format(*h)} AS k FROM (
+          SELECT any_value(a) AS a, any_value(b) AS b, any_value(k) AS k, sum((p - y) * u) + any_value(a) / {c} AS ga, sum((p - y) * v) + any_value(b) / {c} AS gb, sum(p - y) AS gk,
+                 sum(q * u * u) + 1.0 / {c} AS haa, sum(q * u * v) AS hab, sum(q * u) AS hak, sum(q * v * v) + 1.0 / {c} AS hbb, sum(q * v) AS hbk, sum(q) AS hkk
+          FROM (SELECT *, p * (1 - p) AS q FROM (SELECT u, v, y, a, b, k, 1 / (1 + exp(-(a * u + b * v + k))) AS p FROM {table}, {prev}))))"""
+    return prev
+
+
+CALIB2 = "(SELECT general AS u, tampered AS v, label AS y FROM shipped WHERE split = 'calib_ood')"
+COMBINED = """(SELECT k.combiner, variant, label, CASE k.combiner WHEN 'general' THEN general WHEN 'max' THEN greatest(general, tampered)
+      ELSE round(fit.a, 6) * general + round(fit.b, 6) * tampered END AS score
+    FROM shipped CROSS JOIN (VALUES ('general'), ('max'), ('fitted')) AS k(combiner), fit WHERE split IN ('test_ood', 'test_edited'))"""
+
+
+@query("agg_combiners", f"""WITH fit AS MATERIALIZED {newton3(CALIB2, 1.0)} SELECT combiner, round(avg(auroc), 6) AS mean_auroc, round(min(auroc), 6) AS worst_auroc,
     round(max(auroc) FILTER (variant = 'clean'), 6) AS clean_auroc FROM ({auc_sql(COMBINED, ['combiner', 'variant'], 'score')})
     WHERE auroc IS NOT NULL GROUP BY combiner""")
 def agg_combiners(c):
+    """General alone, the larger logit, and a combiner fitted on the calibration carve."""
+    from mediaguard.operators import newton
+    calib = c.shipped("split = 'calib_ood'").select(F.array("general", "tampered").alias("x"), "label", F.array(F.lit(1.0)).alias("in_models"))
+    a, b = newton.logistic_many(cut_lineage(calib), 1)[0].w
     rows = c.shipped("split IN ('test_ood', 'test_edited')").selectExpr(
-        "variant", "label", "stack(3, 'general', p_general, 'max', greatest(p_general, p_tampered), 'mean', (p_general + p_tampered) / 2) AS (combiner, score)")
+        "variant", "label", f"stack(3, 'general', general, 'max', greatest(general, tampered), 'fitted', {round(a, 6)}D * general + {round(b, 6)}D * tampered) AS (combiner, score)")
     return (mt.auroc(rows, ["combiner", "variant"], "score").where("auroc is not null").groupBy("combiner")
             .agg(r6(F.avg("auroc")).alias("mean_auroc"), r6(F.min("auroc")).alias("worst_auroc"),
                  r6(F.max(F.when(F.col("variant") == "clean", F.col("auroc")))).alias("clean_auroc")))
@@ -282,12 +301,18 @@ def agg_px_stats(c):
         "label", r6("px_mu").alias("px_mu"), r6("px_sd").alias("px_sd"))
 
 
-@query("agg_std_stats", """SELECT f AS feature, round(avg(v), 6) AS mean, round(stddev_pop(v) + 1e-6, 6) AS sd FROM (
-    SELECT unnest(['conf_mean', 'conf_std', 'n_regions']) AS f, unnest([a, s, n]) AS v FROM (
-      SELECT doc_id, avg(conf) AS a, stddev_pop(conf) AS s, ln(1 + count(*)) AS n FROM tokens GROUP BY doc_id)) GROUP BY f""")
+@query("agg_std_stats", r"""SELECT f AS feature, round(avg(v), 6) AS mean, round(stddev_pop(v) + 1e-6, 6) AS sd FROM (
+    SELECT unnest(['conf_mean', 'conf_std', 'token_plausibility', 'glyph_consistency', 'frac_nonascii', 'n_regions']) AS f, unnest([a, s, k, g, w, n]) AS v FROM (
+      SELECT doc_id, avg(conf) AS a, stddev_pop(conf) AS s, avg((length(trim(token)) >= 2 AND regexp_full_match(token, '[\p{L}\p{N}\s]+'))::INT) AS k,
+             CASE WHEN count(ar) < 2 OR avg(ar) <= 1e-6 THEN 1 ELSE 1 / (1 + stddev_pop(ar) / avg(ar)) END AS g,
+             sum(length(regexp_replace(token, '[\x00-\x7F]', '', 'g'))) / sum(length(token))::DOUBLE AS w, ln(1 + count(*)) AS n
+      FROM (SELECT *, CASE WHEN h > 1e-3 THEN w / greatest(length(token), 1) / h END AS ar FROM tokens) GROUP BY doc_id)) GROUP BY f""")
 def agg_std_stats(c):
-    per = c.tokens().groupBy("doc_id").agg(F.avg("conf").alias("a"), F.stddev_pop("conf").alias("s"), F.log1p(F.count(F.lit(1))).alias("n"))
-    return (per.selectExpr("stack(3, 'conf_mean', a, 'conf_std', s, 'n_regions', n) AS (feature, v)").groupBy("feature")
+    from mediaguard import fixed
+    from mediaguard.plans import text_branch as tb
+    per = tb.text_features(c.tokens(), "doc_id")
+    parts = ", ".join(f"'{n}', cast({n} AS double)" for n in fixed.TEXT_FEATURES)
+    return (per.selectExpr(f"stack({len(fixed.TEXT_FEATURES)}, {parts}) AS (feature, v)").groupBy("feature")
             .agg(r6(F.avg("v")).alias("mean"), r6(F.stddev_pop("v") + 1e-6).alias("sd")))
 
 
@@ -449,7 +474,7 @@ BASE_ROWS = """(SELECT source, generator, variant, label, d.detector, CASE d.det
     round(avg(auroc), 6) AS mean, round(max(auroc) FILTER (variant = 'clean') - min(auroc), 6) AS drop_from_first
     FROM ({shared_sql(BASE_ROWS, ['source', 'detector', 'variant'], 'score')}) GROUP BY source, detector, generator""")
 def agg_baseline_table(c):
-    rows = c.shipped("source IN ('ood_eval', 'organizer_val', 'web_holdout')").where(F.col("variant").isin(BASE_SET)).selectExpr(
+    rows = c.shipped("source IN ('ood_eval', 'organizer_val', 'web_holdout')", variants=BASE_SET).selectExpr(
         "source", "generator", "variant", "label", "stack(3, 'general', general, 'tampered', tampered, 'shipped', pred) AS (detector, score)")
     per = mt.auroc_shared(rows, ["source", "detector", "variant"], "generator", "score")
     wide = per.groupBy("source", "detector", "generator").pivot("variant", BASE_SET).agg(F.max("auroc"))
@@ -570,17 +595,25 @@ def agg_bootstrap_ci(c):
 
 
 @query("agg_source_facts", """SELECT source, count(DISTINCT image_id) FILTER (variant = 'clean') AS images, count(*) AS n_rows, count(*) FILTER (variant = 'clean' AND label = 1) AS ai,
-    count(*) FILTER (variant = 'clean' AND label = 0) AS reals, count(DISTINCT variant) AS variants, count(*) * 64 * 4 AS cached_bytes FROM manifest GROUP BY source""")
+    count(*) FILTER (variant = 'clean' AND label = 0) AS reals, count(DISTINCT variant) AS variants, count(DISTINCT image_id) FILTER (variant = 'clean') * 131 AS raw_bytes FROM manifest GROUP BY source""")
 def agg_source_facts(c):
-    # the manifest holds one row per (image, variant), so clean rows count images
-    rows = c.manifest()
+    """Rows from the manifest, raw bytes from the sizes of the image files in the listing."""
+    from mediaguard.sources import scratch
+    from mediaguard.sources.images import write_files
+    rows = cut_lineage(c.manifest().select("image_id", "source", "variant", "label"))
     per = rows.groupBy("source", "variant").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("ai"))
     clean = F.col("variant") == "clean"
-    return per.groupBy("source").agg(
+    facts = per.groupBy("source").agg(
         F.sum(F.when(clean, F.col("n")).otherwise(0)).alias("images"), F.sum("n").alias("n_rows"),
         F.sum(F.when(clean, F.col("ai")).otherwise(0)).alias("ai"),
-        F.sum(F.when(clean, F.col("n") - F.col("ai")).otherwise(0)).alias("reals"), F.count(F.lit(1)).alias("variants"),
-        (F.sum("n") * 64 * 4).alias("cached_bytes"))
+        F.sum(F.when(clean, F.col("n") - F.col("ai")).otherwise(0)).alias("reals"), F.count(F.lit(1)).alias("variants"))
+    # the files hold 64 pixels in hexadecimal with a dot between source and content, and the writer's line feed
+    u8 = "transform(x, e -> lpad(hex(cast(greatest(least(rint((e + 0.5D) * 255), 255), 0) AS int)), 2, '0'))"
+    pixels = c.items().selectExpr("image_id", f"concat('..', array_join({u8}, '')) AS content")
+    folder = scratch.folder(c.spark, "raw")
+    write_files(rows.where(clean).select("image_id", "source").join(pixels, "image_id").select(F.concat("source", F.lit("."), "image_id").alias("name"), "content"), folder)
+    files = c.spark.read.text(folder).select(F.element_at(F.split(F.col("name").cast("string"), "[.]"), 1).alias("source"), "_metadata.file_path", "_metadata.file_size").distinct()
+    return facts.join(files.groupBy("source").agg(F.sum("file_size").alias("raw_bytes")), "source", "left")
 
 
 @query("agg_model_size", """SELECT CASE code WHEN 1 THEN 'general' ELSE 'tampered' END AS branch, len(w) + 1 AS stored_numbers, (SELECT sum(len(w) + 1)::BIGINT FROM probes) AS total FROM probes""")

@@ -14,6 +14,7 @@ from mediaguard.functions import ids, scores, vectors as vx
 from mediaguard.operators import metrics as mt, newton as nt, raster as ra, vector_jobs as vj
 from mediaguard.operators.lineage import cut_lineage
 from mediaguard.plans import fit as ft, text_branch as tb
+from mediaguard.sources.buckets import bucketed
 from mediaguard.sources.models import models_table
 
 r6 = lambda c: F.round(c, 6)
@@ -392,20 +393,22 @@ CONTENT_COLS = ", ".join(f"(content = '{n}')::INT::DOUBLE AS content_{n}" for n
 
 @query("cal_assemble", f"""SELECT image_id, variant, round({sig('general')}, 6) AS cal_general, round({sig('0.8 * tampered - 0.1')}, 6) AS cal_tampered, round(coalesce({sig('0.9 * face + 0.1')}, 0.5), 6) AS cal_face,
     (face IS NOT NULL)::INT::DOUBLE AS face_present, round(coalesce({sig('0.5 * spectral')}, 0.5), 6) AS cal_spectral, 0.5::DOUBLE AS cal_text, 0.0::DOUBLE AS text_present, {CONTENT_COLS},
-    round(coalesce(degradation_estimate, 0.5), 6) AS degradation_estimate, 0.5::DOUBLE AS provenance_prior FROM shipped JOIN contents USING (image_id) WHERE split = 'test_ood'""")
+    round(coalesce(degradation_estimate, 0.5), 6) AS degradation_estimate, 0.5::DOUBLE AS provenance_prior FROM shipped JOIN contents USING (image_id)""")
 def cal_assemble(c):
-    df = ft.assemble(c.shipped("split = 'test_ood'").select("image_id", "variant", "general", "tampered", "face", "spectral", "content", "degradation_estimate"), CALS)
+    df = ft.assemble(c.shipped().select("image_id", "variant", "general", "tampered", "face", "spectral", "content", "degradation_estimate"), CALS)
     return df.select("image_id", "variant", *[r6(n).alias(n) for n in fixed.FUSION_COLUMNS])
 
 
 @query("score_raw", """SELECT image_id, variant, round(general, 6) AS general, round(tampered, 6) AS tampered, content, round(spectral, 6) AS spectral, round(degradation_estimate, 6) AS degradation_estimate,
-    round(face, 6) AS face FROM branches JOIN contents USING (image_id) WHERE source = 'ood_eval'""")
+    round(face, 6) AS face FROM branches JOIN contents USING (image_id)""")
 def score_raw(c):
+    """Every branch of every image, each scored once and joined from one bucketed table."""
     from mediaguard.operators.joins import branches_left
-    rows = c.branches("source = 'ood_eval'")
-    spec = rows.where("spectral IS NOT NULL").select("image_id", "variant", "spectral", "degradation_estimate")
-    face = rows.where("has_face").select("image_id", "variant", "face")
-    df = branches_left(rows.select("image_id", "variant", "general", "tampered", "content"), spec, face)
+    cols = ["image_id", "variant", "general", "tampered", "content"]
+    rows = bucketed(c.branches().select(*cols, "spectral", "degradation_estimate", "has_face", "face"), "raw", ["image_id", "variant"])
+    spec = rows.where("spectral IS NOT NULL").select("image_id", "variant", "spectral", "degradation_estimate").hint("merge")
+    face = rows.where("has_face").select("image_id", "variant", "face").hint("merge")
+    df = branches_left(rows.select(*cols), spec, face)
     return df.select("image_id", "variant", "content", *[r6(n).alias(n) for n in ("general", "tampered", "spectral", "degradation_estimate", "face")])
 
 
@@ -483,9 +486,9 @@ def score_bucket_threshold(c):
         r6(F.avg(F.when(y == 1, hit("g")))).alias("recall_global"), r6(F.avg(F.when(y == 0, hit("g")))).alias("fpr_global"))
 
 
-@query("score_noisy_or", "SELECT image_id, variant, round(1 - (1 - p_general) * (1 - p_tampered) * (1 - coalesce(p_face, 0)), 6) AS p FROM shipped WHERE split = 'test_ood'")
+@query("score_noisy_or", "SELECT image_id, variant, round(1 - (1 - p_general) * (1 - p_tampered) * (1 - coalesce(p_face, 0)), 6) AS p FROM shipped")
 def score_noisy_or(c):
-    return c.shipped("split = 'test_ood'").select("image_id", "variant", r6(scores.noisy_or("p_general", "p_tampered", "p_face")).alias("p"))
+    return c.shipped().select("image_id", "variant", r6(scores.noisy_or("p_general", "p_tampered", "p_face")).alias("p"))
 
 
 @query("score_max_vs_fusion")

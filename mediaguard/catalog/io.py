@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from mediaguard import fixed
 from mediaguard.catalog.base import confusion_key, query, sig
 from mediaguard.functions.ids import content_id
-from mediaguard.operators import metrics as mt
+from mediaguard.operators import file_metadata as fm, metrics as mt
 from mediaguard.operators.lineage import cut_lineage
 from mediaguard.sources.spread import spread
 from mediaguard.sources import images, listing, models as md, scratch, sinks, vectors as vec
@@ -133,18 +133,35 @@ def sink_preds(c):
     return c.spark.read.schema("image_path STRING, pred DOUBLE").json(out)
 
 
-@query("sink_preds_rich", f"""SELECT image_id, round_even(max(pred) FILTER (variant = 'clean'), 4) AS pred, CASE WHEN max(pred) FILTER (variant = 'clean') >= 0.5 THEN 'AI' ELSE 'real' END AS verdict,
-    round_even(max(p_general) FILTER (variant = 'clean'), 4) AS general, round_even(max(pred) FILTER (variant = 'blur20'), 4) AS blur20, count(*)::INT AS n_variants FROM shipped GROUP BY image_id""")
+RICH = ", ".join(f"round_even(max({e}) FILTER (variant = 'clean'), 4) AS {n}" for n, e in (
+    ("general", "p_general"), ("tampered", "p_tampered"), ("face", "p_face"), ("spectral", "spectral"), ("degradation", "degradation_estimate")))
+
+
+@query("sink_preds_rich", f"""SELECT r.*, CASE WHEN v.kind = 2 THEN 'ai_declared' WHEN v.kind = 1 THEN 'metadata_only' ELSE 'none' END AS provenance FROM (
+    SELECT image_id, round_even(max(pred) FILTER (variant = 'clean'), 4) AS pred, CASE WHEN max(pred) FILTER (variant = 'clean') >= 0.5 THEN 'AI' ELSE 'real' END AS verdict,
+      {RICH}, round_even(max(pred) FILTER (variant = 'blur20'), 4) AS blur20, count(*)::INT AS n_variants FROM shipped GROUP BY image_id) r
+    JOIN (SELECT image_id, h8 % 3 AS kind FROM items) v USING (image_id)""")
 def sink_preds_rich(c):
+    """The record of an image: score and verdict, a struct of all branches, a map of its variants, and what its file declares."""
     rows = c.shipped()
-    value = F.struct(F.bround("pred", 4).alias("pred"), F.bround("p_general", 4).alias("general"),
-                     F.when(F.col("pred") >= 0.5, "AI").otherwise("real").alias("verdict")).alias("v")
+    branches = F.struct(*[F.bround(e, 4).alias(n) for n, e in (("general", "p_general"), ("tampered", "p_tampered"), ("face", "p_face"), ("spectral", "spectral"), ("degradation", "degradation_estimate"))])
+    value = F.struct(F.bround("pred", 4).alias("pred"), F.when(F.col("pred") >= 0.5, "AI").otherwise("real").alias("verdict"), branches.alias("branches")).alias("v")
+    scored = sinks.variants_map(rows, ["image_id"], "variant", value, "variants")
+    # an image file of each: a third carries a generator's name, a third a plain comment
+    text = ("CASE h8 % 3 WHEN 2 THEN concat(cast('Software' AS binary), unhex('00'), cast('Midjourney v6' AS binary)) "
+            "WHEN 1 THEN concat(cast('Comment' AS binary), unhex('00'), cast('made with a potato' AS binary)) END")
+    chunk = lambda kind, body: f"unhex(lpad(hex(length({body})), 8, '0')), cast('{kind}' AS binary), {body}, unhex('00000000')"
+    files = c.items().selectExpr("image_id AS path", f"{text} AS body").selectExpr(
+        "path", f"IF(body IS NULL, unhex('89504E470D0A1A0A'), concat(unhex('89504E470D0A1A0A'), {chunk('tEXt', 'body')}, {chunk('IEND', 'unhex(\'\')')})) AS content")
+    declared = fm.report(files).select(F.col("path").alias("image_id"), F.struct("verdict", "declares_ai", "summary").alias("provenance"))
     out = scratch.folder(c.spark, "rich")
-    sinks.variants_map(rows, ["image_id"], "variant", value, "variants").write.json(out)
-    back = c.spark.read.schema("image_id STRING, variants MAP<STRING, STRUCT<pred: DOUBLE, general: DOUBLE, verdict: STRING>>").json(out)
+    scored.join(declared, "image_id", "left").write.json(out)
+    inner = "STRUCT<pred: DOUBLE, verdict: STRING, branches: STRUCT<general: DOUBLE, tampered: DOUBLE, face: DOUBLE, spectral: DOUBLE, degradation: DOUBLE>>"
+    back = c.spark.read.schema(f"image_id STRING, variants MAP<STRING, {inner}>, provenance STRUCT<verdict: STRING, declares_ai: BOOLEAN, summary: STRING>").json(out)
     clean = F.col("variants")["clean"]
-    return back.select("image_id", clean["pred"].alias("pred"), clean["verdict"].alias("verdict"), clean["general"].alias("general"),
-                       F.col("variants")["blur20"]["pred"].alias("blur20"), F.size("variants").alias("n_variants"))
+    return back.select("image_id", clean["pred"].alias("pred"), clean["verdict"].alias("verdict"),
+                       *[clean["branches"][n].alias(n) for n in ("general", "tampered", "face", "spectral", "degradation")],
+                       F.col("variants")["blur20"]["pred"].alias("blur20"), F.size("variants").alias("n_variants"), F.col("provenance.verdict").alias("provenance"))
 
 
 @query("src_ocr_rows", "SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

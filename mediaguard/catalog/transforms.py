@@ -66,8 +66,7 @@ def vec_embed(c):
 @query("vec_blend", f"""SELECT image_id, round(avg(pred) FILTER (variant IN ('clean', 'jpeg90', 'blur05')), 6) AS variant_mean,
     round(max(0.7 * p_general + 0.3 * p_tampered) FILTER (variant = 'clean'), 6) AS branch_blend FROM {EVAL} GROUP BY image_id""")
 def vec_blend(c):
-    some = F.col("variant").isin("clean", "jpeg90", "blur05")
-    return evalset(c).where(some).groupBy("image_id").agg(
+    return evalset(c, ["clean", "jpeg90", "blur05"]).groupBy("image_id").agg(
         r6(F.avg("pred")).alias("variant_mean"),
         r6(F.max(F.when(F.col("variant") == "clean", 0.7 * F.col("p_general") + 0.3 * F.col("p_tampered")))).alias("branch_blend"))
 
@@ -147,10 +146,10 @@ def udf_candidate_swap(c):
     return mt.auroc(rows, ["version", "variant"], "z").select("version", "variant", r6("auroc").alias("auroc"))
 
 
-@query("udf_branch_subset", f"""SELECT image_id, variant, round(greatest({sig('general')}, {sig('1.25 * tampered')}), 6) AS both, round({sig('general')}, 6) AS general_only FROM shipped WHERE split = 'test_ood'""")
+@query("udf_branch_subset", f"""SELECT image_id, variant, round(greatest({sig('general')}, {sig('1.25 * tampered')}), 6) AS both, round({sig('general')}, 6) AS general_only FROM shipped""")
 def udf_branch_subset(c):
     from mediaguard.plans.scoring import subset_score
-    rows = c.shipped("split = 'test_ood'")
+    rows = c.shipped()
     return rows.select("image_id", "variant", r6(subset_score(["general", "tampered"])).alias("both"), r6(subset_score(["general"])).alias("general_only"))
 
 

@@ -62,13 +62,15 @@ class Corpus:
         return df.where(where) if where else df
 
     def models(self) -> vj.Models:
-        """Probes and prototypes, fitted once per session and folder, then shipped with tasks.
+        """Probes and prototypes, fitted once per session and state of the table (its files, by size and time), then shipped with tasks.
 
         The probes point from the real to the synthetic and to the edited training rows; the
         prototypes are the unit means of the content families.  A few vectors come back,
         whatever the number of rows.
         """
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        files = self.table("embeddings").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        state = files.agg(F.count(F.lit(1)), F.sum("file_size"), F.sum(F.xxhash64("file_path", "file_modification_time").cast("decimal(38,0)"))).first()
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, *state)
         if key not in _MODELS:
             import numpy as np
             train = vj.group_means(self.items("split = 'train'"), ["code"]).collect()

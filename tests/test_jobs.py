@@ -273,7 +273,7 @@ def test_table_functions(spark):
     assert len(got) == 14 and {r.image_id for r in got} == {2} and len({r.variant for r in got}) == 14
     rows = [(v, float(t), p) for v in range(3) for t, p in [(0, 0.9), (10, 0.9), (20, 0.1), (9000, 0.1), (9010, 0.5)]]
     spark.createDataFrame(rows, "video_id INT, t DOUBLE, confidence DOUBLE").createOrReplaceTempView("tf_frames")
-    got = spark.sql("SELECT * FROM verdict_runs(TABLE(tf_frames) PARTITION BY video_id ORDER BY t, 100.0D)").collect()
+    got = spark.sql("SELECT * FROM verdict_runs(TABLE(tf_frames) PARTITION BY video_id ORDER BY (t), 100.0D)").collect()
     assert sorted(tuple(r) for r in got if r.video_id == 2) == [
         (2, "likely_ai", 0.0, 10.0, 2), (2, "likely_real", 20.0, 20.0, 1), (2, "likely_real", 9000.0, 9000.0, 1), (2, "uncertain", 9010.0, 9010.0, 1)] and len(got) == 12
-    assert spark.sql("SELECT * FROM verdict_runs(TABLE(SELECT * FROM tf_frames WHERE false) PARTITION BY video_id ORDER BY t, 100.0D)").count() == 0
+    assert spark.sql("SELECT * FROM verdict_runs(TABLE(SELECT * FROM tf_frames WHERE false) PARTITION BY video_id ORDER BY (t), 100.0D)").count() == 0
