@@ -4,10 +4,10 @@ Lines are split at newlines and compared lower-cased and trimmed; lines without
 Equal lines share a key.  The ``SIZE``-character shingles of a whole line fall into ``BINS`` bins by
 hash and each bin keeps its least one (one-permutation MinHash; empty bins borrow along
 fixed probes).  ``BANDS`` bands of ``BINS`` / ``BANDS`` values make the buckets: lines of
-Jaccard 0.8 share one with probability 0.998, of 0.9 with 0.99999.  Candidates are verified by the exact Jaccard of
-their shingle sets, ``links.link`` finds components with distributed union-find (lines whose shingles are
-mostly their own among the lines still undecided are ruled out by counting), and the first line
-of each component in order of (doc_id, line number) stays.
+Jaccard 0.8 share one with probability 0.998, of 0.9 with 0.99999.  A pair of a bucket goes on only if the
+``SKETCH`` parity bits of its shingles are near enough (a bound that loses no pair), so texts are fetched for few; candidates are
+verified by the exact Jaccard of their shingle sets, ``links.link`` finds components with distributed union-find,
+and the first line of each component in order of (doc_id, line number) stays.
 
 Nulls: a null text has no lines; rows without a doc_id are left as they are and removed from nothing; rows
 that repeat a doc_id are one document; an empty table gives an empty result.  Lines shorter than a shingle
@@ -18,19 +18,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from mediaguard.llm import tokens
 from mediaguard.llm.common import BLANKS, cut
-from mediaguard.llm.links import hits, keep, link, slots
+from mediaguard.llm.links import bits, hits, keep, link, near_enough, slots
 
 SIZE = 8
 SIMILAR = 0.8
 BANDS, BINS = 12, 48
+SKETCH = 384
 _PROBE = np.random.default_rng(11).integers(0, BINS, (64, BINS))
 _NONE = np.uint64(2 ** 64 - 1)
 
@@ -80,6 +80,27 @@ def signatures(texts: pa.Array) -> np.ndarray:
     return out
 
 
+def _distinct(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct shingles of each text, in order; hashes of 43 bits, as one sort takes both."""
+    h, row = shingles(texts)
+    key = np.sort((row.astype(np.uint64) << np.uint64(43)) | (h >> np.uint64(21)))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    key = key[new]
+    return (key >> np.uint64(43)).astype(np.int64), key & np.uint64(2 ** 43 - 1)
+
+
+def sketches(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Number of distinct shingles per text, and in which of ``SKETCH`` cells an odd number of them falls."""
+    row, h = _distinct(texts)
+    cell = row * SKETCH + ((h & np.uint64(2 ** 32 - 1)) * np.uint64(SKETCH) >> np.uint64(32)).astype(np.int64)
+    return np.bincount(row, minlength=len(texts)), bits(np.bincount(cell, minlength=len(texts) * SKETCH) & 1, len(texts), SKETCH)
+
+
+NODE = ["n", *[f"p{i}" for i in range(SKETCH // 64)]]
+_NODE = "n long, " + ", ".join(f"p{i} long" for i in range(SKETCH // 64))
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for b in tokens.pieces(batches, "norm", tokens.BLOCK):
@@ -90,84 +111,59 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h = tokens.mix(h + wide[:, :, k] * np.uint64(0x9E3779B97F4A7C15))
             keep = (sig != _NONE).any(axis=1)
             ends = np.concatenate([[0], np.cumsum(keep * BANDS)]).astype(np.int32)
+            n, p = sketches(b["norm"])
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["line"], b["key"], pa.ListArray.from_arrays(
-                pa.array(ends), pa.array(h[keep].reshape(-1).view(np.int64)))], ["doc_id", "line", "key", "bands"])
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, token) of the distinct shingles of lines (key, norm)."""
-    with np.errstate(over="ignore"):
-        for b in tokens.pieces(batches, "norm", tokens.BLOCK):
-            h, row = shingles(b["norm"])
-            cuts = tokens.row_starts(row, b.num_rows)
-            own = [np.unique(h[i:j]) for i, j in zip(cuts, cuts[1:])]
-            keys = np.repeat(b["key"].to_numpy(zero_copy_only=False), [len(x) for x in own])
-            if len(keys):
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate(own).view(np.int64))], ["node", "token"])
-
-
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, n): how many distinct shingles each line (key, norm) has."""
-    with np.errstate(over="ignore"):
-        for b in tokens.pieces(batches, "norm", tokens.BLOCK):
-            h, row = shingles(b["norm"])
-            cuts = tokens.row_starts(row, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b["key"], pa.array([len(np.unique(h[i:j])) for i, j in zip(cuts, cuts[1:])], pa.int64())], ["node", "n"])
+                pa.array(ends), pa.array(h[keep].reshape(-1).view(np.int64))), pa.array(n, pa.int64()), *[pa.array(p[:, i]) for i in range(p.shape[1])]],
+                ["doc_id", "line", "key", "bands", *NODE])
 
 
 def _members(held: bytes):
-    """(bucket, node) of the bands that pass a bitmap."""
+    """(bucket, node, n, p0..) of the bands that pass a bitmap."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b["bands"].offsets.to_numpy()
             flat = b["bands"].values.to_numpy(zero_copy_only=False)[at[0]:at[-1]]
             ok = hits(flat, held)
-            nodes = np.repeat(b["key"].to_numpy(zero_copy_only=False), np.diff(at))
-            yield pa.RecordBatch.from_arrays([pa.array(flat[ok]), pa.array(nodes[ok])], ["bucket", "node"])
+            rows = np.repeat(np.arange(b.num_rows), np.diff(at))[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[ok]), *[b[c].take(pa.array(rows)) for c in ("key", *NODE)]], ["bucket", "node", *NODE])
     return run
 
 
-def jaccard(a: str, b: str) -> float:
-    if min(len(a), len(b)) < SIZE:
-        return float(a == b)
-    x, y = ({t[i:i + SIZE] for i in range(len(t) - SIZE + 1)} for t in (a, b))
-    both = len(x & y)
-    return both / (len(x) + len(y) - both)
+def jaccards(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Jaccard of the shingle sets of each pair of texts; texts shorter than a shingle are alike if they are equal."""
+    (ra, ha), (rb, hb) = _distinct(a), _distinct(b)
+    row, h = np.concatenate([ra, rb]), np.concatenate([ha, hb])
+    key = np.sort((row.astype(np.uint64) << np.uint64(43)) | h)
+    both = np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(43)).astype(np.int64), minlength=len(a))
+    na, nb = np.bincount(ra, minlength=len(a)), np.bincount(rb, minlength=len(a))
+    equal = np.array(pc.equal(a, b).to_numpy(zero_copy_only=False), bool)
+    return np.where((na == 0) | (nb == 0), equal.astype(float), both / np.maximum(na + nb - both, 1))
 
 
-@F.pandas_udf(BooleanType())
-def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaccard(x, y) >= SIMILAR for x, y in zip(a, b)], dtype=bool)
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the pairs (a, b, norm_a, norm_b) that are alike."""
+    with np.errstate(over="ignore"):
+        for whole in batches:
+            for b in tokens.pieces(iter([whole]), "norm_a", tokens.BLOCK):
+                ok = pa.array(jaccards(b["norm_a"], b["norm_b"]) >= SIMILAR)
+                yield pa.RecordBatch.from_arrays([b["a"].filter(ok), b["b"].filter(ok)], ["a", "b"])
 
 
 def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines (doc_id, line, key, group), ``group`` being the least key of a line's component, and the verified links between keys."""
     flat = lines(docs)
-    seen = cut(flat.mapInArrow(_bands, "doc_id long, line int, key long, bands array<long>"), "lines")
-    entries = seen.select(F.explode("bands").alias("bucket"), F.col("key").alias("node"))
+    seen = cut(flat.mapInArrow(_bands, f"doc_id long, line int, key long, bands array<long>, {_NODE}"), "lines")
+    entries = seen.select(F.explode("bands").alias("bucket"), F.col("key").alias("node"), *NODE)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("key"))
+        pairs = cut(pairs, "pairs")
+        ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b"))
         norms = cut(keep(flat.select("key", "norm"), "key", slots(ends, "key")).dropDuplicates(["key"]), "norms")
         side = lambda k: norms.select(F.col("key").alias(k), F.col("norm").alias(f"norm_{k}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").where(_similar("norm_a", "norm_b")).select("a", "b")
-
-    def refine(nodes: DataFrame) -> DataFrame:
-        """Set size and own shingles (no other of the nodes has them) of nodes that leave room for a partner."""
-        held = slots(nodes, "node")
-        bands = keep(seen.select(F.col("key").alias("node"), "bands"), "node", held).dropDuplicates(["node"])
-        norms = cut(keep(flat.select("key", "norm"), "key", held).dropDuplicates(["key"])
-                    .join(nodes.withColumnRenamed("node", "key"), "key", "left_semi"), "undecided")
-        own = (norms.mapInArrow(_sets, "node long, token long").groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("node")).where("df = 1")
-               .groupBy("node").agg(F.count("*").alias("own")))
-        return (norms.mapInArrow(_sizes, "node long, n long").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-                .where(f"100 * (n - own) >= {round(100 * SIMILAR)} * n").join(bands, "node"))
-
-    # each pair once, in the least of its common buckets
-    later = (f"{round(100 + 100 * SIMILAR)} * least(n_a - own_a, n_b - own_b) >= {round(100 * SIMILAR)} * (n_a + n_b)"
-             " and bucket = array_min(array_intersect(bands_a, bands_b))")
-    links, parts = link(entries, verify, refine=refine, later=later,
-                        members=lambda held: seen.select("key", "bands").mapInArrow(_members(held), "bucket long, node long"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "norm_a", "norm_b").mapInArrow(_similar, "a long, b long")
+
+    links, parts = link(entries, verify, near_enough(round(100 * SIMILAR), SKETCH),
+                        members=lambda held: seen.select("key", "bands", *NODE).mapInArrow(_members(held), f"bucket long, node long, {_NODE}"))
     named = seen.select("doc_id", "line", "key").join(parts.withColumnRenamed("node", "key"), "key", "left")
     return named.select("doc_id", "line", "key", F.coalesce("component", "key").alias("group")), links
 

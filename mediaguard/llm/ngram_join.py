@@ -9,7 +9,7 @@ n - ceil(percent * n / 100) + 1 of each (the prefix), whatever global order the
   partner and goes no further.
 * A, rare first: among the documents left, all tokens by document frequency.  Passages that many documents share come
   last and fill no bucket; what still shares a prefix token is a candidate pair (``links.link``) if the tokens that either
-  document has alone leave room for enough common ones.
+  document has alone, and the bits in which parity sketches of the two sets differ, leave room for enough common ones.
 * B and C, two hash orders: a candidate pair must share a prefix token under each of
   them as well before the sets are intersected.
 
@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 
 from mediaguard.llm import tokens
 from mediaguard.llm.common import cut
-from mediaguard.llm.links import hits, link, slots
+from mediaguard.llm.links import bits, hits, link, near_enough, slots
 
 LOW = 0.3
 _LOW = np.uint64(int(LOW * 2 ** 64))
+SKETCH = 512
+_P = [f"p{i}" for i in range(SKETCH // 64)]
 
 
 def _prefix(n: int, percent: int) -> int:
@@ -97,7 +99,12 @@ def _full(size: int, percent: int, held: bytes):
                 for order in (1, 2):
                     first = [np.sort(tokens.mix(s, order))[:_prefix(len(s), percent)] for s in sets]
                     cols.append(tokens.lists([(f >> np.uint64(32)).astype(np.uint32).view(np.int32) for f in first], pa.int32()))
-                yield pa.RecordBatch.from_arrays(cols, ["node", "whole", "b", "c"])
+                row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                cell = row * SKETCH + (tokens.mix(flat, 8) >> np.uint64(64 - (SKETCH.bit_length() - 1))).astype(np.int64)
+                p = bits(np.bincount(cell, minlength=len(sets) * SKETCH) & 1, len(sets), SKETCH)  # an odd number of tokens in the cell
+                cols += [pa.array(p[:, i]) for i in range(p.shape[1])]
+                yield pa.RecordBatch.from_arrays(cols, ["node", "whole", "b", "c", *_P])
     return run
 
 
@@ -115,18 +122,18 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
     own = alone.groupBy("doc_id").agg(F.count("*").alias("own"))
     stands = seen.where("n > 0").join(reps, "digest").where("doc_id = rep").select("doc_id", "n")
     open_ = cut(stands.join(own, "doc_id", "left").where(f"coalesce(own, 0) < {prefix}").select(F.col("doc_id").alias("node")), "open")
-    whole = cut(named.mapInArrow(_full(size, percent, slots(open_, "node")), "node long, whole array<long>, b array<int>, c array<int>")
+    whole = cut(named.mapInArrow(_full(size, percent, slots(open_, "node")), "node long, whole array<long>, b array<int>, c array<int>, " + ", ".join(f"{p} long" for p in _P))
                 .join(open_, "node", "left_semi"), "whole")
 
     flat = whole.select("node", F.explode("whole").alias("token"))
     often = flat.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = flat.join(often, "token").groupBy("node").agg(F.collect_set(F.struct("df", "token")).alias("shared"))
-    entries = (whole.select("node", F.size("whole").cast("long").alias("n")).join(shared, "node")
+    entries = (whole.select("node", F.size("whole").cast("long").alias("n"), *_P).join(shared, "node")
                .withColumn("own", F.greatest(F.col("n") - F.size("shared"), F.lit(0)))
                .withColumn("short", F.expr(f"cast({prefix} - own as int)")).where("short > 0"))
-    starts = cut(entries.select("node", "own", "n", F.expr("transform(slice(sort_array(shared), 1, short), x -> x.token)").alias("first")), "starts")
-    entries = starts.select(F.explode("first").alias("bucket"), "node", "own", "n")
-    may = f"{100 + percent} * least(n_a - own_a, n_b - own_b) >= {percent} * (n_a + n_b)"
+    starts = cut(entries.select("node", "own", "n", *_P, F.expr("transform(slice(sort_array(shared), 1, short), x -> x.token)").alias("first")), "starts")
+    entries = starts.select(F.explode("first").alias("bucket"), "node", "own", "n", *_P)
+    may = f"{100 + percent} * least(n_a - own_a, n_b - own_b) >= {percent} * (n_a + n_b) and {near_enough(percent, SKETCH)}"
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda k: whole.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("whole", "b", "c")])

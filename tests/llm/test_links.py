@@ -6,6 +6,16 @@ from pyspark.sql import functions as F
 from mediaguard.llm import line_dedup, links, ngram_join
 
 
+def jaccard(a, b):
+    """Of the character shingles of two lines, by Python sets."""
+    k = line_dedup.SIZE
+    if min(len(a), len(b)) < k:
+        return float(a == b)
+    x, y = ({t[i:i + k] for i in range(len(t) - k + 1)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+
 def reach(nodes, pairs):
     root = {n: n for n in nodes}
 
@@ -88,7 +98,7 @@ def test_line_dedup_against_brute_force(spark):
     docs = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string, n_chars long")
     lines = [(i, k, x.strip().lower()) for i, t, _ in rows if t and i is not None for k, x in enumerate(t.split("\n")) if x.strip()]
     norms = sorted({x for *_, x in lines})
-    near = [(a, b) for a, b in itertools.combinations(norms, 2) if line_dedup.jaccard(a, b) >= line_dedup.SIMILAR]
+    near = [(a, b) for a, b in itertools.combinations(norms, 2) if jaccard(a, b) >= line_dedup.SIMILAR]
     part = reach(norms, near)
     first, gone = {}, {}
     for i, k, x in lines:
