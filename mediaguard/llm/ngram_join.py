@@ -13,12 +13,12 @@ n - ceil(percent * n / 100) + 1 of each (the prefix), whatever global order the
 * B and C, two hash orders: a candidate pair must share a prefix token under each of
   them as well before the sets are intersected.
 
-Equal sets collapse to their least doc_id first.  Sets of candidates only are rebuilt from
+Equal sets are one node, named by a 64-bit digest, before anything else.  Sets of candidates only are rebuilt from
 their texts, found by a fixed-size bitmap.
 
 Nulls: a null or empty text has an empty set, links with nothing and is its own component; a
-row without doc_id keeps its count, links with nothing and has a null component.  Rows that repeat a doc_id are one
-document.  Other columns are ignored; an empty table gives an empty result.
+row without doc_id keeps its count, links with nothing and has a null component.  Rows that repeat a doc_id have a set
+each and share a component.  Other columns are ignored; an empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -26,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediaguard.llm import tokens
 from mediaguard.llm.common import cut
-from mediaguard.llm.links import bits, hits, link, near_enough, slots
+from mediaguard.llm.links import bits, components, hits, link, near_enough, slots
 
 LOW = 0.3
 _LOW = np.uint64(int(LOW * 2 ** 64))
@@ -62,29 +63,34 @@ def _sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
-def _summaries(size: int, percent: int):
-    """Per document: set size and digest."""
-    import xxhash
+def _digest(own: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(own.tobytes())
+
+
+def _nodes(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([_digest(s) for s in sets], np.uint64).view(np.int64)
 
+
+def _summaries(size: int):
+    """Per document: set size and digest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for b in tokens.pieces(batches):
                 sets = _sets(b["text"], size)
-                yield pa.RecordBatch.from_arrays([
-                    b["doc_id"], pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())], ["doc_id", "n", "digest"])
+                yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(_nodes(sets))], ["doc_id", "n", "node"])
     return run
 
 
 def _low(size: int):
-    """(token, doc_id) of the low tokens."""
+    """(token, node) of the low tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for b in tokens.pieces(batches):
-                low = [s[:np.searchsorted(s, _LOW)].view(np.int64) for s in _sets(b["text"], size)]
-                ids = np.repeat(b["doc_id"].to_numpy(zero_copy_only=False), [len(x) for x in low])
-                if len(ids):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(low)), pa.array(ids, pa.int64())], ["token", "doc_id"])
+                sets = _sets(b["text"], size)
+                low = [s[:np.searchsorted(s, _LOW)].view(np.int64) for s in sets]
+                nodes = np.repeat(_nodes(sets), [len(x) for x in low])
+                if len(nodes):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(low)), pa.array(nodes)], ["token", "node"])
     return run
 
 
@@ -95,7 +101,7 @@ def _full(size: int, percent: int, held: bytes):
             for b in tokens.pieces(batches):
                 b = b.filter(pa.array(hits(b["doc_id"].to_numpy(zero_copy_only=False), held)))
                 sets = _sets(b["text"], size)
-                cols = [b["doc_id"], tokens.lists([s.view(np.int64) for s in sets], pa.int64())]
+                cols = [b["doc_id"], pa.array(_nodes(sets)), tokens.lists([s.view(np.int64) for s in sets], pa.int64())]
                 for order in (1, 2):
                     first = [np.sort(tokens.mix(s, order))[:_prefix(len(s), percent)] for s in sets]
                     cols.append(tokens.lists([(f >> np.uint64(32)).astype(np.uint32).view(np.int32) for f in first], pa.int32()))
@@ -104,7 +110,7 @@ def _full(size: int, percent: int, held: bytes):
                 cell = row * SKETCH + (tokens.mix(flat, 8) >> np.uint64(64 - (SKETCH.bit_length() - 1))).astype(np.int64)
                 p = bits(np.bincount(cell, minlength=len(sets) * SKETCH) & 1, len(sets), SKETCH)  # an odd number of tokens in the cell
                 cols += [pa.array(p[:, i]) for i in range(p.shape[1])]
-                yield pa.RecordBatch.from_arrays(cols, ["node", "whole", "b", "c", *_P])
+                yield pa.RecordBatch.from_arrays(cols, ["rep", "node", "whole", "b", "c", *_P])
     return run
 
 
@@ -112,18 +118,19 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
     """Documents (doc_id, n_shingles, component_id), one row per row of ``docs``, and the
     verified links (a, b) that hold the components together, between the documents that stand for equal sets."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = cut(texts.mapInArrow(_summaries(size, percent), "doc_id long, n long, digest binary"), "sets")
-    reps = cut(seen.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps")
+    seen = cut(texts.mapInArrow(_summaries(size), "doc_id long, n long, node long"), "sets")
+    full = seen.where("n > 0 and doc_id is not null")
+    reps = cut(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "reps")
     named = texts.where("doc_id is not null")
     prefix = f"n - (({percent} * n + 99) div 100) + 1"
 
-    alone = (named.mapInArrow(_low(size), "token long, doc_id long").groupBy("token")
-             .agg(F.count("*").alias("df"), F.min("doc_id").alias("doc_id")).where("df = 1"))
-    own = alone.groupBy("doc_id").agg(F.count("*").alias("own"))
-    stands = seen.where("n > 0").join(reps, "digest").where("doc_id = rep").select("doc_id", "n")
-    open_ = cut(stands.join(own, "doc_id", "left").where(f"coalesce(own, 0) < {prefix}").select(F.col("doc_id").alias("node")), "open")
-    whole = cut(named.mapInArrow(_full(size, percent, slots(open_, "node")), "node long, whole array<long>, b array<int>, c array<int>, " + ", ".join(f"{p} long" for p in _P))
-                .join(open_, "node", "left_semi"), "whole")
+    # tokens of one set only; its copies count as one
+    alone = (named.mapInArrow(_low(size), "token long, node long").groupBy("token")
+             .agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other"))
+    own = alone.groupBy("node").agg(F.count("*").alias("own"))
+    open_ = cut(reps.join(own, "node", "left").where(f"coalesce(own, 0) < {prefix}").select("node", "rep"), "open")
+    whole = cut(named.mapInArrow(_full(size, percent, slots(open_, "rep")), "rep long, node long, whole array<long>, b array<int>, c array<int>, " + ", ".join(f"{p} long" for p in _P))
+                .join(open_, ["node", "rep"], "left_semi").drop("rep"), "whole")
 
     flat = whole.select("node", F.explode("whole").alias("token"))
     often = flat.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
@@ -148,10 +155,17 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
     # each pair once, in the least of its common buckets, and only if it passes all orders
     later = "bucket = array_min(array_intersect(first_a, first_b)) and arrays_overlap(b_a, b_b) and arrays_overlap(c_a, c_b)"
     links, parts = link(entries, verify, may, refine, later)
-    found = (seen.select("doc_id", "n", "digest").join(reps, "digest", "left")
-             .join(parts.withColumnRenamed("node", "rep"), "rep", "left"))
-    own = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")), links
+    several = full.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("doc_id", "a")
+    if not several.isEmpty():  # rows of one doc_id with different sets
+        same = full.join(several, "doc_id").where("a <> node").select("a", F.col("node").alias("b"))
+        parts = components(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).union(same))
+    member = cut(parts.union(parts.select("component", "component")).distinct(), "members")
+    least = member.join(reps.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
+    found = seen.join(reps.select("node", "rep"), "node", "left").join(member.join(least, "component").select("node", "least"), "node", "left")
+    own = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("least", "rep"))
+    side = lambda k: reps.select(F.col("node").alias(k), F.col("rep").alias(f"rep_{k}"))
+    by_id = links.join(side("a"), "a").join(side("b"), "b").select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")), by_id
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

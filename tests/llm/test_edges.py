@@ -194,3 +194,11 @@ def test_quality(messy, none):
     by = {r.doc_id: r for r in rows}
     assert by[3].n_words == by[4].n_words == by[5].n_words == 0 and by[3].base_failed and not by[3].kept and by[6].n_words >= 60000
     assert quality.judge(none).count() == 0
+
+
+def test_ngram_join_of_different_rows_of_one_document(spark):
+    w, u = [f"w{i}" for i in range(300)], [f"u{i}" for i in range(300)]
+    rows = [(1, " ".join(w[:32])), (2, " ".join([*w[:31], "zz"])), (2, " ".join(u[:203])), (2, " ".join(u[:203])), (3, " ".join(u[:201])), (4, None), (5, "")]
+    out, pairs = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85)
+    assert sorted(map(tuple, out.collect())) == [(1, 29, 1), (2, 29, 1), (2, 200, 1), (2, 200, 1), (3, 198, 1), (4, 0, 4), (5, 0, 5)]
+    assert {tuple(r) for r in pairs.collect()} == {(1, 2), (2, 3)}
