@@ -169,13 +169,15 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def removed(docs: DataFrame) -> DataFrame:
-    """Per document with lines to remove: doc_id, n_lines (with a word), removed (line numbers, ascending)."""
+    """Per document with a line with a word: doc_id, n_lines (such lines), removed (numbers of those that go, ascending) and
+    kept, for each of them the (doc_id, line) that stays in its place."""
     held = cut(groups(docs)[0].select("doc_id", "line", "group"), "groups")
     first = held.groupBy("group").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").select("group", "first")
     gone = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line"))
     marked = held.join(first, "group", "left").withColumn("gone", F.coalesce(gone, F.lit(False)))
-    return marked.groupBy("doc_id").agg(
-        F.countDistinct("line").alias("n_lines"), F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("line")))).alias("removed"))
+    out = marked.groupBy("doc_id").agg(
+        F.countDistinct("line").alias("n_lines"), F.array_sort(F.collect_set(F.when(F.col("gone"), F.struct("line", F.col("first").alias("stays"))))).alias("_gone"))
+    return out.select("doc_id", "n_lines", F.col("_gone.line").alias("removed"), F.col("_gone.stays").alias("kept"))
 
 
 def clean(docs: DataFrame) -> DataFrame:

@@ -16,7 +16,9 @@ an empty result (and a model of generated zones only); other columns are ignored
 """
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,6 +34,7 @@ from mediaguard.llm import tokens
 KINDS = ["email", "ip", "card", "phone", "secret"]
 BASE = KINDS[:4]
 LONGEST, SAMPLE, SHOWN = 6, 1500, 12
+STRIDE, SNIPPET = 512, 400   # tokens of a zone that are scored at once; characters of a zone that teach
 FEATURES, ROUNDS, RATE, RIDGE = 1 << 13, 40, 0.1, 1e-3
 
 # fixed values: the base patterns of the contract, split where that keeps the search linear
@@ -94,9 +97,9 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def zones(text: str) -> Iterator[tuple[list[tuple[int, int]], list[str]]]:
+def zones(text: str) -> Iterator[tuple[np.ndarray, list[str]]]:
     """Each zone's tokens (start, end) and the two words before and one after it."""
-    own = [m.span() for m in _TOKEN.finditer(text)]
+    own = np.fromiter((x for m in _TOKEN.finditer(text) for x in m.span()), np.int64).reshape(-1, 2)
     word = lambda i: text[slice(*own[i])].lower() if 0 <= i < len(own) else ""
     begin, end = 0, 0
     for i, (a, b) in enumerate(own):
@@ -138,16 +141,15 @@ def features(s: str, around: tuple[str, str, str], n: int) -> list[int]:
 
 
 class Zone:
-    """The candidate spans of a zone: token bounds, characters, features."""
+    """The candidate spans of a zone: token bounds, characters, features.  ``starts`` bounds the tokens they begin at."""
 
-    def __init__(self, text: str, own: list[tuple[int, int]], around: list[str]):
+    def __init__(self, text: str, own, around: list[str], starts: int | None = None):
+        own = [(int(a), int(b)) for a, b in own]
         self.n, self.bounds, self.chars, feats = len(own), [], [], []
         words = [text[a:b].lower() for a, b in own]
         marked = np.concatenate([[0], np.cumsum([_MARK.search(w) is not None for w in words])])
-        for i in range(self.n):
+        for i in range(self.n if starts is None else starts):
             for j in range(i + 1, min(self.n, i + LONGEST) + 1):
-                if own[j - 1][1] - own[i][0] > 400 and j > i + 1:
-                    break
                 if j > i + 1 and marked[i] == marked[j]:
                     continue
                 a, b = _strip(text, own[i][0], own[j - 1][1])
@@ -175,23 +177,34 @@ class Field:
                 s[k, 1:] = -np.inf
         return s
 
-    def best(self, z: Zone) -> list[tuple[int, int]]:
-        """(candidate, kind) of the best segmentation, outside tokens left out."""
-        s, k = self.scores(z), len(KINDS) + 1
-        top, back = np.full((z.n + 1, k), -np.inf), {}
+    def best(self, text: str, own, around: list[str]) -> list[tuple[int, int, str]]:
+        """(start, end, kind) of the entities of the best segmentation of a zone's tokens.
+
+        Candidates are made and scored ``STRIDE`` tokens at a time; of each token only its best scores and where they came
+        from are kept, so a zone may be as long as a text.
+        """
+        n, k = len(own), len(KINDS) + 1
+        top = np.full((n + 1, k), -np.inf)
+        size, prior = np.zeros((n + 1, k), np.uint8), np.zeros((n + 1, k), np.uint8)
         top[0, 0] = 0
-        for c, (i, j) in enumerate(z.bounds):  # bounds are ordered by their start
-            step = top[i][:, None] + self.move
-            prev = step.argmax(axis=0)
-            new = step.max(axis=0) + s[c]
-            for y in np.flatnonzero(new > top[j]):
-                top[j, y], back[j, int(y)] = new[y], (c, int(prev[y]))
-        at, y, found = z.n, int(top[z.n].argmax()), []
+        word = lambda i: text[own[i][0]:own[i][1]].lower()
+        for lo in range(0, n, STRIDE):
+            hi = min(n, lo + STRIDE)
+            end = min(n, hi + LONGEST - 1)
+            z = Zone(text, own[lo:end], [word(lo - 2) if lo else around[0], word(lo - 1) if lo else around[1], word(end) if end < n else around[2]], hi - lo)
+            s = self.scores(z)
+            for c, (i, j) in enumerate(z.bounds):  # bounds are ordered by their start
+                step = top[lo + i][:, None] + self.move
+                new = step.max(axis=0) + s[c]
+                better = new > top[lo + j]
+                if better.any():
+                    top[lo + j, better], size[lo + j, better], prior[lo + j, better] = new[better], j - i, step.argmax(axis=0)[better]
+        at, y, found = n, int(top[n].argmax()), []
         while at:
-            c, before = back[at, y]
+            i = at - int(size[at, y])
             if y:
-                found.append((c, y))
-            at, y = z.bounds[c][0], before
+                found.append((*_strip(text, int(own[i][0]), int(own[at - 1][1])), KINDS[y - 1]))
+            at, y = i, int(prior[at, y])
         return found[::-1]
 
     def marginals(self, z: Zone) -> tuple[np.ndarray, np.ndarray]:
@@ -331,7 +344,7 @@ def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for t in texts.to_pylist():
             for own, around in zones(t):
-                out.append(f"{around[0]} {around[1]} {t[own[0][0]:own[min(len(own), SHOWN) - 1][1]][:400]} {around[2]}")
+                out.append(f"{around[0]} {around[1]} {t[own[0][0]:own[min(len(own), SHOWN) - 1][1]][:SNIPPET]} {around[2]}")
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["snippet"])
 
 
@@ -345,16 +358,14 @@ def fit(docs: DataFrame) -> Field:
 def find(text: str, field: Field) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and all spans: the base and what the field adds beside them."""
     base = base_spans(text)
-    more, k = [], 0
-    ordered = sorted(base)
+    more = []
+    starts = [s for s, _, _ in sorted(base)]
+    reach = list(itertools.accumulate((e for _, e, _ in sorted(base)), max))  # the furthest end among the spans so far
     for own, around in zones(text):
-        z = Zone(text, own, around)
-        for c, y in field.best(z):
-            a, b = z.chars[c]
-            while k < len(ordered) and ordered[k][1] <= own[0][0]:
-                k += 1
-            if not any(s < b and a < e for s, e, _ in ordered[k:k + 4 * len(own)]):
-                more.append((a, b, KINDS[y - 1]))
+        for a, b, kind in field.best(text, own, around):
+            before = bisect.bisect_left(starts, b)  # spans that begin before the end
+            if not before or reach[before - 1] <= a:
+                more.append((a, b, kind))
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

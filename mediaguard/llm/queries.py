@@ -43,9 +43,14 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document with lines: how many it has and the numbers of those that go."""
-    found = line_dedup.removed(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+    """Per document: lines with a word, the numbers of those that go, and for each the document and line that stay."""
+    docs = table(spark, sf_dir, "documents")
+    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    found = ids.join(line_dedup.removed(docs), "doc_id", "left")
+    none = F.array().cast("array<int>")
+    return found.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.size(F.coalesce("removed", none)).cast("long").alias("n_removed"),
+                        F.coalesce("removed", none).alias("removed"), F.coalesce("kept.doc_id", F.array().cast("array<bigint>")).alias("kept_doc_id"),
+                        F.coalesce("kept.line", none).alias("kept_line"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ if a document with a smaller id holds it.  Adjacent repeats form spans; spans of
 reported and removed.
 
 Nulls: null and empty texts have no chunks; rows without a doc_id are left out; rows that repeat a doc_id are one
-document, whose text is the greatest of them; an empty table gives an empty result; other columns are ignored.
+document, whose text is the greatest of them (``clean`` leaves the others as they are); an empty table gives an empty result; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -80,14 +80,26 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(cols, kinds)], ["doc_id", "start", "end", "digest", "size", "again"])
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text) with one text per doc_id, the greatest where rows differ, and (doc_id, hash) of those chosen among several."""
+    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = own.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    rows = cut(rows, "several")
+    if rows.isEmpty():
+        return own, rows.withColumn("hash", F.lit(0).cast("long"))
+    chosen = cut(own.join(rows, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")), "chosen")
+    return own.join(rows, "doc_id", "left_anti").unionByName(chosen), chosen.select("doc_id", F.xxhash64("text").alias("hash"))
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, start, end, first_doc_id): each repeated span in characters, end exclusive, and
     the least document that holds its first chunk."""
-    chunks = cut(_texts(docs).mapInArrow(_chunks, "doc_id long, start int, end int, digest long, size int, again boolean"), "chunks")
+    return _spans(docs)[0]
+
+
+def _spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    texts, chosen = _texts(docs)
+    chunks = cut(texts.mapInArrow(_chunks, "doc_id long, start int, end int, digest long, size int, again boolean"), "chunks")
     first = (chunks.groupBy("digest", "size").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("again").alias("some"))
              .where("first < last or some").select("digest", "size", "first"))
     repeats = chunks.join(first, ["digest", "size"]).where("again or doc_id > first")
@@ -96,16 +108,18 @@ def spans(docs: DataFrame) -> DataFrame:
     heads = "filter(sequence(0, size(c) - 1), i -> i = 0 or c[i].start > c[greatest(i - 1, 0)].end)"
     named = runs.select("doc_id", "c", F.expr(heads).alias("h"))
     pieces = F.expr("transform(h, (x, i) -> struct(c[x].start as start, c[if(i + 1 < size(h), h[least(i + 1, size(h) - 1)], size(c)) - 1].end as end, c[x].first as first_doc_id))")
-    return (named.select("doc_id", F.explode(pieces).alias("s")).select("doc_id", "s.*")
-            .where(f"end - start >= {SPAN}"))
+    return named.select("doc_id", F.explode(pieces).alias("s")).select("doc_id", "s.*").where(f"end - start >= {SPAN}"), chosen
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """``docs`` without the repeated spans; ``n_chars``, where there is one, follows the text."""
-    gone = spans(docs).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_gone"))
+    found, chosen = _spans(docs)
+    gone = found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_gone"))
+    gone = gone.join(chosen.withColumnRenamed("hash", "_hash"), "doc_id", "left")
     kept = ("array_join(transform(sequence(0, size(_gone)), i -> substring(text, if(i = 0, 0, _gone[greatest(i - 1, 0)].end) + 1, "
             "if(i = size(_gone), length(text), _gone[least(i, size(_gone) - 1)].start) - if(i = 0, 0, _gone[greatest(i - 1, 0)].end))), '')")
-    out = docs.join(gone, "doc_id", "left").withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.expr(kept)))
+    here = F.col("_hash").isNull() | (F.col("_hash") == F.xxhash64(F.col("text").cast("string")))
+    out = docs.join(gone, "doc_id", "left").withColumn("_gone", F.when(here, F.col("_gone"))).withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.expr(kept)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)

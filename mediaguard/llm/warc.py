@@ -31,7 +31,7 @@ DATE = "2024-01-01T00:00:00Z"
 SCHEMA = ("record_id string, warc_type string, refers_to string, concurrent_to string, target_uri string, date string, "
           "source_digest string, block_digest string, content_length long, block string")
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL name space of RFC 4122
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>|<!--|<[!?][^<>]*>")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>|<!--|<[!?][^<>]*+>")  # possessive: a run without its end is read once
 _ATTR = re.compile(r"""\b(href|src)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _CHARSET = re.compile(r"charset\s*=\s*\"?([\w.:-]+)", re.I)
 _DROP = {"script", "style", "template", "noscript"}
@@ -82,8 +82,9 @@ def visible(page: str) -> tuple[str, str, list[str]]:
             end = page.find("-->", at)
             at = len(page) if end < 0 else end + 3
         elif name in _DROP and not m[1]:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = len(page) if end is None else end.end()
+            shut = re.compile(rf"</{name}\b", re.I).search(page, at)
+            end = -1 if shut is None else page.find(">", shut.end())
+            at = len(page) if end < 0 else end + 1
         else:
             if name == "title":
                 inside = not m[1]
