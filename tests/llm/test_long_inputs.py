@@ -103,3 +103,15 @@ def test_many_lines_below_the_cutoff_are_left_alone(spark):
     shingles = lambda t: {t[i:i + 8] for i in range(len(t) - 7)}
     assert len(shingles(lines[0]) & shingles(lines[1])) / len(shingles(lines[0]) | shingles(lines[1])) < 0.8
     assert line_dedup.removed(docs).where("size(removed) > 0").count() == 0
+
+
+def test_words_are_clustered_when_none_is_frequent(spark, monkeypatch):
+    from mediaguard.llm import brown_lm
+    monkeypatch.setattr(brown_lm, "HEAD", 100)  # less than the words that occur once
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(60)], "doc_id long, text string")
+    model, _, know = brown_lm.fit(docs)
+    assert len(model.core) == brown_lm.CORE and know == 1 << 62 and len(model.head) == 0
+    assert len(set(model.of[:brown_lm.CORE].tolist())) > 10
+    rows = brown_lm.score(docs).collect()
+    n = sum(not r.held_out for r in rows) * 21
+    assert all(r.train_tokens == n and r.n_tokens == 21 and (r.held_out or r.n_known == 21) for r in rows)
