@@ -5,8 +5,8 @@ Equal lines share a key.  The ``SIZE``-character shingles of a whole line fall i
 hash and each bin keeps its least one (one-permutation MinHash; empty bins borrow along
 fixed probes).  ``BANDS`` bands of ``BINS`` / ``BANDS`` values make the buckets: lines of
 Jaccard 0.8 share one with probability 0.998, of 0.9 with 0.99999.  A pair of a bucket goes on only if the
-``SKETCH`` parity bits of its shingles are near enough (a bound that loses no pair), so texts are fetched for few; candidates are
-verified by the exact Jaccard of their shingle sets, ``links.link`` finds components with distributed union-find,
+``SKETCH`` parity bits of its shingles are near enough (``FINE`` bits once few lines are undecided; a bound that loses no
+pair), so texts are fetched for few; candidates are verified by the exact Jaccard of their shingle sets, ``links.link`` finds components with distributed union-find,
 and the first line of each component in order of (doc_id, line number) stays.
 
 Nulls: a null text has no lines; rows without a doc_id are left as they are and removed from nothing; rows
@@ -30,7 +30,7 @@ from mediaguard.llm.links import bits, hits, keep, link, near_enough, slots
 SIZE = 8
 SIMILAR = 0.8
 BANDS, BINS = 12, 48
-SKETCH = 384
+SKETCH, FINE = 384, 1024
 _PROBE = np.random.default_rng(11).integers(0, BINS, (64, BINS))
 _NONE = np.uint64(2 ** 64 - 1)
 
@@ -90,31 +90,43 @@ def _distinct(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (key >> np.uint64(43)).astype(np.int64), key & np.uint64(2 ** 43 - 1)
 
 
-def sketches(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Number of distinct shingles per text, and in which of ``SKETCH`` cells an odd number of them falls."""
+def sketches(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of distinct shingles per text, and in which of ``size`` cells an odd number of them falls."""
     row, h = _distinct(texts)
-    cell = row * SKETCH + ((h & np.uint64(2 ** 32 - 1)) * np.uint64(SKETCH) >> np.uint64(32)).astype(np.int64)
-    return np.bincount(row, minlength=len(texts)), bits(np.bincount(cell, minlength=len(texts) * SKETCH) & 1, len(texts), SKETCH)
+    cell = row * size + ((h & np.uint64(2 ** 32 - 1)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
+    return np.bincount(row, minlength=len(texts)), bits(np.bincount(cell, minlength=len(texts) * size) & 1, len(texts), size)
 
 
 NODE = ["n", *[f"p{i}" for i in range(SKETCH // 64)]]
 _NODE = "n long, " + ", ".join(f"p{i} long" for i in range(SKETCH // 64))
 
 
+def bands(texts: pa.Array) -> pa.ListArray:
+    """The ``BANDS`` buckets of each text; none for one shorter than a shingle."""
+    sig = signatures(texts)
+    wide = sig.reshape(len(sig), BANDS, -1)
+    h = np.full((len(sig), BANDS), 1, np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    for k in range(wide.shape[2]):
+        h = tokens.mix(h + wide[:, :, k] * np.uint64(0x9E3779B97F4A7C15))
+    keep = (sig != _NONE).any(axis=1)
+    ends = np.concatenate([[0], np.cumsum(keep * BANDS)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(h[keep].reshape(-1).view(np.int64)))
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for b in tokens.pieces(batches, "norm", tokens.BLOCK):
-            sig = signatures(b["norm"])
-            wide = sig.reshape(len(sig), BANDS, -1)
-            h = np.full((len(sig), BANDS), 1, np.uint64) + np.arange(BANDS, dtype=np.uint64)
-            for k in range(wide.shape[2]):
-                h = tokens.mix(h + wide[:, :, k] * np.uint64(0x9E3779B97F4A7C15))
-            keep = (sig != _NONE).any(axis=1)
-            ends = np.concatenate([[0], np.cumsum(keep * BANDS)]).astype(np.int32)
-            n, p = sketches(b["norm"])
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["line"], b["key"], pa.ListArray.from_arrays(
-                pa.array(ends), pa.array(h[keep].reshape(-1).view(np.int64))), pa.array(n, pa.int64()), *[pa.array(p[:, i]) for i in range(p.shape[1])]],
-                ["doc_id", "line", "key", "bands", *NODE])
+            n, p = sketches(b["norm"], SKETCH)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["line"], b["key"], bands(b["norm"]), pa.array(n, pa.int64()), *[pa.array(p[:, i]) for i in range(p.shape[1])]],
+                                             ["doc_id", "line", "key", "bands", *NODE])
+
+
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, bands, q0..) of lines (key, norm): a longer sketch."""
+    with np.errstate(over="ignore"):
+        for b in tokens.pieces(batches, "norm", tokens.BLOCK):
+            _, q = sketches(b["norm"], FINE)
+            yield pa.RecordBatch.from_arrays([b["key"], bands(b["norm"]), *[pa.array(q[:, i]) for i in range(q.shape[1])]], ["node", "bands", *[f"q{i}" for i in range(q.shape[1])]])
 
 
 def _members(held: bytes):
@@ -155,15 +167,26 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     seen = cut(flat.mapInArrow(_bands, f"doc_id long, line int, key long, bands array<long>, {_NODE}"), "lines")
     entries = seen.select(F.explode("bands").alias("bucket"), F.col("key").alias("node"), *NODE)
 
+    known: list[DataFrame] = []  # the texts of the lines still undecided, once they are few
+
+    def texts(keys: DataFrame) -> DataFrame:
+        return keep(flat.select("key", "norm"), "key", slots(keys, "key")).dropDuplicates(["key"])
+
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs, "pairs")
-        ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b"))
-        norms = cut(keep(flat.select("key", "norm"), "key", slots(ends, "key")).dropDuplicates(["key"]), "norms")
+        norms = known[0] if known else cut(texts(pairs.select(F.col("a").alias("key")).union(pairs.select("b"))), "norms")
         side = lambda k: norms.select(F.col("key").alias(k), F.col("norm").alias(f"norm_{k}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "norm_a", "norm_b").mapInArrow(_similar, "a long, b long")
 
-    links, parts = link(entries, verify, near_enough(round(100 * SIMILAR), SKETCH),
-                        members=lambda held: seen.select("key", "bands", *NODE).mapInArrow(_members(held), f"bucket long, node long, {_NODE}"))
+    def refine(nodes: DataFrame) -> DataFrame:
+        keys = nodes.withColumnRenamed("node", "key")
+        known.append(cut(texts(keys).join(keys, "key", "left_semi"), "undecided"))
+        return known[0].mapInArrow(_fine, "node long, bands array<long>, " + ", ".join(f"q{i} long" for i in range(FINE // 64)))
+
+    # each pair once, in the least of its common buckets
+    later = f"{near_enough(round(100 * SIMILAR), FINE, 'q')} and bucket = array_min(array_intersect(bands_a, bands_b))"
+    links, parts = link(entries, verify, near_enough(round(100 * SIMILAR), SKETCH), refine, later,
+                        lambda held: seen.select("key", "bands", *NODE).mapInArrow(_members(held), f"bucket long, node long, {_NODE}"))
     named = seen.select("doc_id", "line", "key").join(parts.withColumnRenamed("node", "key"), "key", "left")
     return named.select("doc_id", "line", "key", F.coalesce("component", "key").alias("group")), links
 

@@ -51,15 +51,15 @@ def bits(cells: np.ndarray, n: int, size: int) -> np.ndarray:
     return (cells.reshape(n, size // 64, 64).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
-def differ(size: int) -> str:
+def differ(size: int, name: str = "p") -> str:
     """How many bits the sketches p0, p1, .. of nodes a and b differ in: a lower bound of the number of tokens that one set has alone,
     as each such token turns one bit."""
-    return "(" + " + ".join(f"bit_count(p{i}_a ^ p{i}_b)" for i in range(size // 64)) + ")"
+    return "(" + " + ".join(f"bit_count({name}{i}_a ^ {name}{i}_b)" for i in range(size // 64)) + ")"
 
 
-def near_enough(percent: int, size: int) -> str:
+def near_enough(percent: int, size: int, name: str = "p") -> str:
     """Condition on n_a, n_b and the sketches without which two sets can't reach Jaccard ``percent`` / 100; it loses no pair."""
-    return f"{100 + percent} * {differ(size)} <= {100 - percent} * (n_a + n_b)"
+    return f"{100 + percent} * {differ(size, name)} <= {100 - percent} * (n_a + n_b)"
 
 
 def components(links: DataFrame) -> DataFrame:
