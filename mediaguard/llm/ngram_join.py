@@ -138,8 +138,8 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
     entries = (whole.select("node", F.size("whole").cast("long").alias("n"), *_P).join(shared, "node")
                .withColumn("own", F.greatest(F.col("n") - F.size("shared"), F.lit(0)))
                .withColumn("short", F.expr(f"cast({prefix} - own as int)")).where("short > 0"))
-    starts = cut(entries.select("node", "own", "n", *_P, F.expr("transform(slice(sort_array(shared), 1, short), x -> x.token)").alias("first")), "starts")
-    entries = starts.select(F.explode("first").alias("bucket"), "node", "own", "n", *_P)
+    entries = cut(entries.select("node", "own", "n", *_P, F.expr("transform(slice(sort_array(shared), 1, short), x -> x.token)").alias("first")), "starts")
+    entries = entries.select(F.explode("first").alias("bucket"), "node", "own", "n", *_P)
     may = f"{100 + percent} * least(n_a - own_a, n_b - own_b) >= {percent} * (n_a + n_b) and {near_enough(percent, SKETCH)}"
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -149,12 +149,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
         inter = "size(array_intersect(whole_a, whole_b))"
         return both.where(f"{100 + percent} * {inter} >= {percent} * (size(whole_a) + size(whole_b))").select("a", "b").distinct()
 
-    def refine(nodes: DataFrame) -> DataFrame:
-        return nodes.join(starts.select("node", "first"), "node").join(whole.select("node", "b", "c"), "node")
-
-    # each pair once, in the least of its common buckets, and only if it passes all orders
-    later = "bucket = array_min(array_intersect(first_a, first_b)) and arrays_overlap(b_a, b_b) and arrays_overlap(c_a, c_b)"
-    links, parts = link(entries, verify, may, refine, later)
+    links, parts = link(entries, verify, may)
     several = full.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("doc_id", "a")
     if not several.isEmpty():  # rows of one doc_id with different sets
         same = full.join(several, "doc_id").where("a <> node").select("a", F.col("node").alias("b"))
