@@ -82,15 +82,14 @@ def _summaries(size: int):
 
 
 def _low(size: int):
-    """(token, node) of the low tokens."""
+    """(token, doc_id) of the low tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for b in tokens.pieces(batches):
-                sets = _sets(b["text"], size)
-                low = [s[:np.searchsorted(s, _LOW)].view(np.int64) for s in sets]
-                nodes = np.repeat(_nodes(sets), [len(x) for x in low])
-                if len(nodes):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(low)), pa.array(nodes)], ["token", "node"])
+                low = [s[:np.searchsorted(s, _LOW)].view(np.int64) for s in _sets(b["text"], size)]
+                ids = np.repeat(b["doc_id"].to_numpy(zero_copy_only=False), [len(x) for x in low])
+                if len(ids):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(low)), pa.array(ids, pa.int64())], ["token", "doc_id"])
     return run
 
 
@@ -124,11 +123,12 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
     named = texts.where("doc_id is not null")
     prefix = f"n - (({percent} * n + 99) div 100) + 1"
 
-    # tokens of one set only; its copies count as one
-    alone = (named.mapInArrow(_low(size), "token long, node long").groupBy("token")
-             .agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other"))
-    own = alone.groupBy("node").agg(F.count("*").alias("own"))
-    open_ = cut(reps.join(own, "node", "left").where(f"coalesce(own, 0) < {prefix}").select("node", "rep"), "open")
+    # rows of one doc_id with different sets: what they hold alone is not told apart, so they stay open
+    several = cut(full.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("doc_id", "a"), "several")
+    alone = (named.mapInArrow(_low(size), "token long, doc_id long").groupBy("token")
+             .agg(F.count("*").alias("df"), F.min("doc_id").alias("rep")).where("df = 1"))
+    own = alone.groupBy("rep").agg(F.count("*").alias("own")).join(several.select(F.col("doc_id").alias("rep")), "rep", "left_anti")
+    open_ = cut(reps.join(own, "rep", "left").where(f"coalesce(own, 0) < {prefix}").select("node", "rep"), "open")
     whole = cut(named.mapInArrow(_full(size, percent, slots(open_, "rep")), "rep long, node long, whole array<long>, b array<int>, c array<int>, " + ", ".join(f"{p} long" for p in _P))
                 .join(open_, ["node", "rep"], "left_semi").drop("rep"), "whole")
 
@@ -150,7 +150,6 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
         return both.where(f"{100 + percent} * {inter} >= {percent} * (size(whole_a) + size(whole_b))").select("a", "b").distinct()
 
     links, parts = link(entries, verify, may)
-    several = full.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("doc_id", "a")
     if not several.isEmpty():  # rows of one doc_id with different sets
         same = full.join(several, "doc_id").where("a <> node").select("a", F.col("node").alias("b"))
         parts = components(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).union(same))
