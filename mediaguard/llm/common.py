@@ -1,11 +1,14 @@
 """What several operators of this subpackage share."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mediaguard.sources import scratch
 
+_CUT = r".*/[a-z_]+-[0-9a-f]{32}"
 SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -22,6 +25,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the table behind ``df``, which ``cut`` wrote, once what was made of it has been written too.  Other files stay."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if re.fullmatch(_CUT, folder):
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def words(text: Column) -> Column:
     """The maximal runs outside space and tab to carriage return; null gives no words."""
     inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))

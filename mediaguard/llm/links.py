@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediaguard.llm.common import cut
+from mediaguard.llm.common import cut, drop
 from mediaguard.llm.tokens import mix
 
 SLOTS = 1 << 23
@@ -80,12 +80,13 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", "m"))
-        edges = cut(small.distinct(), "edges")
+        old, edges = edges, cut(small.distinct(), "edges")
+        drop(old)
 
 
 def link(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], may: str = "true",
          refine: Callable[[DataFrame], DataFrame] | None = None, later: str = "true",
-         members: Callable[[bytes], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+         members: Callable[[bytes], DataFrame] | None = None, spent: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Links and components among nodes that share a bucket.
 
     ``entries`` has (bucket, node) and columns that belong to the node; ``may`` is a condition on two nodes' columns, as x_a and x_b,
@@ -95,6 +96,7 @@ def link(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], may: str
     most ``DENSE`` pairs for each row left, else with one more node first,
     ``STARS`` times at most.  ``refine`` may add columns to the nodes that get so far, on which ``later`` is a condition like ``may``, and
     leave out nodes that can link with none of them.  ``members`` gives the entries that pass a bitmap of buckets, where that has a shorter way.
+    ``spent`` is a table that ``cut`` wrote, which is deleted as soon as the entries that share a bucket are written, as are the steps between.
     So groups of copies cost rows in proportion to their size, and no pair that could join two components is left out.
     Returns the verified links (a, b) and (node, component) of all nodes but the roots.
     """
@@ -108,6 +110,9 @@ def link(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], may: str
     many = cut(entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low < top").select("bucket"), "buckets")
     held = slots(many, "bucket")
     live = cut((keep(entries, "bucket", held) if members is None else members(held)).join(many, "bucket").distinct(), "live")
+    drop(many)
+    if spent is not None:
+        drop(spent)
     ranked = live if extra else live.join(live.groupBy("node").agg((-F.count("*")).alias("order")), "node")
     pivots = ranked.groupBy("bucket").agg(F.min(F.struct(*(extra or ["order"]), "node")).alias("p"))
     pivots = pivots.select("bucket", *[f"p.{c}" for c in [*extra, "node"]])
@@ -118,9 +123,11 @@ def link(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], may: str
         split = named.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).where("p < q and n > 2")
         named = named.join(split.select("bucket"), "bucket")
         if refine is not None and k == 1:
-            named = cut(named, "split")
-            named = named.join(refine(named.select("node").distinct()), "node")
-        named = cut(named.withColumn("_n", F.count("*").over(Window.partitionBy("bucket"))).where("_n > 1"), "live")
+            old, live = live, cut(named, "split")
+            drop(old)
+            named = live.join(refine(live.select("node").distinct()), "node")
+        old, named = live, cut(named.withColumn("_n", F.count("*").over(Window.partitionBy("bucket"))).where("_n > 1"), "live")
+        drop(old)
         rows, pairs = named.agg(F.count("*"), F.sum("_n")).first()  # a bucket of n nodes counts n times n
         if not rows:
             break

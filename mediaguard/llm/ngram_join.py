@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediaguard.llm import tokens
-from mediaguard.llm.common import cut
+from mediaguard.llm.common import cut, drop
 from mediaguard.llm.links import bits, components, hits, link, near_enough, slots
 
 LOW = 0.3
@@ -131,6 +131,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
     open_ = cut(reps.join(own, "node", "left").where(f"coalesce(own, 0) < {prefix}").select("node", "rep"), "open")
     whole = cut(named.mapInArrow(_full(size, percent, slots(open_, "rep")), "rep long, node long, whole array<long>, b array<int>, c array<int>, " + ", ".join(f"{p} long" for p in _P))
                 .join(open_, ["node", "rep"], "left_semi").drop("rep"), "whole")
+    drop(open_)
 
     flat = whole.select("node", F.explode("whole").alias("token"))
     often = flat.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
@@ -138,8 +139,8 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
     entries = (whole.select("node", F.size("whole").cast("long").alias("n"), *_P).join(shared, "node")
                .withColumn("own", F.greatest(F.col("n") - F.size("shared"), F.lit(0)))
                .withColumn("short", F.expr(f"cast({prefix} - own as int)")).where("short > 0"))
-    entries = cut(entries.select("node", "own", "n", *_P, F.expr("transform(slice(sort_array(shared), 1, short), x -> x.token)").alias("first")), "starts")
-    entries = entries.select(F.explode("first").alias("bucket"), "node", "own", "n", *_P)
+    starts = cut(entries.select("node", "own", "n", *_P, F.expr("transform(slice(sort_array(shared), 1, short), x -> x.token)").alias("first")), "starts")
+    entries = starts.select(F.explode("first").alias("bucket"), "node", "own", "n", *_P)
     may = f"{100 + percent} * least(n_a - own_a, n_b - own_b) >= {percent} * (n_a + n_b) and {near_enough(percent, SKETCH)}"
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -149,7 +150,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
         inter = "size(array_intersect(whole_a, whole_b))"
         return both.where(f"{100 + percent} * {inter} >= {percent} * (size(whole_a) + size(whole_b))").select("a", "b").distinct()
 
-    links, parts = link(entries, verify, may)
+    links, parts = link(entries, verify, may, spent=starts)
     several = full.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("doc_id", "a")
     if not several.isEmpty():  # rows of one doc_id with different sets
         same = full.join(several, "doc_id").where("a <> node").select("a", F.col("node").alias("b"))

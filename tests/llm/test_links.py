@@ -1,9 +1,11 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from mediaguard.llm import line_dedup, links, ngram_join
+from mediaguard.llm.common import cut, drop
 
 
 def jaccard(a, b):
@@ -114,3 +116,15 @@ def test_line_dedup_against_brute_force(spark):
         elif len(gone[i]) < len([1 for d, *_ in lines if d == i]):
             want.append((i, "\n".join(left), len("\n".join(left))))
     assert sorted(map(str, want)) == sorted(str(tuple(x)) for x in line_dedup.clean(docs).collect())
+
+
+def test_spent_tables_are_dropped_and_others_stay(spark, tmp_path):
+    own = cut(spark.range(20), "starts")
+    other = str(tmp_path / "starts-of-others")
+    spark.range(3).write.parquet(other)
+    drop(own.select("id").where("id > 3"))
+    drop(spark.read.parquet(other))
+    drop(spark.range(2))
+    assert spark.read.parquet(other).count() == 3
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND"):
+        own.collect()
