@@ -130,6 +130,29 @@ def decide_many(rows: DataFrame, probes: list[Linear | None], x: str = "x", out:
     return rows.mapInArrow(run, T.StructType([*keep, T.StructField(out, T.ArrayType(T.DoubleType()))]))
 
 
+def polished(rows: DataFrame, a: float, b: float, c: float, steps: int = 8) -> tuple[float, float]:
+    """The optimum of sigmoid(a * s + b) near a solution; ``rows`` has s and label, and each step is one aggregate over them.
+
+    The solution with the smallest gradient is returned, so rows of one class only leave it as it was.
+    """
+    best, least = (a, b), math.inf
+    for _ in range(steps):
+        if not (math.isfinite(a) and math.isfinite(b)):
+            break
+        q = rows.withColumn("p", F.expr(f"1 / (1 + exp(-({a!r}D * s + {b!r}D)))")).withColumn("v", F.expr("p * (1 - p)"))
+        g = q.agg(F.sum(F.expr("(p - label) * s")).alias("ga"), F.sum(F.expr("p - label")).alias("gb"), F.sum(F.expr("v * s * s")).alias("haa"),
+                  F.sum(F.expr("v * s")).alias("hab"), F.sum("v").alias("hbb")).first()
+        ga, haa = g.ga + a / c, g.haa + 1.0 / c
+        det, now = haa * g.hbb - g.hab * g.hab, math.hypot(ga, g.gb)
+        if now >= least:
+            break
+        best, least = (a, b), now
+        if det <= 0:
+            break
+        a, b = a - (g.hbb * ga - g.hab * g.gb) / det, b - (haa * g.gb - g.hab * ga) / det
+    return best
+
+
 def sigmoids_by(rows: DataFrame, by: list[str], score: str, label: str = "label", c: float = 1e6, steps: int = 14) -> DataFrame:
     """(by, a, b, n): per group the sigmoid(a * score + b) of a logistic fit with penalty 1 / c on a.
 

@@ -66,9 +66,13 @@ def ridge(df: DataFrame, x: str = "x", alpha: float = 0.001) -> Linear:
 
 
 def platt(df: DataFrame, score: str, c: float = 1e6) -> tuple[float, float]:
-    """(a, b) of the sigmoid that calibrates ``score``; nulls take no part."""
-    m = logistic(df.where(F.col(score).isNotNull()).select(F.array(F.col(score)).alias("x"), "label"), c=c)
-    return m.w[0], m.b
+    """(a, b) of the sigmoid that calibrates ``score``; nulls take no part.
+
+    Spark's optimiser stops some 1e-8 from the optimum, which shows where results are rounded; Newton steps go the rest.
+    """
+    rows = cut_lineage(df.where(F.col(score).isNotNull() & F.col("label").isNotNull()).select(F.col(score).cast("double").alias("s"), F.col("label").cast("double").alias("label")))
+    m = logistic(rows.select(F.array("s").alias("x"), "label"), c=c)
+    return newton.polished(rows, m.w[0], m.b, c)
 
 
 def fold_calibration(p: Linear, ab: tuple[float, float]) -> Linear:
