@@ -8,6 +8,7 @@ from mediaguard.catalog.aggregations import EVAL, TWO, branch_rows, evalset, gri
 from mediaguard.catalog.base import auc_sql, dot_sql, query
 from mediaguard.functions import ids, scores
 from mediaguard.sources.buckets import bucketed
+from mediaguard.operators.lineage import cut_lineage
 from mediaguard.operators import governance as gov, joins, metrics as mt, near_dup, sampling as sm, vector_jobs as vj
 
 r6 = lambda c: F.round(c, 6)
@@ -405,9 +406,11 @@ ONE_SPLIT = "SELECT 'one_split' AS gate, count(*) AS violations FROM (SELECT ima
 ALL_GATES = " UNION ALL ".join(f"({x})" for x in [*GATES, ONE_SPLIT])
 
 
-@query("gov_all", ALL_GATES)
+@query("gov_all", both(ALL_GATES))
 def gov_all(c):
-    return gov.all_gates(c.manifest())
+    """Every gate over the manifest as built and over the one with planted violations; the manifest is built once."""
+    m = cut_lineage(c.manifest().select("image_id", "source", "split", "variant", "label", "generator"))
+    return gov.all_gates(m).withColumn("scope", F.lit("manifest")).unionByName(gov.all_gates(planted(m)).withColumn("scope", F.lit("planted")))
 
 
 @query("gov_all_planted", ALL_GATES.replace("FROM manifest", "FROM planted"))
