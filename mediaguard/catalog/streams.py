@@ -115,17 +115,13 @@ def str_video_median(c):
     return c.spark.read.parquet(out).select("day", "video_id", r6("confidence").alias("confidence"), "n_frames", "n_ai")
 
 
-CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM frames)"
-
-
-@query("str_video_session", f"""SELECT video_id, count(*) AS n_frames, round(median(confidence), 6) AS confidence, count(*) FILTER (confidence >= 0.6) AS n_ai FROM (
+@query("str_video_session", """SELECT video_id, count(*) AS n_frames, round(median(confidence), 6) AS confidence, count(*) FILTER (confidence >= 0.6) AS n_ai FROM (
     SELECT *, sum(fresh) OVER (PARTITION BY video_id ORDER BY ts, frame_id) AS s FROM (
-      SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY video_id ORDER BY ts, frame_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM frames))
-    GROUP BY video_id, s HAVING max(ts) + INTERVAL 6 HOUR <= {CLOSED}""")
+      SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY video_id ORDER BY ts, frame_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM frames)) GROUP BY video_id, s""")
 def str_video_session(c):
-    """Sessions that the watermark has passed, each emitted once."""
-    out, ck = scratch.folder(c.spark, "session"), scratch.folder(c.spark, "ck")
-    finish(ingest.emit(video.sessions(events(c)).drop("w"), out, ck))
+    """Every session, emitted once: when the watermark has passed it or the stream has ended."""
+    out = scratch.folder(c.spark, "session")
+    closed(c, lambda frames: video.sessions(frames).drop("w"), out)
     return c.spark.read.parquet(out).select("video_id", "n_frames", r6("confidence").alias("confidence"), "n_ai")
 
 
