@@ -41,6 +41,9 @@ class VerdictRuns:
 
 
 def register(spark: SparkSession) -> None:
-    """``grid_settings(label, wanted)`` and ``verdict_runs(TABLE(...) PARTITION BY video_id ORDER BY (t), gap)``."""
-    spark.udtf.register("grid_settings", F.udtf(GridSettings, returnType="kind STRING, param DOUBLE, variant STRING", useArrow=True))
-    spark.udtf.register("verdict_runs", F.udtf(VerdictRuns, returnType="video_id INT, verdict STRING, first DOUBLE, last DOUBLE, n INT", useArrow=True))
+    """``grid_settings(label, wanted)`` and ``verdict_runs(TABLE(...) PARTITION BY video_id ORDER BY (t), gap)``.
+
+    Both take and give single rows, which travel pickled: with Arrow, every call of ``eval`` would be a data frame of its own.
+    """
+    spark.udtf.register("grid_settings", F.udtf(GridSettings, returnType="kind STRING, param DOUBLE, variant STRING", useArrow=False))
+    spark.udtf.register("verdict_runs", F.udtf(VerdictRuns, returnType="video_id INT, verdict STRING, first DOUBLE, last DOUBLE, n INT", useArrow=False))
