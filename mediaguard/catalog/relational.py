@@ -206,13 +206,13 @@ def win_top_faces(c):
 
 @query("win_largest_text", """SELECT doc_id, pos, token FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w * h DESC, pos) AS k FROM tokens) WHERE k = 1""")
 def win_largest_text(c):
-    return sm.largest(c.tokens().select("doc_id", "pos", "token", "w", "h"), ["doc_id"], F.col("w") * F.col("h"), F.col("pos")).select("doc_id", "pos", "token")
+    return sm.largest(c.best_tokens("area", 1), ["doc_id"], F.col("value"), F.col("pos")).select("doc_id", "pos", "token")
 
 
 @query("win_top_text", """SELECT doc_id, pos, round(conf, 6) AS conf FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY conf DESC, pos) AS k FROM tokens) WHERE k <= 10""")
 def win_top_text(c):
-    return sm.top_n(c.tokens().select("doc_id", "pos", "conf"), ["doc_id"], [F.desc("conf"), F.asc("pos")], fixed.MAX_TEXT_REGIONS).select(
-        "doc_id", "pos", r6("conf").alias("conf"))
+    best = c.best_tokens("conf", fixed.MAX_TEXT_REGIONS)
+    return sm.top_n(best, ["doc_id"], [F.desc("value"), F.asc("pos")], fixed.MAX_TEXT_REGIONS).select("doc_id", "pos", r6("value").alias("conf"))
 
 
 @query("win_cum_threshold", """SELECT source, round(t, 6) AS t, round(sum(p) OVER w / nullif(sum(p) OVER (PARTITION BY source), 0)::DOUBLE, 6) AS tpr,
