@@ -115,3 +115,49 @@ def test_words_are_clustered_when_none_is_frequent(spark, monkeypatch):
     rows = brown_lm.score(docs).collect()
     n = sum(not r.held_out for r in rows) * 21
     assert all(r.train_tokens == n and r.n_tokens == 21 and (r.held_out or r.n_known == 21) for r in rows)
+
+
+def test_rare_words_of_one_ending_have_classes_of_their_own(spark):
+    from mediaguard.llm import brown_lm, tokens
+    import pyarrow as pa
+    r = random.Random(12)
+    a, b = [f"a{i}x" for i in range(400)], [f"b{i}y" for i in range(400)]  # the most frequent words take turns
+    often = [" ".join(r.choice((a, b)[k % 2]) for k in range(60)) for _ in range(2000)]
+    # rare words with one ending, one third of them between words of a kind
+    rare = [" ".join(x for k in range(12) for x in (r.choice(a), r.choice(b), r.choice(a), f"p{r.randrange(30)}ing")) for _ in range(60)]
+    rare += [" ".join(x for k in range(12) for x in (r.choice(b), r.choice(a), r.choice(b), f"q{r.randrange(30)}ing")) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(often + rare)), "doc_id long, text string")
+    model, classes, _ = brown_lm.fit(docs)
+    of = {x.word: x.cls for x in classes.collect()}
+    code = lambda w: int(tokens.words(pa.array([w]))[0].view("int64")[0])
+    p, q = [of[code(f"p{i}ing")] for i in range(30)], [of[code(f"q{i}ing")] for i in range(30)]
+    core = set(model.core.view("int64").tolist())
+    assert not core & {code(f"{k}{i}ing") for k in "pq" for i in range(30)}
+    assert not set(p) & set(q)
+    assert classes.count() == 860 and 0 not in of.values()
+
+
+def test_class_of_a_rare_word_is_the_likeliest():
+    import numpy as np
+    from mediaguard.llm import brown_lm
+    r = np.random.default_rng(4)
+    cells = np.zeros((64, 64))
+    cells[:9, :9] = r.integers(40, 400, (9, 9))
+    f = lambda x: x * np.log(np.maximum(x, 1))
+    value = lambda m: f(m).sum() - f(m.sum(0)).sum() - f(m.sum(1)).sum()
+    for many in (1, 3, 30):
+        own, pairs = 4, [(int(x), int(y), int(n)) for x, y, n in zip(r.permutation([0, 1, 2, 3, 5, 6, 7]), r.permutation([0, 1, 2, 3, 5, 6, 7]), r.integers(1, many + 1, 5))]
+        was = cells.copy()
+        for x, y, n in pairs:
+            was[x, own] += n
+            was[own, y] += n
+        want = []
+        for to in range(1, 64):
+            now = cells.copy()
+            for x, y, n in pairs:
+                now[x, to] += n
+                now[to, y] += n
+            want.append(value(now))
+        code = np.array([own << 12 | x << 6 | y for x, y, _ in pairs])
+        to = brown_lm.best(np.zeros(5, np.int64), code, np.array([n for _, _, n in pairs]), was)[0]
+        assert want[to - 1] == pytest.approx(max(want), abs=1e-6)  # unused classes are alike
