@@ -14,7 +14,7 @@ n - ceil(percent * n / 100) + 1 of each (the prefix), whatever global order the
   them as well before the sets are intersected.
 
 Equal sets are one node, named by a 64-bit digest, before anything else.  Sets of candidates only are rebuilt from
-their texts, found by a fixed-size bitmap.
+their texts, found by two fixed-size bitmaps; to be intersected, sets travel only if a candidate pair names them.
 
 Nulls: a null or empty text has an empty set, links with nothing and is its own component; a
 row without doc_id keeps its count, links with nothing and has a null component.  Rows that repeat a doc_id have a set
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from mediaguard.llm import tokens
 from mediaguard.llm.common import cut, drop
-from mediaguard.llm.links import bits, components, hits, link, near_enough, slots
+from mediaguard.llm.links import bits, components, hits, keep, link, near_enough, slots
 
 LOW = 0.3
 _LOW = np.uint64(int(LOW * 2 ** 64))
@@ -94,14 +94,17 @@ def _low(size: int):
     return run
 
 
-def _full(size: int, percent: int, held: bytes):
-    """Per candidate (its id passes the bitmap): its whole set and its prefixes under orders B and C (folded to 32 bits)."""
+def _full(size: int, percent: int, held: bytes, named: bytes):
+    """Per candidate (its id and its digest pass their bitmaps): its whole set and its prefixes under orders B and C (folded to 32 bits)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for b in tokens.pieces(batches):
                 b = b.filter(pa.array(hits(b["doc_id"].to_numpy(zero_copy_only=False), held)))
                 sets = _sets(b["text"], size)
-                cols = [b["doc_id"], pa.array(_nodes(sets)), tokens.lists([s.view(np.int64) for s in sets], pa.int64())]
+                nodes = _nodes(sets)
+                ok = np.flatnonzero(hits(nodes, named))
+                sets, nodes = [sets[i] for i in ok], nodes[ok]
+                cols = [pa.array(nodes), tokens.lists([s.view(np.int64) for s in sets], pa.int64())]
                 for order in (1, 2):
                     first = [np.sort(tokens.mix(s, order))[:_prefix(len(s), percent)] for s in sets]
                     cols.append(tokens.lists([(f >> np.uint64(32)).astype(np.uint32).view(np.int32) for f in first], pa.int32()))
@@ -110,7 +113,7 @@ def _full(size: int, percent: int, held: bytes):
                 cell = row * SKETCH + (tokens.mix(flat, 8) >> np.uint64(64 - (SKETCH.bit_length() - 1))).astype(np.int64)
                 p = bits(np.bincount(cell, minlength=len(sets) * SKETCH) & 1, len(sets), SKETCH)  # an odd number of tokens in the cell
                 cols += [pa.array(p[:, i]) for i in range(p.shape[1])]
-                yield pa.RecordBatch.from_arrays(cols, ["rep", "node", "whole", "b", "c", *_P])
+                yield pa.RecordBatch.from_arrays(cols, ["node", "whole", "b", "c", *_P])
     return run
 
 
@@ -129,8 +132,9 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
              .agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other"))
     own = alone.groupBy("node").agg(F.count("*").alias("own"))
     open_ = cut(reps.join(own, "node", "left").where(f"coalesce(own, 0) < {prefix}").select("node", "rep"), "open")
-    whole = cut(named.mapInArrow(_full(size, percent, slots(open_, "rep")), "rep long, node long, whole array<long>, b array<int>, c array<int>, " + ", ".join(f"{p} long" for p in _P))
-                .join(open_, ["node", "rep"], "left_semi").drop("rep"), "whole")
+    # the few others that pass both bitmaps, and rows that repeat a document, cost work but make no link that is not there
+    whole = cut(named.mapInArrow(_full(size, percent, slots(open_, "rep"), slots(open_, "node")),
+                                 "node long, whole array<long>, b array<int>, c array<int>, " + ", ".join(f"{p} long" for p in _P)), "whole")
     drop(open_)
 
     flat = whole.select("node", F.explode("whole").alias("token"))
@@ -144,7 +148,8 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
     may = f"{100 + percent} * least(n_a - own_a, n_b - own_b) >= {percent} * (n_a + n_b) and {near_enough(percent, SKETCH)}"
 
     def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda k: whole.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("whole", "b", "c")])
+        pairs = cut(pairs, "pairs")
+        side = lambda k: keep(whole.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("whole", "b", "c")]), k, slots(pairs, k))
         near = "arrays_overlap(b_a, b_b) and arrays_overlap(c_a, c_b)"
         both = pairs.join(side("b"), "b").join(side("a"), "a").where(near)
         inter = "size(array_intersect(whole_a, whole_b))"

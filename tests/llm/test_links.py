@@ -128,3 +128,33 @@ def test_spent_tables_are_dropped_and_others_stay(spark, tmp_path):
     assert spark.read.parquet(other).count() == 3
     with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND"):
         own.collect()
+
+
+def test_sets_that_no_pair_names_do_not_travel(spark, monkeypatch):
+    r = random.Random(21)
+    common = [f"c{i}" for i in range(40)]  # each text shares a few shingles with others, so all are candidates; two texts are near
+    texts = [" ".join([*[f"w{k}x{j}" for j in range(r.randrange(3, 6))], *r.sample(common, 3), *common[k % 30:k % 30 + 5]]) for k in range(150)]
+    base = " ".join(f"b{i}" for i in range(80))
+    docs = spark.createDataFrame([*enumerate(texts), (200, base), (201, base + " tail")], "doc_id long, text string")
+    sizes, real = [], ngram_join.keep
+
+    def keep(df, column, held):
+        out = real(df, column, held)
+        sizes.append((df.count(), out.count()))
+        return out
+    monkeypatch.setattr(ngram_join, "keep", keep)
+    found = {x.doc_id: x.component_id for x in ngram_join.join(docs, 4, 85)[0].collect()}
+    assert {k for k, v in found.items() if k != v} == {201} and found[201] == 200
+    assert sizes and all(kept <= 2 and kept < all_ for all_, kept in sizes)
+
+
+def test_bitmaps_that_let_everything_pass_change_nothing(spark, monkeypatch):
+    import numpy as np
+    r = random.Random(22)
+    texts = [" ".join(r.choice("abcdefgh") + str(r.randrange(9)) for _ in range(30)) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(texts[:20])] + [(200 + i, t + " more") for i, t in enumerate(texts[10:30])]
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string")
+    want = sorted(tuple(x) for x in ngram_join.join(docs, 4, 85)[0].collect())
+    assert sum(c != d for d, _, c in want) == 40
+    monkeypatch.setattr(ngram_join, "hits", lambda values, held: np.ones(len(values), bool))
+    assert sorted(tuple(x) for x in ngram_join.join(docs, 4, 85)[0].collect()) == want
