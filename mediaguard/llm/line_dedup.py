@@ -6,7 +6,7 @@ hash and each bin keeps its least one (one-permutation MinHash; empty bins borro
 fixed probes).  ``BANDS`` bands of ``BINS`` / ``BANDS`` values make the buckets: lines of
 Jaccard 0.8 share one with probability 0.998, of 0.9 with 0.99999.  A pair of a bucket goes on only if the
 ``SKETCH`` parity bits of its shingles are near enough (``FINE`` bits once few lines are undecided; a bound that loses no
-pair), so texts are fetched for few; candidates are verified by the exact Jaccard of their shingle sets, ``links.link`` finds components with distributed union-find,
+pair); sketches are made, and texts fetched, only for lines that share a bucket, once; candidates are verified by the exact Jaccard of their shingle sets, ``links.link`` finds components with distributed union-find,
 and the first line of each component in order of (doc_id, line number) stays.
 
 Nulls: a null text has no lines; rows without a doc_id are left as they are and removed from nothing; rows
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediaguard.llm import tokens
-from mediaguard.llm.common import BLANKS, cut
+from mediaguard.llm.common import BLANKS, cut, drop
 from mediaguard.llm.links import bits, hits, keep, link, near_enough, slots
 
 SIZE = 8
@@ -97,8 +97,7 @@ def sketches(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(row, minlength=len(texts)), bits(np.bincount(cell, minlength=len(texts) * size) & 1, len(texts), size)
 
 
-NODE = ["n", *[f"p{i}" for i in range(SKETCH // 64)]]
-_NODE = "n long, " + ", ".join(f"p{i} long" for i in range(SKETCH // 64))
+_NODE = [f"p{i}" for i in range(SKETCH // 64)]
 
 
 def bands(texts: pa.Array) -> pa.ListArray:
@@ -114,30 +113,37 @@ def bands(texts: pa.Array) -> pa.ListArray:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    with np.errstate(over="ignore"):
+        for b in tokens.pieces(batches, "norm", tokens.BLOCK):
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["line"], b["key"], bands(b["norm"])], ["doc_id", "line", "key", "bands"])
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, norm, n, p0..) of lines (key, norm)."""
     with np.errstate(over="ignore"):
         for b in tokens.pieces(batches, "norm", tokens.BLOCK):
             n, p = sketches(b["norm"], SKETCH)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["line"], b["key"], bands(b["norm"]), pa.array(n, pa.int64()), *[pa.array(p[:, i]) for i in range(p.shape[1])]],
-                                             ["doc_id", "line", "key", "bands", *NODE])
+            yield pa.RecordBatch.from_arrays([b["key"], b["norm"], pa.array(n, pa.int64()), *[pa.array(p[:, i]) for i in range(p.shape[1])]], ["key", "norm", "n", *_NODE])
 
 
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, bands, q0..) of lines (key, norm): a longer sketch."""
+    """(node, n, bands, q0..) of lines (key, norm, n): a longer sketch."""
     with np.errstate(over="ignore"):
         for b in tokens.pieces(batches, "norm", tokens.BLOCK):
             _, q = sketches(b["norm"], FINE)
-            yield pa.RecordBatch.from_arrays([b["key"], bands(b["norm"]), *[pa.array(q[:, i]) for i in range(q.shape[1])]], ["node", "bands", *[f"q{i}" for i in range(q.shape[1])]])
+            yield pa.RecordBatch.from_arrays([b["key"], b["n"], bands(b["norm"]), *[pa.array(q[:, i]) for i in range(q.shape[1])]],
+                                             ["node", "n", "bands", *[f"q{i}" for i in range(q.shape[1])]])
 
 
 def _members(held: bytes):
-    """(bucket, node, n, p0..) of the bands that pass a bitmap."""
+    """(bucket, node) of the bands that pass a bitmap."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b["bands"].offsets.to_numpy()
             flat = b["bands"].values.to_numpy(zero_copy_only=False)[at[0]:at[-1]]
             ok = hits(flat, held)
             rows = np.repeat(np.arange(b.num_rows), np.diff(at))[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[ok]), *[b[c].take(pa.array(rows)) for c in ("key", *NODE)]], ["bucket", "node", *NODE])
+            yield pa.RecordBatch.from_arrays([pa.array(flat[ok]), b["key"].take(pa.array(rows))], ["bucket", "node"])
     return run
 
 
@@ -164,29 +170,31 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines (doc_id, line, key, group), ``group`` being the least key of a line's component, and the verified links between keys."""
     flat = lines(docs)
-    seen = cut(flat.mapInArrow(_bands, f"doc_id long, line int, key long, bands array<long>, {_NODE}"), "lines")
-    entries = seen.select(F.explode("bands").alias("bucket"), F.col("key").alias("node"), *NODE)
+    seen = cut(flat.mapInArrow(_bands, "doc_id long, line int, key long, bands array<long>"), "lines")
+    entries = seen.select(F.explode("bands").alias("bucket"), F.col("key").alias("node"))
 
-    known: list[DataFrame] = []  # the texts of the lines still undecided, once they are few
+    known: list[DataFrame] = []  # texts and sketches of the lines that share a bucket, read from the documents once
 
-    def texts(keys: DataFrame) -> DataFrame:
-        return keep(flat.select("key", "norm"), "key", slots(keys, "key")).dropDuplicates(["key"])
+    def describe(nodes: DataFrame) -> DataFrame:
+        keys = cut(nodes.withColumnRenamed("node", "key"), "keys")
+        texts = keep(flat.select("key", "norm"), "key", slots(keys, "key")).dropDuplicates(["key"]).join(keys, "key", "left_semi")
+        known.append(cut(texts.mapInArrow(_sketched, "key long, norm string, n long, " + ", ".join(f"{p} long" for p in _NODE)), "texts"))
+        drop(keys)
+        return known[0].drop("norm").withColumnRenamed("key", "node")
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs, "pairs")
-        norms = known[0] if known else cut(texts(pairs.select(F.col("a").alias("key")).union(pairs.select("b"))), "norms")
-        side = lambda k: norms.select(F.col("key").alias(k), F.col("norm").alias(f"norm_{k}"))
+        side = lambda k: keep(known[0].select(F.col("key").alias(k), F.col("norm").alias(f"norm_{k}")), k, slots(pairs, k))
         return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "norm_a", "norm_b").mapInArrow(_similar, "a long, b long")
 
     def refine(nodes: DataFrame) -> DataFrame:
-        keys = nodes.withColumnRenamed("node", "key")
-        known.append(cut(texts(keys).join(keys, "key", "left_semi"), "undecided"))
-        return known[0].mapInArrow(_fine, "node long, bands array<long>, " + ", ".join(f"q{i} long" for i in range(FINE // 64)))
+        texts = known[0].select("key", "norm", "n").join(nodes.withColumnRenamed("node", "key"), "key", "left_semi")
+        return texts.mapInArrow(_fine, "node long, n long, bands array<long>, " + ", ".join(f"q{i} long" for i in range(FINE // 64)))
 
     # each pair once, in the least of its common buckets
     later = f"{near_enough(round(100 * SIMILAR), FINE, 'q')} and bucket = array_min(array_intersect(bands_a, bands_b))"
     links, parts = link(entries, verify, near_enough(round(100 * SIMILAR), SKETCH), refine, later,
-                        lambda held: seen.select("key", "bands", *NODE).mapInArrow(_members(held), f"bucket long, node long, {_NODE}"))
+                        lambda held: seen.select("key", "bands").mapInArrow(_members(held), "bucket long, node long"), describe=describe)
     named = seen.select("doc_id", "line", "key").join(parts.withColumnRenamed("node", "key"), "key", "left")
     return named.select("doc_id", "line", "key", F.coalesce("component", "key").alias("group")), links
 

@@ -86,7 +86,8 @@ def components(links: DataFrame) -> DataFrame:
 
 def link(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], may: str = "true",
          refine: Callable[[DataFrame], DataFrame] | None = None, later: str = "true",
-         members: Callable[[bytes], DataFrame] | None = None, spent: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+         members: Callable[[bytes], DataFrame] | None = None, spent: DataFrame | None = None,
+         describe: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Links and components among nodes that share a bucket.
 
     ``entries`` has (bucket, node) and columns that belong to the node; ``may`` is a condition on two nodes' columns, as x_a and x_b,
@@ -94,13 +95,13 @@ def link(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], may: str
     bucket all nodes are compared with one: the first by the node's columns or, without any, the one with most
     buckets.  Where a bucket still holds several components, its nodes are compared across them: pair by pair if that is at
     most ``DENSE`` pairs for each row left, else with one more node first,
-    ``STARS`` times at most.  ``refine`` may add columns to the nodes that get so far, on which ``later`` is a condition like ``may``, and
+    ``STARS`` times at most.  ``describe`` gives the columns of the nodes that share a bucket, where ``entries`` has none.
+    ``refine`` may give other columns for the nodes that get further, on which ``later`` is a condition in place of ``may``, and
     leave out nodes that can link with none of them.  ``members`` gives the entries that pass a bitmap of buckets, where that has a shorter way.
     ``spent`` is a table that ``cut`` wrote, which is deleted as soon as the entries that share a bucket are written, as are the steps between.
     So groups of copies cost rows in proportion to their size, and no pair that could join two components is left out.
     Returns the verified links (a, b) and (node, component) of all nodes but the roots.
     """
-    extra = [c for c in entries.columns if c not in ("bucket", "node")]
     side = lambda df, k: df.select("bucket", *[F.col(c).alias(f"{c}_{k}") for c in df.columns if c != "bucket"])
 
     def near(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
@@ -113,31 +114,37 @@ def link(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], may: str
     drop(many)
     if spent is not None:
         drop(spent)
+    pairs_of = live.select("bucket", "node")
+    if describe is not None:
+        live = pairs_of.join(describe(pairs_of.select("node").distinct()), "node")
+    extra = [c for c in live.columns if c not in ("bucket", "node")]
     ranked = live if extra else live.join(live.groupBy("node").agg((-F.count("*")).alias("order")), "node")
     pivots = ranked.groupBy("bucket").agg(F.min(F.struct(*(extra or ["order"]), "node")).alias("p"))
     pivots = pivots.select("bucket", *[f"p.{c}" for c in [*extra, "node"]])
     found = cut(verify(near(pivots, live, may)), "links")
     parts = components(found)
     for k in range(1, STARS + 1):
+        if refine is not None and k == 1:
+            live = pairs_of
         named = live.join(parts, "node", "left").select(*live.columns, F.coalesce("component", "node").alias("part"))
         split = named.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).where("p < q and n > 2")
         named = named.join(split.select("bucket"), "bucket")
         if refine is not None and k == 1:
             old, live = live, cut(named, "split")
             drop(old)
-            named = live.join(refine(live.select("node").distinct()), "node")
-        old, named = live, cut(named.withColumn("_n", F.count("*").over(Window.partitionBy("bucket"))).where("_n > 1"), "live")
+            named, may = live.join(refine(live.select("node").distinct()), "node"), later
+        old, named = pairs_of if refine is None and k == 1 else live, cut(named.withColumn("_n", F.count("*").over(Window.partitionBy("bucket"))).where("_n > 1"), "live")
         drop(old)
         rows, pairs = named.agg(F.count("*"), F.sum("_n")).first()  # a bucket of n nodes counts n times n
         if not rows:
             break
         named, last = named.drop("_n"), k == STARS or pairs <= 2 * DENSE * rows
         if last:
-            tried = near(named, named, may, "node_a < node_b and part_a <> part_b", later)
+            tried = near(named, named, "node_a < node_b and part_a <> part_b", may)
         else:
             turn = F.xxhash64("node", F.lit(k))
             at = named.groupBy("bucket").agg(F.min(turn).alias("turn"))
-            tried = near(named.join(at, "bucket").where(turn == F.col("turn")).drop("turn"), named, may, "part_a <> part_b", later)
+            tried = near(named.join(at, "bucket").where(turn == F.col("turn")).drop("turn"), named, "part_a <> part_b", may)
         more = cut(verify(tried), "links")
         found = found.union(more).distinct()
         if not more.isEmpty():

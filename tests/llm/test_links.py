@@ -158,3 +158,21 @@ def test_bitmaps_that_let_everything_pass_change_nothing(spark, monkeypatch):
     assert sum(c != d for d, _, c in want) == 40
     monkeypatch.setattr(ngram_join, "hits", lambda values, held: np.ones(len(values), bool))
     assert sorted(tuple(x) for x in ngram_join.join(docs, 4, 85)[0].collect()) == want
+
+
+def test_sketches_are_made_for_lines_that_share_a_bucket_only(spark, monkeypatch):
+    r = random.Random(23)
+    lines = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(60)).strip() for _ in range(100)]
+    lines += [lines[0] + "x", lines[1] + "yz"]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    real, described = links.link, []
+
+    def link(*args, describe, **more):
+        def counted(nodes):
+            out = describe(nodes)
+            described.append(out.count())
+            return out
+        return real(*args, describe=counted, **more)
+    monkeypatch.setattr(line_dedup, "link", link)
+    assert {x.doc_id for x in line_dedup.removed(docs).where("size(removed) > 0").collect()} == {100, 101}
+    assert described and all(4 <= n < 20 for n in described)
