@@ -18,6 +18,7 @@ share of toxic labels.  Repeated rows are scored each; an empty table gives an e
 """
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -319,11 +320,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     ids = own.select("doc_id").join(truth, "doc_id")
     picked = [ids.where(f"toxic = {k}").orderBy(turn, "doc_id").limit(SAMPLE) for k in (0, 1)]
     held = [r.doc_id for p in picked for r in p.select("doc_id").collect()]  # at most 2 * SAMPLE ids
-    rows = own.where(F.col("doc_id").isin(held)).dropDuplicates(["doc_id"]).join(truth, "doc_id").select("doc_id", "text", "toxic").toArrow()
-    rows = rows.sort_by("doc_id").combine_chunks()
-    text = rows["text"].combine_chunks() if rows.num_rows else pa.array([], pa.string())
-    with np.errstate(over="ignore"):
-        return Model().fit(text, rows["toxic"].to_numpy().astype(np.int64))
+    rows = own.where(F.col("doc_id").isin(held)).dropDuplicates(["doc_id"]).join(truth, "doc_id").select("doc_id", "text", "toxic")
+    found = rows.repartition(1).mapInArrow(_learning, "model binary").collect()
+    return pickle.loads(found[0].model) if found else Model().fit(pa.array([], pa.string()), np.zeros(0, np.int64))
+
+
+def _learning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of the sample (doc_id, text, toxic), in a task: its working memory is some hundred MB, which the driver need not have."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        rows = pa.Table.from_batches(held).sort_by("doc_id").combine_chunks()
+        with np.errstate(over="ignore"):
+            model = Model().fit(rows["text"].combine_chunks(), rows["toxic"].to_numpy().astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

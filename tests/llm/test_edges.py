@@ -68,6 +68,14 @@ def test_toxicity(messy, none, labels):
     assert {r.score for r in toxicity.score(messy, toxicity.fit(messy, labels.limit(0))).collect()} == {0.5}
 
 
+def test_toxicity_is_learnt_in_a_task(messy, labels, monkeypatch):
+    def here(self, texts, label):
+        raise AssertionError("the driver has no room for this")
+    monkeypatch.setattr(toxicity.Model, "fit", here)
+    model = toxicity.fit(messy, labels)
+    assert model.base is not None or len(model.odds) == 2
+
+
 def test_brown(messy, none):
     rows = brown_lm.score(messy).collect()
     assert sorted((r.doc_id for r in rows), key=str) == ALL
