@@ -33,13 +33,40 @@ BANDS, BINS = 12, 48
 SKETCH, FINE = 384, 1024
 _PROBE = np.random.default_rng(11).integers(0, BINS, (64, BINS))
 _NONE = np.uint64(2 ** 64 - 1)
+_MIXED = tokens.mix(np.arange(1 << 12, dtype=np.uint64))  # of the code points of most texts
+PIECE = 1 << 17  # bytes of text at a time: what is made of them stays in a core's cache
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, key, norm) of every line with a word."""
-    flat = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text"), "\n")).alias("line", "raw"))
-    flat = flat.select("doc_id", "line", F.lower(F.btrim("raw", F.lit(BLANKS))).alias("norm")).where("norm <> ''")
-    return flat.select("doc_id", "line", F.xxhash64("norm").alias("key"), "norm")
+def lowered(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in lower case; parting at newlines and trimming follow in the tasks, on Arrow arrays."""
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text")).alias("text"))
+
+
+def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray, np.ndarray]]:
+    """Of rows (doc_id, text) in lower case, piece by piece: (doc_id, line) of every line with a word, the distinct lines, their keys, and which of these each line is."""
+    for b in tokens.pieces(batches, "text", tokens.BLOCK):
+        parts = pc.split_pattern(b["text"].fill_null(""), "\n")
+        n = np.diff(parts.offsets.to_numpy())
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        norm = pc.ascii_trim(parts.flatten(), BLANKS)
+        some = pc.greater(pc.binary_length(norm), 0)
+        found = pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(np.repeat(np.arange(b.num_rows), n))), pa.array(place.astype(np.int32)), norm], ["doc_id", "line", "norm"])
+        for q in tokens.pieces(iter([found.filter(some)]), "norm", PIECE):
+            held = q["norm"].dictionary_encode()
+            yield q.select(["doc_id", "line"]), held.dictionary, keys(held.dictionary), held.indices.to_numpy()
+
+
+def keys(texts: pa.Array) -> np.ndarray:
+    """64-bit hashes of texts that are not empty."""
+    data, at = tokens._buffers(texts)
+    data, at = data[at[0]:at[-1]], at - at[0]
+    if not len(data):
+        return np.zeros(0, np.int64)
+    place = (np.arange(len(data)) - np.repeat(at[:-1], np.diff(at))).view(np.uint64)
+    place <<= np.uint64(8)
+    place |= data
+    with np.errstate(over="ignore"):
+        return tokens.mix(np.add.reduceat(tokens.mix(place), at[:-1])).view(np.int64)
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -53,10 +80,12 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n = len(cp) - SIZE + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = tokens.mix(cp.astype(np.uint64))
+    h = _MIXED[cp] if cp.max() < len(_MIXED) else tokens.mix(cp.astype(np.uint64))
     step = 1
     while step < SIZE:  # hashes of runs of 2, 4, 8 characters
-        h = h[:-step] * np.uint64(pow(0x9E3779B97F4A7C15, step, 2 ** 64)) + h[step:]
+        left = h[:-step] * np.uint64(pow(0x9E3779B97F4A7C15, step, 2 ** 64))
+        left += h[step:]
+        h = left
         step *= 2
     row = np.repeat(np.arange(len(texts)), np.diff(edges))
     inside = row[:n] == row[SIZE - 1:]
@@ -71,12 +100,13 @@ def signatures(texts: pa.Array) -> np.ndarray:
     np.minimum.at(out.reshape(-1), cell, h & np.uint64(2 ** 40 - 1))
     own = out != _NONE
     some = own.any(axis=1)
+    r, c = np.nonzero(some[:, None] & ~own)
     for probe in _PROBE:
-        r, c = np.nonzero(some[:, None] & (out == _NONE))
         if not len(r):
             break
         hit = own[r, probe[c]]
         out[r[hit], c[hit]] = out[r[hit], probe[c[hit]]]
+        r, c = r[~hit], c[~hit]
     return out
 
 
@@ -113,26 +143,40 @@ def bands(texts: pa.Array) -> pa.ListArray:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, line, key, bands) of every line; the buckets of equal lines of a piece stand at the first."""
     with np.errstate(over="ignore"):
-        for b in tokens.pieces(batches, "norm", tokens.BLOCK):
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["line"], b["key"], bands(b["norm"])], ["doc_id", "line", "key", "bands"])
+        for at, texts, key, which in lines(batches):
+            own = bands(texts)
+            n = np.zeros(len(which), np.int32)
+            n[np.diff(np.maximum.accumulate(which), prepend=-1) > 0] = np.diff(own.offsets.to_numpy())
+            once = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), own.values)
+            yield pa.RecordBatch.from_arrays([at["doc_id"], at["line"], pa.array(key[which]), once], ["doc_id", "line", "key", "bands"])
+
+
+def _texts(held: bytes):
+    """(key, norm) of the lines whose keys pass a bitmap."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts, key, _ in lines(batches):
+            ok = hits(key, held)
+            yield pa.RecordBatch.from_arrays([pa.array(key[ok]), texts.filter(pa.array(ok))], ["key", "norm"])
+    return run
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, norm, n, p0..) of lines (key, norm)."""
     with np.errstate(over="ignore"):
-        for b in tokens.pieces(batches, "norm", tokens.BLOCK):
+        for b in tokens.pieces(batches, "norm", PIECE):
             n, p = sketches(b["norm"], SKETCH)
             yield pa.RecordBatch.from_arrays([b["key"], b["norm"], pa.array(n, pa.int64()), *[pa.array(p[:, i]) for i in range(p.shape[1])]], ["key", "norm", "n", *_NODE])
 
 
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, n, bands, q0..) of lines (key, norm, n): a longer sketch."""
+    """(node, n, q0..) of lines (key, norm, n): a longer sketch."""
     with np.errstate(over="ignore"):
-        for b in tokens.pieces(batches, "norm", tokens.BLOCK):
+        for b in tokens.pieces(batches, "norm", PIECE):
             _, q = sketches(b["norm"], FINE)
-            yield pa.RecordBatch.from_arrays([b["key"], b["n"], bands(b["norm"]), *[pa.array(q[:, i]) for i in range(q.shape[1])]],
-                                             ["node", "n", "bands", *[f"q{i}" for i in range(q.shape[1])]])
+            yield pa.RecordBatch.from_arrays([b["key"], b["n"], *[pa.array(q[:, i]) for i in range(q.shape[1])]],
+                                             ["node", "n", *[f"q{i}" for i in range(q.shape[1])]])
 
 
 def _members(held: bytes):
@@ -149,11 +193,15 @@ def _members(held: bytes):
 
 def jaccards(a: pa.Array, b: pa.Array) -> np.ndarray:
     """Jaccard of the shingle sets of each pair of texts; texts shorter than a shingle are alike if they are equal."""
-    (ra, ha), (rb, hb) = _distinct(a), _distinct(b)
-    row, h = np.concatenate([ra, rb]), np.concatenate([ha, hb])
-    key = np.sort((row.astype(np.uint64) << np.uint64(43)) | h)
+    held = pa.concat_arrays([a, b]).dictionary_encode()  # a line of many pairs is cut into shingles once
+    row, h = _distinct(held.dictionary)
+    starts = tokens.row_starts(row, len(held.dictionary))
+    side, size = held.indices.to_numpy(), np.diff(starts)
+    n = size[side]
+    pair = np.repeat(np.tile(np.arange(len(a), dtype=np.uint64), 2), n)
+    key = np.sort((pair << np.uint64(43)) | h[np.repeat(starts[side] - np.cumsum(n) + n, n) + np.arange(n.sum())])
     both = np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(43)).astype(np.int64), minlength=len(a))
-    na, nb = np.bincount(ra, minlength=len(a)), np.bincount(rb, minlength=len(a))
+    na, nb = n[:len(a)], n[len(a):]
     equal = np.array(pc.equal(a, b).to_numpy(zero_copy_only=False), bool)
     return np.where((na == 0) | (nb == 0), equal.astype(float), both / np.maximum(na + nb - both, 1))
 
@@ -162,24 +210,23 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) of the pairs (a, b, norm_a, norm_b) that are alike."""
     with np.errstate(over="ignore"):
         for whole in batches:
-            for b in tokens.pieces(iter([whole]), "norm_a", tokens.BLOCK):
+            for b in tokens.pieces(iter([whole]), "norm_a", PIECE):
                 ok = pa.array(jaccards(b["norm_a"], b["norm_b"]) >= SIMILAR)
                 yield pa.RecordBatch.from_arrays([b["a"].filter(ok), b["b"].filter(ok)], ["a", "b"])
 
 
 def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines (doc_id, line, key, group), ``group`` being the least key of a line's component, and the verified links between keys."""
-    flat = lines(docs)
+    flat = lowered(docs)
     seen = cut(flat.mapInArrow(_bands, "doc_id long, line int, key long, bands array<long>"), "lines")
     entries = seen.select(F.explode("bands").alias("bucket"), F.col("key").alias("node"))
 
     known: list[DataFrame] = []  # texts and sketches of the lines that share a bucket, read from the documents once
 
     def describe(nodes: DataFrame) -> DataFrame:
-        keys = cut(nodes.withColumnRenamed("node", "key"), "keys")
-        texts = keep(flat.select("key", "norm"), "key", slots(keys, "key")).dropDuplicates(["key"]).join(keys, "key", "left_semi")
+        own = nodes.withColumnRenamed("node", "key")
+        texts = flat.mapInArrow(_texts(slots(own, "key")), "key long, norm string").dropDuplicates(["key"]).join(own, "key", "left_semi")
         known.append(cut(texts.mapInArrow(_sketched, "key long, norm string, n long, " + ", ".join(f"{p} long" for p in _NODE)), "texts"))
-        drop(keys)
         return known[0].drop("norm").withColumnRenamed("key", "node")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -189,11 +236,9 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def refine(nodes: DataFrame) -> DataFrame:
         texts = known[0].select("key", "norm", "n").join(nodes.withColumnRenamed("node", "key"), "key", "left_semi")
-        return texts.mapInArrow(_fine, "node long, n long, bands array<long>, " + ", ".join(f"q{i} long" for i in range(FINE // 64)))
+        return texts.mapInArrow(_fine, "node long, n long, " + ", ".join(f"q{i} long" for i in range(FINE // 64)))
 
-    # each pair once, in the least of its common buckets
-    later = f"{near_enough(round(100 * SIMILAR), FINE, 'q')} and bucket = array_min(array_intersect(bands_a, bands_b))"
-    links, parts = link(entries, verify, near_enough(round(100 * SIMILAR), SKETCH), refine, later,
+    links, parts = link(entries, verify, near_enough(round(100 * SIMILAR), SKETCH), refine, near_enough(round(100 * SIMILAR), FINE, "q"),
                         lambda held: seen.select("key", "bands").mapInArrow(_members(held), "bucket long, node long"), describe=describe)
     named = seen.select("doc_id", "line", "key").join(parts.withColumnRenamed("node", "key"), "key", "left")
     return named.select("doc_id", "line", "key", F.coalesce("component", "key").alias("group")), links
@@ -204,11 +249,11 @@ def removed(docs: DataFrame) -> DataFrame:
     kept, for each of them the (doc_id, line) that stays in its place."""
     held = cut(groups(docs)[0].select("doc_id", "line", "group"), "groups")
     first = held.groupBy("group").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").select("group", "first")
-    gone = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line"))
-    marked = held.join(first, "group", "left").withColumn("gone", F.coalesce(gone, F.lit(False)))
-    out = marked.groupBy("doc_id").agg(
-        F.countDistinct("line").alias("n_lines"), F.array_sort(F.collect_set(F.when(F.col("gone"), F.struct("line", F.col("first").alias("stays"))))).alias("_gone"))
-    return out.select("doc_id", "n_lines", F.col("_gone.line").alias("removed"), F.col("_gone.stays").alias("kept"))
+    gone = held.join(first, "group").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line")))
+    gone = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("line", F.col("first").alias("stays")))).alias("_gone"))
+    out = held.select("doc_id", "line").repartition("doc_id").groupBy("doc_id").agg(F.countDistinct("line").alias("n_lines")).join(gone, "doc_id", "left")
+    none = F.array().cast(gone.schema["_gone"].dataType)
+    return out.withColumn("_gone", F.coalesce("_gone", none)).select("doc_id", "n_lines", F.col("_gone.line").alias("removed"), F.col("_gone.stays").alias("kept"))
 
 
 def clean(docs: DataFrame) -> DataFrame:

@@ -66,20 +66,20 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component): the least node that each node reaches over links (a, b); roots are left out.
 
     Alternating stars: each node hands its larger neighbours to its least neighbour, then its
-    smaller ones; both steps are groupings and joins over links, and rounds grow with the logarithm of a chain.
+    smaller ones; both steps are windows over links (16 bytes a row, in one pass, so a hub costs one pass over its own links), one shuffle
+    each, and rounds grow with the logarithm of a chain.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), "edges")
     while True:
         # done when every node has one edge and leads to a node without any
-        many = edges.groupBy("u").agg(F.count("*").alias("n"))
-        inner = edges.select(F.col("v").alias("u")).distinct().withColumn("root", F.lit(1)).join(many, "u", "full")
-        if inner.where("n > 1 or (n >= 1 and root = 1)").isEmpty():
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+        if ends.groupBy("x").agg(F.sum("up").alias("n"), F.min("up").alias("root")).where("n > 1 or (n = 1 and root = 0)").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).union(edges.select("v", "u"))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", "m"))
+        least = both.withColumn("m", F.least("x", F.min("y").over(Window.partitionBy("x"))))
+        large = least.where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v"))  # as many as edges at most
+        low = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        small = low.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v")
         old, edges = edges, cut(small.distinct(), "edges")
         drop(old)
 
@@ -95,7 +95,8 @@ def link(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], may: str
     bucket all nodes are compared with one: the first by the node's columns or, without any, the one with most
     buckets.  Where a bucket still holds several components, its nodes are compared across them: pair by pair if that is at
     most ``DENSE`` pairs for each row left, else with one more node first,
-    ``STARS`` times at most.  ``describe`` gives the columns of the nodes that share a bucket, where ``entries`` has none.
+    ``STARS`` times at most.  ``describe`` gives the columns of the nodes that share a bucket, where ``entries`` has none; then buckets of
+    the same nodes count once.
     ``refine`` may give other columns for the nodes that get further, on which ``later`` is a condition in place of ``may``, and
     leave out nodes that can link with none of them.  ``members`` gives the entries that pass a bitmap of buckets, where that has a shorter way.
     ``spent`` is a table that ``cut`` wrote, which is deleted as soon as the entries that share a bucket are written, as are the steps between.
@@ -114,9 +115,14 @@ def link(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], may: str
     drop(many)
     if spent is not None:
         drop(spent)
+    if describe is not None:  # buckets of the same nodes stand for the same pairs: one of them stays
+        marks = [F.count("*").alias("n"), *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)]]
+        once = live.groupBy("bucket").agg(*marks).groupBy("n", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket")
+        old, live = live, cut(live.join(once, "bucket"), "once")
+        drop(old)
     pairs_of = live.select("bucket", "node")
     if describe is not None:
-        live = pairs_of.join(describe(pairs_of.select("node").distinct()), "node")
+        live = pairs_of.join(describe(pairs_of.select("node")), "node")
     extra = [c for c in live.columns if c not in ("bucket", "node")]
     ranked = live if extra else live.join(live.groupBy("node").agg((-F.count("*")).alias("order")), "node")
     pivots = ranked.groupBy("bucket").agg(F.min(F.struct(*(extra or ["order"]), "node")).alias("p"))

@@ -25,9 +25,11 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     """Spread the bits of 64-bit numbers; another seed gives another order."""
     h = h ^ np.uint64((seed * 0xD6E8FEB86659FD93) % (1 << 64))
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+    for _ in range(2):  # in place: arrays of their own size are not made anew at each step
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def _power(which: str, base: int, n: int) -> np.ndarray:

@@ -176,3 +176,33 @@ def test_sketches_are_made_for_lines_that_share_a_bucket_only(spark, monkeypatch
     monkeypatch.setattr(line_dedup, "link", link)
     assert {x.doc_id for x in line_dedup.removed(docs).where("size(removed) > 0").collect()} == {100, 101}
     assert described and all(4 <= n < 20 for n in described)
+
+
+def test_buckets_of_the_same_lines_count_once(spark, monkeypatch):
+    r = random.Random(24)
+    lines = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(200)).strip() for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(lines + [x + "y" for x in lines])), "doc_id long, text string")
+    rows, real = {}, links.cut
+
+    def counted(df, name):
+        out = real(df, name)
+        rows.setdefault(name, out.count())
+        return out
+    monkeypatch.setattr(links, "cut", counted)
+    assert {x.doc_id for x in line_dedup.removed(docs).where("size(removed) > 0").collect()} == set(range(30, 60))
+    assert rows["once"] <= 2 * 30 * 2 and rows["live"] > 3 * rows["once"]  # a pair shares most of its 12 buckets
+
+
+def test_lines_and_their_keys_are_those_of_spark(spark):
+    from mediaguard.llm.common import BLANKS
+    texts = ["A b\n\n \tC  \x0b\r\n\u03a3\u0391\u03a3\nÀ\u00a0", None, "", "\n", "same\nSAME \nsame", "x" * 300_000 + "\ny", "\u0130 i\n\u039f\u03a3 \n\u03a3"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    flat = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw")).select("doc_id", "line", F.lower(F.btrim("raw", F.lit(BLANKS))).alias("norm")).where("norm <> ''")
+    want = sorted((x.doc_id, x.line, x.norm) for x in flat.collect())
+    got, of = [], {}
+    for at, norm, key, which in line_dedup.lines(iter(line_dedup.lowered(docs).toArrow().to_batches())):
+        norm = norm.to_pylist()
+        for d, k, w in zip(at["doc_id"].to_pylist(), at["line"].to_pylist(), which):
+            got.append((d, k, norm[w]))
+            assert of.setdefault(norm[w], key[w]) == key[w]
+    assert sorted(got) == want and len(set(of.values())) == len(of)
