@@ -33,7 +33,7 @@ SAMPLE, LONGEST = 1000, 20_000
 EVIDENCE, VECTORS, WIDTH, HIDDEN = 1 << 17, 1 << 12, 4, 8
 EPOCHS, RATE = 14, 0.01
 CUTOFF = 0.7
-BATCH = 2048
+BATCH, FITTED = 2048, 256  # windows at a time when scoring, and when fitting
 
 
 def held_out(doc_id: Column) -> Column:
@@ -208,8 +208,8 @@ class Model:
         self.words = [np.bincount(_bin(w.hash, EVIDENCE)[word[s]], minlength=EVIDENCE) for s in (toxic, ~toxic)]
         g_bin = _bin(w.gram, EVIDENCE).astype(np.int32)
         self.grams = [np.zeros(EVIDENCE, np.int64), np.zeros(EVIDENCE, np.int64)]
-        for d in range(0, len(label), 32):  # a few documents at a time keep the pairs (document, gram) small
-            lo, hi = np.searchsorted(doc, [d, d + 32])
+        for d in range(0, len(label), 8):  # a few documents at a time keep the pairs (document, gram) small
+            lo, hi = np.searchsorted(doc, [d, d + 8])
             reps = np.diff(w.starts)[word[lo:hi]]
             at = np.repeat(w.starts[word[lo:hi]] - np.cumsum(reps) + reps, reps) + np.arange(reps.sum())
             once = np.unique(np.repeat(doc[lo:hi], reps) * EVIDENCE + g_bin[at])
@@ -224,9 +224,9 @@ class Model:
             gt, gc = self.grams[0][g_bin], self.grams[1][g_bin]
             own[c] = (_odds(less(wt) if c else wt, wc if c else less(wc), n1, n0), _odds(less(gt) if c else gt, gc if c else less(gc), n1, n0))
         first, row = windows(w.rows, len(label))
-        at = first[:, None] + np.arange(WINDOW)
+        at = first[:, None].astype(np.int32) + np.arange(WINDOW, dtype=np.int32)
         inside = (at < len(w.rows)) & (np.concatenate([w.rows, [-1]])[np.minimum(at, len(w.rows))] == row[:, None])
-        at = np.where(inside, w.word[np.minimum(at, max(len(w.rows) - 1, 0))] if len(w.rows) else 0, 0)
+        at = np.where(inside, w.word.astype(np.int32)[np.minimum(at, max(len(w.rows) - 1, 0))] if len(w.rows) else 0, 0)
         mask = inside.astype(np.float32)
         kind = label[row].astype(int)
         strong = np.where(inside, np.where(kind[:, None] > 0, own[1][0][at] + w.per_word(own[1][1], np.maximum)[at], 0), -9).max(axis=1)
@@ -268,8 +268,8 @@ class Model:
             # toxic documents' windows each time, all of them every few epochs and at the end
             again = np.arange(len(row)) if epoch % 5 == 3 or epoch == EPOCHS - 1 else np.flatnonzero(kind)
             table = {c: self.inputs(w, odds[c]) for c in (0, 1)}
-            for i in range(0, len(again), BATCH):
-                q = again[i:i + BATCH]
+            for i in range(0, len(again), FITTED):
+                q = again[i:i + FITTED]
                 x = np.where(kind[q][:, None, None] > 0, table[1][at[q]], table[0][at[q]])
                 logits[q] = self.net.logits({k: x @ self.net.p[f"x{k}"] + self.net.p[f"c{k}"] for k in "fb"}, mask[q])
         peak = np.full(len(label), -np.inf)

@@ -211,3 +211,17 @@ def test_exchange_finds_word_classes():
     assert len(set(of[:10])) == 1 and len(set(of[10:20])) == 1 and of[0] != of[10] and of[20] == 0
 
 
+
+
+def test_fit_takes_few_windows_at_a_time(monkeypatch):
+    from mediaguard.llm import toxicity
+    seen, real = [], toxicity.Network.logits
+
+    def logits(self, projected, mask, tape=None):
+        seen.append(len(mask))
+        return real(self, projected, mask, tape)
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    monkeypatch.setattr(toxicity.Network, "logits", logits)
+    with np.errstate(over="ignore"):
+        toxicity.Model().fit(pa.array([f"w{i} " * 3000 for i in range(6)]), np.array([0, 1] * 3))
+    assert sum(seen) > 500 and max(seen) <= 256  # their states are most of the fit's memory
