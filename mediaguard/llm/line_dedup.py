@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediaguard.llm import tokens
-from mediaguard.llm.common import BLANKS, cut, drop
+from mediaguard.llm.common import BLANKS, cut
 from mediaguard.llm.links import bits, hits, keep, link, near_enough, slots
 
 SIZE = 8
@@ -34,6 +34,7 @@ SKETCH, FINE = 384, 1024
 _PROBE = np.random.default_rng(11).integers(0, BINS, (64, BINS))
 _NONE = np.uint64(2 ** 64 - 1)
 _MIXED = tokens.mix(np.arange(1 << 12, dtype=np.uint64))  # of the code points of most texts
+RECENT = 1 << 16
 PIECE = 1 << 17  # bytes of text at a time: what is made of them stays in a core's cache
 
 
@@ -133,7 +134,7 @@ _NODE = [f"p{i}" for i in range(SKETCH // 64)]
 def bands(texts: pa.Array) -> pa.ListArray:
     """The ``BANDS`` buckets of each text; none for one shorter than a shingle."""
     sig = signatures(texts)
-    wide = sig.reshape(len(sig), BANDS, -1)
+    wide = sig.reshape(len(sig), BANDS, BINS // BANDS)
     h = np.full((len(sig), BANDS), 1, np.uint64) + np.arange(BANDS, dtype=np.uint64)
     for k in range(wide.shape[2]):
         h = tokens.mix(h + wide[:, :, k] * np.uint64(0x9E3779B97F4A7C15))
@@ -142,15 +143,24 @@ def bands(texts: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(h[keep].reshape(-1).view(np.int64)))
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, line, key, bands) of every line; the buckets of equal lines of a piece stand at the first."""
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, node) of every line, node being its key; a line is left out if the task's ``RECENT`` last keys hold it."""
+    last = np.zeros(RECENT, np.int64)
+    last[0] = 1  # no key of this place
     with np.errstate(over="ignore"):
-        for at, texts, key, which in lines(batches):
-            own = bands(texts)
-            n = np.zeros(len(which), np.int32)
-            n[np.diff(np.maximum.accumulate(which), prepend=-1) > 0] = np.diff(own.offsets.to_numpy())
-            once = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), own.values)
-            yield pa.RecordBatch.from_arrays([at["doc_id"], at["line"], pa.array(key[which]), once], ["doc_id", "line", "key", "bands"])
+        for _, texts, key, _ in lines(batches):
+            place = key & (RECENT - 1)
+            new = last[place] != key
+            last[place] = key
+            own = bands(texts.filter(pa.array(new)))
+            yield pa.RecordBatch.from_arrays([own.values, pa.array(np.repeat(key[new], np.diff(own.offsets.to_numpy())))], ["bucket", "node"])
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, line, key) of every line with a word."""
+    with np.errstate(over="ignore"):
+        for at, _, key, which in lines(batches):
+            yield pa.RecordBatch.from_arrays([at["doc_id"], at["line"], pa.array(key[which])], ["doc_id", "line", "key"])
 
 
 def _texts(held: bytes):
@@ -170,24 +180,16 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b["key"], b["norm"], pa.array(n, pa.int64()), *[pa.array(p[:, i]) for i in range(p.shape[1])]], ["key", "norm", "n", *_NODE])
 
 
-def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, n, q0..) of lines (key, norm, n): a longer sketch."""
-    with np.errstate(over="ignore"):
-        for b in tokens.pieces(batches, "norm", PIECE):
-            _, q = sketches(b["norm"], FINE)
-            yield pa.RecordBatch.from_arrays([b["key"], b["n"], *[pa.array(q[:, i]) for i in range(q.shape[1])]],
-                                             ["node", "n", *[f"q{i}" for i in range(q.shape[1])]])
-
-
-def _members(held: bytes):
-    """(bucket, node) of the bands that pass a bitmap."""
+def _fine(held: bytes):
+    """(node, n, q0..) of the lines (key, norm, n) whose keys pass a bitmap: a longer sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b["bands"].offsets.to_numpy()
-            flat = b["bands"].values.to_numpy(zero_copy_only=False)[at[0]:at[-1]]
-            ok = hits(flat, held)
-            rows = np.repeat(np.arange(b.num_rows), np.diff(at))[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[ok]), b["key"].take(pa.array(rows))], ["bucket", "node"])
+        with np.errstate(over="ignore"):
+            for whole in batches:
+                some = whole.filter(pa.array(hits(whole["key"].to_numpy(), held)))
+                for b in tokens.pieces(iter([some]), "norm", PIECE):
+                    _, q = sketches(b["norm"], FINE)
+                    yield pa.RecordBatch.from_arrays([b["key"], b["n"], *[pa.array(q[:, i]) for i in range(q.shape[1])]],
+                                                     ["node", "n", *[f"q{i}" for i in range(q.shape[1])]])
     return run
 
 
@@ -218,8 +220,7 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines (doc_id, line, key, group), ``group`` being the least key of a line's component, and the verified links between keys."""
     flat = lowered(docs)
-    seen = cut(flat.mapInArrow(_bands, "doc_id long, line int, key long, bands array<long>"), "lines")
-    entries = seen.select(F.explode("bands").alias("bucket"), F.col("key").alias("node"))
+    entries = flat.mapInArrow(_entries, "bucket long, node long")
 
     known: list[DataFrame] = []  # texts and sketches of the lines that share a bucket, read from the documents once
 
@@ -235,12 +236,10 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "norm_a", "norm_b").mapInArrow(_similar, "a long, b long")
 
     def refine(nodes: DataFrame) -> DataFrame:
-        texts = known[0].select("key", "norm", "n").join(nodes.withColumnRenamed("node", "key"), "key", "left_semi")
-        return texts.mapInArrow(_fine, "node long, n long, " + ", ".join(f"q{i} long" for i in range(FINE // 64)))
+        return known[0].select("key", "norm", "n").mapInArrow(_fine(slots(nodes, "node")), "node long, n long, " + ", ".join(f"q{i} long" for i in range(FINE // 64)))
 
-    links, parts = link(entries, verify, near_enough(round(100 * SIMILAR), SKETCH), refine, near_enough(round(100 * SIMILAR), FINE, "q"),
-                        lambda held: seen.select("key", "bands").mapInArrow(_members(held), "bucket long, node long"), describe=describe)
-    named = seen.select("doc_id", "line", "key").join(parts.withColumnRenamed("node", "key"), "key", "left")
+    links, parts = link(entries, verify, near_enough(round(100 * SIMILAR), SKETCH), refine, near_enough(round(100 * SIMILAR), FINE, "q"), describe=describe)
+    named = flat.mapInArrow(_keys, "doc_id long, line int, key long").join(parts.withColumnRenamed("node", "key"), "key", "left")
     return named.select("doc_id", "line", "key", F.coalesce("component", "key").alias("group")), links
 
 
@@ -251,7 +250,12 @@ def removed(docs: DataFrame) -> DataFrame:
     first = held.groupBy("group").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").select("group", "first")
     gone = held.join(first, "group").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line")))
     gone = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("line", F.col("first").alias("stays")))).alias("_gone"))
-    out = held.select("doc_id", "line").repartition("doc_id").groupBy("doc_id").agg(F.countDistinct("line").alias("n_lines")).join(gone, "doc_id", "left")
+    size = held.groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+    several = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if not several.isEmpty():
+        again = held.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.countDistinct("line").alias("_n"))
+        size = size.join(again, "doc_id", "left").select("doc_id", F.coalesce("_n", "n_lines").alias("n_lines"))
+    out = size.join(gone, "doc_id", "left")
     none = F.array().cast(gone.schema["_gone"].dataType)
     return out.withColumn("_gone", F.coalesce("_gone", none)).select("doc_id", "n_lines", F.col("_gone.line").alias("removed"), F.col("_gone.stays").alias("kept"))
 

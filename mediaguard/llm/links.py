@@ -86,7 +86,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def link(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], may: str = "true",
          refine: Callable[[DataFrame], DataFrame] | None = None, later: str = "true",
-         members: Callable[[bytes], DataFrame] | None = None, spent: DataFrame | None = None,
+         spent: DataFrame | None = None,
          describe: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Links and components among nodes that share a bucket.
 
@@ -95,67 +95,89 @@ def link(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], may: str
     bucket all nodes are compared with one: the first by the node's columns or, without any, the one with most
     buckets.  Where a bucket still holds several components, its nodes are compared across them: pair by pair if that is at
     most ``DENSE`` pairs for each row left, else with one more node first,
-    ``STARS`` times at most.  ``describe`` gives the columns of the nodes that share a bucket, where ``entries`` has none; then buckets of
-    the same nodes count once.
-    ``refine`` may give other columns for the nodes that get further, on which ``later`` is a condition in place of ``may``, and
-    leave out nodes that can link with none of them.  ``members`` gives the entries that pass a bitmap of buckets, where that has a shorter way.
+    ``STARS`` times at most.  ``describe`` gives a written table of the columns of the nodes that share a bucket, where ``entries`` has none; then all entries are
+    shuffled once, a bucket is named by the set of its nodes (so buckets of the same nodes count once), its first node by number is the one
+    that the others are compared with, and before all pairs of two components one pair of them is verified, as it mostly links.
+    ``refine`` may give other columns for the nodes that get further, on which ``later`` is a condition in place of ``may``; it may give more nodes.
     ``spent`` is a table that ``cut`` wrote, which is deleted as soon as the entries that share a bucket are written, as are the steps between.
     So groups of copies cost rows in proportion to their size, and no pair that could join two components is left out.
     Returns the verified links (a, b) and (node, component) of all nodes but the roots.
     """
     side = lambda df, k: df.select("bucket", *[F.col(c).alias(f"{c}_{k}") for c in df.columns if c != "bucket"])
 
+    def met(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
+        return side(left, "a").join(side(right, "b"), "bucket").where(" and ".join(f"({x})" for x in ("node_a <> node_b", *more)))
+
     def near(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
-        both = side(left, "a").join(side(right, "b"), "bucket").where(" and ".join(f"({x})" for x in ("node_a <> node_b", *more)))
-        return both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-
-    many = cut(entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low < top").select("bucket"), "buckets")
-    held = slots(many, "bucket")
-    live = cut((keep(entries, "bucket", held) if members is None else members(held)).join(many, "bucket").distinct(), "live")
-    drop(many)
-    if spent is not None:
-        drop(spent)
-    if describe is not None:  # buckets of the same nodes stand for the same pairs: one of them stays
-        marks = [F.count("*").alias("n"), *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)]]
-        once = live.groupBy("bucket").agg(*marks).groupBy("n", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket")
-        old, live = live, cut(live.join(once, "bucket"), "once")
+        return met(left, right, *more).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+    def one_each(df: DataFrame, *more: str) -> DataFrame:
+        """One pair (a, b) of each two components (part_a, part_b): the last, as the first nodes have been compared."""
+        pair = F.struct(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+        return met(df, df, "part_a < part_b", *more).groupBy("part_a", "part_b").agg(F.max(pair).alias("e")).select("part_a", "part_b", "e.*")
+
+    def apart(each: DataFrame, parts: DataFrame) -> DataFrame:
+        """The components (part) of which ``each`` has a pair that ``parts`` leaves in two."""
+        for k in ("a", "b"):
+            each = each.join(parts.select(F.col("node").alias(f"part_{k}"), F.col("component").alias(f"now_{k}")), f"part_{k}", "left")
+        open_ = each.where("coalesce(now_a, part_a) <> coalesce(now_b, part_b)")
+        return open_.select(F.explode(F.array("part_a", "part_b")).alias("part")).distinct()
+
+    if describe is None:
+        many = cut(entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low < top").select("bucket"), "buckets")
+        live = cut(keep(entries, "bucket", slots(many, "bucket")).join(many, "bucket").distinct(), "live")
+        drop(many)
+        if spent is not None:
+            drop(spent)
+        extra = [c for c in live.columns if c not in ("bucket", "node")]
+        ranked = live if extra else live.join(live.groupBy("node").agg((-F.count("*")).alias("order")), "node")
+        pivots = ranked.groupBy("bucket").agg(F.min(F.struct(*(extra or ["order"]), "node")).alias("p"))
+        tried = near(pivots.select("bucket", *[f"p.{c}" for c in [*extra, "node"]]), live, may)
+    else:
+        own = Window.partitionBy("bucket")
+        ends = entries.withColumns({"low": F.min("node").over(own), "top": F.max("node").over(own)})
+        shared = ends.where("low < top").select("bucket", "node").distinct()
+        old = cut(shared.select(F.bit_xor(F.xxhash64("node")).over(own).alias("bucket"), "node"), "live")
+        live = cut(old.distinct(), "once")
         drop(old)
-    pairs_of = live.select("bucket", "node")
-    if describe is not None:
-        live = pairs_of.join(describe(pairs_of.select("node")), "node")
-    extra = [c for c in live.columns if c not in ("bucket", "node")]
-    ranked = live if extra else live.join(live.groupBy("node").agg((-F.count("*")).alias("order")), "node")
-    pivots = ranked.groupBy("bucket").agg(F.min(F.struct(*(extra or ["order"]), "node")).alias("p"))
-    pivots = pivots.select("bucket", *[f"p.{c}" for c in [*extra, "node"]])
-    found = cut(verify(near(pivots, live, may)), "links")
+        known = describe(live.select("node"))
+        of = lambda k: known.select(*[F.col(c).alias(k if c == "node" else f"{c}_{k}") for c in known.columns])
+        star = live.join(live.groupBy("bucket").agg(F.min("node").alias("a")), "bucket").where("a < node").select("a", F.col("node").alias("b")).distinct()
+        tried = star.join(of("a"), "a").join(of("b"), "b").where(may).select("a", "b")
+    found = cut(verify(tried), "links")
     parts = components(found)
-    for k in range(1, STARS + 1):
-        if refine is not None and k == 1:
-            live = pairs_of
+    fine, once, old = None if describe is None else known, describe is None, live
+    for k in range(1, STARS + 2):
         named = live.join(parts, "node", "left").select(*live.columns, F.coalesce("component", "node").alias("part"))
-        split = named.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).where("p < q and n > 2")
-        named = named.join(split.select("bucket"), "bucket")
-        if refine is not None and k == 1:
-            old, live = live, cut(named, "split")
-            drop(old)
-            named, may = live.join(refine(live.select("node").distinct()), "node"), later
-        old, named = pairs_of if refine is None and k == 1 else live, cut(named.withColumn("_n", F.count("*").over(Window.partitionBy("bucket"))).where("_n > 1"), "live")
+        split = named.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("_n"))
+        split = split.where("p < q and _n > 2" if k == 1 else "p < q")  # of two nodes both have been compared
+        named = cut(named.join(split.select("bucket", "_n"), "bucket"), "split")
         drop(old)
+        old = named
         rows, pairs = named.agg(F.count("*"), F.sum("_n")).first()  # a bucket of n nodes counts n times n
         if not rows:
             break
-        named, last = named.drop("_n"), k == STARS or pairs <= 2 * DENSE * rows
+        named = named.drop("_n")
+        if refine is not None and k == 1:
+            fine, may = cut(refine(named.select("node")), "fine"), later
+        full, few = named if fine is None else named.join(fine, "node"), k >= STARS or pairs <= 2 * DENSE * rows
+        last = few and once
         if last:
-            tried = near(named, named, "node_a < node_b and part_a <> part_b", may)
+            tried = near(full, full, "node_a < node_b and part_a <> part_b", may)
+        elif few:
+            each, once = cut(one_each(full, may), "each"), True
+            tried = each.select("a", "b")
         else:
             turn = F.xxhash64("node", F.lit(k))
             at = named.groupBy("bucket").agg(F.min(turn).alias("turn"))
-            tried = near(named.join(at, "bucket").where(turn == F.col("turn")).drop("turn"), named, "part_a <> part_b", may)
+            tried = near(full.join(at, "bucket").where(turn == F.col("turn")).drop("turn"), full, "part_a <> part_b", may)
         more = cut(verify(tried), "links")
         found = found.union(more).distinct()
         if not more.isEmpty():
             parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
         if last:
             break
+        if few:  # components without a pair in ``each`` have none that may link
+            named = named.join(apart(each, parts), "part", "left_semi").select(*named.columns)
         live = named.drop("part")
     return found, parts

@@ -206,3 +206,39 @@ def test_lines_and_their_keys_are_those_of_spark(spark):
             got.append((d, k, norm[w]))
             assert of.setdefault(norm[w], key[w]) == key[w]
     assert sorted(got) == want and len(set(of.values())) == len(of)
+
+
+@pytest.mark.parametrize("linked", ["all", "one"])
+def test_two_components_of_a_bucket_cost_one_pair_if_it_links(spark, linked):
+    entries = spark.createDataFrame([(1, i) for i in range(60)] + [(2, i) for i in range(30, 60)], "bucket long, node long")
+    within = "(a < 30) = (b < 30)"
+    across = {"all": "a > 0", "one": "a = 14 and b = 45"}[linked]  # never the node that the others are compared with first
+    tried = []
+
+    def verify(pairs):
+        tried.append(pairs.count())
+        return pairs.where(f"{within} or ({across})")
+    found, parts = links.link(entries, verify, "n_a = n_b", describe=lambda nodes: cut(nodes.distinct().withColumn("n", F.lit(1)), "nodes"))
+    assert {x.node: x.component for x in parts.collect()} == {i: 0 for i in range(1, 60)}
+    assert sum(tried) < 200 if linked == "all" else sum(tried) > 900
+    assert found.where(f"not ({within})").count() == 1
+
+
+def test_buckets_of_lines_are_shuffled_and_not_written(spark, monkeypatch):
+    r = random.Random(25)
+    lines = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(200)).strip() for _ in range(30)]
+    docs = spark.createDataFrame([*enumerate(lines + [x + "y" for x in lines[:3]]), (40, "one\ntwo"), (40, "three\nfour\nfive")], "doc_id long, text string")
+    kinds = []
+    for part in (links, line_dedup):
+        monkeypatch.setattr(part, "cut", lambda df, name: kinds.append((name, df.dtypes)) or cut(df, name))
+    got = {x.doc_id: (x.n_lines, x.removed) for x in line_dedup.removed(docs).collect()}
+    assert got == {i: (1, [0] if i >= 30 else []) for i in range(33)} | {40: (3, [])}
+    assert kinds and not any(t.startswith("array") for _, of in kinds for _, t in of)
+
+
+def test_a_line_that_a_task_has_just_seen_gives_no_buckets(spark):
+    r = random.Random(26)
+    lines = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000)) for _ in range(200)] + ["short", ""]
+    batch = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string").toArrow().to_batches()[0]
+    got = [b.num_rows for b in line_dedup._entries(iter([batch, batch]))]
+    assert 200 * line_dedup.BANDS <= sum(got) <= 210 * line_dedup.BANDS  # two keys may have one place
