@@ -146,8 +146,8 @@ def link(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], may: str
         tried = star.join(of("a"), "a").join(of("b"), "b").where(may).select("a", "b")
     found = cut(verify(tried), "links")
     parts = components(found)
-    fine, once, old = None if describe is None else known, describe is None, live
-    for k in range(1, STARS + 2):
+    once, stars, old = describe is None, STARS - (describe is not None), live
+    for k in range(1, STARS + 1):
         named = live.join(parts, "node", "left").select(*live.columns, F.coalesce("component", "node").alias("part"))
         split = named.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("_n"))
         split = split.where("p < q and _n > 2" if k == 1 else "p < q")  # of two nodes both have been compared
@@ -158,19 +158,23 @@ def link(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], may: str
         if not rows:
             break
         named = named.drop("_n")
-        if refine is not None and k == 1:
-            fine, may = cut(refine(named.select("node")), "fine"), later
-        full, few = named if fine is None else named.join(fine, "node"), k >= STARS or pairs <= 2 * DENSE * rows
+        if describe is not None and k == 1:
+            if refine is not None:
+                known, may = cut(refine(named.select("node")), "fine"), later
+            named = cut(named.join(known, "node"), "split")
+            drop(old)
+            old = named
+        few = k >= stars or pairs <= 2 * DENSE * rows
         last = few and once
         if last:
-            tried = near(full, full, "node_a < node_b and part_a <> part_b", may)
+            tried = near(named, named, "node_a < node_b and part_a <> part_b", may)
         elif few:
-            each, once = cut(one_each(full, may), "each"), True
+            each, once = cut(one_each(named, may), "each"), True
             tried = each.select("a", "b")
         else:
             turn = F.xxhash64("node", F.lit(k))
             at = named.groupBy("bucket").agg(F.min(turn).alias("turn"))
-            tried = near(full.join(at, "bucket").where(turn == F.col("turn")).drop("turn"), full, "part_a <> part_b", may)
+            tried = near(named.join(at, "bucket").where(turn == F.col("turn")).drop("turn"), named, "part_a <> part_b", may)
         more = cut(verify(tried), "links")
         found = found.union(more).distinct()
         if not more.isEmpty():
